@@ -137,11 +137,12 @@ def _with_found(found: DataFrame, accepted: DataFrame, key: list[str]) -> DataFr
     if len(some) <= INLINE:
         good = F.filter("cands", lambda c: ~c["inside"] & c["pattern"].isin(some)) if some else F.filter("cands", lambda c: F.lit(False))
         return found.withColumn("more", F.array_sort(F.transform(good, span)))
-    hits = found.select(*key, F.explode("cands").alias("c")).where("not c.inside").withColumn("pattern", F.col("c.pattern")).join(accepted.select("pattern"), "pattern")
-    hits = hits.groupBy(*key).agg(F.array_sort(F.collect_set(span(F.col("c")))).alias("more"))
-    on = [found[k].eqNullSafe(hits[k]) for k in key]
+    named = [F.col(k).alias(f"_on{i}") for i, k in enumerate(key)]
+    hits = found.select(*named, F.explode("cands").alias("c")).where("not c.inside").withColumn("pattern", F.col("c.pattern")).join(accepted.select("pattern"), "pattern")
+    hits = hits.groupBy(*[f"_on{i}" for i in range(len(key))]).agg(F.array_sort(F.collect_set(span(F.col("c")))).alias("_hits"))
+    on = [F.col(k).eqNullSafe(F.col(f"_on{i}")) for i, k in enumerate(key)]
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    return found.join(hits, on, "left").select(*[found[c] for c in found.columns], F.coalesce(hits["more"], none).alias("more"))
+    return found.join(hits, on, "left").withColumn("more", F.coalesce("_hits", none)).drop("_hits", *[f"_on{i}" for i in range(len(key))])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
