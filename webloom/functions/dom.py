@@ -122,7 +122,23 @@ def exact_links(html: str) -> list[str]:
     return [v for n in Tree(html).nodes if n["tag"] not in ("script", "style") for k, v in n["attrs"].items() if k in names and v]
 
 
+def census(html: str) -> list[dict]:
+    """How many elements of each kind a visitor can act on."""
+    out: dict[str, int] = {}
+    for n in Tree(html).nodes:
+        a, tag = n["attrs"], n["tag"]
+        kinds = [tag] if tag in ("button", "select", "textarea", "summary", "details", "dialog") else []
+        kinds += ["link"] if tag == "a" and "href" in a else []
+        kinds += [f"input:{a.get('type') or 'text'}"] if tag == "input" else []
+        kinds += [f"role:{a['role']}"] if a.get("role") in ("button", "tab", "menuitem", "link", "checkbox", "switch") else []
+        kinds += [k for k in ("onclick", "tabindex", "contenteditable", "aria-expanded", "data-toggle") if k in a]
+        for k in kinds:
+            out[k] = out.get(k, 0) + 1
+    return [{"kind": k, "n": n} for k, n in sorted(out.items())]
+
+
 _SCHEMAS = {
+    "census": (census, "kind string, n int"),
     "structure": (structure, "tag string, selector string, text_hash string, child_count int, pos int"),
     "media": (media, "src string, type string"),
     "accessibility": (lambda h: [accessibility(h)], "node_count int, max_depth int, missing_alt int, missing_label int, empty_link int, heading_skip int, headings int, landmarks int, required int"),

@@ -104,9 +104,9 @@ def _typed(kind: str):
 
 def module_urls(html: Column) -> Column:
     """(type, ref) of import map values and module scripts."""
-    maps = F.regexp_extract_all(html, F.lit(r"(?s)<script[^>]*type=[\"']importmap[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    values = F.flatten(F.transform(maps, lambda m: F.regexp_extract_all(m, F.lit(r"[\"'][^\"']+[\"']\s*:\s*[\"']([^\"']+)[\"']"), F.lit(1))))
-    modules = F.regexp_extract_all(html, F.lit(r"<script[^>]*type=[\"']module[\"'][^>]*src=[\"']([^\"']+)[\"']"), F.lit(1))
+    maps = F.regexp_extract_all(html, F.lit(T.IMPORT_MAP), F.lit(1))
+    values = F.flatten(F.transform(maps, lambda m: F.regexp_extract_all(m, F.lit(T.IMPORT_ENTRY), F.lit(1))))
+    modules = F.regexp_extract_all(html, F.lit(T.MODULE_SCRIPT), F.lit(1))
     return F.concat(F.transform(values, _typed("importmap")), F.transform(modules, _typed("module-script")))
 
 
@@ -131,3 +131,45 @@ def meta_pairs(html: Column) -> Column:
 
 def graphql_operation(body: Column) -> Column:
     return F.coalesce(F.get_json_object(body, "$.operationName"), F.lit(""))
+
+
+def asset_urls(page: Column, html: Column, relative: bool = False, css_relative: bool = True) -> Column:
+    """Distinct urls of a page's assets, sorted.
+
+    Sources, posters, srcsets, lazy ``data-`` attributes and preview images; ``href`` and
+    ``action`` only where they lead to no page; ``url()`` of style attributes and sheets.
+    ``relative`` resolves relative references of attributes, ``css_relative`` those of styles;
+    otherwise only absolute ones count.
+    """
+    clean = without(html, COMMENT)
+    absolute = r"^https?://"
+    full = lambda refs, resolve: F.transform(refs, lambda r: U.resolve(page, F.replace(F.trim(r), F.lit("&amp;"), F.lit("&")))) if resolve else refs
+    plain = full(attr_values(clean, ["src", "poster", "data", "data-[a-z-]*(?:src|url|bg|image|lazy)[a-z-]*"]), relative)
+    sets = F.flatten(F.transform(attr_values(clean, ["srcset", "data-srcset"]), lambda s: F.transform(F.split(s, ","), lambda x: F.substring_index(F.trim(x), " ", 1))))
+    hrefs = F.filter(full(attr_values(clean, ["href", "action"]), relative), lambda u: ~U.is_html_page_url(u))
+    metas = F.transform(F.filter(meta_pairs(clean), lambda m: m["name"].isin("og:image", "twitter:image")), lambda m: m["content"])
+    sheets = F.regexp_extract_all(clean, F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1))
+    css = full(css_urls(F.array_join(F.concat(sheets, _style_attrs(clean)), " ")), css_relative)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(plain, full(sets, relative), hrefs, metas, css), lambda u: u.rlike(absolute))))
+
+
+def _style_attrs(html: Column) -> Column:
+    double = F.regexp_extract_all(html, F.lit(r'(?i)\sstyle\s*=\s*"([^"]*)"'), F.lit(1))
+    return F.concat(double, F.regexp_extract_all(html, F.lit(r"(?i)\sstyle\s*=\s*'([^']*)'"), F.lit(1)))
+
+
+def url_refs(page: Column, content: Column) -> Column:
+    """Distinct absolute urls of ``url()`` and of reference attributes, resolved against the page, sorted."""
+    refs = F.concat(css_urls(content), attr_values(content, ["href", "src", "action", "poster", "data-src"]))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(refs, lambda r: U.resolve(page, r)), lambda u: U.is_valid_url(u))))
+
+
+def shadow_roots(html: Column) -> Column:
+    """Content of declarative shadow roots (the form in which stored pages hold them)."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<template\b[^>]*\sshadowrootmode=[^>]*>(.*?)</template>"), F.lit(1))
+
+
+def json_of(html: Column, element_id: str) -> Column:
+    """JSON text of a script element; null if it can't be parsed."""
+    text = F.regexp_extract(html, rf"(?s)<script[^>]*\sid=[\"']{element_id}[\"'][^>]*>(.*?)</script>", 1)
+    return F.to_json(F.try_parse_json(F.nullif(F.trim(text), F.lit(""))))

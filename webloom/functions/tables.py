@@ -92,3 +92,8 @@ JS_PATTERNS = (
     ("webpack-chunk", r"""webpackChunkName\s*:\s*["']([^"']+)["']"""),
     ("webpack-require", r"""__webpack_require__\s*\(\s*["']([^"']+)["']"""),
 )
+
+# Expressions of import maps, of their entries, and of module scripts.
+IMPORT_MAP = r"""(?s)<script[^>]*type=["']importmap["'][^>]*>(.*?)</script>"""
+IMPORT_ENTRY = r"""["'][^"']+["']\s*:\s*["']([^"']+)["']"""
+MODULE_SCRIPT = r"""<script[^>]*type=["']module["'][^>]*src=["']([^"']+)["']"""

@@ -52,3 +52,32 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame
             break
         seen = seen.unionByName(front).checkpoint()
     return seen
+
+
+def save_state(path: str, **tables: DataFrame) -> str:
+    """Write a frontier's tables (frontier, visited, host_state, ...) as a new version; the pointer moves last, in one step."""
+    import uuid
+
+    some = next(iter(tables.values()))
+    spark, version = some.sparkSession, uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    spark.createDataFrame([(version, ",".join(sorted(tables)))], "version string, tables string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return version
+
+
+def load_state(spark, path: str) -> dict[str, DataFrame]:
+    """The tables of the version that the pointer names."""
+    r = spark.read.schema("version string, tables string").json(f"{path}/current").first()
+    return {name: spark.read.parquet(f"{path}/{r.version}/{name}") for name in r.tables.split(",")}
+
+
+def resume(stored: DataFrame, refs: DataFrame, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(visited, pending) of an interrupted run: urls on disk with their aliases, and references to no such url.
+
+    Pending urls are normal, valid, no noise, at depth 1, and at most ``most`` (in order of text).
+    """
+    visited = stored.select(F.explode(U.directory_aliases(U.normalize_url(F.col("url")))).alias("url")).distinct()
+    wanted = refs.select(U.normalize_url(F.col("url")).alias("url")).where(U.is_valid_url(F.col("url")) & ~U.is_resume_noise(F.col("url"))).distinct()
+    pending = wanted.join(visited, "url", "left_anti").withColumn("depth", F.lit(1)).orderBy("url").limit(most)
+    return visited, pending

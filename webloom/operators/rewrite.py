@@ -55,10 +55,15 @@ def rewrite_css(css: str, base: str, folder: str, mapping: dict[str, str]) -> st
     return _IMPORT.sub(imported, _URL.sub(url, css))
 
 
+def rewrite_css_file(css: str, base: str, path: str, mapping: dict[str, str]) -> str:
+    """``rewrite_css`` for a style sheet stored at ``path``."""
+    return rewrite_css(css, base, os.path.dirname(path), mapping)
+
+
 def rewrite_srcset(value: str, base: str, folder: str, mapping: dict[str, str]) -> str:
     out = []
     for part in value.split(","):
-        ref, *more = part.split()  or [""]
+        ref, *more = part.split() or [""]
         to = local(ref, base, folder, mapping)
         out.append(" ".join([to if to is not None else ref, *more]))
     return ", ".join(x for x in out if x)

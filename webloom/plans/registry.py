@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("urls", "html", "dedupe", "frontier", "health", "archive", "exact")
+_MODULES = ("urls", "html", "dedupe", "frontier", "health", "archive", "exact", "more")
 
 
 def query(name: str, sql: str | None = None):

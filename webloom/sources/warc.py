@@ -33,6 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir (or, where that is unset, a temporary one)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
+    return f"{root.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex}"
+
+
 def running_offsets(rows: DataFrame, order: list[str], size: str) -> DataFrame:
     """Adds ``offset``: the sum of ``size`` of all rows before, in this order.
 
