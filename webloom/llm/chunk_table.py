@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 #: Chunks that one worker remembers, and characters of a chunk beyond which it isn't kept.
-MOST_CHUNKS, LONGEST = 800_000, 64
+MOST_CHUNKS, LONGEST = 500_000, 64
 
 
 class ChunkTable:
