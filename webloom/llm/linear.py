@@ -13,8 +13,8 @@ class Rows:
     """Sparse rows: for each row the features ``idx`` with weights ``val``, between offsets ``at``."""
 
     def __init__(self, idx: np.ndarray, val: np.ndarray, at: np.ndarray):
-        self.idx, self.val, self.at = idx, val, at
-        self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.idx, self.val, self.at = idx.astype(np.int32, copy=False), val.astype(np.float32, copy=False), at
+        self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.idx] * self.val, len(self.at) - 1)

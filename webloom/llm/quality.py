@@ -103,14 +103,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mod
     some = _sampled(lab, LABELLED, n_lab, 1)  # bounded, so it may be broadcast
     base = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     known = base.join(F.broadcast(some), "doc_id")
-    free = _sampled(base, UNLABELLED + LABELLED, n_docs, 2).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
+    free = _sampled(base, UNLABELLED, n_docs, 2).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
     schema = "label int, lang string, source string, n_chars long, idx binary, val binary"
     got = known.unionByName(free).mapInArrow(_features, schema)
     got = written(got, "co-training").toArrow()
     lens = [len(v) // 4 for v in got["idx"].to_pylist()]
-    x = Rows(np.frombuffer(b"".join(got["idx"].to_pylist()), "<i4"), np.frombuffer(b"".join(got["val"].to_pylist()), "<f4").astype(np.float64), np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
+    x = Rows(np.frombuffer(b"".join(got["idx"].to_pylist()), "<i4"), np.frombuffer(b"".join(got["val"].to_pylist()), "<f4"), np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
     m = MetaView.rows(got["lang"].to_pylist(), got["source"].to_pylist(), got["n_chars"].to_pylist())
     y = np.array([-1 if v is None else v for v in got["label"].to_pylist()], int)
+    del got
     # an order that doesn't depend on partitions
     order = np.lexsort((np.array(lens, int), np.modf(1e6 * x.dot(np.sin(np.arange(DIMS))))[0]))
     x, m, y = x.take(order), m.take(order), y[order]
