@@ -50,7 +50,7 @@ class Tokenizer:
 
     def __init__(self, name: str):
         self.enc = _encoding(name)
-        self.table = ChunkTable(lambda chunks: [np.array(x, "<u2").tobytes() for x in self.enc.encode_ordinary_batch(chunks, num_threads=1)])
+        self.table = ChunkTable(lambda chunks: [np.array(self.enc.encode_ordinary(c), "<u2").tobytes() for c in chunks])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         cut = [blank_chunks(x) if x else [] for x in texts]
