@@ -95,3 +95,22 @@ def test_tree_bound_keeps_all_links():
             both = len(np.intersect1d(sets[a], sets[b]))
             if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 assert frozenset((a, b)) in found
+
+
+def links(docs, k, percent):
+    """Number of other shingle sets that each document's own set links to."""
+    sets = [shingle_set(t, k) for _, t in docs]
+    other = set(sets) - {frozenset()}
+    return {d: sum(1 for o in other if o != s and 100 * len(s & o) >= percent * len(s | o)) if s else 0 for (d, _), s in zip(docs, sets)}
+
+
+@pytest.mark.parametrize("leaf,block,columns", [(2048, 1_000_000, 2048), (7, 3_000, 16)])
+def test_links_as_brute_force(spark, monkeypatch, leaf, block, columns):
+    for name, value in (("LEAF", leaf), ("BLOCK", block), ("COLUMNS", columns)):
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(150)]
+    near = [" ".join(w if i != e else f"x{e}" for i, w in enumerate(base)) for e in r.sample(range(150), 40)]
+    docs = list(enumerate([t for _, t in corpus()] + near + near[:3] + ["", "two words"]))
+    got = N.ngram_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 90)
+    assert {x.doc_id: x.n_links for x in got.collect()} == links(docs, 3, 90)

@@ -14,6 +14,8 @@ Every text becomes its set of distinct k-word shingles, and equal sets become on
    count vectors (shingles hashed into 256 groups) are packed into an R-tree; two nodes are
    descended together unless the sum of the lesser upper bounds of their coordinates is
    below the overlap that their sizes need; surviving pairs are verified on their sets.
+4. *Links.*  All that link are now in one component, so the links of each member are counted
+   there, on the sets of every pair; components beyond ``LEAF`` members are dealt in blocks.
 
 Exact for 54-bit shingle hashes.  Work follows the input: hot groups pass through salted
 overflow buckets, leaves beyond ``LEAF`` members are dealt in blocks, and components are
@@ -46,6 +48,8 @@ HOT = 64
 HELD = 500_000
 #: Members of a leaf that one R-tree holds; larger leaves are dealt in blocks.
 LEAF = 2048
+#: Shingles that one block of a component holds, and columns of a block that are multiplied at once.
+BLOCK, COLUMNS = 1_000_000, 2048
 #: Rows of an id table that may be broadcast (16 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 _NODE = 16
@@ -368,6 +372,67 @@ def _verify(percent: int):
     return run
 
 
+def linked(h: np.ndarray, at: np.ndarray, first: int, percent: int) -> np.ndarray:
+    """Links of each of the sets ``h[at[i]:at[i + 1]]``: between the ``first`` ones and the rest, or among all if there is no rest."""
+    size = np.diff(at)
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    _, col, freq = np.unique(h, return_inverse=True, return_counts=True)
+    use = (freq > 1) & (freq < n)  # a shingle of one set is in no intersection, one of all sets in each
+    keep = use[col]
+    row, col = row[keep], (np.cumsum(use) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    alone = first == n
+    x, y = slice(0, first), slice(0 if alone else first, n)
+    both = np.full((first, n if alone else n - first), (freq == n).sum(), np.float32 if size.max() < 1 << 24 else np.float64)
+    for lo in range(0, int(use.sum()), COLUMNS):
+        a, z = np.searchsorted(col, (lo, lo + COLUMNS))
+        m = np.zeros((n, COLUMNS), both.dtype)
+        m[row[a:z], col[a:z] - lo] = 1
+        both += m[x] @ m[y].T
+    out = np.zeros(n, np.int64)
+    for lo in range(0, first, 256):
+        got = both[lo : lo + 256].astype(np.int64)
+        ok = 100 * got >= percent * (size[x][lo : lo + 256, None] + size[y][None] - got)
+        if alone:
+            ok[np.arange(len(ok)), lo + np.arange(len(ok))] = False
+        out[lo : lo + len(ok)] += ok.sum(1)
+        if not alone:
+            out[y] += ok.sum(0)
+    return out
+
+
+def _links(percent: int):
+    def block(parts: list) -> pa.RecordBatch:
+        ids, side, h = (np.concatenate([p[x] for p in parts]) for x in (0, 1, 2))
+        at = np.concatenate(([0], np.cumsum(np.concatenate([p[3] for p in parts]))))
+        first = int((side == 0).sum())
+        n = linked(h, at, first, percent) if first else np.zeros(len(ids), np.int64)
+        return pa.record_batch([pa.array(ids), pa.array(n)], ["set_id", "n"])
+
+    def run(batches):
+        """Rows come by root, i, j and side, so one block is held at a time."""
+        parts, mark = [], None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            col = lambda c: t.column(t.schema.get_field_index(c))
+            root, i, j, ids, side = (col(c).to_numpy() for c in ("root", "i", "j", "set_id", "side"))
+            cut = np.flatnonzero(np.any([np.concatenate(([True], m[1:] != m[:-1])) for m in (root, i, j)], 0))
+            for a, z in zip(cut, [*cut[1:], t.num_rows]):
+                if parts and mark != (root[a], i[a], j[a]):
+                    yield block(parts)
+                    parts = []
+                mark = root[a], i[a], j[a]
+                raw = [np.frombuffer(v.as_buffer(), np.uint64) for v in col("shingles").slice(a, z - a)]
+                parts.append((ids[a:z].copy(), side[a:z].copy(), np.concatenate(raw), [len(v) for v in raw]))
+        if parts:
+            yield block(parts)
+
+    return run
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` (narrow rows), marked for broadcast if a count of its rows allows that."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -380,8 +445,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
     ``component_id`` is the least id that links reach, ``n_links`` the number of other
-    shingle sets that the verified links of the document's own set name (links inside a
-    component that follow from others are not searched).  Words are runs of bytes other
+    shingle sets that the document's own set links to.  Words are runs of bytes other
     than ASCII white space, A-Z lower-cased.  Null, empty and blank texts have no shingles
     and stand alone; a text of fewer than ``k`` words is one shingle.  Repeated rows are
     each answered; a null id is kept and never names a component unless it is alone.
@@ -438,7 +502,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     roots = components(every)
     named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = every.distinct().select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    # every pair that links is in one component: its pairs are counted there, in blocks
+    inside = roots.withColumnRenamed("node", "set_id").join(classes.select("set_id", "n_shingles"), "set_id")
+    parts = inside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int").alias("n"))
+    inside = inside.join(_bounded(parts), "root").join(sets, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("n")).cast("int"))
+    inside = inside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    inside = inside.select("root", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") > F.col("j")).cast("int").alias("side"), "set_id", "shingles")
+    inside = inside.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    degree = inside.mapInArrow(_links(percent), "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("n_links"))
     named = named.join(least, "root").join(degree, "set_id", "left").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = info.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
