@@ -143,3 +143,17 @@ def test_words_and_hashes():
     assert [bytes(buf[a:b]).decode()[:5] for a, b in zip(s, e)] == ["One", "two", "xxxxx", "ONE", "é", "two"]
     assert np.diff(rows).tolist() == [2, 0, 0, 1, 2, 1]
     assert h[0] == h[3] and h[1] == h[5] and len(set(h.tolist())) == 4
+
+
+def test_found_tokens_are_instances(spark):
+    """Three contexts, each known only through the tokens of the one before; the last token is longer than 64 characters."""
+    two, three, long = [f"bb{i:02d}zz99" for i in range(15)], [f"cc{i:02d}zz99" for i in range(5)], "k" * 90 + "7"
+    rows = [f"first hop: {x}" for x in [f"user{i:02d}@example.org" for i in range(60)] + two]
+    rows += [f"second hop: {x}" for x in two + three]
+    rows += [f"third hop: {x}" for x in [*three, long]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in P.personal_data(docs).collect()}
+    at = {t: i for i, t in enumerate(rows)}
+    for t in (f"second hop: {three[0]}", f"third hop: {long}"):
+        start = t.index(": ") + 2
+        assert spans[at[t]] == f"id:{start}:{len(t)}"

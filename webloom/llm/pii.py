@@ -3,7 +3,8 @@
 Regular expressions and checks find the base entities (e-mail, ip, card, phone).  They and
 tokens of the shape of long keys are the seeds.  The words before a candidate token are its
 pattern; patterns and tokens form a bipartite graph, on which scores go back and forth:
-a pattern is worth the part of its tokens that are known, a token the best of its patterns.
+a pattern is worth the part of its tokens that are known, a token the best of its patterns;
+tokens behind an accepted pattern are instances for the others, until nothing changes.
 What stands behind a pattern of high confidence is then personal data as well (kind ``id``),
 though no expression knows it.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table, written
+from ._store import drop, table, written
 
 #: Kinds in the order that breaks ties; the method's own kind is last.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -22,12 +23,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Candidate tokens: 6 to 64 characters with a digit.
-TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
+#: Candidate tokens: 6 characters or more with a digit.
+TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 #: Characters before a token in which its pattern lies.
 LEFT = 48
-#: Rounds of scoring; confidence and distinct seeds that a pattern needs.
-ROUNDS, CONFIDENCE, SEEDS = 2, 0.7, 3
+#: Confidence and distinct instances (seeds or tokens found since) that a pattern needs.
+CONFIDENCE, SEEDS = 0.7, 3
 #: Patterns that are put into the plan as literals; with more, a join finds them.
 INLINE = 500
 _BLOCK = 64
@@ -120,14 +121,25 @@ def patterns(found: DataFrame) -> DataFrame:
     """``pattern, score`` of the patterns of high confidence, scored on the graph of patterns and tokens."""
     occ = found.select(F.explode("cands").alias("c")).select("c.pattern", "c.token", (F.col("c.inside") | F.col("c.key")).alias("seed")).where("trim(pattern) <> ''")
     edges = written(occ.groupBy("pattern", "token").agg(F.max(F.col("seed").cast("int")).alias("seed")), "pattern-graph")
-    known = edges.groupBy("token").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("seed"))
-    for turn in range(ROUNDS):
-        scored = edges.select("pattern", "token").join(known, "token").groupBy("pattern").agg((F.sum("s") / (F.count("*") + 0.5)).alias("score"), F.sum("seed").alias("seeds"))
-        scored = scored.where((F.col("score") >= CONFIDENCE) & (F.col("seeds") >= SEEDS))
-        if turn + 1 < ROUNDS:
-            reached = edges.select("pattern", "token").join(scored, "pattern").groupBy("token").agg(F.max("score").alias("r"))
-            known = known.join(reached, "token", "left").select("token", F.greatest("s", F.coalesce("r", F.lit(0.0))).alias("s"), "seed")
-    return written(scored.select("pattern", "score"), "patterns")
+    spark = found.sparkSession
+    known = written(edges.groupBy("token").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("seed")), "known-tokens")
+    scored, mark = None, None
+    while True:
+        now = edges.select("pattern", "token").join(known, "token").groupBy("pattern").agg((F.sum("s") / (F.count("*") + 0.5)).alias("score"), F.sum("seed").alias("seeds"))
+        now = written(now.where((F.col("score") >= CONFIDENCE) & (F.col("seeds") >= SEEDS)).select("pattern", "score"), "patterns")
+        drop(spark, scored)
+        scored = now
+        # scores only grow, so equal marks mean that nothing new was accepted and no score moved
+        last, mark = mark, tuple(scored.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("score") * 1000)), F.lit(0))).first())
+        if mark[0] == 0 or (last is not None and mark <= last):
+            break
+        reached = edges.select("pattern", "token").join(scored, "pattern").groupBy("token").agg(F.max("score").alias("r"))
+        grown = known.join(reached, "token", "left").select("token", F.greatest("s", F.coalesce("r", F.lit(0.0))).alias("s"), F.when(F.col("r").isNotNull(), 1).otherwise(F.col("seed")).alias("seed"))
+        grown = written(grown, "known-tokens")
+        drop(spark, known)
+        known = grown
+    drop(spark, edges, known)
+    return scored
 
 
 def _with_found(found: DataFrame, accepted: DataFrame, key: list[str]) -> DataFrame:
