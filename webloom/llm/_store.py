@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir, which all machines share; without one nothing can be kept, which is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        got = jsc.getCheckpointDir()
-        if got.isDefined():
-            found = got.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="webloom-")
-            spark.sparkContext.setCheckpointDir(found)
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not got.isDefined():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = got.get()
     return found.rstrip("/")
 
 
@@ -46,5 +43,25 @@ def drop(spark: SparkSession, *frames: DataFrame | str | None) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_place(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` and two columns (file, row in it) that name each of its rows, the same ones in every job.
+
+    Rows of a plain Parquet scan have a place; anything else is written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if plan != "LogicalRelation" or "parquet" not in docs._jdf.queryExecution().analyzed().toString():
+        docs = written(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(at["file_path"]), at["row_index"]]
+
+
+def collected(df: DataFrame, name: str):
+    """The rows of ``df`` (a bounded sample) as an Arrow table; they pass through the shared folder once."""
+    kept = written(df, name)
+    out = kept.toArrow()
+    drop(df.sparkSession, kept)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,13 +1,15 @@
 """Language identification in two levels: family first, then one-versus-one linear support vector machines.
 
-Features are hashed byte trigrams of the lower-cased letters.  One machine per family says
-which family a text belongs to; within a family, one machine per pair of its languages
-votes.  Weights are summed along the text, so a text of any length takes one pass and
-constant memory beyond itself.
+Features are hashed byte trigrams of the lower-cased letters, a blank after each text.  One
+machine per family says which family a text belongs to; within a family, one machine per
+pair of its languages votes.  Weights are integers (fixed point) that are summed along the
+text, so a text of any length takes one pass and constant memory beyond itself, and no sum
+depends on the rows beside it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -17,12 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import table, written
+from ._store import collected, table
 from .linear import Rows, sigmoid, squared_hinge
 
 DIMS = 1 << 14
-#: Documents expected in the training sample of each language, and bytes of a text that are learnt from.
-SAMPLE, LEARN_BYTES = 1_500, 1 << 16
+#: Documents expected in the training sample of each language, and of all languages together.
+SAMPLE, SAMPLE_ALL = 1_500, 12_000
+#: Languages that are learnt at most: those with most documents in the sample.
+MOST_LANGS = 200
+#: Rows of the table of languages that may be broadcast.
+BROADCAST_ROWS = 10_000
+#: Steps of a weight of 1.
+FIXED = 1 << 16
 # Families of languages by ISO 639-1 code; others are families of their own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nn no sv yi".split(),
@@ -48,13 +56,26 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], f"only {lang}")
 
 
-def trigrams(buf: np.ndarray) -> np.ndarray:
-    """Hashed trigram that begins at each byte; what is no letter counts as a blank."""
+def trigrams(buf: np.ndarray, offs: np.ndarray | None = None) -> np.ndarray:
+    """Hashed trigram that begins at each byte; what is no letter counts as a blank, and so does what follows a row."""
     c = np.concatenate((_LOW[buf], np.full(2, 32, np.uint32)))
-    x = c[:-2] | (c[1:-1] << np.uint32(8)) | (c[2:] << np.uint32(16))
+    second, third = c[1:-1].copy(), c[2:].copy()
+    if offs is not None and len(buf):
+        end = offs[1:][offs[1:] > 0]
+        second[end - 1] = third[end - 1] = 32
+        third[end[end > 1] - 2] = 32
+    x = c[:-2] | (second << np.uint32(8)) | (third << np.uint32(16))
     return ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)).astype(np.int32)
 
 
+def row_blocks(buf: np.ndarray, offs: np.ndarray, size: int = 1 << 18):
+    """(first byte, trigrams) block by block, as of the whole array."""
+    for lo in range(0, len(buf), size):
+        hi = min(len(buf), lo + size)
+        near = offs[(offs > lo) & (offs <= hi + 2)] - lo
+        yield lo, trigrams(buf[lo : hi + 2], np.concatenate(([0], near)))[: hi - lo]
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -66,24 +87,21 @@ class Model:
 
     def __init__(self, langs: list[str], families: list[str], pairs: list[tuple[str, str]], weight: np.ndarray, bias: np.ndarray):
         self.langs, self.families, self.pairs = langs, families, pairs
-        self.weight, self.bias = np.ascontiguousarray(weight.T, np.float32), bias
+        self.weight, self.bias = np.ascontiguousarray(np.round(weight.T * FIXED), np.int32), bias
         self.members = [[x for x in langs if family_of(x) == f] for f in families]
 
     def margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n, m = len(offs) - 1, self.weight.shape[1]
-        out = np.zeros((n, m))
-        if not m:
-            return out
-        # block by block, so that long texts need no more memory
-        for lo in range(0, len(buf), 1 << 18):
-            hi = min(len(buf), lo + (1 << 18))
-            w = self.weight[trigrams(buf[lo : hi + 2])[: hi - lo]]
-            a = int(np.searchsorted(offs, lo, "right")) - 1
-            z = int(np.searchsorted(offs, hi, "left"))
-            cut = np.clip(offs[a:z], lo, hi) - lo
-            some = np.flatnonzero(np.diff(np.append(cut, hi - lo)) > 0)
-            out[a + some] += np.add.reduceat(w, cut[some], axis=0, dtype=np.float64)
-        return out / np.maximum(np.diff(offs), 1)[:, None] + self.bias
+        out = np.zeros((n, m), np.int64)
+        if m:
+            for lo, t in row_blocks(buf, offs):  # long texts need no more memory
+                hi = lo + len(t)
+                a = int(np.searchsorted(offs, lo, "right")) - 1
+                z = int(np.searchsorted(offs, hi, "left"))
+                cut = np.clip(offs[a:z], lo, hi) - lo
+                some = np.flatnonzero(np.diff(np.append(cut, hi - lo)) > 0)
+                out[a + some] += np.add.reduceat(self.weight[t], cut[some], axis=0, dtype=np.int64)
+        return out / (np.maximum(np.diff(offs), 1)[:, None] * float(FIXED)) + self.bias
 
     def predict(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score: the chance of the family times that of winning its votes."""
@@ -113,7 +131,8 @@ class Model:
         return names.tolist(), score
 
 
-def fit(x: Rows, lang: np.ndarray) -> Model:
+def fit(x: Rows, lang: np.ndarray, scale: float = 1.0) -> Model:
+    """Machines on rows whose values are ``scale`` times relative frequencies."""
     langs = sorted(set(lang.tolist()))
     families = sorted({family_of(v) for v in langs})
     own = np.array([family_of(v) for v in lang], object)
@@ -126,7 +145,7 @@ def fit(x: Rows, lang: np.ndarray) -> Model:
             machines.append(squared_hinge(x.take(rows), np.where(lang[rows] == a, 1.0, -1.0), DIMS))
             pairs.append((a, b))
     w = np.stack(machines) if machines else np.zeros((0, DIMS + 1))
-    return Model(langs, families, pairs, w[:, :-1], w[:, -1])
+    return Model(langs, families, pairs, w[:, :-1] * scale, w[:, -1])
 
 
 def _features(batches):
@@ -135,30 +154,35 @@ def _features(batches):
             buf, offs = _scan.buffers(part.column(part.schema.get_field_index("text")))
             idx, val = [], []
             for a, b in zip(offs, offs[1:]):
-                t, n = np.unique(trigrams(buf[a : min(b, a + LEARN_BYTES)]), return_counts=True)
-                idx.append(t.astype("<i2").tobytes())
-                val.append((n / max(n.sum(), 1)).astype("<f4").tobytes())
+                n = np.zeros(DIMS, np.int64)
+                for _, t in row_blocks(buf[a:b], np.array([0, b - a])):
+                    n += np.bincount(t, minlength=DIMS)
+                some = np.flatnonzero(n)
+                idx.append(some.astype("<i2").tobytes())
+                val.append((n[some] / max(n.sum(), 1)).astype("<f4").tobytes())
             yield pa.record_batch([part.column(part.schema.get_field_index("lang")), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"])
 
 
 def train(docs: DataFrame) -> Model:
-    """Train on a bounded sample: SAMPLE documents are expected of each language; text and language alone are read."""
+    """Train on a bounded sample: SAMPLE documents are expected of each language, SAMPLE_ALL of all; text and language alone are read, texts whole."""
     base = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     base = base.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 != 2)
     n = base.groupBy("lang").agg(F.count("*").alias("n"))
-    part = F.broadcast(n.select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("part")))  # one row a language
+    kinds = n.count()
+    share = float(min(SAMPLE, SAMPLE_ALL / max(kinds, 1)))
+    part = n.select("lang", F.least(F.lit(1.0), F.lit(share) / F.col("n")).alias("part"))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = written(base.join(part, "lang").where(spot < F.col("part")).mapInArrow(_features, "lang string, idx binary, val binary"), "languages").toArrow()
-    lens = [len(v) // 2 for v in got["idx"].to_pylist()]
-    x = Rows(np.frombuffer(b"".join(got["idx"].to_pylist()), "<i2").astype(np.int64), np.frombuffer(b"".join(got["val"].to_pylist()), "<f4").astype(np.float64) * 30, np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
-    model = fit(x, np.array(got["lang"].to_pylist(), object))
-    model.weight *= 30
-    return model
+    drawn = base.join(F.broadcast(part) if kinds <= BROADCAST_ROWS else part, "lang").where(spot < F.col("part"))
+    got = collected(drawn.mapInArrow(_features, "lang string, idx binary, val binary"), "languages").to_pylist()
+    most = sorted((-c, v) for v, c in Counter(r["lang"] for r in got).items())[:MOST_LANGS]
+    got = sorted((r["lang"], r["idx"], r["val"]) for r in got if r["lang"] in {v for _, v in most})  # an order that doesn't depend on partitions
+    at = np.concatenate(([0], np.cumsum([len(i) // 2 for _, i, _ in got]))).astype(np.int64)
+    x = Rows(np.frombuffer(b"".join([i for _, i, _ in got]), "<i2"), np.frombuffer(b"".join([v for _, _, v in got]), "<f4") * np.float32(30), at)
+    return fit(x, np.array([v for v, _, _ in got], object), 30)
 
 
-def _score(shared):
+def _score(model: Model):
     def run(batches):
-        model = shared.value
         for batch in batches:
             for part in _scan.slices(batch, "text"):
                 texts = part.column(1)
@@ -174,12 +198,14 @@ def languages(docs: DataFrame) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; ``und`` with score 0 for a null text or one without a letter.
 
     Learns from the rows of ``docs`` that have a language and lie outside the held-out fold
-    (crc32 of the id as text, modulo 4, is 2).  Without any such row everything is ``und``.
+    (crc32 of the id as text, modulo 4, is 2; a null id is outside).  Without any such row
+    everything is ``und``.  Repeated rows are each answered, and each row's answer depends on
+    its own text alone; other columns than ``doc_id, text, lang`` aren't read.
     """
     model = train(docs)
     base = docs.select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), *T._parse_datatype_string("lang_pred string, score double").fields])
-    return base.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return base.mapInArrow(_score(model), schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
