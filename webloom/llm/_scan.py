@@ -7,6 +7,7 @@ time, whatever the length of one text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def _byte_values(lower: bool) -> np.ndarray:
     return v
 
 
-_LOWER, _EXACT = _byte_values(True), _byte_values(False)
+LOWER, _EXACT = _byte_values(True), _byte_values(False)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -91,7 +92,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     p, q = _tables(len(b))
     cs = np.empty(len(b) + 1, np.uint64)
     cs[0] = 0
-    np.cumsum((_LOWER if lower else _EXACT)[b] * p[: len(b)], out=cs[1:])
+    np.cumsum((LOWER if lower else _EXACT)[b] * p[: len(b)], out=cs[1:])
     s, e = starts - base, ends - base
     return mix((cs[e] - cs[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -154,6 +155,23 @@ def shapes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, rows
 
 
+def _release():
+    """The C library's call that hands free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_trim = _release()
+
+
+def trim() -> None:
+    """Hand back what a batch needed: workers are reused, and two stand beside each executor's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; one text is never cut."""
     arr = batch.column(batch.schema.get_field_index(column))
@@ -166,7 +184,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
