@@ -28,27 +28,80 @@ def test_quality(spark, odd_docs):
     assert Q.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def recall_and_false(rows, truth):
+    found = [r for r in rows if truth.get(r.doc_id) == 1]
+    clean = [r for r in rows if truth.get(r.doc_id) == 0]
+    return np.mean([r.predicted for r in found]), np.mean([r.predicted for r in clean])
+
+
 def test_toxicity(spark, odd_docs):
-    docs, labels = tables(spark, "documents", "labels")
-    got = X.toxicity(docs, labels)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
-    rows = [r for r in got.collect() if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
-    assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.9
+    held = [r for r in X.toxicity(docs, labels).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    recall, false = recall_and_false(held, truth)
+    assert recall > 0.85 and false < 0.02
+    docs, labels = tables(spark, "documents", "labels")
     odd = X.toxicity(odd_docs, labels).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert X.toxicity(docs.limit(0), labels).count() == 0
+    assert {r.predicted for r in X.toxicity(odd_docs, labels.limit(0)).collect()} == {0}
+
+
+BAD = ["fine words here. you vile toad! more words"] * 12
+GOOD = ["fine words here. more words and more"] * 40
+
+
+@pytest.fixture(scope="module")
+def toads(spark):
+    texts = BAD + GOOD
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3 * i, int(t in BAD)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    learn = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    return X.train(learn, labels)
+
+
+def test_noisy_or_locates_sentences(toads):
+    import pyarrow as pa
+
+    x = X.Sentences(pa.array([BAD[0], GOOD[0]]))
+    p, each = toads.score(x, 2)
+    assert p[0] > 0.7 and p[1] == 0 and each.argmax() == 1
+
+
+def test_long_clean_texts_stay_clean(spark, toads):
+    import pyarrow as pa
+
+    long = " ".join(["fine words here. more words and more. unheard syllables!"] * 20_000)
+    p, _ = toads.score(X.Sentences(pa.array([long, long + " you vile toad!"])), 2)
+    assert p[0] == 0 and p[1] > 0.7
+    docs, labels = tables(spark, "documents", "labels")
+    model = X.train(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").limit(40).collect()]
+    once, often = (model.score(X.Sentences(pa.array([c * n for c in clean])), len(clean))[0] for n in (1, 50))
+    assert (often >= X.TOXIC).sum() <= (once >= X.TOXIC).sum() + 1
 
 
-def test_noisy_or_locates_sentences():
+def test_toxicity_as_brute_force(toads):
+    """Scores by plain loops over the sentences, whatever stands beside a text."""
+    import re
+
     import pyarrow as pa
 
-    bad = ["fine words here. you vile toad! more words"] * 12
-    good = ["fine words here. more words and more"] * 40
-    h, sent, row, *_ = X.sentences(pa.array(bad + good))
-    m = X.fit(h, sent, row, np.array([1] * 12 + [0] * 40))
-    p, each = m.score(h, sent, row, 52)
-    assert p[:12].min() > 0.7 and p[12:].max() < 0.3
-    assert each[:3].argmax() == 1
+    weight = dict(zip(toads.words.tolist(), toads.weight))
+    texts = ["You VILE toad. you vile toad! vile", "toady vileness, toads\nvile", "", None, "vile " * 300, *BAD[:1], *GOOD[:1]]
+
+    def plain(text):
+        s = 0.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            x = X.Sentences(pa.array([sentence]))
+            own = [weight[f] for f in set(x.feature.tolist()) if f in weight]
+            if own:
+                z = toads.bias + sum(own)
+                s += max(0, np.logaddexp(0, z) - np.logaddexp(0, np.log(X.FLOOR / (1 - X.FLOOR))))
+        return 1 - np.exp(-s)
+
+    got, _ = toads.score(X.Sentences(pa.array(texts)), len(texts))
+    assert np.allclose(got, [plain(t) for t in texts])
 
 
 def test_language(spark, odd_docs):
@@ -63,13 +116,45 @@ def test_language(spark, odd_docs):
     assert L.languages(docs.limit(0)).count() == 0
 
 
+def test_language_of_a_row_is_its_own(spark, monkeypatch):
+    """Order, neighbours, blocks and batches change nothing; margins are as by plain sums."""
+    import pyarrow as pa
+
+    (docs,) = tables(spark, "documents")
+    model = L.train(docs)
+    texts = [r.text[:n] for r in docs.limit(150).collect() for n in (1, 2, 3, 25, 4000)] + ["", None, "é", "a\nb"]
+    whole = model.predict(model.margins(*_buffers(texts)))
+    back = model.predict(model.margins(*_buffers(texts[::-1])))
+    one = [model.predict(model.margins(*_buffers([t]))) for t in texts]
+    assert whole[0] == back[0][::-1] == [o[0][0] for o in one]
+    assert whole[1].tolist() == back[1][::-1].tolist() == [o[1][0] for o in one]
+    default = L.row_blocks.__defaults__
+    monkeypatch.setattr(L.row_blocks, "__defaults__", (7,))
+    assert model.margins(*_buffers(texts)).tolist() == [model.margins(*_buffers([t]))[0].tolist() for t in texts]
+    monkeypatch.setattr(L.row_blocks, "__defaults__", default)
+    for t in texts[:60]:
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (t or "").encode()) + b"  "
+        grams = [b[i] | b[i + 1] << 8 | b[i + 2] << 16 for i in range(len(b) - 2)]
+        want = sum((model.weight[((g * 0x9E3779B1) & 0xFFFFFFFF) >> 18].astype(np.int64) for g in grams), np.zeros(model.weight.shape[1], np.int64))
+        assert model.margins(*_buffers([t]))[0].tolist() == (want / (max(len(grams), 1) * float(L.FIXED)) + model.bias).tolist()
+    assert pa is not None
+
+
+def _buffers(texts):
+    import pyarrow as pa
+
+    from webloom.llm import _scan
+
+    return _scan.buffers(pa.array(texts, pa.string()))
+
+
 def test_language_families_vote():
     assert L.family_of("de") == L.family_of("en-GB") == "germanic" and L.family_of("xx") == "only xx"
 
 
-@pytest.mark.parametrize("block,queries,depth", [(1 << 14, 1 << 13, 64), (60, 7, 2)])
+@pytest.mark.parametrize("block,queries,depth", [(1 << 15, 1 << 14, 64), (60, 7, 2)])
 def test_top_k(spark, monkeypatch, block, queries, depth):
-    for name, v in (("BLOCK", block), ("QUERIES", queries), ("DEPTH", depth)):
+    for name, v in (("BLOCK", block), ("QUERIES", queries), ("DEPTH", depth), ("FIRST", 30), ("STRETCH", 50)):
         monkeypatch.setattr(K, name, v)
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
@@ -77,12 +162,28 @@ def test_top_k(spark, monkeypatch, block, queries, depth):
     assert got == sorted(c.execute(K.OP8_SQL).fetchall())
 
 
+def plain_top(queries, rows, k):
+    """Best k of every query by exact integers."""
+    out = []
+    for q, v in sorted({q: min(v for p, v in queries if p == q) for q, _ in queries}.items()):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
+        out += [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores, 1)]
+    return out
+
+
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
+    r = np.random.default_rng(2)
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [0.5, 0.5]), (8, [1e30, 1.0]), (9, [-0.001]), (None, [1.0])]
-    v = K.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = [tuple(r) for r in K.exact_top_k(v.where("vec_id = 0"), v, 4).orderBy("rank").collect()]
-    assert [(r, i) for _, r, i, _ in got] == [(1, 8), (2, 1), (3, 7), (4, 6)]
+    rows += [(10, [1e30, 2.0]), (11, [-3e38, 3e38]), (12, [3e38, 3e38]), (13, [1e15, -1e15]), (14, [1e9, 7.0]), (15, [2.0**63, 1.0]), (20, [5.0, 5.0]), (20, [4.0, 1.0]), (1, [0.5, 0.5])]
+    rows += [(i, [float(x) for x in r.normal(size=r.integers(0, 4))]) for i in range(30, 60)]
+    v = K.integer_vectors(spark.createDataFrame([(*x, "c", 1) for x in rows], "vec_id long, embedding array<float>, v string, over int"))
+    plain = [(r.vec_id, r.v) for r in v.collect()]
+    assert {i for i, _ in plain} == {0, 1, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 20, *range(30, 60)} and [9, [-1.0]] in [list(x) for x in plain]
+    q = v.where("vec_id % 4 < 3")
+    for k in (1, 4, 100):
+        got = sorted(tuple(r) for r in K.exact_top_k(q, v, k).collect())
+        assert got == plain_top([(r.vec_id, r.v) for r in q.collect()], plain, k)
     assert K.exact_top_k(v.limit(0), v).count() == 0 and K.exact_top_k(v, v.limit(0)).count() == 0
 
 
