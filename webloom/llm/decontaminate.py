@@ -5,12 +5,13 @@ and names (capitalised inside a sentence) become typed placeholders, everything
 lower-cased.  Windows of five template tokens are looked up in a hash table of the
 benchmark's windows; along one alignment of document and item, the values under the
 placeholders must map one to one, so a question with new numbers or names is still found
-and a chance meeting of placeholders is not.
+and a chance meeting of placeholders is not.  Items of fewer tokens are looked up by windows of
+their own length; where hardly a word but placeholders is left, the values must be equal.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from ._store import table
 
 #: Words of a window, and the part of an item's windows that a document must hold.
 WINDOW, COVER = 5, 0.8
-#: Benchmark windows looked up in one pass over the documents (24 bytes each are broadcast); more take further passes.
+#: Benchmark windows looked up in one pass over the documents (some 40 bytes each are sent to the executors); more take further passes.
 PASS_WINDOWS = 2_000_000
+#: Plain words that a short item needs for its template to be enough; with fewer, values must be equal.
+PLAIN_WORDS = 3
 # Unit words that become a placeholder when they follow a number.
 UNITS = (
     "km m cm mm mile miles foot feet inch inches yard yards kg g mg lb lbs pound pounds ounce ounces ton tons "
@@ -66,7 +69,7 @@ class Template:
         # 3.14, 1,000 and 2020/21 are one number: later parts are dropped
         part = np.zeros(n, bool)
         part[1:] = num[1:] & num[:-1] & follows[1:] & (gap[1:] == 1) & _JOIN[buf[s[1:] - 1]]
-        value = h.copy()
+        value = np.where(num, _scan.mix(h), h)  # as of a number of one part
         if part.any():
             group = np.cumsum(~part) - 1
             value = np.zeros(int(group[-1]) + 1, np.uint64)
@@ -93,134 +96,163 @@ class Template:
         self.token = np.select([num, unit, name], [np.uint64(_NUM), np.uint64(_UNIT), np.uint64(_NAME)], h)
         self.slot = num | unit | name
 
-    def windows(self) -> np.ndarray:
-        """Hash of the window that begins at each token; windows may run past a row's end (see ``whole``)."""
+    def windows(self, length: int = WINDOW) -> np.ndarray:
+        """Hash of the window of ``length`` tokens that begins at each token; windows may run past a row's end."""
         out = np.zeros(len(self.token), np.uint64)
-        m = len(out) - WINDOW + 1
+        m = len(out) - length + 1
         if m > 0:
-            for j in range(WINDOW):
+            out[:m] = np.uint64(WINDOW - length)
+            for j in range(length):
                 out[:m] += self.token[j : m + j] * _COEF[j]
             out[:m] = _scan.mix(out[:m])
         return out
 
 
-def _short(token: np.ndarray) -> int:
-    """Hash of a text of fewer tokens than a window; it only meets texts of the same tokens."""
-    return int(_scan.mix(np.array([(token * _COEF[: len(token)]).sum(dtype=np.uint64) + np.uint64(len(token))], np.uint64))[0])
-
-
 class Bench:
-    """Window postings of benchmark items."""
+    """Windows of benchmark items, by the length of their window: that of ``WINDOW`` tokens, or of a short item's own."""
 
     def __init__(self, items: list, texts: list):
         t = Template(pa.array(texts, pa.string()))
-        w = t.windows()
-        self.items, hashes, item, pos = items, [], [], []
-        self.total, self.token, self.value, self.slot = [], [], [], []
-        for i in range(len(items)):
-            lo, hi = int(t.at[i]), int(t.at[i + 1])
-            n = hi - lo
-            self.total.append(max(n - WINDOW + 1, int(n > 0)))
-            self.token.append(t.token[lo:hi])
-            self.value.append(t.value[lo:hi])
-            self.slot.append(t.slot[lo:hi])
-            if 0 < n < WINDOW:
-                hashes.append(_short(t.token[lo:hi]))
-                item.append(i)
-                pos.append(0)
-                continue
-            for p in range(n - WINDOW + 1):
-                hashes.append(int(w[lo + p]))
-                item.append(i)
-                pos.append(p)
-            if n >= WINDOW and t.capital[lo]:  # in the middle of a sentence its first word reads as a name
-                first = t.token[lo : lo + WINDOW].copy()
-                first[0] = _NAME
-                hashes.append(int(_scan.mix(np.array([(first * _COEF).sum(dtype=np.uint64)], np.uint64))[0]))
-                item.append(i)
-                pos.append(0)
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        self.hash = np.array(hashes, np.uint64)[order]
-        self.item, self.pos = np.array(item, np.int64)[order], np.array(pos, np.int64)[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, w: np.ndarray) -> np.ndarray:
-        """Positions of ``w`` that are in the benchmark."""
-        if not len(self.hash):
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(self.seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.hash, w[at]), len(self.hash) - 1)
-        return at[self.hash[k] == w[at]]
-
-
-def _match(bench: Bench, t: Template, lo: int, hi: int, hit: np.ndarray, w: np.ndarray) -> list[tuple]:
-    """Items found in the row of tokens lo..hi: (item, windows, cover, slots, changed, first token, end token)."""
-    spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p in hit.tolist():
-        a, z = np.searchsorted(bench.hash, w[p], "left"), np.searchsorted(bench.hash, w[p], "right")
-        for k in range(a, z):
-            spots[int(bench.item[k])].append((p, int(bench.pos[k])))
+        self.items, n = items, np.diff(t.at)
+        self.length = np.minimum(n, WINDOW)
+        self.total = np.maximum(n - WINDOW + 1, 1)
+        cut = lambda x: [x[a:z] for a, z in zip(t.at, t.at[1:])]
+        self.value, self.slot = cut(t.value), cut(t.slot)
+        self.exact = (n < WINDOW) & (np.array([int((~v).sum()) for v in self.slot], np.int64) < PLAIN_WORDS)
+        item = np.repeat(np.arange(len(items)), n)
+        pos = np.arange(len(item)) - t.at[:-1][item] if len(item) else item
+        self.tables = {}
+        for length in np.unique(self.length[n > 0]).tolist():
+            ok = (self.length[item] == length) & (pos + length <= n[item])
+            parts = [(t.windows(length)[ok], item[ok], pos[ok])]
+            first = np.flatnonzero(ok & (pos == 0) & t.capital)  # in the middle of a sentence its first word reads as a name
+            if len(first):
+                token = np.stack([t.token[first + j] for j in range(length)], 1)
+                token[:, 0] = _NAME
+                h = (token * _COEF[:length]).sum(1, dtype=np.uint64) + np.uint64(WINDOW - length)
+                parts.append((_scan.mix(h), item[first], pos[first]))
+            h, i, q = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            order = np.argsort(h, kind="stable")
+            self.tables[length] = h[order], i[order], q[order]
+
+    @cached_property
+    def seen(self) -> dict[int, np.ndarray]:
+        """Low bits of the hashes of each table (made where it is used)."""
+        out = {}
+        for length, (h, _, _) in self.tables.items():
+            out[length] = np.zeros(1 << 20, bool)
+            out[length][(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return out
+
+    def hits(self, length: int, w: np.ndarray) -> np.ndarray:
+        """Positions of ``w`` whose window is in the benchmark."""
+        table = self.tables[length][0]
+        at = np.flatnonzero(self.seen[length][(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(table, w[at]), len(table) - 1)
+        return at[table[k] == w[at]]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] numbers each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _match(bench: Bench, length: int, t: Template, lo: int, hi: int, hit: np.ndarray, w: np.ndarray) -> list[tuple]:
+    """Items found in the row of tokens lo..hi by its windows at ``hit``: (item, windows, cover, slots, changed, first token, end token)."""
+    h, item, pos = bench.tables[length]
+    kinds, kind = np.unique(w[hit], return_inverse=True)  # a window that a row repeats is looked up once
+    a = np.searchsorted(h, kinds, "left")
+    n = np.searchsorted(h, kinds, "right") - a
+    post, which = _ranges(a, n), np.repeat(np.arange(len(kinds)), n)
+    near = np.unique(np.stack([item[post], pos[post]], 1), axis=0)[:, 0]
+    items, windows = np.unique(near, return_counts=True)
+    by_kind = np.argsort(kind, kind="stable")
+    ends = np.searchsorted(kind[by_kind], np.arange(len(kinds) + 1))
     out = []
-    for i, found in spots.items():
-        if len({q for _, q in found}) < COVER * bench.total[i] - 1e-9:
-            continue
-        lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, q in found:
-            lines[p - q].append((p, q))
-        covered, slots, changed, span = set(), set(), set(), []
-        for line in lines.values():
-            pairs = {}
-            for p, q in line:
-                for j in range(min(WINDOW, len(bench.token[i]) - q)):
-                    if bench.slot[i][q + j]:
-                        pairs[q + j] = (int(bench.value[i][q + j]), int(t.value[p + j]))
-            to, back = defaultdict(set), defaultdict(set)
-            for x, y in pairs.values():
-                to[x].add(y)
-                back[y].add(x)
-            bad = {q for q, (x, y) in pairs.items() if len(to[x]) > 1 or len(back[y]) > 1}
-            for p, q in line:
-                inside = range(q, q + WINDOW)
-                if not bad.intersection(inside):
-                    covered.add(q)
-                    span.append(p)
-                    mine = [x for x in inside if x in pairs]
-                    slots.update(mine)
-                    changed.update(x for x in mine if pairs[x][0] != pairs[x][1])
-        if covered and len(covered) >= COVER * bench.total[i] - 1e-9:
-            out.append((i, len(covered), len(covered) / bench.total[i], len(slots), len(changed), min(span), min(max(span) + WINDOW, hi)))
+    for i in items[windows >= COVER * bench.total[items] - 1e-9].tolist():
+        mine = item[post] == i
+        q, k = pos[post][mine], which[mine]
+        times = ends[k + 1] - ends[k]
+        p, q = hit[by_kind[_ranges(ends[k], times)]], np.repeat(q, times)
+        found = _aligned(bench, i, length, t, p, q)
+        if found is not None:
+            out.append((i, *found[:-1], min(found[-1] + length, hi)))
     return out
 
 
-def _scan_docs(shared):
+def _aligned(bench: Bench, i: int, length: int, t: Template, p: np.ndarray, q: np.ndarray) -> tuple | None:
+    """(windows, cover, slots, changed, first token, last window) of item i, from windows p of the document that are its windows q.
+
+    Along one alignment (p - q) the values under the placeholders of the windows met must map one to one.
+    """
+    total, slot, value = int(bench.total[i]), bench.slot[i], bench.value[i]
+    at = np.flatnonzero(slot)
+    same = value[at][:, None] == value[at][None]
+    lines, line = np.unique(p - q, return_inverse=True)
+    covered, seen, changed, first, last = np.zeros(total, bool), np.zeros(len(slot), bool), np.zeros(len(slot), bool), None, None
+    order = np.argsort(line, kind="stable")
+    ends = np.searchsorted(line[order], np.arange(len(lines) + 1))
+    step = max(1, (1 << 20) // max(len(at) ** 2, total, len(slot), 1))
+    for x in range(0, len(lines), step):
+        some = order[ends[x] : ends[min(x + step, len(lines))]]
+        met = np.zeros((min(step, len(lines) - x), total), bool)  # windows met, by alignment
+        met[line[some] - x, q[some]] = True
+        under = np.zeros((len(met), len(slot)), bool)  # tokens under them
+        for j in range(min(length, len(slot))):
+            under[:, j : j + total] |= met
+        has = under[:, at]
+        y = t.value[np.where(has, lines[x : x + len(met), None] + at[None], 0)] if len(at) else np.zeros((len(met), 0), np.uint64)
+        clash = (y[:, :, None] == y[:, None, :]) != same[None]
+        bad = np.zeros_like(under)
+        bad[:, at] = has & (clash & has[:, None, :]).any(2)
+        new = y != value[at][None]
+        if bench.exact[i]:
+            bad[:, at] |= has & new
+        wrong = np.zeros_like(met)
+        for j in range(min(length, len(slot))):
+            wrong |= bad[:, j : j + total]
+        good = met & ~wrong
+        if not good.any():
+            continue
+        covered |= good.any(0)
+        inside = np.zeros_like(under)
+        for j in range(min(length, len(slot))):
+            inside[:, j : j + total] |= good
+        seen |= inside.any(0) & slot
+        changed[at] |= (inside[:, at] & new).any(0)
+        row, col = np.nonzero(good)
+        where = lines[x + row] + col
+        first = int(where.min()) if first is None else min(first, int(where.min()))
+        last = int(where.max()) if last is None else max(last, int(where.max()))
+    n = int(covered.sum())
+    return (n, n / total, int(seen.sum()), int(changed.sum()), first, last) if n and n >= COVER * total - 1e-9 else None
+
+
+def _found(bench: Bench, arr: pa.Array) -> list[tuple]:
+    """(row, item, ...) of every item that a text holds."""
+    t, out = Template(arr), []
+    row_of = np.repeat(np.arange(len(t.at) - 1), np.diff(t.at))
+    for length in bench.tables:
+        w = t.windows(length)
+        hit = bench.hits(length, w)
+        hit = hit[hit + length <= t.at[1:][row_of[hit]]]
+        if length == 1:  # a word alone is an item only where there is nothing else
+            hit = hit[np.diff(t.at)[row_of[hit]] == 1]
+        rows, cut = np.unique(row_of[hit], return_index=True)
+        for r, a, z in zip(rows.tolist(), cut, [*cut[1:], len(hit)]):
+            out += [(r, i, *x) for i, *x in _match(bench, length, t, int(t.at[r]), int(t.at[r + 1]), hit[a:z], w)]
+    return sorted(out)
+
+
+def _scan_docs(bench: Bench):
     def run(batches):
-        bench = shared.value
         for batch in batches:
             for part in _scan.slices(batch, "text"):
-                t = Template(part.column(1))
-                w = t.windows()
-                row_of = np.repeat(np.arange(len(t.at) - 1), np.diff(t.at))
-                ends = t.at[1:][row_of] if len(row_of) else row_of
-                hit = bench.hits(w)
-                hit = hit[hit + WINDOW <= ends[hit]]
-                by_row = defaultdict(list)
-                for r, p in zip(row_of[hit].tolist(), hit.tolist()):
-                    by_row[r].append(p)
-                for r in np.flatnonzero((np.diff(t.at) > 0) & (np.diff(t.at) < WINDOW)).tolist():
-                    lo, hi = int(t.at[r]), int(t.at[r + 1])
-                    w[lo] = _short(t.token[lo:hi])
-                    if len(bench.hits(w[lo : lo + 1])):
-                        by_row[r].append(lo)
-                rows = []
-                for r, at in by_row.items():
-                    lo, hi = int(t.at[r]), int(t.at[r + 1])
-                    rows += [(r, bench.items[i], *x) for i, *x in _match(bench, t, lo, hi, np.array(at), w)]
-                ids = part.column(0)
+                rows = _found(bench, part.column(1))
                 yield pa.record_batch(
                     [
-                        ids.take(pa.array([x[0] for x in rows], pa.int64())),
-                        pa.array([x[1] for x in rows], pa.int64()),
+                        part.column(0).take(pa.array([x[0] for x in rows], pa.int64())),
+                        pa.array([bench.items[x[1]] for x in rows], pa.int64()),
                         pa.array([x[2] for x in rows], pa.int64()),
                         pa.array([round(x[3], 6) for x in rows], pa.float64()),
                         pa.array([x[4] for x in rows], pa.int64()),
@@ -232,34 +264,61 @@ def _scan_docs(shared):
     return run
 
 
+def _without(bench: Bench):
+    def run(batches):
+        for batch in batches:
+            for part in _scan.slices(batch, "text"):
+                keep = np.ones(part.num_rows, bool)
+                keep[[x[0] for x in _found(bench, part.column(part.schema.get_field_index("text")))]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _passes(benchmark: DataFrame):
+    """The benchmark in parts of at most about PASS_WINDOWS windows; never more than one at a time is on the driver."""
+    items, texts, held = [], [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
+        items.append(r[0])
+        texts.append(r[1] or "")
+        held += len(texts[-1]) // 2 + 1
+        if held > PASS_WINDOWS:
+            yield Bench(items, texts)
+            items, texts, held = [], [], 0
+    if items:
+        yield Bench(items, texts)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id, item_id, n_windows, coverage, n_slots, n_changed``.
 
     ``coverage`` is the part of the item's windows found with consistent slots (0.8 at
     least); ``n_changed`` counts placeholders with another value than the item's, so that
     it is 0 for a verbatim copy.  Null and empty texts hold nothing; items without a token
-    are in no document; an item of fewer than five tokens is only in a document of just
-    these tokens.  Repeated rows are each answered; item ids are integers and may be null.
+    are in no document.  Items of two to four tokens are found by a window of their length,
+    with equal values if fewer than three plain words are among them; an item of one word is
+    only in a document of that word alone.  Repeated rows are each answered; item ids are
+    integers and may be null; repeated items are each found; other columns aren't read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([base.schema["doc_id"], *T._parse_datatype_string("item_id long, n_windows long, coverage double, n_slots long, n_changed long").fields])
     schema.fields[0].nullable = True
-    out, items, texts, held = None, [], [], 0
+    out = None
+    for bench in _passes(benchmark):
+        found = base.mapInArrow(_scan_docs(bench), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
-    def one_pass() -> DataFrame:
-        found = base.mapInArrow(_scan_docs(spark.sparkContext.broadcast(Bench(items, texts))), schema)
-        return found if out is None else out.unionByName(found)
 
-    # item by item to the driver, never more than one pass at a time
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        items.append(r[0])
-        texts.append(r[1] or "")
-        held += len(texts[-1]) // 2 + 1
-        if held > PASS_WINDOWS:
-            out = one_pass()
-            items, texts, held = [], [], 0
-    return one_pass() if items or out is None else out
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` holds no benchmark item, with all their columns.
+
+    Each row is judged by its own text, in place: rows without an id, repeated ids and
+    repeated rows are no matter, and nothing is shuffled.
+    """
+    for bench in _passes(benchmark):
+        docs = docs.mapInArrow(_without(bench), docs.schema)
+    return docs
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
