@@ -23,9 +23,76 @@ def test_reparameterised_items(spark):
     bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "one two")], "item_id long, text string")
     got = sorted((str(x.doc_id), x.item_id, x.n_changed > 0) for x in D.contaminated(docs, bench).collect())
     assert ("1", 10, False) in got and got.count(("1", 10, False)) == 2 and ("2", 10, True) in got and ("None", 10, False) in got
-    assert not {"3", "4", "5", "6", "7"} & {x[0] for x in got}
+    assert not {"3", "4", "5", "6", "7"} & {x[0] for x in got if x[1] == 10}
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
-    assert D.contaminated(spark.createDataFrame([(1, "One, two!"), (2, "one two three")], "doc_id long, text string"), bench).count() == 1
+
+
+def test_short_items(spark):
+    """Items of fewer tokens than a window, inside longer documents."""
+    bench = spark.createDataFrame([(1, "What is 3 + 4?"), (2, "name the four rivers"), (3, "two"), (4, "How many legs has a spider with 2 eyes")], "item_id long, text string")
+    rows = [(1, "so what is 3 + 4? he asked"), (2, "so what is 5 + 9? he asked"), (3, "please NAME the four rivers, now"), (4, "name the five rivers"), (5, "two"), (6, "two words"), (7, "What is 3 4")]
+    got = sorted((r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == [(1, 1), (3, 2), (5, 3), (7, 1)]
+
+
+def plain_items(bench, text):
+    """Items that a text holds, by comparing every alignment token by token."""
+    t = D.Template(pa.array([text or ""]))
+    found = set()
+    for item, body in bench:
+        u = D.Template(pa.array([body or ""]))
+        n, length = len(u.token), min(len(u.token), D.WINDOW)
+        total = max(n - D.WINDOW + 1, 1)
+        exact = n < D.WINDOW and (~u.slot).sum() < D.PLAIN_WORDS
+        if not n or n == 1 and len(t.token) != 1:
+            continue
+        covered = set()
+        for d in range(-n, len(t.token)):
+            met = []
+            for q in range(n - length + 1):
+                if d + q < 0 or d + q + length > len(t.token):
+                    continue
+                a, b = list(u.token[q : q + length]), list(t.token[d + q : d + q + length])
+                if a == b or q == 0 and u.capital[0] and [D._NAME, *a[1:]] == [int(x) for x in b]:
+                    met.append(q)
+            under = sorted({q + j for q in met for j in range(length)})
+            pairs = {x: (u.value[x], t.value[d + x]) for x in under if u.slot[x]}
+            bad = {x for x, (v, y) in pairs.items() if exact and v != y or any((v == v2) != (y == y2) for v2, y2 in pairs.values())}
+            covered |= {q for q in met if not bad & set(range(q, q + length))}
+        if covered and len(covered) >= D.COVER * total - 1e-9:
+            found.add(item)
+    return found
+
+
+def test_decontamination_as_brute_force(spark, odd_docs):
+    r = random.Random(12)
+    word = lambda: r.choice(["Ann", "Bob", "the", "a", "has", "3", "17", "4.5", "km", "apples", "and", "then.", "buys", "sold", "Rome"])
+    bench = [(i, " ".join(word() for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 14])))) for i in range(60)] + [(60, None), (61, "7 8 9 10 11 12"), (62, "7 8 9 10 11 12"), (None, "Ann has 3 apples and then Bob has 17")]
+    rows = []
+    for i in range(120):
+        text = " ".join(word() for _ in range(r.choice([0, 1, 4, 30, 80])))
+        if r.random() < 0.6:
+            text += " " + " ".join(w if r.random() < 0.9 else word() for w in (r.choice(bench)[1] or "").split()) + " " + " ".join(word() for _ in range(10))
+        rows.append((100 + i, text))
+    rows.append((99, " ".join(str(i % 13) for i in range(400))))
+    docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, item_id string, n_windows int").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    table = spark.createDataFrame([(*x, 5) for x in bench], "item_id long, text string, coverage int")
+    all_rows = docs.collect()
+    want = sorted((str(x.doc_id), str(i)) for x in all_rows for i in plain_items(bench, x.text))
+    assert sorted((str(x.doc_id), str(x.item_id)) for x in D.contaminated(docs, table).collect()) == want
+    held = {(str(x.doc_id), x.text) for x in all_rows if plain_items(bench, x.text)}
+    kept = D.without_contaminated(docs, table).collect()
+    assert sorted(str(x) for x in kept) == sorted(str(x) for x in all_rows if (str(x.doc_id), x.text) not in held)
+
+
+def test_hot_windows_are_linear():
+    """A long table of numbers against items of numbers: no posting is met position by position."""
+    import time
+
+    bench = D.Bench(list(range(300)), [" ".join(str(j * (i + 2)) for j in range(12)) for i in range(300)])
+    began = time.time()
+    D._found(bench, pa.array([" ".join(str(i * 37 % 1009) for i in range(2_000)), "words only"]))
+    assert time.time() - began < 60
 
 
 def test_passes_agree(spark, data, monkeypatch):
@@ -130,8 +197,90 @@ def test_patterns_find_the_unseen(spark, monkeypatch):
     assert {x.doc_id: x.spans for x in P.personal_data(docs).collect()} == spans
     out = {x.doc_id: x.text for x in P.redacted(docs).collect()}
     assert out[50] == 'other words token = "[id]" end' and out[51] == "plain room abc123 here" and out[52] is None
-    mixed = spark.createDataFrame([(1, "x a@b.co y 1.2.3.4", 18, 1)], "doc_id long, text string, n_chars long, base int")
-    assert tuple(P.redacted(mixed.select("doc_id", "text", "n_chars")).first()) == (1, "x [email] y [ip]", 16)
+
+
+CLASHING = "base cands more spans row new k1 k2 pattern token _key _null _spans _new _hits _d x y".split()
+
+
+def test_redaction_keeps_all_other_columns(spark, monkeypatch):
+    mixed = spark.createDataFrame([(1, "x a@b.co y 1.2.3.4", 18, *range(len(CLASHING)))], "doc_id long, text string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING))
+    for inline in (500, -1):  # patterns as literals, and by a join
+        monkeypatch.setattr(P, "INLINE", inline)
+        out = P.redacted(mixed)
+        assert out.schema.names == mixed.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in mixed.schema]
+        assert tuple(out.first()) == (1, "x [email] y [ip]", 16, *range(len(CLASHING)))
+        assert P.personal_data(mixed).first().spans == "email:2:8,ip:11:18"
+
+
+def cut(text, spans):
+    """Spans replaced by their kinds, by one pass over the text."""
+    out, at = [], 0
+    for kind, a, z in spans:
+        if a >= at:
+            out.append(text[at:a] + f"[{kind}]")
+        at = max(at, z)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_as_brute_force(spark, odd_docs):
+    r = random.Random(6)
+    word = lambda: r.choice(["a@b.co", "1.2.3.4", "é😀" * r.randint(1, 400), "+1 (864) 555-0138", "4952935900253052", "x" * r.randint(1, 2000), "+1.2.3.4@5.6.7.8"])
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(r.choice([1, 5, 300])))) for i in range(100, 140)], "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    spans = {(r.doc_id): [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in r.spans.split(",") if x)] for r in P.personal_data(docs).collect()}
+    want = sorted((str(x.doc_id), None if x.text is None else cut(x.text, spans[x.doc_id])) for x in docs.where("text is not null").collect())
+    assert sorted((str(x.doc_id), x.text) for x in P.redacted(docs).where("text is not null").collect()) == want
+    assert P.redacted(docs).where("text is null").count() == 1 and P.redacted(docs.limit(0)).count() == 0
+
+
+def test_long_table_of_numbers(spark):
+    """Work is linear: ten times the length takes no more than some thirty times as long."""
+    import time
+
+    def took(n):
+        text = " ".join(f"{i * 7919 % 100000:05d}.{i}.1.1 a{i}@b.co row{i:06d}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        got = P.redacted(docs).first().text
+        assert got.count("[email]") == n
+        return time.time() - began
+
+    took(100)
+    small, large = took(3_000), took(30_000)
+    assert large < 30 * small + 10
+
+
+def test_pattern_spans_as_brute_force(spark):
+    """Scores, rounds and what they find, by plain loops over the graph."""
+    r = random.Random(9)
+    tokens = [f"{r.choice(['ab', 'cd', 'ef'])}{i:04d}/{i}" for i in range(60)] + [hashlib.md5(str(i).encode()).hexdigest() for i in range(15)]
+    texts = [" and ".join(f"{r.choice(['key', 'room', 'order', 'code', 'flat'])} {r.choice(['is', 'no', 'was'])}: {r.choice(tokens)}" for _ in range(r.randint(1, 6))) for _ in range(120)]
+    rx = re.compile(P.TOKEN.replace("++", "+").replace("*+", "*"))
+    found = []
+    for d, t in enumerate(texts):
+        end = 0
+        for m in rx.finditer(t):
+            left = t[end : m.start()][-P.LEFT :].lower()
+            found.append((d, m.start(), m.end(), m[0], re.sub("[0-9]", "0", re.search(r"((?:[^\s]+\s+)?[^\s]*\s*)$", left)[1])))
+            end = m.end()
+    seed = lambda t: len(t) >= 32 and len(re.sub("[^0-9]", "", t)) >= 8 and len(re.sub("[^A-Za-z]", "", t)) >= 4
+    edges = {(p, t) for *_, t, p in found if p.strip()}
+    score, known, good = {t: float(seed(t)) for _, t in edges}, {t: seed(t) for _, t in edges}, {}
+    while True:
+        now = {}
+        for p in {p for p, _ in edges}:
+            mine = [t for q, t in edges if q == p]
+            s, n = sum(score[t] for t in mine) / (len(mine) + 0.5), sum(known[t] for t in mine)
+            if s >= P.CONFIDENCE and n >= P.SEEDS:
+                now[p] = s
+        if now == good or not now:
+            break
+        good = now
+        for p, t in edges:
+            if p in good:
+                score[t], known[t] = max(score[t], good[p]), True
+    want = {d: ",".join(f"id:{a}:{z}" for e, a, z, _, p in found if e == d and p in good) for d in range(len(texts))}
+    got = P.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.spans for x in got} == want
 
 
 def test_words_and_hashes():
