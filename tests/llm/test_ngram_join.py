@@ -87,9 +87,12 @@ def test_tree_bound_keeps_all_links():
     s.at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
     s.hash, s.row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     tree = N.RTree(s.counts(), s.sizes())
-    i, j = tree.pairs(80)
-    ok = tree.possible(i, j, 80)
-    found = {frozenset(p) for p in zip(i[ok].tolist(), j[ok].tolist())}
+    i, j = tree.join(tree, 80)
+    found = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
+    assert len(found) == len(i) < 40 * 79  # each pair once, and unlike sets are kept apart
+    left, right = N.RTree(s.counts()[:50], s.sizes()[:50]), N.RTree(s.counts()[50:], s.sizes()[50:])
+    i, j = left.join(right, 80)
+    assert {frozenset(p) for p in zip(i.tolist(), (j + 50).tolist())} == {p for p in found if min(p) < 50 <= max(p)}
     for a in range(len(sets)):
         for b in range(a):
             both = len(np.intersect1d(sets[a], sets[b]))
@@ -104,7 +107,7 @@ def links(docs, k, percent):
     return {d: sum(1 for o in other if o != s and 100 * len(s & o) >= percent * len(s | o)) if s else 0 for (d, _), s in zip(docs, sets)}
 
 
-@pytest.mark.parametrize("leaf,block,columns", [(2048, 1_000_000, 2048), (7, 3_000, 16)])
+@pytest.mark.parametrize("leaf,block,columns", [(2048, 1_000_000, 1024), (7, 3_000, 16)])
 def test_links_as_brute_force(spark, monkeypatch, leaf, block, columns):
     for name, value in (("LEAF", leaf), ("BLOCK", block), ("COLUMNS", columns)):
         monkeypatch.setattr(N, name, value)

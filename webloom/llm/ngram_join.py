@@ -1,25 +1,29 @@
-"""N-gram Jaccard join: count-vector R-trees over leaves of documents that share a token group.
+"""N-gram Jaccard join: R-trees over count vectors, whose pages are dealt by cells of the vector space.
 
 Every text becomes its set of distinct k-word shingles, and equal sets become one
-*class*.  Two classes link when ``100 * intersection >= percent * union``.
-
-1. *Leaves.*  Shingles are hashed into G groups.  A pair that links differs in at most
-   ``D = floor(min_size * (100 - percent) / percent)`` shingles, so with G > D groups
-   it agrees on at least G - D whole groups: same count, same shingles.  A leaf holds the
-   classes that agree on one group; no pair that links is missed, no pair of unlike sizes
-   meets (G is fixed per size band, and a set enters each band its partners may be in).
-2. *Pivots.*  Each leaf links its members to its most shared member; verified links give
-   first components.  Large leaves (groups of near copies) collapse here, in linear work.
-3. *R-tree join.*  Only members of one leaf in different components are still open.  Their
-   count vectors (shingles hashed into 256 groups) are packed into an R-tree; two nodes are
-   descended together unless the sum of the lesser upper bounds of their coordinates is
-   below the overlap that their sizes need; surviving pairs are verified on their sets.
-4. *Links.*  All that link are now in one component, so the links of each member are counted
-   there, on the sets of every pair; components beyond ``LEAF`` members are dealt in blocks.
-
-Exact for 54-bit shingle hashes.  Work follows the input: hot groups pass through salted
-overflow buckets, leaves beyond ``LEAF`` members are dealt in blocks, and components are
-found by distributed stars.
+*class*.  Two classes link when ``100 * intersection >= percent * union``.  Shingles are
+hashed into groups; the counts of a set's groups are a point, and the sum of the lesser
+coordinates of two points bounds the overlap of their sets from above.
+
+1. *Cells.*  A pair that links differs in at most ``D = floor(min_size * (100 - percent) /
+   percent)`` shingles, so of G > D fine groups it agrees on at least G - D: same count,
+   same shingles.  A cell holds the classes that agree on one fine group; every pair that
+   links shares one, and no pair of unlike sizes meets (G is fixed per size band, and a set
+   enters each band its partners may be in).  Cells link nothing by themselves.
+2. *Regions.*  Cells overlap, so a pair would be found again and again.  Regions are
+   disjoint: members of a cell join its most shared member where the bound allows a link;
+   then, where a cell still has several regions, an R-tree over its members' points finds
+   those regions that the bound cannot keep apart.  Now every pair that links lies in one region.
+3. *R-tree join.*  Each region is a packed R-tree of points joined with itself (regions
+   beyond ``LEAF`` members: with each other block of the region): two nodes are descended
+   together unless the sum of the lesser upper bounds of their coordinates is below the
+   overlap that their sizes need.  Every link comes from here.
+4. *Verification.*  Surviving pairs are verified on their sets; links are counted, and
+   components found.
+
+Exact for 54-bit shingle hashes.  Work follows the input: hot cells pass through salted
+overflow buckets, cells and regions beyond ``LEAF`` members are dealt in blocks, and what
+crosses blocks is connected by distributed stars.
 """
 
 from __future__ import annotations
@@ -39,17 +43,19 @@ from .graph import components
 #: Coordinates of a count vector, and of the coarser points (sums of neighbours) that nodes of a tree bound.
 DIMS, COARSE = 256, 32
 #: Greatest count that is kept; a vector that reaches it is never ruled out.
-FULL = (1 << 16) - 1
+FULL = (1 << 8) - 1
 #: Ratio of neighbouring size bands.
 BAND = 1.2
-#: Members of one key that a mapper sends to the key's own bucket; the rest go to salted buckets.
-HOT = 64
-#: Keys that a mapper sorts and sends at once (some 100 bytes each while they are sorted).
-HELD = 500_000
-#: Members of a leaf that one R-tree holds; larger leaves are dealt in blocks.
+#: Members of one cell that a mapper sends to the cell's own bucket, which shows that it is shared; the rest go to salted buckets.
+HOT = 2
+#: Keys that a mapper sorts and sends at once (some 100 bytes each while they are sorted), and keys of a bucket.
+HELD, BUCKET_KEYS = 300_000, 200_000
+#: Members of a cell or region that one R-tree holds; larger ones are dealt in blocks.
 LEAF = 2048
-#: Shingles that one block of a component holds, and columns of a block that are multiplied at once.
-BLOCK, COLUMNS = 1_000_000, 2048
+#: Rows of small cells that share a call.
+CALL_ROWS = 8192
+#: Shingles that one block of a region holds, and columns of a block that are multiplied at once.
+BLOCK, COLUMNS = 1_000_000, 1024
 #: Rows of an id table that may be broadcast (16 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 _NODE = 16
@@ -103,7 +109,7 @@ class Sets:
     def counts(self) -> np.ndarray:
         """Count vectors: shingles in each of DIMS hash groups."""
         g = (self.hash % np.uint64(DIMS)).astype(np.int64)
-        return np.minimum(np.bincount(self.row * DIMS + g, minlength=len(self) * DIMS), FULL).astype(np.uint16).reshape(len(self), DIMS)
+        return np.minimum(np.bincount(self.row * DIMS + g, minlength=len(self) * DIMS), FULL).astype(np.uint8).reshape(len(self), DIMS)
 
 
 #: Bits of a key that number the row within a slice; the shingle hash has the other 54.
@@ -189,12 +195,7 @@ def _info(k: int):
     def run(batches):
         for part, sets in sets_of(batches, k):
             n = sets.sizes()
-            empty = n == 0
-            vec = sets.counts()
-            yield pa.record_batch(
-                [part.column(0), pa.array(n), pa.array(sets.ids(), mask=empty), pa.array([v.tobytes() for v in vec], pa.binary(), mask=empty)],
-                ["doc_id", "n_shingles", "set_id", "vec"],
-            )
+            yield pa.record_batch([part.column(0), pa.array(n), pa.array(sets.ids(), mask=n == 0)], ["doc_id", "n_shingles", "set_id"])
 
     return run
 
@@ -257,6 +258,7 @@ def _shared(buckets: int):
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
         own = np.concatenate([np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()])
         key, own = _distinct(key, own)
+        _scan.trim()
         if t["bucket"][0].as_py() < buckets:
             same = key[1:] == key[:-1]
             many = np.append(False, same) | np.append(same, False)
@@ -271,77 +273,121 @@ def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
+class Points:
+    """Count vectors with the sizes of their sets; a vector that reaches FULL is never ruled out."""
+
+    def __init__(self, vec: np.ndarray, size: np.ndarray):
+        self.vec, self.size, self.full = vec, size, (vec == FULL).any(1)
+
+    def may_link(self, i: np.ndarray, other: Points, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the points i of these and j of the others allow a link."""
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 13):
+            a, b = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            bound = np.minimum(self.vec[a], other.vec[b]).sum(1, dtype=np.int32)
+            out[at : at + len(a)] = (bound >= overlap_needed(self.size[a], other.size[b], percent)) | self.full[a] | other.full[b]
+        return out
+
+
 class RTree:
     """Packed R-tree of count vectors: leaves hold ``_NODE`` points sorted by size and first coordinates."""
 
     def __init__(self, vec: np.ndarray, size: np.ndarray):
-        self.vec, self.size = vec, size
-        self.full = (vec == FULL).any(1)
         low = vec.reshape(len(vec), COARSE, DIMS // COARSE).sum(2, dtype=np.int32)
-        low[self.full] = 1 << 28
+        low[(vec == FULL).any(1)] = 1 << 24
         self.order = np.lexsort((low[:, 1], low[:, 0], size)) if len(vec) else np.zeros(0, np.int64)
-        self.levels = []  # (high coordinates, least size, greatest size)
-        hi, lo_n, hi_n = low[self.order], size[self.order], size[self.order]
-        self.levels.append((hi, lo_n, hi_n))
-        while len(hi) > _NODE:
+        self.points = Points(vec[self.order], size[self.order])
+        self.levels = []  # (high coordinates, least size, greatest size), nodes of _NODE entries of the level below
+        hi, least, most = low[self.order], size[self.order], size[self.order]
+        while True:
+            self.levels.append((hi, least, most))
+            if len(hi) <= _NODE:
+                break
             cut = np.arange(0, len(hi), _NODE)
-            hi, lo_n, hi_n = np.maximum.reduceat(hi, cut), np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut)
-            self.levels.append((hi, lo_n, hi_n))
-
-    def possible(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Whether the whole count vectors of points i and j allow a link."""
-        out = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 13):
-            a, b = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-            bound = np.minimum(self.vec[a], self.vec[b]).sum(1, dtype=np.int64)
-            out[at : at + (1 << 13)] = (bound >= overlap_needed(self.size[a], self.size[b], percent)) | self.full[a] | self.full[b]
+            hi, least, most = np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
+
+    def join(self, other: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the arrays given) of the points of this and the other tree whose bound allows a link; of one tree with itself each pair once."""
+        same = self is other
+        found = []
+        stack = [(max(len(self.levels), len(other.levels)) - 1, *self._tops(other))]
+        while stack:
+            level, i, j = stack.pop()
+            most = 1 << 11 if level else 1 << 16  # a part at a time, deepest first, so that what waits stays small
+            if len(i) > most:
+                stack.append((level, i[most:], j[most:]))
+                i, j = i[:most], j[:most]
+            (hi_a, lo_a, up_a), (hi_b, lo_b, up_b) = self._level(level), other._level(level)
+            ok = (100 * up_a[i] >= percent * lo_b[j]) & (100 * up_b[j] >= percent * lo_a[i])
+            i, j = i[ok], j[ok]
+            if not level:
+                ok = i < j if same else np.ones(len(i), bool)
+                i, j = i[ok], j[ok]
+                ok = self.points.may_link(i, other.points, j, percent)
+                found.append((self.order[i[ok]], other.order[j[ok]]))
+                continue
+            ok = np.minimum(hi_a[i], hi_b[j]).sum(1, dtype=np.int64) >= overlap_needed(lo_a[i], lo_b[j], percent)
+            a, b = self._below(level, i[ok]), other._below(level, j[ok])
+            x, y = np.repeat(a, b.shape[1], 1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
+            ok = (x >= 0) & (y >= 0)
+            if same:
+                ok &= x <= y
+            if ok.any():
+                stack.append((level - 1, x[ok], y[ok]))
+        return tuple(np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+
+    def _level(self, level: int) -> tuple:
+        return self.levels[min(level, len(self.levels) - 1)]
+
+    def _tops(self, other: RTree) -> tuple[np.ndarray, np.ndarray]:
+        n, m = len(self.levels[-1][0]), len(other.levels[-1][0])
+        i, j = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        return (i[i <= j], j[i <= j]) if self is other else (i, j)
+
+    def _below(self, level: int, i: np.ndarray) -> np.ndarray:
+        """The entries of nodes i (-1: none); a tree that is lower than the other waits."""
+        if level > len(self.levels) - 1:
+            return i[:, None]
+        out = i[:, None] * _NODE + np.arange(_NODE)
+        out[out >= len(self.levels[level - 1][0])] = -1
         return out
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (i, j), i before j, of points whose bound allows a link."""
-        top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][0]), 0)
-        for level in range(top, -1, -1):
-            hi, lo_n, hi_n = self.levels[level]
-            parts = []
-            for at in range(0, len(i), 1 << 14):
-                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                ok = (100 * hi_n[a] >= percent * lo_n[b]) & (100 * hi_n[b] >= percent * lo_n[a])
-                a, b = a[ok], b[ok]
-                bound = np.minimum(hi[a], hi[b]).sum(1, dtype=np.int64)
-                ok = bound >= overlap_needed(lo_n[a], lo_n[b], percent)
-                parts.append((a[ok], b[ok]))
-            i, j = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in (0, 1))
-            if level:
-                below = len(self.levels[level - 1][0])
-                a = (i[:, None, None] * _NODE + np.arange(_NODE)[None, :, None]).repeat(_NODE, 2).ravel()
-                b = (j[:, None, None] * _NODE + np.arange(_NODE)[None, None, :]).repeat(_NODE, 1).ravel()
-                ok = (a < below) & (b < below) & (a <= b)
-                i, j = a[ok], b[ok]
-        ok = i < j
-        return self.order[i[ok]], self.order[j[ok]]
-
-
-def _candidates(percent: int):
-    def leaf(own, comp, size, side, vec) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of one dealt leaf that are in different components and pass the bound."""
-        tree = RTree(vec, size)
-        i, j = (np.array([0]), np.array([1])) if len(own) == 2 else tree.pairs(percent)
-        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j = i[ok], j[ok]
-        ok = tree.possible(i, j, percent)
-        return own[i[ok]], own[j[ok]]
+
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Least place that each of n places reaches by pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _between_regions(percent: int):
+    def cell(region, size, side, vec) -> list:
+        """Pairs of regions of one dealt cell that the bound cannot keep apart."""
+        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0)) if (side < 2).any() else (np.arange(len(side)),) * 2
+        if not len(left) or not len(right):
+            return []
+        a = RTree(vec[left], size[left])
+        i, j = a.join(a if (side == 2).all() else RTree(vec[right], size[right]), percent)
+        x, y = region[left[i]], region[right[j]]
+        pair = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
+        return [np.unique(pair, axis=0)] if len(pair) else []
 
     def run(t: pa.Table) -> pa.Table:
-        """Pairs of the leaves of one bucket."""
         t = t.sort_by([("key", "ascending"), ("t", "ascending"), ("i", "ascending"), ("j", "ascending")])
         marks = [t[c].to_numpy() for c in ("key", "t", "i", "j")]
         cut = np.flatnonzero(np.any([np.concatenate(([True], m[1:] != m[:-1])) for m in marks], 0))
-        cols = [t[c].to_numpy() for c in ("set_id", "comp", "n_shingles", "side")]
-        cols.append(np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint16).reshape(-1, DIMS))
-        found = [leaf(*(c[a:z] for c in cols)) for a, z in zip(cut, [*cut[1:], len(t)])]
-        a, b = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        cols = [t[c].to_numpy() for c in ("region", "n", "side")]
+        cols.append(np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, DIMS))
+        found = [p for a, z in zip(cut, [*cut[1:], len(t)]) for p in cell(*(c[a:z] for c in cols))]
+        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        _scan.trim()
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     return run
@@ -350,85 +396,126 @@ def _candidates(percent: int):
 def _sets(k: int):
     def run(batches):
         for _, sets in sets_of(batches, k):
-            has = [i for i in range(len(sets)) if len(sets[i])]
-            yield pa.record_batch([pa.array(sets.ids()[has]), pa.array([sets[i].tobytes() for i in has], pa.binary())], ["set_id", "shingles"])
+            has = np.flatnonzero(sets.sizes())
+            vec = sets.counts()
+            yield pa.record_batch([pa.array(sets.ids()[has]), pa.array(sets.sizes()[has]), pa.array([vec[i].tobytes() for i in has], pa.binary()), pa.array([sets[i].tobytes() for i in has], pa.binary())], ["set_id", "n", "vec", "shingles"])
 
     return run
 
 
-def _verify(percent: int):
+def _allowed(percent: int):
     def run(batches):
         for t in batches:
-            a, b, x, y = (t.column(t.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
-            good = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(good, pa.bool_())
+            a, b, n, m, x, y = (t.column(t.schema.get_field_index(c)) for c in ("a", "b", "n", "m", "x", "y"))
+            x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, DIMS) for v in (x, y))
+            every = np.arange(len(x))
+            keep = pa.array(Points(x, n.to_numpy()).may_link(every, Points(y, m.to_numpy()), every, percent), pa.bool_())
             yield pa.record_batch([a.filter(keep), b.filter(keep)], ["a", "b"])
+        _scan.trim()
 
     return run
 
 
-def linked(h: np.ndarray, at: np.ndarray, first: int, percent: int) -> np.ndarray:
-    """Links of each of the sets ``h[at[i]:at[i + 1]]``: between the ``first`` ones and the rest, or among all if there is no rest."""
-    size = np.diff(at)
-    n = len(size)
-    row = np.repeat(np.arange(n), size)
+def _overlaps(h: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``h[at[i]:at[i + 1]]`` and those of j."""
+    n = len(at) - 1
+    if len(i) <= 8 * n:
+        out = np.zeros(len(i), np.int64)
+        for x, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+            a, b = h[at[p] : at[p + 1]], h[at[q] : at[q + 1]]
+            out[x] = (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()
+        return out
+    # most pairs are wanted: products of the sets' indicators, some columns at a time
+    left, right = np.unique(i), np.unique(j)
+    row = np.repeat(np.arange(n), np.diff(at))
     _, col, freq = np.unique(h, return_inverse=True, return_counts=True)
     use = (freq > 1) & (freq < n)  # a shingle of one set is in no intersection, one of all sets in each
     keep = use[col]
     row, col = row[keep], (np.cumsum(use) - 1)[col[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    alone = first == n
-    x, y = slice(0, first), slice(0 if alone else first, n)
-    both = np.full((first, n if alone else n - first), (freq == n).sum(), np.float32 if size.max() < 1 << 24 else np.float64)
+    both = np.full((len(left), len(right)), (freq == n).sum(), np.float32)  # below 2**24, as BLOCK is
     for lo in range(0, int(use.sum()), COLUMNS):
         a, z = np.searchsorted(col, (lo, lo + COLUMNS))
-        m = np.zeros((n, COLUMNS), both.dtype)
+        m = np.zeros((n, COLUMNS), np.float32)
         m[row[a:z], col[a:z] - lo] = 1
-        both += m[x] @ m[y].T
-    out = np.zeros(n, np.int64)
-    for lo in range(0, first, 256):
-        got = both[lo : lo + 256].astype(np.int64)
-        ok = 100 * got >= percent * (size[x][lo : lo + 256, None] + size[y][None] - got)
-        if alone:
-            ok[np.arange(len(ok)), lo + np.arange(len(ok))] = False
-        out[lo : lo + len(ok)] += ok.sum(1)
-        if not alone:
-            out[y] += ok.sum(0)
-    return out
+        both += m[left] @ m[right].T
+    return both[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
+
+
+def _small_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within groups of at most ``_NODE`` neighbours (each is one node of a tree)."""
+    p, q = np.triu_indices(_NODE, 1)
+    g, t = np.nonzero(q[None] < sizes[:, None])
+    first = np.cumsum(sizes) - sizes
+    return first[g] + p[t], first[g] + q[t]
+
+
+def _joined(ids: np.ndarray, side: np.ndarray, n: np.ndarray, vec: np.ndarray, h: np.ndarray, at: np.ndarray, cut: np.ndarray, alone: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each set, set that names its component) of the blocks that begin at ``cut``; the pairs of a block that isn't ``alone`` are those across its two sides."""
+    ends = np.append(cut[1:], len(ids))
+    small = (ends - cut <= _NODE) & alone
+    own = np.flatnonzero(np.repeat(small, ends - cut))
+    i, j = _small_pairs((ends - cut)[small]) if small.any() else (own, own)
+    i, j = own[i], own[j]
+    ok = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+    i, j = i[ok], j[ok]
+    points = Points(vec, n)
+    ok = points.may_link(i, points, j, percent)
+    pairs = [(i[ok], j[ok])]
+    for a, z, one in zip(cut[~small].tolist(), ends[~small].tolist(), alone[~small].tolist()):
+        first = z if one else a + int((side[a:z] == 0).sum())
+        tree = RTree(vec[a:first], n[a:first])
+        if one:
+            i, j = tree.join(tree, percent)
+            i, j = a + i, a + j
+        else:
+            i, j = tree.join(RTree(vec[first:z], n[first:z]), percent)
+            i, j = a + i, first + j
+        pairs.append((i, j))
+    out, links = np.zeros(len(ids), np.int64), []
+    for i, j in pairs:
+        if len(i):
+            lo, hi = int(min(i.min(), j.min())), int(max(i.max(), j.max())) + 1
+            both = _overlaps(h[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], i - lo, j - lo)
+            ok = 100 * both >= percent * (n[i] + n[j] - both)
+            links.append((i[ok], j[ok]))
+            out += np.bincount(i[ok], minlength=len(ids)) + np.bincount(j[ok], minlength=len(ids))
+    i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    return out, ids[_roots(i, j, len(ids))]
 
 
 def _links(percent: int):
-    def block(parts: list) -> pa.RecordBatch:
-        ids, side, h = (np.concatenate([p[x] for p in parts]) for x in (0, 1, 2))
-        at = np.concatenate(([0], np.cumsum(np.concatenate([p[3] for p in parts]))))
-        first = int((side == 0).sum())
-        n = linked(h, at, first, percent) if first else np.zeros(len(ids), np.int64)
-        return pa.record_batch([pa.array(ids), pa.array(n)], ["set_id", "n"])
+    def flush(parts: list) -> pa.RecordBatch:
+        mark, ids, side, n, vec, h = (np.concatenate([p[x] for p in parts]) for x in range(6))
+        at = np.concatenate(([0], np.cumsum(n)))
+        cut = np.flatnonzero(np.concatenate(([True], np.any(mark[1:] != mark[:-1], 1))))
+        links, to = _joined(ids, side, n, vec, h, at, cut, mark[cut, 1] == mark[cut, 2], percent)
+        return pa.record_batch([pa.array(ids), pa.array(links), pa.array(to), pa.array(mark[:, 3] == 1)], ["set_id", "n_links", "to", "whole"])
 
     def run(batches):
-        """Rows come by root, i, j and side, so one block is held at a time."""
-        parts, mark = [], None
+        """Rows come by root, i, j and side; whole blocks are taken together up to LEAF rows or BLOCK shingles."""
+        parts, rows, held, last = [], 0, 0, None
         for t in batches:
             if not t.num_rows:
                 continue
             col = lambda c: t.column(t.schema.get_field_index(c))
-            root, i, j, ids, side = (col(c).to_numpy() for c in ("root", "i", "j", "set_id", "side"))
-            cut = np.flatnonzero(np.any([np.concatenate(([True], m[1:] != m[:-1])) for m in (root, i, j)], 0))
-            for a, z in zip(cut, [*cut[1:], t.num_rows]):
-                if parts and mark != (root[a], i[a], j[a]):
-                    yield block(parts)
-                    parts = []
-                mark = root[a], i[a], j[a]
-                raw = [np.frombuffer(v.as_buffer(), np.uint64) for v in col("shingles").slice(a, z - a)]
-                parts.append((ids[a:z].copy(), side[a:z].copy(), np.concatenate(raw), [len(v) for v in raw]))
+            mark = np.stack([col(c).to_numpy().astype(np.int64) for c in ("root", "i", "j", "parts")], 1)
+            cols = [col(c).to_numpy() for c in ("set_id", "side", "n")]
+            vec, raw = (col(c) for c in ("vec", "shingles"))
+            cut = np.flatnonzero(np.concatenate(([True], np.any(mark[1:] != mark[:-1], 1))))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), t.num_rows]):
+                if parts and tuple(mark[a]) != last and (rows >= LEAF or held >= BLOCK):
+                    yield flush(parts)
+                    parts, rows, held = [], 0, 0
+                last = tuple(mark[a])
+                h = np.frombuffer(b"".join(raw.slice(a, z - a).to_pylist()), np.uint64)
+                v = np.frombuffer(b"".join(vec.slice(a, z - a).to_pylist()), np.uint8).reshape(-1, DIMS)
+                parts.append((mark[a:z], *[c[a:z].copy() for c in cols], v, h))
+                rows, held = rows + z - a, held + len(h)
         if parts:
-            yield block(parts)
+            yield flush(parts)
+        _scan.trim()
 
     return run
 
@@ -441,6 +528,43 @@ def _bounded(df: DataFrame) -> DataFrame:
 _PAIR = "a long, b long"
 
 
+def _regions(spark, cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """``set_id, root`` of every class in a shared cell: disjoint regions that no pair that links crosses."""
+    shared = cells.join(cells.groupBy("set_id").agg(F.count("*").alias("c")), "set_id")
+    pivot = shared.groupBy("key").agg(F.max(F.struct("c", "set_id"))["set_id"].alias("p"))
+    star = cells.join(pivot, "key").where("set_id <> p").select(F.least("set_id", "p").alias("a"), F.greatest("set_id", "p").alias("b")).distinct()
+    left, right = (points.select(F.col("set_id").alias(x), F.col("n").alias(n), F.col("vec").alias(v)) for x, n, v in (("a", "n", "x"), ("b", "m", "y")))
+    close = star.join(left, "a").join(right, "b").where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
+    first = written(components(close.select("a", "b", "n", "m", "x", "y").mapInArrow(_allowed(percent), _PAIR)), "regions")
+
+    placed = written(cells.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("region")), "placed")
+    tally = placed.groupBy("key", "region").agg(F.count("*").alias("n"))
+    state = tally.groupBy("key").agg(F.count("*").alias("regions"), F.max(F.struct("n", "region"))["region"].alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("regions > 1")
+    state = written(state, "open-cells")
+    rows = state.agg(F.sum("n_all")).first()[0] or 0
+    open_ = placed.join(state, "key").join(points, "set_id")
+    # side 0: the cell's main region, side 1: the others, side 2: a cell in one block
+    na, no = F.ceil(F.col("n_main") / LEAF).cast("int"), F.ceil((F.col("n_all") - F.col("n_main")) / LEAF).cast("int")
+    spot = F.pmod(F.xxhash64("set_id"), F.lit(1 << 30))
+    main, one = F.col("region") == F.col("main"), F.col("n_all") <= LEAF
+    mine = F.pmod(spot, F.when(main, na).otherwise(no)).cast("int")
+    ax = F.transform(F.sequence(F.lit(0), no - 1), lambda j: F.struct(F.lit(0).alias("t"), mine.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    oa = F.transform(F.sequence(F.lit(0), na - 1), lambda i: F.struct(F.lit(0).alias("t"), i.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
+    oo = F.transform(F.sequence(F.lit(0), no - 1), lambda j: F.struct(F.lit(1).alias("t"), F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.lit(2).alias("side")))
+    alone = F.array(F.struct(F.lit(2).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    dealt = open_.withColumn("at", F.explode(F.when(one, alone).when(main, ax).otherwise(F.concat(oa, oo))))
+    dealt = dealt.select("key", "at.t", "at.i", "at.j", "at.side", "set_id", "region", "n", "vec")
+    # a dealt block has at most 2 * LEAF members; small cells share a call
+    calls = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // CALL_ROWS))
+    dealt = dealt.withColumn("call", F.when(F.col("t") == 2, F.pmod(F.xxhash64("key"), F.lit(calls))).otherwise(F.xxhash64("key", "t", "i", "j")))
+    again = written(components(dealt.groupBy("call").applyInArrow(_between_regions(percent), _PAIR)), "merged-regions")
+    out = written(cells.select("set_id").distinct().join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "in-regions")
+    both = out.join(again.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left").select("set_id", F.coalesce("into", "root").alias("root"))
+    both = written(both, "in-merged-regions")
+    drop(spark, first, placed, state, again, out)
+    return both
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
@@ -448,73 +572,46 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     shingle sets that the document's own set links to.  Words are runs of bytes other
     than ASCII white space, A-Z lower-cased.  Null, empty and blank texts have no shingles
     and stand alone; a text of fewer than ``k`` words is one shingle.  Repeated rows are
-    each answered; a null id is kept and never names a component unless it is alone.
+    each answered; a null id is kept and never names a component unless it is alone.  The
+    id may be of any type that has an order; other columns aren't read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    info = written(base.mapInArrow(_info(k), T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("vec", T.BinaryType())])), "info")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    info = written(base.mapInArrow(_info(k), T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType())])), "info")
+    keys = 3 * (info.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // percent  # about
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BUCKET_KEYS)
     signed = base.select("text").mapInArrow(_signatures(k, percent, buckets), "bucket int, keys binary, ids binary")
-    leaf = written(signed.groupBy("bucket").applyInArrow(_shared(buckets), "key long, set_id long"), "leaves")
-    classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    cells = written(signed.groupBy("bucket").applyInArrow(_shared(buckets), "key long, set_id long"), "cells")
+    classes = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    # the shingle sets of all members of leaves, made once more from their texts
-    members = leaf.select("set_id").distinct()
-    wanted = classes.join(_bounded(members), "set_id", "left_semi").select("set_id", F.col("doc_id").alias("id"))
-    wanted = written(wanted, "wanted")
+    # the shingle sets of all members of cells, made once more from their texts
+    members = cells.select("set_id").distinct()
+    wanted = written(classes.join(_bounded(members), "set_id", "left_semi").select("set_id", F.col("doc_id").alias("id")), "wanted")
     texts = base.join(_bounded(wanted.select("id").distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "set_id long, shingles binary")
+    sets = texts.mapInArrow(_sets(k), "set_id long, n long, vec binary, shingles binary")
     sets = written(sets.dropDuplicates(["set_id"]) if _repeats(base) else sets, "sets")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), _PAIR), name)
+    regions = _regions(spark, cells, sets.select("set_id", "n", "vec"), percent)
+    parts = regions.join(sets.select("set_id", "n"), "set_id").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("parts"), F.count("*").alias("many"))
+    parts = written(parts.where("many > 1").select("root", "parts"), "region-sizes")
+    inside = regions.join(_bounded(parts), "root").join(sets, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    inside = inside.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    inside = inside.select("root", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "parts", "set_id", "n", "vec", "shingles")
+    inside = inside.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    links = written(inside.mapInArrow(_links(percent), "set_id long, n_links long, to long, whole boolean"), "links")
 
-    shared = leaf.join(leaf.groupBy("set_id").agg(F.count("*").alias("c")), "set_id")
-    pivot = shared.groupBy("key").agg(F.max(F.struct("c", "set_id"))["set_id"].alias("p"))
-    star = leaf.join(pivot, "key").where("set_id <> p").select(F.least("set_id", "p").alias("a"), F.greatest("set_id", "p").alias("b")).distinct()
-    links = verified(star, "links")
-    first = written(components(links), "components")
-
-    placed = leaf.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("comp"))
-    placed = written(placed, "placed")
-    tally = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    state = tally.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("comps > 1")
-    open_ = placed.join(state, "key").join(info.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("vec").alias("vec")), "set_id")
-    # side 0: the leaf's main component, side 1: the others, side 2: a leaf in one block
-    na, no = F.ceil(F.col("n_main") / LEAF).cast("int"), F.ceil((F.col("n_all") - F.col("n_main")) / LEAF).cast("int")
-    spot = F.pmod(F.xxhash64("set_id"), F.lit(1 << 30))
-    main, one = F.col("comp") == F.col("main"), F.col("n_all") <= LEAF
-    mine = F.pmod(spot, F.when(main, na).otherwise(no)).cast("int")
-    ax = F.transform(F.sequence(F.lit(0), no - 1), lambda j: F.struct(F.lit(0).alias("t"), mine.alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    oa = F.transform(F.sequence(F.lit(0), na - 1), lambda i: F.struct(F.lit(0).alias("t"), i.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
-    oo = F.transform(F.sequence(F.lit(0), no - 1), lambda j: F.struct(F.lit(1).alias("t"), F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.lit(2).alias("side")))
-    alone = F.array(F.struct(F.lit(2).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    dealt = open_.withColumn("at", F.explode(F.when(one, alone).when(main, ax).otherwise(F.concat(oa, oo))))
-    dealt = dealt.select("key", "at.t", "at.i", "at.j", "at.side", "set_id", "comp", "n_shingles", "vec")
-    # a dealt block has at most 2 * LEAF members; small leaves share a call
-    dealt = dealt.withColumn("call", F.when(F.col("t") == 2, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key", "t", "i", "j")))
-    rest = dealt.groupBy("call").applyInArrow(_candidates(percent), _PAIR).distinct()
-    more = verified(rest, "more")
-
-    every = links.unionByName(more)
-    roots = components(every)
-    named = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    # a region in one block has its components already
+    across = components(links.where("not whole and set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
+    roots = links.where("whole and n_links > 0").select("set_id", F.col("to").alias("root")).unionByName(across.select(F.col("node").alias("set_id"), "root"))
+    degree = links.groupBy("set_id").agg(F.sum("n_links").alias("n_links")).where("n_links > 0")
+    named = classes.join(roots, "set_id").join(degree, "set_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    # every pair that links is in one component: its pairs are counted there, in blocks
-    inside = roots.withColumnRenamed("node", "set_id").join(classes.select("set_id", "n_shingles"), "set_id")
-    parts = inside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int").alias("n"))
-    inside = inside.join(_bounded(parts), "root").join(sets, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("n")).cast("int"))
-    inside = inside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    inside = inside.select("root", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") > F.col("j")).cast("int").alias("side"), "set_id", "shingles")
-    inside = inside.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
-    degree = inside.mapInArrow(_links(percent), "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("n_links"))
-    named = named.join(least, "root").join(degree, "set_id", "left").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = info.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = classes.join(named.join(least, "root").select("set_id", "component_id", "n_links"), "set_id", "left")
+    named = written(named.select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    out = info.where("set_id is not null").join(named, "set_id").select("doc_id", "n_shingles", "component_id", "n_links")
+    out = out.unionByName(info.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
     out = written(out, "joined")
-    drop(spark, leaf, wanted, sets, links, first, placed, more, info)
+    drop(spark, cells, wanted, sets, regions, parts, links, named, info)
     return out
 
 
