@@ -12,14 +12,14 @@ import re
 from collections.abc import Callable, Iterator
 
 #: Chunks that one worker remembers, and characters of a chunk beyond which it isn't kept.
-MOST_CHUNKS, LONGEST = 500_000, 64
+MOST_CHUNKS, LONGEST = 200_000, 64
 
 
 class ChunkTable:
     """Segments of chunks; ``segment`` is called with the distinct chunks of a block that aren't known yet."""
 
-    def __init__(self, segment: Callable[[list[str]], list], most: int = MOST_CHUNKS):
-        self.segment, self.most, self.known = segment, most, {}
+    def __init__(self, segment: Callable[[list[str]], list], most: int = MOST_CHUNKS, emptied: Callable[[], None] = lambda: None):
+        self.segment, self.most, self.emptied, self.known = segment, most, emptied, {}
 
     def lookup(self, texts: list[list[str]]) -> dict:
         """A table that has every chunk of these texts."""
@@ -27,6 +27,7 @@ class ChunkTable:
         if new:
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
+                self.emptied()
                 new = set().union(*texts)
             new = list(new)
             found = dict(zip(new, self.segment(new), strict=True))

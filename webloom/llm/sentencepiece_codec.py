@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import _scan
 from ._store import table
-from .chunk_table import ChunkTable, batches_of, marked_chunks
+from .chunk_table import LONGEST, ChunkTable, batches_of, marked_chunks
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -108,8 +108,8 @@ class Codec:
     def __init__(self, path: str):
         self.whole, self.bare, self.dummy = load(path)
         self.bos, self.eos = struct.pack("<I", self.whole.bos_id()), struct.pack("<I", self.whole.eos_id())
-        self.table = ChunkTable(self._segment) if self.bare else None
-        self.odd: dict[str, str] = {}  # chunks that don't decode to themselves
+        self.odd: dict[str, str] = {}  # chunks of the table, or of the texts at hand, that don't decode to themselves
+        self.table = ChunkTable(self._segment, emptied=self.odd.clear) if self.bare else None
         self.reads = [self._reads(i) for i in range(self.whole.vocab_size())]
         self.length = np.array([len(x) for x in self.reads])
 
@@ -169,6 +169,8 @@ class Codec:
                 else:
                     text = "".join(chunks).replace(MARK, " ")
             out.append((b"".join([self.bos, *map(get, chunks), self.eos]), text[1:] if self.dummy and text[:1] == " " else text))
+        for c in [c for c in self.odd if len(c) > LONGEST]:  # the table doesn't keep those
+            del self.odd[c]
         return out
 
 
