@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm._store import drop, table, written
-from webloom.llm.decontaminate import contaminated
+from webloom.llm._store import drop, row_place, table, written
+from webloom.llm.decontaminate import without_contaminated
 from webloom.llm.ngram_join import BROADCAST_ROWS, ngram_join
 from webloom.llm.pii import redacted
 from webloom.llm.quality import kept_good
@@ -25,21 +25,28 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts, each row by its own text and metadata (nulls are values of their own)."""
     return kept_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id (rows that repeat an id stay together)."""
-    joined = ngram_join(docs, k=SHINGLE, percent=SIMILAR)
-    out = written(joined.where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(_bounded(out), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the least id (a null id is last), then the first row.
+
+    Rows are told apart by their place in the files, so rows without an id, with a repeated
+    id, and repeated rows are documents like others.  Texts without words are no duplicates.
+    """
+    docs, (file, row) = row_place(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), file.alias("f"), row.alias("r"))
+    joined = ngram_join(docs.select(name.alias("doc_id"), "text"), k=SHINGLE, percent=SIMILAR)
+    out = written(joined.where("component_id <> doc_id").select("doc_id.f", "doc_id.r"), "duplicates")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), file.alias("f"), row.alias("r"))
+    drop(spark, joined)
+    return rows.join(_bounded(out), ["f", "r"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(_bounded(found), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, each row by its own text."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
