@@ -28,6 +28,10 @@ class Rows:
         pick = np.repeat(self.at[:-1][rows] - at[:-1], n) + np.arange(at[-1])
         return Rows(self.idx[pick], self.val[pick], at)
 
+    def then(self, other: Rows) -> Rows:
+        """These rows and the other ones."""
+        return Rows(np.concatenate((self.idx, other.idx)), np.concatenate((self.val, other.val)), np.concatenate((self.at, self.at[-1] + other.at[1:])))
+
 
 class Adam:
     def __init__(self, n: int, rate: float):

@@ -1,14 +1,18 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 The text view sees shapes and words of the text, hashed; the metadata view sees language,
-source and length.  Both start from the labelled documents; in each round either view
-names the unlabelled documents that it is most sure of, and the other view learns from
-them.  On labelled documents held back, each view is calibrated and the calibrated views
-are combined; the combination scores every document.
+source and length.  Both start from the labelled documents.  In each round the executors
+score every other document with both views; where a view is sure, its label goes to the
+other view.  Those pseudo-labelled documents, however many, reach the driver as the sums of
+their features by label and bag (a hash of the document), and the other view learns from the
+bags' means.  On labelled documents held back, each view is calibrated and the calibrated
+views are combined; the combination scores every document.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,15 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import table, written
+from ._store import collected, table
 from .linear import Rows, dense_logistic, logistic, sigmoid
 
 #: Hashed features of the text view: the first half are word shapes, the rest words.
 DIMS = 1 << 15
 META_DIMS = 1 << 12
-#: Documents expected in the labelled and in the unlabelled sample (drawn by a hash of the id).
-LABELLED, UNLABELLED = 6_000, 4_000
-ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 400
+#: Documents expected in the labelled sample (drawn by a hash of the id).
+LABELLED = 6_000
+#: Rounds of exchange (each reads all documents), probability from which a view is sure, bags of a label, weight of all pseudo-labels.
+ROUNDS, CONFIDENT, BAGS, TRUST = 2, 0.97, 4, 0.5
+#: Steps of a feature of 1 in sums, which are exact in any order.
+FIXED = 1 << 20
 KEEP = 0.5
 
 
@@ -74,12 +81,67 @@ def _sampled(docs: DataFrame, expect: int, total: int, seed: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
 
 
+def _column(part: pa.RecordBatch, name: str):
+    return part.column(part.schema.get_field_index(name))
+
+
+def _meta(part: pa.RecordBatch) -> Rows:
+    return MetaView.rows(*(_column(part, c).to_pylist() for c in ("lang", "source", "n_chars")))
+
+
 def _features(batches):
     for batch in batches:
         for part in _scan.slices(batch, "text"):
-            x = TextView.rows(part.column(part.schema.get_field_index("text")))
+            x = TextView.rows(_column(part, "text"))
             pack = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(x.at, x.at[1:])], pa.binary())
-            yield pa.record_batch([part.column(part.schema.get_field_index("label")), part.column(part.schema.get_field_index("lang")), part.column(part.schema.get_field_index("source")), part.column(part.schema.get_field_index("n_chars")), pack(x.idx, "<i4"), pack(x.val, "<f4")], ["label", "lang", "source", "n_chars", "idx", "val"])
+            yield pa.record_batch([*(_column(part, c) for c in ("label", "lang", "source", "n_chars")), pack(x.idx, "<i4"), pack(x.val, "<f4")], ["label", "lang", "source", "n_chars", "idx", "val"])
+
+
+def sure(p: np.ndarray) -> np.ndarray:
+    """Pseudo-labels: 1, 0, or -1 where the view isn't sure."""
+    return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+
+
+def _exchanged(text: np.ndarray, meta: np.ndarray):
+    """Sums of the features that either view learns from the other's pseudo-labels: ``view, cell, feature, total`` (feature -1: documents)."""
+
+    def run(batches):
+        sums = [np.zeros((2 * BAGS, dims + 1), np.int64) for dims in (DIMS, META_DIMS)]
+        for batch in batches:
+            for part in _scan.slices(batch, "text"):
+                views = TextView.rows(_column(part, "text")), _meta(part)
+                said = [sure(sigmoid(v.dot(w[:-1]) + w[-1])) for v, w in zip(views, (text, meta))]
+                bag = _column(part, "bag").to_numpy()
+                for v, label, out in zip(views, said[::-1], sums):
+                    at = np.flatnonzero(label >= 0)
+                    cell = label * BAGS + bag
+                    own = v.take(at)
+                    where = cell[at][own.row] * np.int64(out.shape[1]) + own.idx
+                    out += np.bincount(where, np.round(own.val * np.float64(FIXED)), out.size).astype(np.int64).reshape(out.shape)
+                    out[:, -1] += np.bincount(cell[at], minlength=2 * BAGS)
+        for view, out in enumerate(sums):
+            cell, feature = np.nonzero(out)
+            total = out[cell, feature]
+            feature = np.where(feature == out.shape[1] - 1, -1, feature)
+            for lo in range(0, len(cell), 1 << 16):
+                hi = min(lo + (1 << 16), len(cell))
+                yield pa.record_batch([pa.array(np.full(hi - lo, view, np.int32)), pa.array(cell[lo:hi].astype(np.int32)), pa.array(feature[lo:hi].astype(np.int32)), pa.array(total[lo:hi])], ["view", "cell", "feature", "total"])
+        _scan.trim()
+
+    return run
+
+
+def _bags(got: pa.Table, view: int) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """(mean features, label, documents) of the bags of a view."""
+    of, cell, feature, total = (got[c].to_numpy() for c in ("view", "cell", "feature", "total"))
+    mine = of == view
+    n = np.bincount(cell[mine & (feature < 0)], total[mine & (feature < 0)], 2 * BAGS)
+    mine &= feature >= 0
+    order = np.lexsort((feature[mine], cell[mine]))
+    cell, feature, total = (x[mine][order] for x in (cell, feature, total))
+    full = np.flatnonzero(n)
+    x = Rows(feature, total / FIXED / np.maximum(n, 1)[cell], np.searchsorted(cell, np.arange(2 * BAGS + 1)))
+    return x.take(full), (full >= BAGS).astype(float), n[full]
 
 
 class Model:
@@ -96,57 +158,50 @@ class Model:
         return sigmoid(np.clip(np.stack([a, b], 1), -12, 12) @ self.combine[:-1] + self.combine[-1]), sigmoid(a), sigmoid(b)
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
-    """Co-train on bounded samples of labelled and unlabelled documents (LABELLED and UNLABELLED rows are expected)."""
+    """Co-train on a bounded sample of labelled documents (LABELLED rows are expected) and on all other documents."""
     lab = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    n_lab, n_docs = lab.count(), docs.count()
-    some = _sampled(lab, LABELLED, n_lab, 1)  # bounded, so it may be broadcast
-    base = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    known = base.join(F.broadcast(some), "doc_id")
-    free = _sampled(base, UNLABELLED, n_docs, 2).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
-    schema = "label int, lang string, source string, n_chars long, idx binary, val binary"
-    got = known.unionByName(free).mapInArrow(_features, schema)
-    got = written(got, "co-training").toArrow()
-    lens = [len(v) // 4 for v in got["idx"].to_pylist()]
-    x = Rows(np.frombuffer(b"".join(got["idx"].to_pylist()), "<i4"), np.frombuffer(b"".join(got["val"].to_pylist()), "<f4"), np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
-    m = MetaView.rows(got["lang"].to_pylist(), got["source"].to_pylist(), got["n_chars"].to_pylist())
-    y = np.array([-1 if v is None else v for v in got["label"].to_pylist()], int)
+    some = _sampled(lab, LABELLED, lab.count(), 1)  # about LABELLED rows of 12 bytes, so it may be broadcast
+    base = _documents(docs)
+    got = collected(base.join(F.broadcast(some), "doc_id").mapInArrow(_features, "label int, lang string, source string, n_chars long, idx binary, val binary"), "co-training").to_pylist()
+    got.sort(key=lambda r: tuple(str(r[c]) if c in ("lang", "source", "n_chars") else r[c] for c in ("label", "lang", "source", "n_chars", "idx", "val")))  # an order that doesn't depend on partitions
+    spot = np.argsort([zlib.crc32(r["idx"] + r["val"]) for r in got], kind="stable")
+    got = [got[i] for i in spot.tolist()]
+    at = np.concatenate(([0], np.cumsum([len(r["idx"]) // 4 for r in got]))).astype(np.int64)
+    x = Rows(np.frombuffer(b"".join([r["idx"] for r in got]), "<i4"), np.frombuffer(b"".join([r["val"] for r in got]), "<f4"), at)
+    m = MetaView.rows(*([r[c] for r in got] for c in ("lang", "source", "n_chars")))
+    y = np.array([r["label"] for r in got], int)
     del got
-    # an order that doesn't depend on partitions
-    order = np.lexsort((np.array(lens, int), np.modf(1e6 * x.dot(np.sin(np.arange(DIMS))))[0]))
-    x, m, y = x.take(order), m.take(order), y[order]
-    return fit(x, m, y)
-
-
-def fit(x: Rows, m: Rows, y: np.ndarray) -> Model:
-    """``y``: 0, 1, or -1 for documents without a label."""
-    labelled = np.flatnonzero(y >= 0)
-    if not len(labelled) or len(set(y[labelled].tolist())) < 2:  # nothing to tell apart: everything passes or fails alike
-        only = 4.0 if not len(labelled) or y[labelled[0]] == 1 else -4.0
-        zero = np.zeros(1)
-        return Model(np.zeros(DIMS + 1), np.zeros(META_DIMS + 1), ((1.0, 0.0), (1.0, 0.0)), np.concatenate((zero, zero, [only])))
-    held = labelled[::4]
-    learn = np.setdiff1d(labelled, held)
-    free = np.flatnonzero(y < 0)
+    rest = base.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("bag", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BAGS)).cast("int"))
+
+    def exchange(text: np.ndarray, meta: np.ndarray) -> pa.Table:
+        told = rest.mapInArrow(_exchanged(text, meta), "view int, cell int, feature int, total long")
+        return told.groupBy("view", "cell", "feature").agg(F.sum("total").alias("total")).toArrow()  # a row for each bag and feature at most
+
+    return fit(x, m, y, exchange)
+
+
+def fit(x: Rows, m: Rows, y: np.ndarray, exchange) -> Model:
+    """``exchange(text weights, metadata weights)`` gives the sums of what either view learns from the other."""
+    if len(set(y.tolist())) < 2:  # nothing to tell apart: everything passes or fails alike
+        only = 4.0 if not len(y) or y[0] == 1 else -4.0
+        return Model(np.zeros(DIMS + 1), np.zeros(META_DIMS + 1), ((1.0, 0.0), (1.0, 0.0)), np.array([0.0, 0.0, only]))
+    held = np.arange(len(y))[::4]
+    learn = np.setdiff1d(np.arange(len(y)), held)
     views = [(x, DIMS), (m, META_DIMS)]
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels for each view
-    weights: list[np.ndarray] = []
-    for turn in range(ROUNDS + 1):
-        weights = []
-        for (v, dims), more in zip(views, extra):
-            rows = np.concatenate((learn, np.array(list(more), int)))
-            target = np.concatenate((y[learn], np.array(list(more.values()), int))).astype(float)
-            trust = np.concatenate((np.ones(len(learn)), np.full(len(more), 0.5)))
-            weights.append(logistic(v.take(rows), target, dims, weight=trust))
-        if turn == ROUNDS or not len(free):
-            break
-        for side in (0, 1):
-            v, w = views[side][0], weights[side]
-            p = sigmoid(v.take(free).dot(w[:-1]) + w[-1])
-            for label, sure in ((1, p), (0, 1 - p)):
-                for i in np.argsort(-sure, kind="stable")[:PER_ROUND]:
-                    if sure[i] >= CONFIDENT and free[i] not in extra[1 - side]:
-                        extra[1 - side][int(free[i])] = label
+    weights = [logistic(v.take(learn), y[learn].astype(float), dims) for v, dims in views]
+    for _ in range(ROUNDS):
+        got = exchange(weights[0].astype(np.float32), weights[1].astype(np.float32))
+        new = []
+        for view, (v, dims) in enumerate(views):
+            bags, label, n = _bags(got, view)
+            trust = np.concatenate((np.ones(len(learn)), TRUST * len(learn) * n / max(n.sum(), 1)))
+            new.append(logistic(v.take(learn).then(bags), np.concatenate((y[learn], label)).astype(float), dims, weight=trust))
+        weights = new
     logits = [v.take(held).dot(w[:-1]) + w[-1] for (v, _), w in zip(views, weights)]
     target = y[held].astype(float)
     scales = tuple(tuple(dense_logistic(z[:, None], target)) for z in logits)
@@ -154,13 +209,11 @@ def fit(x: Rows, m: Rows, y: np.ndarray) -> Model:
     return Model(weights[0], weights[1], scales, dense_logistic(both, target))
 
 
-def _score(shared):
+def _score(model: Model):
     def run(batches):
-        model = shared.value
         for batch in batches:
             for part in _scan.slices(batch, "text"):
-                lang, source, n_chars = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars"))
-                p, a, b = model.score(TextView.rows(part.column(part.schema.get_field_index("text"))), MetaView.rows(lang, source, n_chars))
+                p, a, b = model.score(TextView.rows(_column(part, "text")), _meta(part))
                 yield pa.record_batch([part.column(0), pa.array(np.round(p, 6)), pa.array(np.round(a, 6)), pa.array(np.round(b, 6)), pa.array((p >= KEEP).astype(np.int32))], ["doc_id", "score", "text_score", "meta_score", "predicted"])
 
     return run
@@ -170,28 +223,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score, text_score, meta_score, predicted`` of every row (predicted 1: good).
 
     ``docs`` has ``doc_id, text, lang, source, n_chars``; nulls in any of them are values of
-    their own, a null text counts as empty.  Repeated rows are each answered.  Without labels
-    of both kinds every document gets the one kind there is, or good.
+    their own, a null text counts as empty.  Repeated rows are each answered, each row by
+    itself; other columns aren't read.  Without labels of both kinds every document gets the
+    one kind there is, or good.
     """
     model = train(docs, labels)
-    base = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    base = _documents(docs)
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), *T._parse_datatype_string("score double, text_score double, meta_score double, predicted int").fields])
-    return base.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
-
+    return base.mapInArrow(_score(model), schema)
 
-def kept_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier calls good, with all their columns."""
-    model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+def _good(model: Model):
     def run(batches):
         for batch in batches:
             for part in _scan.slices(batch, "text"):
-                col = lambda c: part.column(part.schema.get_field_index(c))
-                p, _, _ = shared.value.score(TextView.rows(col("text")), MetaView.rows(*(col(c).to_pylist() for c in ("lang", "source", "n_chars"))))
+                p, _, _ = model.score(TextView.rows(_column(part, "text")), _meta(part))
                 yield part.filter(pa.array(p >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def kept_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier calls good, with all their columns."""
+    return docs.mapInArrow(_good(train(docs, labels)), docs.schema)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
