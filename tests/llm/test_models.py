@@ -240,6 +240,49 @@ def test_url_rules(spark):
     assert U.judge(spark.createDataFrame(rows, "page_id long, url string").limit(0)).count() == 0
 
 
+def plain_judge(rows):
+    """Verdicts and scores by plain dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    words, seen = Counter(), []
+    for page, url, html in rows:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        title = re.search(r"(?i)<title[^>]*>([^<]*)", html or "")
+        words.update(w for w in re.split(r"[^a-zé]+", f"{title[1] if title else ''} {path}".lower()) if 0 < len(w) <= U.LONGEST)
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = sorted(((h + p, v) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), key=lambda x: -len(x[0]))
+        seen.append((page, host, path, *(fits[0] if fits else (None, None))))
+    total = sum(words.values()) + 1.0
+    split = lambda host: ["h:" + w for x in re.split(r"[^a-z0-9é]+", host) for w in U.viterbi(x, words, total)]
+    tokens = lambda path: ["p:" + ("<num>" if w.isdigit() else w) for w in re.split(r"[^a-z0-9é]+", path.lower()) if w]
+    count = {v: Counter(t for _, h, p, _, w in seen if w == v for t in split(h) + tokens(p)) for v in ("allow", "block")}
+    kinds, n = set(count["allow"]) | set(count["block"]), {v: sum(c.values()) for v, c in count.items()}
+    pages = Counter(w for *_, w in seen)
+    odds = lambda t: math.log((count["block"][t] + 1) / (n["block"] + len(kinds) + 1)) - math.log((count["allow"][t] + 1) / (n["allow"] + len(kinds) + 1)) if t in kinds else 0.0
+    out = []
+    for page, host, path, rule, verdict in seen:
+        score = math.log(pages["block"] / pages["allow"]) + sum(map(odds, split(host))) + sum(map(odds, tokens(path)))
+        out.append((str(page), host, path, rule, verdict or ("block" if score > 0 else "allow"), round(score, 4)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sent", [16 << 20, 0])
+def test_urls_as_brute_force(spark, monkeypatch, sent):
+    """Nulls, repeated rows, very long urls, clashing columns; models sent to the executors, and joined."""
+    monkeypatch.setattr(U, "SENT_BYTES", sent)
+    r = np.random.default_rng(4)
+    word = lambda: str(r.choice(["red", "cat", "offer", "home", "news", "spam", "caté", "averyveryverylongwordofmanyletters"]))
+    rows = [(int(i), f"http{'s' * (i % 2)}://{word()}{word()}.{r.choice(['com', 'net', 'org', 'example.com'])}/{r.choice(['en', 'es', 'fr', '7'])}/{word()}-{word()}?q={word()}", f"<title>{word()} {word()}</title>" if i % 3 else None) for i in range(120)]
+    rows += [rows[0], rows[0], (None, "http://x.org/spam", None), (500, None, None), (501, "", "<p>"), (502, "http://" + "redcat" * 300 + ".org/" + "offer/" * 3000, None), (503, "://", None), (504, "a://B.ORG", None)]
+    pages = spark.createDataFrame([(*x, "c", "d", 1.0, 2) for x in rows], "page_id long, url string, html string, host string, path string, score double, token int")
+    got = U.judge(pages).collect()
+    assert sorted(((str(x.page_id), x.host, x.path, x.rule, x.verdict, round(x.score, 4)) for x in got), key=str) == plain_judge(rows)
+
+
 def test_viterbi():
     counts = {"red": 10, "cat": 8, "redc": 1, "at": 2}
     assert U.viterbi("redcat", counts, 30.0) == ["red", "cat"]

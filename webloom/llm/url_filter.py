@@ -2,7 +2,8 @@
 
 Host names run words together.  A unigram model of the words in titles and paths splits
 each distinct host label by Viterbi.  Multinomial naive Bayes learns from the urls that
-rules decide, and judges the others by the words of host and path.
+rules decide, and judges the others by the words of host and path.  Hosts are scored once
+each; a path is scored in its own row while the model fits a bound in bytes.
 """
 
 from __future__ import annotations
@@ -11,29 +12,35 @@ import math
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table, written
+from . import _scan
+from ._store import drop, table, written
 
 #: (verdict, host, start of the path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Characters of the longest word that segmentation looks for.
-LONGEST = 20
-#: Rows of a table of words or hosts that may be broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
+#: Characters of the longest word that segmentation looks for: those of the longest label of a host.
+LONGEST = 63
+#: Bytes of a table of words, hosts or weights that may be sent to every executor; larger ones are joined by shuffles.
+SENT_BYTES = 16 << 20
 SMOOTH = 1.0
 
 
+def _after_scheme(url: Column) -> Column:
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; empty without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
-    return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^([^/?#]*+)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
-    return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    """What follows the host, up to ``? #`` or the end; empty without ``://``."""
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*+([^?#]*+)", 1)
 
 
 def rule_and_verdict(rules=RULES) -> tuple[Column, Column]:
@@ -44,8 +51,14 @@ def rule_and_verdict(rules=RULES) -> tuple[Column, Column]:
     return pick([h + p for _, h, p in order]), pick([v for v, _, _ in order])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, key: str) -> bool:
+    """Whether a table (a text column and numbers) is within the bytes that may be sent."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(key) + 48), F.lit(0))).first()[0]
+    return size <= SENT_BYTES
+
+
+def _bounded(df: DataFrame, key: str) -> DataFrame:
+    return F.broadcast(df) if _small(df, key) else df
 
 
 def _words(text: Column) -> Column:
@@ -82,7 +95,7 @@ def segments(labels: DataFrame, words: DataFrame, total: float) -> DataFrame:
     starts = F.sequence(F.lit(1), n)
     subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - i + 1)), lambda k: F.substring(F.col("label"), i, k))))
     pieces = labels.where(n > 0).select("label", F.explode(F.array_distinct(subs)).alias("word"))
-    known = pieces.join(_bounded(words), "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+    known = pieces.join(_bounded(words, "word"), "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
     every = labels.where(n > 0).join(known, "label", "left")
 
     def split(batches):
@@ -103,45 +116,68 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     ``rule`` is the longest that fits (null if none); ``verdict`` is the rule's, else that of
     naive Bayes (``score`` is its log odds for block, ties allow).  Null urls and urls
     without ``://`` have empty host and path and get the prior's verdict.  Repeated rows are
-    each answered.  Without urls of both verdicts the one there is holds, or allow.
+    each answered; an empty table gives no rows; other columns than ``html`` (for its title)
+    aren't read.  Without urls of both verdicts the one there is holds, or allow.
     """
+    spark = pages.sparkSession
     html = ["html"] if "html" in pages.columns else []
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), *html)
     words = written(unigrams(base), "unigrams")
     total = float(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) + 1.0
-    # without ANSI surprises: a null url is an empty one
     u = base.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     u = u.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_and_verdict(rules)
     u = u.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
 
-    # counts by host and by path first: a host with very many pages is one row from here on
+    # counts by host first: a host with very many pages is one row from here on
     kinds = [F.sum(F.when(F.col("by_rule") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")]
     hosts = written(u.groupBy("host").agg(*kinds), "hosts")
-    paths = written(u.groupBy("path").agg(*kinds), "paths")
     labels = hosts.select(F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).distinct()
     parts = written(segments(labels, words, total), "segments")
-    host_tokens = hosts.select("host", "allow", "block", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).join(_bounded(parts), "label")
+    host_tokens = hosts.select("host", "allow", "block", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).join(_bounded(parts, "label"), "label")
     host_tokens = written(host_tokens.select("host", "allow", "block", F.explode("parts").alias("w")).select("host", "allow", "block", F.concat(F.lit("h:"), "w").alias("token")), "host-tokens")
-    path_tokens = written(paths.select("path", "allow", "block", F.explode(_path_tokens(F.col("path"))).alias("token")), "path-tokens")
+    ruled = [F.sum(F.when(F.col("by_rule") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")]
+    path_tokens = u.where("by_rule is not null").select("by_rule", F.explode(_path_tokens(F.col("path"))).alias("token")).groupBy("token").agg(*ruled)
 
     counts = host_tokens.select("token", "allow", "block").unionByName(path_tokens.select("token", "allow", "block")).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where("allow + block > 0")
     counts = written(counts, "token-counts")
-    got = counts.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
-    size, na, nb = (float(x) for x in got)
-    docs = hosts.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
-    da, db = (float(x) for x in docs)
+    size, na, nb = (float(x) for x in counts.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first())
+    da, db = (float(x) for x in hosts.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first())
     odds = F.log((F.col("block") + SMOOTH) / (nb + SMOOTH * (size + 1))) - F.log((F.col("allow") + SMOOTH) / (na + SMOOTH * (size + 1)))
-    model = _bounded(counts.select("token", odds.alias("odds")))
+    model = counts.select("token", odds.alias("odds"))
     prior = math.log(db / da) if da and db else (1e6 if db else -1e6)
 
-    def scored(tokens: DataFrame, key: str) -> DataFrame:
-        return tokens.select(key, "token").join(model, "token").groupBy(key).agg(F.sum("odds").alias(f"{key}_odds"))
-
-    by_host, by_path = written(scored(host_tokens, "host"), "host-odds"), written(scored(path_tokens, "path"), "path-odds")
-    out = u.join(_bounded(by_host), "host", "left").join(_bounded(by_path), "path", "left")
+    by_host = host_tokens.join(_bounded(model, "token"), "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
+    by_host = written(by_host, "host-odds")
+    of_paths = model.where("startswith(token, 'p:')")
+    if _small(of_paths, "token"):
+        weight = {r["token"]: r["odds"] for r in of_paths.toArrow().to_pylist()}  # within SENT_BYTES
+        u = u.withColumn("tokens", _path_tokens(F.col("path"))).mapInArrow(_path_odds(weight), u.schema.add("path_odds", "double"))
+    else:
+        paths = u.select("path").distinct().select("path", F.explode(_path_tokens(F.col("path"))).alias("token"))
+        by_path = paths.join(of_paths, "token").groupBy("path").agg(F.sum("odds").alias("path_odds"))
+        u = u.join(by_path, "path", "left")
+    out = u.join(_bounded(by_host, "host"), "host", "left")
     score = F.round(F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)), 6)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
+    out = written(out, "judged")
+    drop(spark, words, hosts, parts, host_tokens, counts, by_host)
+    return out
+
+
+def _path_odds(weight: dict[str, float]):
+    """Adds ``path_odds``, the sum of the weights of a row's ``tokens``, which go."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2_000):
+                part = batch.slice(lo, 2_000)
+                odds = [sum(weight.get(t, 0.0) for t in tokens) for tokens in part.column(part.schema.get_field_index("tokens")).to_pylist()]
+                names = [n for n in part.schema.names if n != "tokens"]
+                yield pa.record_batch([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(odds, pa.float64())], [*names, "path_odds"])
+        _scan.trim()
+
+    return run
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
