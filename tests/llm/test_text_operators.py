@@ -141,7 +141,8 @@ def test_counts_of_documents(spark, odd_docs):
     assert TC.token_counts(odd_docs.limit(0)).count() == 0
 
 
-def test_blocks_of_flat_files(spark, tmp_path):
+def test_blocks_of_flat_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TC, "SPAN", 5)
     r = random.Random(1)
     want = {}
     for name in ("a", "b", "c", "d"):

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import fresh_path, table, written
+from ._store import drop, fresh_path, table, written
 from .chunk_table import ChunkTable, batches_of, blank_chunks
 
 #: Bytes of a block of a token file.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one task of the prefix scan adds up.
+SPAN = 4096
 VOCABULARY, END_OF_DOCUMENT = "byte_bpe_50k.tiktoken", 50256
 
 
@@ -147,16 +149,18 @@ def separator_counts(spark: SparkSession, folder: str, files: DataFrame | None =
     blocks = listed.select("file", F.explode(F.expr(f"sequence(0L, size - 1, {block}L)")).alias("at"), "size")
     blocks = blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, 1 + sum(s for _, s in found) // (8 * block)))
     scanned = written(blocks.mapInArrow(_scan_blocks(folder, separator, width, block), "file string, block long, n_seps long, head long, tail long, inner binary"), "blocks")
-    # prefix scan over the blocks of a file: separators before a block, and tokens since the last one
-    order = W.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    thin = scanned.select("file", "block", "n_seps", "head", "tail").withColumn("first", F.coalesce(F.sum("n_seps").over(before), F.lit(0)))
+    # prefix scan in two levels, over spans of blocks and within a span: separators before a block, and tokens since the last one
+    thin = scanned.select("file", "block", "n_seps", "head", "tail", F.floor(F.col("block") / SPAN).alias("span"))
+    earlier = lambda by, at: F.coalesce(F.sum("n_seps").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = thin.groupBy("file", "span").agg(F.sum("n_seps").alias("n_seps")).select("file", "span", earlier(["file"], "span").alias("base"))
+    thin = thin.withColumn("within", earlier(["file", "span"], "block")).join(spans, ["file", "span"])
+    thin = thin.select("file", "block", "n_seps", "head", "tail", (F.col("within") + F.col("base")).alias("first"))
     # blocks without a separator add all they have to the tail of the last block with one
-    run = W.partitionBy("file", "first").orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     held = thin.withColumn("whole", F.when(F.col("n_seps") == 0, F.col("head")).otherwise(0))
-    held = held.withColumn("since", F.sum("whole").over(run))
+    since = held.where("n_seps = 0").groupBy("file", "first").agg(F.sum("whole").alias("since"))
     carry = held.where("n_seps > 0").select("file", (F.col("first") + F.col("n_seps")).alias("first"), F.col("tail").alias("carried"))
-    j = held.join(carry, ["file", "first"], "left").withColumn("open", F.coalesce("carried", F.lit(0)) + F.col("since"))
+    j = held.join(carry, ["file", "first"], "left").join(since, ["file", "first"], "left")
+    j = j.withColumn("open", F.coalesce("carried", F.lit(0)) + F.coalesce("since", F.lit(0)))
     stitched = j.where("n_seps > 0").select("file", "block", "first", (F.col("head") + F.col("open")).alias("stitched"))
     docs = stitched.join(scanned.select("file", "block", "inner"), ["file", "block"]).select("file", "first", "stitched", "inner").mapInArrow(_emit, "file string, nth long, n_tokens long")
     # what follows the last separator of a file
@@ -173,6 +177,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = written(index.join(separator_counts(spark, folder, index), ["file", "nth"]).select("doc_id", "n_tokens"), "token-counts")
     fs, root = _open(folder)
     fs.delete_dir(root)
+    drop(spark, index)
     return counted
 
 
