@@ -18,11 +18,14 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.children: dict[int, int] = {}  # number of children by parent
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": self.open[-1] if self.open else -1, "depth": len(self.open), "text": []})
+        parent = self.open[-1] if self.open else -1
+        place = self.children[parent] = self.children.get(parent, 0) + 1
+        self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": parent, "place": place, "depth": len(self.open), "text": []})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -52,10 +55,8 @@ def text_hash(text: str) -> str:
 
 def structure(html: str) -> list[dict]:
     """Elements with a selector (``#id``, else ``.class``, else the path of places), hash of their text and number of children."""
-    nodes, out = Tree(html).nodes, []
-    children: dict[int, list[int]] = {}
-    for i, n in enumerate(nodes):
-        children.setdefault(n["parent"], []).append(i)
+    tree, out = Tree(html), []
+    nodes, children = tree.nodes, tree.children
     for i, n in enumerate(nodes):
         if n["attrs"].get("id"):
             selector = "#" + n["attrs"]["id"]
@@ -64,11 +65,10 @@ def structure(html: str) -> list[dict]:
         else:
             path, at = [], i
             while at >= 0:
-                place = children[nodes[at]["parent"]].index(at) + 1
-                path.append(f"{nodes[at]['tag']}:nth-child({place})")
+                path.append(f"{nodes[at]['tag']}:nth-child({nodes[at]['place']})")
                 at = nodes[at]["parent"]
             selector = " > ".join(reversed(path))
-        out.append({"tag": n["tag"], "selector": selector, "text_hash": text_hash("".join(n["text"]).strip()), "child_count": len(children.get(i, ())), "pos": i})
+        out.append({"tag": n["tag"], "selector": selector, "text_hash": text_hash("".join(n["text"]).strip()), "child_count": children.get(i, 0), "pos": i})
     return out
 
 
@@ -137,7 +137,59 @@ def census(html: str) -> list[dict]:
     return [{"kind": k, "n": n} for k, n in sorted(out.items())]
 
 
+def css_scanned(css: str) -> list[str]:
+    """``url()`` references of a style sheet with balanced brackets; what stands behind a backslash is taken as it is."""
+    low, out, at = css.lower(), [], 0
+    while (found := low.find("url(", at)) >= 0:
+        depth, value, at = 1, [], found + 4
+        while at < len(css):
+            c = css[at]
+            if c == "\\" and at + 1 < len(css):
+                value.append(css[at + 1])
+                at += 2
+                continue
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                break
+            value.append(c)
+            at += 1
+        at += 1
+        ref = "".join(value).strip().strip("\"'").strip()
+        if ref:
+            out.append(ref)
+    return out
+
+
+# Where an article is looked for when there is no <article>, in this order (attribute, value).
+ARTICLES = (("role", "main"), ("class", "main-content"), ("class", "content"), ("id", "content"), ("class", "post-content"), ("class", "entry-content"), ("class", "article-body"), ("itemprop", "articleBody"))
+
+
+def article(html: str) -> dict:
+    """Title, where the article was found, and its text: ``<article>``, a usual container, else the one with most text."""
+    tree = Tree(html)
+    nodes = tree.nodes
+    ends, own = [0] * len(nodes), [[] for _ in nodes]
+    for i in range(len(nodes) - 1, -1, -1):  # elements below i are those up to its end
+        ends[i] = max(i + 1, ends[i])
+        if nodes[i]["parent"] >= 0:
+            ends[nodes[i]["parent"]] = max(ends[nodes[i]["parent"]], ends[i])
+    text = lambda i: " ".join("".join(t for n in nodes[i : ends[i]] if n["tag"] not in ("script", "style") for t in n["text"]).split())
+    has = lambda n, a, v: v in n["attrs"].get("class", "").split() if a == "class" else n["attrs"].get(a) == v
+    title = next((text(i) for i, n in enumerate(nodes) if n["tag"] == "title"), "")
+    at, how = next((i for i, n in enumerate(nodes) if n["tag"] == "article"), None), "article"
+    for a, v in ARTICLES:
+        if at is None:
+            at, how = next((i for i, n in enumerate(nodes) if has(n, a, v)), None), f"{a}={v}"
+    if at is None:
+        length = lambda i: sum(len("".join(n["text"]).strip()) for n in nodes[i : ends[i]] if n["tag"] not in ("script", "style"))
+        sizes = [(length(i), -i) for i, n in enumerate(nodes) if n["tag"] in ("div", "section", "main")]
+        at, how = (-max(sizes)[1], "largest") if sizes and max(sizes)[0] else (next((i for i, n in enumerate(nodes) if n["tag"] == "body"), None), "body")
+    return {"title": title, "how": how if at is not None else "none", "content": text(at) if at is not None else ""}
+
+
 _SCHEMAS = {
+    "css": (lambda h: [{"ref": x} for x in css_scanned(h)], "ref string"),
+    "article": (lambda h: [article(h)], "title string, how string, content string"),
     "census": (census, "kind string, n int"),
     "structure": (structure, "tag string, selector string, text_hash string, child_count int, pos int"),
     "media": (media, "src string, type string"),
@@ -155,8 +207,9 @@ def extract(pages: DataFrame, what: str, id_col: str = "page_id", html_col: str
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
+            rows_at_once = max(1, min(200, b.num_rows * (1 << 20) // max(b.nbytes, 1)))
+            for lo in range(0, b.num_rows, rows_at_once):
+                part = b.slice(lo, rows_at_once)
                 rows = [(i, r) for i, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in f(h or "")]
                 yield pa.RecordBatch.from_pylist([{id_col: i, **{n: (int(r[n]) if isinstance(r[n], bool) else r[n]) for n in names}} for i, r in rows], schema=_arrow(b.schema.field(0).type, id_col, inner))
 

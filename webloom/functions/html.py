@@ -46,8 +46,18 @@ def links(base: Column, html: Column) -> Column:
     """Resolved urls of url attributes: no fragments, scripts or mail, the page's own host or none."""
     refs = F.filter(attr_values(visible(html), [*T.URL_ATTRS, *[a for a in T.DATA_URL_ATTRS if a != "data-srcset"]]), lambda r: ~r.rlike("^(?:#|javascript:|mailto:)") & (r != ""))
     decoded = F.transform(refs, lambda r: F.replace(r, F.lit("&amp;"), F.lit("&")))
-    full = F.transform(decoded, lambda r: U.resolve(base, r))
-    return F.filter(full, lambda u: (U.host(u) == U.host(base)) | (U.part(u, 1) == ""))
+
+    def own(b: Column) -> Column:
+        full = F.transform(decoded, lambda r: U.resolve_parts(base, b, r))
+        host = U._host_of(F.get(b, 1))
+        return U.let(host, lambda h: F.filter(full, lambda u: (U.host(u) == h) | (U.part(u, 1) == "")))
+
+    return U.let(U.parts(base), own)
+
+
+def routes(base: Column, html: Column, most: int = 50) -> Column:
+    """The first ``most`` distinct site links of a page, in the order of the page."""
+    return F.slice(F.array_distinct(links(base, html)), 1, most)
 
 
 def title(html: Column) -> Column:
@@ -102,6 +112,18 @@ def _typed(kind: str):
     return lambda r: F.struct(F.lit(kind).alias("type"), r.alias("ref"))
 
 
+def js_imports(js: Column) -> Column:
+    """Distinct references of a script that lead to scripts."""
+    refs = F.transform(js_urls(js), lambda x: x["ref"])
+    return F.array_distinct(F.filter(refs, lambda r: r.rlike(r"(?i)\.m?js(?:[?#].*)?$")))
+
+
+def css_imports(css: Column) -> Column:
+    """Distinct style sheets that a sheet imports, plain or by ``url()``."""
+    found = F.regexp_extract_all(css, F.lit(r"""(?i)@import\s+(?:url\(\s*)?["']?([^"')\s;]+)"""), F.lit(1))
+    return F.array_distinct(found)
+
+
 def module_urls(html: Column) -> Column:
     """(type, ref) of import map values and module scripts."""
     maps = F.regexp_extract_all(html, F.lit(T.IMPORT_MAP), F.lit(1))
@@ -143,7 +165,8 @@ def asset_urls(page: Column, html: Column, relative: bool = False, css_relative:
     """
     clean = without(html, COMMENT)
     absolute = r"^https?://"
-    full = lambda refs, resolve: F.transform(refs, lambda r: U.resolve(page, F.replace(F.trim(r), F.lit("&amp;"), F.lit("&")))) if resolve else refs
+    resolved = lambda refs: U.let(U.parts(page), lambda b: F.transform(refs, lambda r: U.resolve_parts(page, b, F.replace(F.trim(r), F.lit("&amp;"), F.lit("&")))))
+    full = lambda refs, resolve: resolved(refs) if resolve else refs
     plain = full(attr_values(clean, ["src", "poster", "data", "data-[a-z-]*(?:src|url|bg|image|lazy)[a-z-]*"]), relative)
     sets = F.flatten(F.transform(attr_values(clean, ["srcset", "data-srcset"]), lambda s: F.transform(F.split(s, ","), lambda x: F.substring_index(F.trim(x), " ", 1))))
     hrefs = F.filter(full(attr_values(clean, ["href", "action"]), relative), lambda u: ~U.is_html_page_url(u))
@@ -173,3 +196,32 @@ def json_of(html: Column, element_id: str) -> Column:
     """JSON text of a script element; null if it can't be parsed."""
     text = F.regexp_extract(html, rf"(?s)<script[^>]*\sid=[\"']{element_id}[\"'][^>]*>(.*?)</script>", 1)
     return F.to_json(F.try_parse_json(F.nullif(F.trim(text), F.lit(""))))
+
+
+def json_ld(html: Column) -> Column:
+    """JSON-LD blocks of a page that can be parsed, as JSON text."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*\stype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    return F.filter(F.transform(found, lambda t: F.to_json(F.try_parse_json(F.trim(t)))), lambda j: j.isNotNull())
+
+
+def structured_data(html: Column) -> Column:
+    """(jsonld, og, twitter, meta): JSON-LD blocks and meta tags by kind, prefixes taken off; of a repeated name the last counts."""
+    pairs = meta_pairs(html)
+    part = lambda keep, cut: F.map_from_entries(F.transform(_last(F.filter(pairs, keep)), lambda m: F.struct(F.substring(m["name"], F.lit(cut + 1), F.length(m["name"])), m["content"])))
+    og, twitter = (lambda m: m["name"].startswith("og:")), (lambda m: m["name"].startswith("twitter:"))
+    return F.struct(json_ld(html).alias("jsonld"), part(og, 3).alias("og"), part(twitter, 8).alias("twitter"), part(lambda m: ~og(m) & ~twitter(m), 0).alias("meta"))
+
+
+def _last(pairs: Column) -> Column:
+    """The last pair of each name."""
+    return F.filter(pairs, lambda m, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda o: o["name"] == m["name"]))
+
+
+def article(html: Column) -> Column:
+    """Content of the first ``<article>``; empty without one (``dom.article`` has the further ways)."""
+    return F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)
+
+
+def word_count(html: Column) -> Column:
+    """Words of a page's text between blanks, tags included."""
+    return F.size(F.filter(F.split(html, r"[ \n\t]+"), lambda w: w != ""))

@@ -19,10 +19,26 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests) if tests else F.lit(False)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, PARTS, n)
 
 
+def parts(url: Column) -> Column:
+    """Array of scheme, authority, path, query and fragment (empty strings where the url has none), by one pass over the url."""
+    cut = F.split(F.regexp_replace(url, PARTS, "$1\0$2\0$3\0$4\0$5"), "\0", -1)
+    slow = F.array(*[part(url, n) for n in range(1, 6)])
+    return let(cut, lambda c: F.when((F.size(c) == 5) & ~url.rlike("[\\n\\r\\x00\\u0085\\u2028\\u2029]"), c).otherwise(slow))
+
+
+def _host_of(authority: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r":[0-9]*$", "")
+
+
 def scheme(url: Column) -> Column:
     return F.lower(part(url, 1))
 
@@ -80,33 +96,48 @@ def sort_query(q: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, user or fragment, path and query in normal form; others stay as they are."""
-    port = F.regexp_extract(authority(url), r":([0-9]+)$", 1)
-    plain = (port == "") | ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
-    q = sort_query(query(url))
-    text = F.concat(scheme(url), F.lit("://"), host(url), F.when(plain, "").otherwise(F.concat(F.lit(":"), port)), normalize_path(path(url)), F.when((query(url) != "") & (q != ""), F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(is_valid_url(url) & (host(url) != ""), text).otherwise(url)
+
+    def text(p: Column) -> Column:
+        kind, q = F.lower(F.get(p, 0)), F.get(p, 3)
+        asked = F.when(q == "", "").otherwise(let(sort_query(q), lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")))
+
+        def full(name: Column) -> Column:
+            port = F.regexp_extract(name, r":([0-9]+)$", 1)
+            plain = port.isin("") | ((kind == "http") & (port == "80")) | ((kind == "https") & (port == "443"))
+            bare = F.regexp_replace(name, r":[0-9]*$", "")
+            shown = F.when(plain, bare).otherwise(F.concat(bare, F.lit(":"), port))
+            out = F.concat(kind, F.lit("://"), shown, normalize_path(F.get(p, 2)), asked)
+            return F.when(kind.isin("http", "https") & (bare != ""), out).otherwise(url)
+
+        return let(F.lower(F.regexp_replace(F.get(p, 1), r"^.*@", "")), full)
+
+    return let(parts(url), text)
 
 
 def normalize_and_clean(url: Column) -> Column:
     """``normalize_url``, but a fragment that routes (``/`` or ``!/``) stays."""
     f = fragment(url)
-    return F.when(f.rlike("^!?/"), F.concat(normalize_url(url), F.lit("#"), f)).otherwise(normalize_url(url))
+    return let(normalize_url(url), lambda n: F.when(f.rlike("^!?/"), F.concat(n, F.lit("#"), f)).otherwise(n))
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """RFC 3986 resolution of absolute, ``//``, ``/``, ``?``, ``#`` and relative references."""
-    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    return let(parts(base), lambda p: resolve_parts(base, p, ref))
+
+
+def resolve_parts(base: Column, p: Column, ref: Column) -> Column:
+    """``resolve``, with the base's parts at hand."""
+    root = F.concat(F.get(p, 0), F.lit("://"), F.get(p, 1))
+    folder = F.regexp_replace(F.when(F.get(p, 2) == "", "/").otherwise(F.get(p, 2)), "[^/]*$", "")
     tail = F.regexp_extract(ref, r"[?#].*$", 0)
-    merged = F.concat(folder, F.regexp_replace(ref, r"[?#].*$", ""))
-    clean = lambda p: F.concat(_dots(p), tail)
+    bare = F.regexp_replace(ref, r"[?#].*$", "")
+    merged = F.when(ref.startswith("/"), bare).otherwise(F.concat(folder, bare))
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(part(base, 1), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(root, clean(F.regexp_replace(ref, r"[?#].*$", ""))))
-        .when(ref.startswith("?"), F.concat(root, path(base), ref))
+        .when(ref.startswith("//"), F.concat(F.get(p, 0), F.lit(":"), ref))
+        .when(ref.startswith("?"), F.concat(root, F.get(p, 2), ref))
         .when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(root, clean(merged)))
+        .otherwise(F.concat(root, let(merged, _dots), tail))
     )
 
 
@@ -171,23 +202,44 @@ def is_drop_segment(s: Column, prev: Column, keep: list[str] = ()) -> Column:
 def strip_drop_query(q: Column, keep: list[str] = ()) -> Column:
     key = lambda p: F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.lit("")))
     kept = lambda k: k.isin(*keep) if keep else F.lit(False)
-    return F.array_join(F.filter(F.split(q, "&"), lambda p: kept(key(p)) | ~(key(p).isin(*T.DROP_KEYS) | key(p).startswith("utm_"))), "&")
+    return F.array_join(F.filter(F.split(q, "&"), lambda p: let(key(p), lambda k: kept(k) | ~(k.isin(*T.DROP_KEYS) | k.startswith("utm_")))), "&")
 
 
 def canonical_key(url: Column, keep_query: list[str] = (), keep_segments: list[str] = ()) -> Column:
     """Without noise parameters, pagination segments and an ending slash; order, case and fragment stay."""
-    segs = F.split(F.regexp_replace(path(url), "^/+|/+$", ""), "/")
-    marked = F.transform(segs, lambda s, i: F.struct(s.alias("s"), is_drop_segment(s, F.when(i > 0, F.get(segs, i - 1)).otherwise(""), keep_segments).alias("drop")))
-    kept = F.transform(F.filter(marked, lambda m: ~m["drop"]), lambda m: m["s"])
-    q = strip_drop_query(query(url), keep_query)
-    text = F.concat(part(url, 1), F.lit("://"), part(url, 2), F.lit("/"), F.array_join(kept, "/"), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""), F.when(fragment(url) != "", F.concat(F.lit("#"), fragment(url))).otherwise(""))
-    return F.when(part(url, 1) != "", text).otherwise(url)
+    return let(parts(url), lambda p: key_of_parts(url, p, keep_query, keep_segments))
+
+
+def key_of_parts(url: Column, p: Column, keep_query: list[str] = (), keep_segments: list[str] = ()) -> Column:
+    """``canonical_key``, with the url's parts at hand."""
+
+    def kept(segs: Column) -> Column:
+        drop = lambda s, i: is_drop_segment(s, F.when(i > 0, F.get(segs, i - 1)).otherwise(""), keep_segments)
+        marked = F.transform(segs, lambda s, i: F.when(~drop(s, i), s))
+        return F.array_join(F.filter(marked, lambda s: s.isNotNull()), "/")
+
+    segs = let(F.split(F.regexp_replace(F.get(p, 2), "^/+|/+$", ""), "/"), kept)
+    q = F.when(F.get(p, 3) == "", "").otherwise(strip_drop_query(F.get(p, 3), keep_query))
+    asked = let(q, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(""))
+    text = F.concat(F.get(p, 0), F.lit("://"), F.get(p, 1), F.lit("/"), segs, asked, F.when(F.get(p, 4) != "", F.concat(F.lit("#"), F.get(p, 4))).otherwise(""))
+    return F.when(F.get(p, 0) != "", text).otherwise(url)
 
 
 def is_noise_path(url: Column) -> Column:
     return any_of([F.lower(path(url)).startswith(p) for p in T.NOISE_PREFIXES])
 
 
+def noise_of_parts(p: Column) -> Column:
+    """``is_noise_path``, with the url's parts at hand."""
+    return let(F.lower(F.get(p, 2)), lambda x: any_of([x.startswith(n) for n in T.NOISE_PREFIXES]))
+
+
+def weight_of_parts(p: Column) -> Column:
+    """``clean_weight``, with the url's parts at hand."""
+    paged = F.get(p, 2).contains("/page/") | F.get(p, 2).contains("/comment-page")
+    return F.when(F.get(p, 3) != "", 10).otherwise(0) + F.when(paged, 5).otherwise(0)
+
+
 def clean_weight(url: Column) -> Column:
     p = path(url)
     return F.when(query(url) != "", 10).otherwise(0) + F.when(p.contains("/page/") | p.contains("/comment-page"), 5).otherwise(0)
@@ -205,16 +257,25 @@ def directory_aliases(url: Column) -> Column:
 
 def path_for_url(url: Column) -> Column:
     """Path of a url's file below the output folder, safe against traversal."""
-    raw = F.when(path(url).isin("", "/"), "/index.html").otherwise(path(url))
-    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    named = F.regexp_replace(F.when(decoded.endswith("/"), F.concat(decoded, F.lit("index.html"))).otherwise(decoded), "^/", "")
-    base = F.regexp_extract(named, "([^/]*)$", 1)
-    full = F.when(base.contains("."), named).otherwise(F.concat(named, F.lit("/index.html")))
-    safe = F.when(full.contains(".."), "_safe_path").otherwise(full)
-    suffix = F.regexp_extract(safe, r"(\.[^./]*)$", 1)
-    stem = F.substring(safe, F.lit(1), F.length(safe) - F.length(suffix))
-    asked = F.when(query(url) == "", safe).otherwise(F.concat(stem, F.lit("_"), F.translate(query(url), "/\\:?&", "_____"), suffix))
-    return F.concat(F.when(host(url) == "", "_unknown").otherwise(host(url)), F.lit("/"), asked)
+    return let(parts(url), path_of_parts)
+
+
+def path_of_parts(p: Column) -> Column:
+    """``path_for_url``, with the url's parts at hand."""
+    path, asked = F.get(p, 2), F.get(p, 3)
+    raw = F.when(path.isin("", "/"), "/index.html").otherwise(path)
+    decoded = let(raw, lambda r: F.coalesce(F.try_url_decode(F.replace(r, F.lit("+"), F.lit("%2B"))), r))
+    named = let(decoded, lambda d: F.regexp_replace(F.when(d.endswith("/"), F.concat(d, F.lit("index.html"))).otherwise(d), "^/", ""))
+    full = let(named, lambda n: F.when(F.substring_index(n, "/", -1).contains("."), n).otherwise(F.concat(n, F.lit("/index.html"))))
+
+    def with_query(f: Column) -> Column:
+        safe = F.when(f.contains(".."), "_safe_path").otherwise(f)
+        suffix = F.regexp_extract(f, r"(\.[^./]*)$", 1)
+        stem = lambda x: F.concat(F.substring(f, F.lit(1), F.length(f) - F.length(x)), F.lit("_"), F.translate(asked, "/\\:?&", "_____"), x)
+        renamed = F.when(f.contains(".."), F.concat(F.lit("_safe_path_"), F.translate(asked, "/\\:?&", "_____"))).otherwise(let(suffix, stem))
+        return F.when(asked == "", safe).otherwise(renamed)
+
+    return F.concat(let(_host_of(F.get(p, 1)), lambda h: F.when(h == "", "_unknown").otherwise(h)), F.lit("/"), let(full, with_query))
 
 
 def path_for_api(url: Column) -> Column:

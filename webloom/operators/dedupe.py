@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -20,13 +21,28 @@ def content_aliases(rows: DataFrame, body: Column, path: Column, seq: Column, ke
     return joined.select(key, "seq", F.col("f.own_path").alias("path"), (F.col("f.seq") != F.col("seq")).alias("alias"))
 
 
+def content_report(rows: DataFrame, body: Column, group: Column, seq: Column) -> DataFrame:
+    """``host, n_pages, n_distinct, n_aliased`` of a group of pages (their host): how many bodies are another page's.
+
+    The first row (by ``seq``) with a body keeps it.  One scan; what is shuffled are counts
+    by digest and group, so a body that very many pages share is a row for each group.
+    """
+    narrow = rows.where(F.coalesce(F.length(body), F.lit(0)) > 0).select(F.sha2(body, 256).alias("sha"), group.alias("host"), seq.alias("seq"))
+    each = narrow.groupBy("sha", "host").agg(F.count("*").alias("n"), F.min("seq").alias("own"))
+    first = each.withColumn("first", F.min("own").over(W.partitionBy("sha")))
+    kept = (F.col("own") == F.col("first")).cast("int")
+    return first.groupBy("host").agg(F.sum("n").alias("n_pages"), F.count("*").alias("n_distinct"), F.sum(F.col("n") - kept).alias("n_aliased"))
+
+
 def dedupe_pages(pages: DataFrame, url: str = "url", path: str = "path", keep_query: list[str] = (), keep_segments: list[str] = ()) -> DataFrame:
     """One row per canonical page: ``key, kept, n_pages``; noise routes are dropped.
 
     The cleanest url (least weight, then path) of each group is kept.
     """
     u = F.col(url)
-    rows = pages.where(~U.is_noise_path(u)).select(U.canonical_key(u, keep_query, keep_segments).alias("key"), U.clean_weight(u).alias("w"), F.col(path).alias("path"))
+    # the url is taken apart once; its parts go on as a column
+    rows = pages.select(u.alias("u"), U.parts(u).alias("p"), F.col(path).alias("path")).where(~U.noise_of_parts(F.col("p")))
+    rows = rows.select(U.key_of_parts(F.col("u"), F.col("p"), keep_query, keep_segments).alias("key"), U.weight_of_parts(F.col("p")).alias("w"), "path")
     return rows.groupBy("key").agg(F.min(F.struct("w", "path"))["path"].alias("kept"), F.count("*").alias("n_pages"))
 
 
@@ -56,3 +72,38 @@ def resolved_mapping(sources: list[DataFrame]) -> DataFrame:
         one = s.select(F.explode(U.directory_aliases(F.col("url"))).alias("url"), "path", F.lit(rank).alias("rank"))
         every = one if every is None else every.unionByName(one)
     return every.groupBy("url").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
+
+
+def asset_copies(files: DataFrame, path: Column, digest: Column) -> DataFrame:
+    """``is_page, n_files, n_contents``: stored files by kind, and how many contents they have; assets are all kept, whatever their content."""
+    each = files.groupBy(U.is_html_page_url(path).alias("is_page"), digest.alias("_sha")).agg(F.count("*").alias("n"))
+    return each.groupBy("is_page").agg(F.sum("n").alias("n_files"), F.count("*").alias("n_contents"))
+
+
+def localised(refs: DataFrame, mapping: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``path`` and ``how`` (mapped, unescaped, derived, none) to references (absolute ``url``).
+
+    A reference's stored file is that of its url in ``mapping`` (``url, path``), else that of
+    its percent-decoded url, else the place where it would have been saved, if it is among
+    ``files`` (``path``).  Urls are looked up once each, so a very frequent one costs no more.
+    """
+    one = refs.select(url).distinct()
+    decoded = F.coalesce(F.try_url_decode(F.replace(F.col(url), F.lit("+"), F.lit("%2B"))), F.col(url))
+    one = one.select(url, decoded.alias("_d"), F.when(U.is_valid_url(F.col(url)) & (U.host(F.col(url)) != ""), U.path_for_url(F.col(url))).alias("_p"))
+    known = mapping.groupBy(F.col("url").alias("_u")).agg(F.min("path").alias("_m"))
+    have = files.select(F.col("path").alias("_p")).distinct().withColumn("_has", F.lit(True))
+    one = one.join(known, F.col(url) == F.col("_u"), "left").drop("_u")
+    one = one.join(known.select(F.col("_u"), F.col("_m").alias("_n")), F.col("_d") == F.col("_u"), "left").drop("_u").join(have, "_p", "left")
+    how = F.when(F.col("_m").isNotNull(), "mapped").when(F.col("_n").isNotNull(), "unescaped").when(F.col("_has"), "derived").otherwise("none")
+    one = one.select(url, F.coalesce("_m", "_n", F.when(F.col("_has"), F.col("_p"))).alias("path"), how.alias("how"))
+    return refs.join(one, url, "left").withColumn("how", F.coalesce("how", F.lit("none")))
+
+
+def stored_pages(files: DataFrame, path: Column) -> DataFrame:
+    """Rows whose stored path is a page of its own folder."""
+    return files.withColumn("path", path).where(F.col("path").endswith("index.html") & (F.size(F.split("path", "/")) >= 2))
+
+
+def run_report(files: DataFrame, url: Column, body: Column) -> DataFrame:
+    """``n_pages, n_html, n_bytes`` of a run, in one row."""
+    return files.agg(F.count("*").alias("n_pages"), F.sum(U.is_html_page_url(url).cast("int")).alias("n_html"), F.sum(F.octet_length(body)).alias("n_bytes"))

@@ -68,26 +68,32 @@ def limiter_step(state: tuple[float, float] | None, latency: float, least: float
 # -- circuit breaker --------------------------------------------------------------------
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
-#: Failures that open, successes that close, seconds that an open breaker waits.
+# Failures that open, successes that close, seconds that an open breaker or a probe waits.
 FAILURES, SUCCESSES, WAIT_S = 5, 2, 60.0
 
 
 def breaker_step(state: tuple[str, int, int, float] | None, at: float, ok: bool) -> tuple[str, int, int, float]:
-    """(state, failures, successes, time of the last change) after one more outcome."""
+    """(state, failures, successes, time of the last failure or probe) after one more outcome.
+
+    An open breaker lets a probe pass after more than WAIT_S; a half-open one whose probe
+    has not settled within WAIT_S opens again, and the request at hand isn't made.
+    """
     name, bad, good, since = state or (CLOSED, 0, 0, at)
     if name == OPEN:
-        if at - since < WAIT_S:
+        if not at - since > WAIT_S:
             return name, bad, good, since
-        name, good, since = HALF_OPEN, 0, at
+        name, bad, good, since = HALF_OPEN, 0, 0, at
+    elif name == HALF_OPEN and at - since > WAIT_S:
+        return OPEN, bad, good, at
     if name == HALF_OPEN:
         if not ok:
-            return OPEN, FAILURES, 0, at
+            return OPEN, bad + 1, 0, at
         good += 1
         return (CLOSED, 0, 0, at) if good >= SUCCESSES else (HALF_OPEN, bad, good, since)
     if ok:
         return CLOSED, 0, 0, since
     bad += 1
-    return (OPEN, bad, 0, at) if bad >= FAILURES else (CLOSED, bad, 0, since)
+    return (OPEN, bad, 0, at) if bad >= FAILURES else (CLOSED, bad, 0, at)
 
 
 def fold(step, rows: Iterable[tuple], state=None):
@@ -97,32 +103,64 @@ def fold(step, rows: Iterable[tuple], state=None):
         yield state
 
 
-def breaker_states(events: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", ok: str = "ok") -> DataFrame:
-    """Breaker state of each key after its last event (events of one key are folded in order, in one task)."""
+def folded(events: DataFrame, key: str, at: str, order: str, value: Column, step, result, schema: str) -> DataFrame:
+    """``key`` and ``schema``: what ``result(key, state, events)`` makes of each key's state after its last event.
+
+    Events come to a task by key and time, sorted by Spark (which spills), and pass through
+    one at a time: a key with very many events takes time, not memory.
+    """
+    us = F.unix_micros(F.col(at).cast("timestamp")).cast("double") / 1e6
+    rows = events.select(F.col(key).alias("key"), us.alias("at"), F.col(order).alias("seq"), value.alias("value")).where("key is not null")
+    rows = rows.repartition("key").sortWithinPartitions("key", "at", "seq")
+    full = f"{key} {events.schema[key].dataType.simpleString()}, {schema}"
+
+    def run(batches):
+        last, state, n = None, None, 0
+        for b in batches:
+            out = []
+            for k, t, v in zip(b["key"], b["at"], b["value"]):
+                if n and k != last:
+                    out.append((last, *result(state, n)))
+                    state, n = None, 0
+                last, state, n = k, step(state, t, v), n + 1
+            yield pd.DataFrame(out, columns=names)
+        if n:
+            yield pd.DataFrame([(last, *result(state, n))], columns=names)
+
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+    return rows.mapInPandas(run, full)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        last = None
-        for last in fold(breaker_step, zip(pdf["at"], pdf["ok"])):
-            pass
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "state": [last[0]], "failures": [last[1]], "events": [len(pdf)]})
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("us"), F.col(order).alias("seq"), F.col(ok).alias("ok"))
-    rows = rows.select("key", (F.col("us") / 1e6).alias("at"), "seq", "ok")
-    return rows.groupBy("key").applyInPandas(run, "key string, state string, failures long, events long")
+def breaker_states(events: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", ok: str = "ok") -> DataFrame:
+    """Breaker state of each key after its last event."""
+    return folded(events, key, at, order, F.col(ok), breaker_step, lambda s, n: (s[0], s[1], n), "state string, failures long, events long")
 
 
 def limiter_delays(events: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", latency: str = "value") -> DataFrame:
-    """Delay of each key after its last latency: an ordered fold in the JVM."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("seq"), F.col(latency).alias("ms"))))
-    zero = F.struct(F.lit(1000.0).alias("delay"), F.lit(-1.0).alias("mean"))
+    """Delay and mean latency of each key after its last latency."""
+    step = lambda state, _, ms: limiter_step(state, float(ms))
+    return folded(events, key, at, order, F.col(latency).cast("double"), step, lambda s, n: (round(s[0], 6), round(s[1], 6)), "delay double, mean double")
+
+
+def outcomes(events: DataFrame, key: str, order: str, ok: Column, attempts: int = 3) -> DataFrame:
+    """``attempts`` (of the first success, null if there is none) and ``ok`` of each key's retry loop; ranks are cut before the shuffle."""
+    k = F.row_number().over(W.partitionBy(key).orderBy(order))
+    a = events.select(key, ok.alias("_ok"), k.alias("_k")).where(F.col("_k") <= attempts)
+    return a.groupBy(key).agg(F.min(F.when(F.col("_ok"), F.col("_k"))).alias("attempts"), F.bool_or("_ok").alias("ok"))
+
+
+def idle(events: DataFrame, key: str, at: str, minutes: int = 10) -> DataFrame:
+    """Keys whose last event is older than ``minutes`` before the last of all; one pass finds both."""
+    last = events.groupBy(key).agg(F.max(at).alias("last"))
+    now = last.agg(F.max("last").alias("now"))
+    return last.join(F.broadcast(now), F.col("last") < F.col("now") - F.make_dt_interval(mins=F.lit(minutes))).select(key)  # one row
+
 
-    def step(s: Column, r: Column) -> Column:
-        mean = s["mean"] * 0.7 + r["ms"] * 0.3
-        delay = F.when(mean > s["delay"] * 3, F.least(s["delay"] * 2, F.lit(30_000.0))).when(mean < s["delay"] / 3, F.greatest(s["delay"] / 2, F.lit(100.0))).otherwise(s["delay"])
-        return F.when(s["mean"] < 0, F.struct(s["delay"].alias("delay"), r["ms"].alias("mean"))).otherwise(F.struct(delay.alias("delay"), mean.alias("mean")))
+def first_of_host(pages: DataFrame, url: str = "url", seq: str = "page_id") -> DataFrame:
+    """``host`` and the first page of each: what is fetched once a host."""
+    from ..functions import urls as U
 
-    return events.groupBy(key).agg(F.aggregate(rows, zero, step).alias("s")).select(key, F.round("s.delay", 6).alias("delay"), F.round("s.mean", 6).alias("mean"))
+    return pages.groupBy(U.host(F.col(url)).alias("host")).agg(F.min(seq).alias(seq))
 
 
 # -- cron -------------------------------------------------------------------------------

@@ -7,14 +7,16 @@ import json
 import os
 import posixpath
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import urls as U
+
 _SKIP = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
 _URL = re.compile(r"""url\(\s*("[^"]*+"|'[^']*+'|(?:[^()"'\\]|\\.|\((?:[^()\\]|\\.)*+\))*+)\s*\)""", re.I)
 _IMPORT = re.compile(r"""(@import\s+)(["'])([^"']+)\2""", re.I)
@@ -60,6 +62,11 @@ def rewrite_css_file(css: str, base: str, path: str, mapping: dict[str, str]) ->
     return rewrite_css(css, base, os.path.dirname(path), mapping)
 
 
+def rewrite_srcset_of(value: str, base: str, path: str, mapping: dict[str, str]) -> str:
+    """``rewrite_srcset`` for a page stored at ``path``."""
+    return rewrite_srcset(value, base, os.path.dirname(path), mapping)
+
+
 def rewrite_srcset(value: str, base: str, folder: str, mapping: dict[str, str]) -> str:
     out = []
     for part in value.split(","):
@@ -98,7 +105,7 @@ def rewrite_html(html: str, base: str, path: str, mapping: dict[str, str]) -> st
     def tag(m: re.Match) -> str:
         if m[1].lower() == "base":
             return ""
-        return f"<{m[1]}{_ATTR.sub(attr, m[2])}>"
+        return f"<{m[1]}{_ATTR.sub(attr, m[2])}>" if "=" in m[2] else m[0]
 
     def raw(m: re.Match) -> str:
         if (m[1] or "").lower() == "style":
@@ -118,17 +125,42 @@ def rewrite_html(html: str, base: str, path: str, mapping: dict[str, str]) -> st
     return "".join(out)
 
 
+_STRING = r"""(["'`])([^"'`]*)\2"""
+# Where bundles name urls.
+PUBLIC_PATH = r"(__webpack_require__\.p\s*=\s*|publicPath\s*:\s*)"
+DYNAMIC = r"(\bimport\s*\(\s*)"
+PREFIX = r"([\"']?assetPrefix[\"']?\s*:\s*)"
+IMAGES = r"([\"']?loader(?:Path|File)?[\"']?\s*:\s*)"
+
+
 def rewrite_js(js: str, base: str, path: str, mapping: dict[str, str]) -> str:
-    """Mapped absolute strings and imports become relative paths; public paths of bundles become ``./_next/``, asset prefixes ``./``."""
+    """The passes over a bundle: public path, dynamic imports, chunks, prefix and build id, image loader, other strings.
+
+    An absolute public path becomes ``./_next/``, a relative one stays; chunk names and build
+    ids stay; asset prefixes become ``./``; imports, loaders and strings with a stored file
+    become its relative path.
+    """
     folder = os.path.dirname(path)
-    js = re.sub(r"""(__webpack_require__\.p\s*=\s*|publicPath\s*:\s*)(["'])[^"']*/_next/\2""", r"\1\2./_next/\2", js)
-    js = re.sub(r"""(["']?assetPrefix["']?\s*:\s*)(["'])[^"']*\2""", r"\1\2./\2", js)
+
+    def stored(ref: str) -> str | None:
+        to = None if ref.startswith(("./", "../")) and urljoin(base, ref) not in mapping else local(ref, base, folder, mapping)
+        return None if to is None else to if to.startswith(".") else "./" + to
+
+    def mapped(m: re.Match) -> str:
+        to = stored(m[3])
+        return m[0] if to is None else f"{m[1]}{m[2]}{to}{m[2]}"
+
+    def public(m: re.Match) -> str:
+        return f"{m[1]}{m[2]}./_next/{m[2]}" if m[3].startswith(("http://", "https://", "//")) else m[0]
+
+    js = re.sub(PUBLIC_PATH + _STRING, public, js)
+    js = re.sub(DYNAMIC + _STRING, mapped, js)
+    js = re.sub(PREFIX + _STRING, r"\1\2./\2", js)
+    js = re.sub(IMAGES + _STRING, mapped, js)
 
     def string(m: re.Match) -> str:
-        to = local(m[2], base, folder, mapping)
-        if to is None:
-            return m[0]
-        return f"{m[1]}{to if to.startswith('.') else './' + to}{m[1]}"
+        to = stored(m[2])
+        return m[0] if to is None else f"{m[1]}{to}{m[1]}"
 
     return re.sub(r"""(["'`])((?:https?:)?//[^"'`\s]+|\.{0,2}/[^"'`\s]+\.m?js)\1""", string, js)
 
@@ -177,20 +209,58 @@ def inline_assets(html: str, base: str, bodies: dict[str, tuple[str, bytes]]) ->
     return re.sub(r"""(<img[^>]*\ssrc\s*=\s*["'])([^"']+)(["'])""", img, html, flags=re.I)
 
 
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``most`` bytes."""
+    rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _run(how: Callable, body: str):
+    def run(batches):
+        for b in batches:
+            for part in _parts(b):
+                out = []
+                for url, path, text, pairs in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
+                    out.append(None if text is None else how(text, url or "", path or "", {x["ref_url"]: x["path"] for x in pairs or ()}))
+                yield pa.record_batch([part.column(0), pa.array(out, pa.string())], ["page_id", body])
+
+    return run
+
+
+def inlined(pages: DataFrame, bodies: DataFrame, body: str = "html") -> DataFrame:
+    """``page_id`` and pages in one file (``page_id, url``, body); ``bodies`` is ``page_id, ref_url, mime, content`` of each page's own assets."""
+    own = bodies.groupBy("page_id").agg(F.collect_list(F.struct("ref_url", "mime", "content")).alias("_files"))
+    rows = pages.select("page_id", "url", body).join(own, "page_id", "left")
+
+    def run(batches):
+        for b in batches:
+            for part in _parts(b):
+                out = [None if text is None else inline_assets(text, url or "", {x["ref_url"]: (x["mime"], x["content"]) for x in files or ()}) for url, text, files in zip(*(part.column(i).to_pylist() for i in range(1, 4)))]
+                yield pa.record_batch([part.column(0), pa.array(out, pa.string())], ["page_id", body])
+
+    return rows.mapInArrow(run, T.StructType([pages.schema["page_id"], T.StructField(body, T.StringType())]))
+
+
+def next_data(html: str, base: str, path: str, mapping: dict[str, str]) -> str:
+    """``rewrite_next_data`` as a rewriter of pages."""
+    return rewrite_next_data(html, mapping)
+
+
 def rewritten(pages: DataFrame, mapping: DataFrame, how: Callable = rewrite_html, body: str = "html") -> DataFrame:
     """``page_id`` and the rewritten ``body`` of pages (``page_id, url, path``, body).
 
     ``mapping`` is ``page_id, ref_url, path``: for each page the stored files of its own
-    references (a join of references and files), so that no task needs all files.
+    references (a join of references and files), so that no task needs all files.  Where a
+    reference's path follows from its url, ``rewritten_in_place`` shuffles nothing.
     """
     own = mapping.groupBy("page_id").agg(F.collect_list(F.struct("ref_url", "path")).alias("_map"))
     rows = pages.select("page_id", "url", "path", body).join(own, "page_id", "left")
+    return rows.mapInArrow(_run(how, body), T.StructType([pages.schema["page_id"], T.StructField(body, T.StringType())]))
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for url, path, text, pairs in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                out.append(None if text is None else how(text, url or "", path or "", {x["ref_url"]: x["path"] for x in pairs or ()}))
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], ["page_id", body])
 
-    return rows.mapInArrow(run, T.StructType([pages.schema["page_id"], T.StructField(body, T.StringType())]))
+def rewritten_in_place(pages: DataFrame, refs: Column, how: Callable = rewrite_html, body: str = "html") -> DataFrame:
+    """As ``rewritten``, with the files of the references ``refs`` (an array of urls) by their rule; bodies stay where they are."""
+    own = F.transform(F.array_distinct(refs), lambda u: F.struct(u.alias("ref_url"), U.path_for_url(u).alias("path")))
+    rows = pages.select("page_id", "url", U.path_for_url(F.col("url")).alias("path"), body, own.alias("_map"))
+    return rows.mapInArrow(_run(how, body), T.StructType([pages.schema["page_id"], T.StructField(body, T.StringType())]))

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -63,19 +64,47 @@ def parse(text: str, agent: str) -> dict:
 def by_status(status: int, text: str, agent: str) -> dict:
     """As ``parse``, by the response's status: server errors disallow everything, other failures allow everything."""
     if status == 200:
-        return parse(text[: 500 << 10], agent) | {"transient": False}
+        return parse(text.encode()[: 500 << 10].decode("utf-8", "ignore"), agent) | {"transient": False}
     return {"allow": [], "disallow": ["/"] if status >= 500 else [], "delay": 0.0, "sitemaps": [], "transient": status >= 500}
 
 
+_PARSED = "host string, allow array<string>, disallow array<string>, delay double, sitemaps array<string>, transient boolean"
+
+
 def parsed(files: DataFrame, agent: str) -> DataFrame:
-    """``host, rule, allow, delay, transient`` of fetched files (``host, status, body``), one row a rule."""
+    """``host, allow, disallow, delay, sitemaps, transient`` of fetched files (``host, status, body``), one row a file."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for host, status, body in zip(b["host"], b["status"], b["body"]):
-                got = by_status(int(status), body or "", agent)
-                rows += [(host, r, a, got["delay"], got["transient"]) for a, rs in ((True, got["allow"]), (False, got["disallow"])) for r in rs]
-            yield pd.DataFrame(rows, columns=["host", "rule", "allow", "delay", "transient"])
+            rows = [(host, *(got[c] for c in ("allow", "disallow", "delay", "sitemaps", "transient"))) for host, status, body in zip(b["host"], b["status"], b["body"]) for got in [by_status(int(status or 0), body or "", agent)]]
+            yield pd.DataFrame(rows, columns=["host", "allow", "disallow", "delay", "sitemaps", "transient"])
+
+    return files.select("host", "status", "body").mapInPandas(run, _PARSED)
+
+
+def rules(entries: DataFrame) -> DataFrame:
+    """``host, rule, allow`` of parsed files, one row a rule."""
+    one = lambda c, v: entries.select("host", F.explode(c).alias("rule"), F.lit(v).alias("allow"))
+    return one("allow", True).unionByName(one("disallow", False))
+
+
+def effective_delay(entries: DataFrame, key: str, delay: Column, default: float) -> DataFrame:
+    """``key, delay``: the greatest delay that a host's entries ask for, or the default where none does."""
+    return entries.groupBy(key).agg(F.coalesce(F.nullif(F.max(delay), F.lit(0.0)), F.lit(default)).alias("delay"))
+
+
+# How long a fetched file counts, and one that a server error stands for.
+VALID, VALID_TRANSIENT = "interval 24 hours", "interval 5 minutes"
+
+
+def validity(rows: DataFrame, key: str, at: str, order: str, is_fetch: Column, transient: Column) -> DataFrame:
+    """Adds ``valid`` to every row: whether the key's last fetch up to it still counts (false without any); one sort, no join."""
+    until = F.col(at) + F.when(transient, F.expr(VALID_TRANSIENT)).otherwise(F.expr(VALID))
+    w = W.partitionBy(key).orderBy(at, order).rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(is_fetch, until), ignorenulls=True).over(w)
+    return rows.withColumn("valid", F.coalesce(F.col(at) < last, F.lit(False)))
+
 
-    return files.select("host", "status", "body").mapInPandas(run, "host string, rule string, allow boolean, delay double, transient boolean")
+def unexpired(entries: DataFrame, fetched: str, now: Column) -> DataFrame:
+    """Cached files that were fetched no longer than the validity ago; the others are dropped."""
+    return entries.where(F.col(fetched) + F.expr(VALID) >= now)

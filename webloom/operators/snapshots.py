@@ -15,15 +15,39 @@ def captured(rows: DataFrame, key: str, version: str, body: str, keep: int = 10)
     return fresh.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(version)))).where(F.col("rank") <= keep)
 
 
-def structural_diff(old: DataFrame, new: DataFrame, key: str, selector: str = "selector", digest: str = "text_hash", ignore: list[str] = ()) -> DataFrame:
+def changes(rows: DataFrame, key: str, version: str, body: str) -> DataFrame:
+    """``key, version, changed``: whether each version differs from the one before (the first does not)."""
+    hashed = rows.select(key, version, F.sha2(F.coalesce(F.col(body), F.lit("")), 256).alias("_h"))
+    before = F.lag("_h").over(W.partitionBy(key).orderBy(version))
+    return hashed.select(key, version, F.coalesce(F.col("_h") != before, F.lit(False)).alias("changed"))
+
+
+def changed_keys(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """``key, n_versions`` of the keys with more than one distinct body; digests alone are shuffled."""
+    n = rows.select(key, F.sha2(F.coalesce(F.col(body), F.lit("")), 256).alias("_h")).groupBy(key).agg(F.countDistinct("_h").alias("n_versions"))
+    return n.where("n_versions > 1")
+
+
+def step_diffs(elements: DataFrame, key: str, version: str, selector: str = "selector", digest: str = "text_hash", ignore: list[str] = ()) -> DataFrame:
+    """``structural_diff`` of every version of every key against the version before it."""
+    turns = elements.select(key, version).distinct()
+    turns = turns.withColumn("_next", F.lead(version).over(W.partitionBy(key).orderBy(version))).withColumn("_first", F.lag(version).over(W.partitionBy(key).orderBy(version)).isNull())
+    both = elements.join(turns, [key, version])
+    new = both.where("not _first").select(key, version, selector, digest, "pos")
+    old = both.where("_next is not null").select(key, F.col("_next").alias(version), selector, digest, "pos")
+    return structural_diff(old, new, [key, version], selector, digest, ignore)
+
+
+def structural_diff(old: DataFrame, new: DataFrame, key: str | list[str], selector: str = "selector", digest: str = "text_hash", ignore: list[str] = ()) -> DataFrame:
     """``key, selector, change`` (added, removed, modified) between two versions; of repeated selectors the last (by ``pos``) counts.
 
     Selectors that hold an ignored part are left out.
     """
-    last = lambda df, name: df.groupBy(key, selector).agg(F.max_by(digest, "pos").alias(name))
-    both = last(old, "was").withColumn("_o", F.lit(True)).join(last(new, "now").withColumn("_n", F.lit(True)), [key, selector], "full_outer")
+    key = [key] if isinstance(key, str) else list(key)
+    last = lambda df, name: df.groupBy(*key, selector).agg(F.max_by(digest, "pos").alias(name))
+    both = last(old, "was").withColumn("_o", F.lit(True)).join(last(new, "now").withColumn("_n", F.lit(True)), [*key, selector], "full_outer")
     change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "modified")
-    out = both.select(key, selector, change.alias("change")).where("change is not null")
+    out = both.select(*key, selector, change.alias("change")).where("change is not null")
     for part in ignore:
         out = out.where(~F.col(selector).contains(part))
     return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import urls as U
+from ..operators import archive as A
 from . import sqltext as S
 from .health import events
 from .registry import query
@@ -19,33 +20,37 @@ def a02(spark, d):
 
 @query("a03_first_response", f"SELECT {S.normal_url('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1")
 def a03(spark, d):
-    return pages(spark, d).groupBy(U.normalize_url(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    return A.first_responses(pages(spark, d))
 
 
 @query("a04_keep_last_n", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def a04(spark, d):
-    k = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return events(spark, d).select("event_id", "user_id", "ts").withColumn("k", k).where("k <= 5").select("event_id")
+    return A.newest(events(spark, d).select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 5).select("event_id")
 
 
 @query("a05_exact_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def a05(spark, d):
-    return events(spark, d).select("user_id", "event_type").distinct()
+    return A.exact_seen(events(spark, d), "user_id", "event_type")
 
 
-@query("a06_messages_by_key", "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM events GROUP BY 1")
+@query("a06_messages_by_key", "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events")
 def a06(spark, d):
-    m = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return events(spark, d).groupBy("user_id").agg(m.alias("m")).select("user_id", F.array_join(F.transform("m", lambda x: x["event_type"]), ",").alias("types"))
+    return A.ordered_messages(events(spark, d).select("event_id", "user_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
 
 
-@query("a07_replay_lookup", f"WITH f AS (SELECT url, min(page_id) AS hit FROM pages WHERE page_id % 2 = 0 GROUP BY 1), b AS (SELECT regexp_replace(url, '[?#].*$', '') AS base, min(page_id) AS hit FROM pages WHERE page_id % 2 = 0 GROUP BY 1) SELECT p.page_id, coalesce(f.hit, b.hit) AS hit FROM pages p LEFT JOIN f ON f.url = p.url LEFT JOIN b ON b.base = regexp_replace(p.url, '[?#].*$', '')")
+@query("a07_replay_lookup", """WITH c AS (SELECT page_id AS seq, CASE WHEN page_id % 6 = 0 THEN 'https://h.e/graphql' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN 'GET' ELSE '' END AS m, CASE WHEN page_id % 6 = 0 THEN 'q' || (page_id % 5) END AS op FROM pages WHERE page_id % 2 = 0),
+k AS (SELECT CASE WHEN op IS NULL THEN url ELSE url || '|gql:' || op END AS key, string_split(url, '?')[1] AS base, op IS NULL AS plain, m, seq FROM c),
+q AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://h.e/graphql' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS m, CASE WHEN page_id % 3 = 0 THEN 'q' || (page_id % 5) END AS op FROM pages),
+r AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS bare FROM q)
+SELECT page_id, coalesce((SELECT min(seq) FROM k WHERE k.key = r.url || '|gql:' || r.op AND k.m IN ('', r.m)), (SELECT min(seq) FROM k WHERE k.key = r.url AND k.m IN ('', r.m)), (SELECT min(seq) FROM k WHERE k.key = r.bare AND k.m IN ('', r.m)), (SELECT min(seq) FROM k WHERE plain AND k.base = r.bare AND k.m IN ('', r.m))) AS hit FROM r""")
 def a07(spark, d):
-    p = pages(spark, d).withColumn("base", F.regexp_replace("url", "[?#].*$", ""))
-    even = p.where("page_id % 2 = 0")
-    full = even.groupBy("url").agg(F.min("page_id").alias("f"))
-    base = even.groupBy("base").agg(F.min("page_id").alias("b"))
-    return p.join(full, "url", "left").join(base, "base", "left").select("page_id", F.coalesce("f", "b").alias("hit"))
+    """Requests by method; every third is a GraphQL one, told apart by its operation."""
+    p = pages(spark, d)
+    body = F.concat(F.lit('{"operationName":"q'), (F.col("page_id") % 5).cast("string"), F.lit('"}'))
+    at = lambda n: F.when(F.col("page_id") % n == 0, F.lit("https://h.e/graphql")).otherwise(F.col("url"))
+    captured = p.where("page_id % 2 = 0").select(F.col("page_id").alias("seq"), at(6).alias("url"), F.when(F.col("page_id") % 4 == 0, "GET").alias("method"), F.when(F.col("page_id") % 6 == 0, body).alias("body"))
+    requests = p.select("page_id", at(3).alias("url"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), F.when(F.col("page_id") % 3 == 0, body).alias("body"))
+    return A.replayed(requests, captured).select("page_id", "hit")
 
 
 @query("a11_cdx_index", f"SELECT page_id, url, coalesce(sum(strlen(html)) OVER (ORDER BY url, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_raw FROM pages")
@@ -58,45 +63,56 @@ def a11(spark, d):
 
 @query("a13_conditional_cache", "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'view') AS etag, max(ts) AS fetched FROM events GROUP BY 1")
 def a13(spark, d):
-    last = F.max_by(F.col("event_type"), F.when(F.col("event_type") != "view", F.struct("ts", "event_id")))
-    return events(spark, d).groupBy("user_id").agg(last.alias("etag"), F.max("ts").alias("fetched"))
+    etag = F.when(F.col("event_type") != "view", F.col("event_type"))
+    return A.cache_upserts(events(spark, d), "user_id", ["ts", "event_id"], etag)
+
+
+@query("a14_conditional_headers", "WITH c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'view') AS etag FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT event_id, coalesce(etag, '') AS if_none_match, CASE WHEN c.user_id IS NULL THEN '' ELSE 'm' || c.user_id END AS if_modified_since FROM events e LEFT JOIN c USING (user_id)")
+def a14(spark, d):
+    e = events(spark, d)
+    cache = a13(spark, d).where("user_id % 2 = 0").select("user_id", "etag", F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("last_modified"))
+    return A.conditional_headers(e.select("event_id", "user_id"), cache, "user_id").select("event_id", "if_none_match", "if_modified_since")
 
 
 @query("a15_file_index", f"SELECT {S.local_path('url')} AS local_path, arg_max(sha256(html), page_id) AS sha, arg_max(strlen(html), page_id)::INTEGER AS size FROM pages GROUP BY 1")
 def a15(spark, d):
-    p = pages(spark, d, "html").select(U.path_for_url(F.col("url")).alias("local_path"), "page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
-    return p.groupBy("local_path").agg(F.max_by("sha", "page_id").alias("sha"), F.max_by("size", "page_id").alias("size"))
+    return A.file_index(pages(spark, d, "html"), U.path_for_url(F.col("url")), F.col("html"), "page_id")
 
 
 @query("a16_audit_query", "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('error', 'purchase') AND user_id % 3 = 0 AND ts >= (SELECT min(ts) FROM events) + INTERVAL 1 HOUR ORDER BY ts, event_id LIMIT 50 OFFSET 10")
 def a16(spark, d):
     e = events(spark, d)
-    first = e.agg(F.min("ts").alias("t0"))
-    hit = e.where(F.col("event_type").isin("error", "purchase") & (F.col("user_id") % 3 == 0)).join(F.broadcast(first), F.col("ts") >= F.expr("t0 + interval 1 hour"))
-    return hit.orderBy("ts", "event_id").offset(10).limit(50).select("event_id", "user_id", "event_type")
+    since = F.lit(e.agg(F.min("ts") + F.expr("interval 1 hour")).first()[0]).cast(e.schema["ts"].dataType)
+    hit = A.audit_query(e.where("user_id % 3 = 0"), "ts", since=since, limit=50, offset=10, order=["event_id"], event_type=["error", "purchase"])
+    return hit.select("event_id", "user_id", "event_type")
 
 
 @query("a18_client_ip", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN '10.1.0.1' ELSE '10.2.0.2' END AS ip FROM events")
 def a18(spark, d):
     forwarded = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("user_id").cast("string"), F.lit(", 1.1.1.1"))).otherwise("")
     real = F.when(F.col("event_id") % 3 == 1, "10.1.0.1").otherwise("")
-    return events(spark, d).select("event_id", F.coalesce(F.nullif(F.trim(F.substring_index(forwarded, ",", 1)), F.lit("")), F.nullif(real, F.lit("")), F.lit("10.2.0.2")).alias("ip"))
+    return events(spark, d).select("event_id", A.client_ip(forwarded, real, F.lit("10.2.0.2")).alias("ip"))
 
 
 @query("a19_cookie_jar", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2)) WHERE k <= 2")
 def a19(spark, d):
-    last = events(spark, d).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
-    return last.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))).where("k <= 2").drop("k")
+    return A.cookie_jar(events(spark, d), "user_id", "event_type", "event_id", 2)
+
+
+@query("a19_injected_cookies", f"WITH p AS (SELECT page_id, {S.host('url')} AS host FROM pages), j AS (SELECT * FROM (VALUES ('example.com', 'a'), ('com', 'b'), ('net', 'c'), ('nowhere.org', 'd')) t(domain, name)) SELECT page_id, name FROM p JOIN j ON host = domain OR ends_with(host, '.' || domain)")
+def a19_injected(spark, d):
+    jar = spark.createDataFrame([("example.com", "a"), ("com", "b"), ("net", "c"), ("nowhere.org", "d")], "domain string, name string")
+    return A.injected_cookies(pages(spark, d).select("page_id", U.host(F.col("url")).alias("host")), jar).select("page_id", "name")
 
 
 @query("a20_metrics", "SELECT count(*) AS pages, sum(strlen(html))::BIGINT AS bytes FROM pages")
 def a20(spark, d):
-    return pages(spark, d, "html").agg(F.count("*").alias("pages"), F.sum(F.octet_length("html")).alias("bytes"))
+    return A.metrics(pages(spark, d, "html"))
 
 
 @query("p01_word_count", "SELECT page_id, len(list_filter(regexp_split_to_array(html, '[ \\n\\t]+'), lambda w: w <> ''))::INTEGER AS n_words, strlen(html)::INTEGER AS n_bytes FROM pages")
 def p01(spark, d):
-    return pages(spark, d, "html").select("page_id", F.size(F.filter(F.split("html", r"[ \n\t]+"), lambda w: w != "")).alias("n_words"), F.octet_length("html").alias("n_bytes"))
+    return pages(spark, d, "html").select("page_id", H.word_count(F.col("html")).alias("n_words"), F.octet_length("html").alias("n_bytes"))
 
 
 @query("p03_url_filter_plugin", "SELECT page_id FROM pages WHERE NOT contains(url, 'en/1') AND NOT contains(url, 'login')")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import dedupe as D
+from ..operators import rewrite as RW
 from . import sqltext as S
 from .registry import query
 from .urls import pages
@@ -21,9 +22,7 @@ _ART = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
 )
 def d01(spark, d):
     p = pages(spark, d, "html").select("page_id", "url", F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1).alias("body"))
-    got = D.content_aliases(p, F.col("body"), F.col("url"), F.col("page_id"))
-    named = got.join(p.select(F.col("page_id").alias("seq"), U.host(F.col("url")).alias("host")), "seq")
-    return named.groupBy("host").agg(F.count("*").alias("n_pages"), F.countDistinct("sha").alias("n_distinct"), F.sum(F.col("alias").cast("int")).alias("n_aliased"))
+    return D.content_report(p, F.col("body"), U.host(F.col("url")), F.col("page_id"))
 
 
 @query("d01_document_dedupe", "SELECT sha256(text) AS sha, min(doc_id) AS kept, count(*) AS n_docs FROM documents WHERE text <> '' GROUP BY 1")
@@ -48,9 +47,11 @@ def d02(spark, d):
     return D.dedupe_pages(v.withColumn("path", U.path_for_url(F.col("url"))))
 
 
-@query("d03_asset_copies", f"SELECT {S.is_page('url')} AS is_page, count(*) AS n FROM pages GROUP BY 1")
+@query("d03_asset_copies", "WITH f AS (SELECT 'e/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.png' ELSE '/index.html' END AS path, sha256((page_id % 7)::VARCHAR) AS sha FROM pages) SELECT ends_with(path, 'html') AS is_page, count(*) AS n_files, count(DISTINCT sha) AS n_contents FROM f GROUP BY 1")
 def d03(spark, d):
-    return pages(spark, d).groupBy(U.is_html_page_url(F.col("url")).alias("is_page")).agg(F.count("*").alias("n"))
+    n = F.col("page_id").cast("string")
+    f = pages(spark, d).select(F.concat(F.lit("https://e/"), n, F.when(F.col("page_id") % 3 == 0, ".png").otherwise("/index.html")).alias("path"), (F.col("page_id") % 7).cast("string").alias("body"))
+    return D.asset_copies(f, F.col("path"), F.sha2("body", 256))
 
 
 @query(
@@ -67,19 +68,24 @@ def d04(spark, d):
     return D.resolved_mapping([one, two])
 
 
-@query("d05_localise_ref", f"WITH m AS (SELECT DISTINCT {S.normal_url('url')} AS url FROM pages WHERE page_id % 2 = 0) SELECT page_id, CASE WHEN m.url IS NOT NULL THEN 'mapped' WHEN {S.is_page('p.url')} THEN 'derived' ELSE 'none' END AS how FROM pages p LEFT JOIN m ON m.url = {S.normal_url('p.url')}")
+@query("d05_localise_ref", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mapped' WHEN 1 THEN 'unescaped' WHEN 2 THEN 'derived' ELSE 'none' END AS how, CASE page_id % 4 WHEN 0 THEN 'm/' || page_id WHEN 1 THEN 'u/' || page_id WHEN 2 THEN 'h.e/a b' || page_id || '.png' END AS path FROM pages")
 def d05(spark, d):
-    p = pages(spark, d).withColumn("n", U.normalize_url(F.col("url")))
-    m = p.where("page_id % 2 = 0").select("n").distinct().withColumn("hit", F.lit(True))
-    how = F.when(F.col("hit"), "mapped").when(U.is_html_page_url(F.col("url")), "derived").otherwise("none")
-    return p.join(m, "n", "left").select("page_id", how.alias("how"))
+    """References found by url, by decoded url, by the place of their file, and not at all."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    p = pages(spark, d).select("page_id", n.alias("n"), kind.alias("kind"))
+    refs = p.select("page_id", F.concat(F.lit("https://h.e/a%20b"), "n", F.when(F.col("kind") == 3, ".gif").otherwise(".png")).alias("url"))
+    mapping = p.where("kind = 0").select(F.concat(F.lit("https://h.e/a%20b"), "n", F.lit(".png")).alias("url"), F.concat(F.lit("m/"), "n").alias("path"))
+    mapping = mapping.unionByName(p.where("kind = 1").select(F.concat(F.lit("https://h.e/a b"), "n", F.lit(".png")).alias("url"), F.concat(F.lit("u/"), "n").alias("path")))
+    files = p.where("kind <> 3").select(F.concat(F.lit("h.e/a b"), "n", F.lit(".png")).alias("path"))
+    return D.localised(refs, mapping, files).select("page_id", "how", "path")
 
 
-@query("d08_srcset", "SELECT page_id, '/' || page_id || '.png 1x, /big.png 2x' AS srcset FROM pages")
+@query("d08_srcset", "SELECT page_id, 'i' || page_id || '.png 1x, https://h.e/big.png 2x' AS srcset FROM pages")
 def d08(spark, d):
-    raw = F.concat(F.lit("https://h/"), F.col("page_id").cast("string"), F.lit(".png 1x ,  https://h/big.png 2x"))
-    each = F.transform(F.split(raw, ","), lambda x: F.regexp_replace(F.trim(x), "^https://h", ""))
-    return pages(spark, d).select("page_id", F.array_join(each, ", ").alias("srcset"))
+    n = F.col("page_id").cast("string")
+    p = pages(spark, d).select("page_id", F.lit("https://h.e/p/").alias("url"), F.lit("h.e/p/index.html").alias("path"), F.concat(F.lit("/i"), n, F.lit(".png 1x ,  https://h.e/big.png 2x")).alias("srcset"))
+    m = p.select("page_id", F.concat(F.lit("https://h.e/i"), n, F.lit(".png")).alias("ref_url"), F.concat(F.lit("h.e/p/i"), n, F.lit(".png")).alias("path"))
+    return RW.rewritten(p, m, RW.rewrite_srcset_of, "srcset")
 
 
 _REFS = "regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']*)[\"'']', 1)"
@@ -99,10 +105,9 @@ def d13(spark, d):
 
 @query("d14_page_discovery", f"SELECT page_id, {S.local_path('url')} AS path FROM pages WHERE ends_with({S.local_path('url')}, 'index.html') AND len(string_split({S.local_path('url')}, '/')) >= 2")
 def d14(spark, d):
-    path = U.path_for_url(F.col("url"))
-    return pages(spark, d).select("page_id", path.alias("path")).where(F.col("path").endswith("index.html") & (F.size(F.split("path", "/")) >= 2))
+    return D.stored_pages(pages(spark, d), U.path_for_url(F.col("url"))).select("page_id", "path")
 
 
 @query("d16_run_report", f"SELECT count(*) AS n_pages, sum({S.is_page('url')}::INTEGER)::BIGINT AS n_html, sum(strlen(html))::BIGINT AS n_bytes FROM pages")
 def d16(spark, d):
-    return pages(spark, d, "html").agg(F.count("*").alias("n_pages"), F.sum(U.is_html_page_url(F.col("url")).cast("int")).alias("n_html"), F.sum(F.octet_length("html")).alias("n_bytes"))
+    return D.run_report(pages(spark, d, "html"), F.col("url"), F.col("html"))

@@ -1,50 +1,158 @@
-"""Queries of the tokenizer tier and the rewriters, and of archives."""
+"""Queries of the tokenizer tier, of the rewriters, and of stored files and archives."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from ..functions import html as H
 from ..functions import urls as U
 from ..operators import rewrite as RW
+from . import sqltext as S
+from .html import _HREFS, _planted
 from .registry import query
 from .urls import pages
 
 
-@query("e04_exact_links")
+@query("e01_exact_links", f"SELECT page_id, ref, count(*) AS n FROM (SELECT page_id, replace(unnest({_HREFS}), '&amp;', '&') AS ref FROM pages) WHERE ref <> '' GROUP BY 1, 2")
+def e01_exact(spark, d):
+    return dom.extract(pages(spark, d, "html"), "links").groupBy("page_id", "ref").agg(F.count("*").alias("n"))
+
+
+@query("e04_css_scanner", "SELECT page_id, unnest(['https://e.com/f/foo(bar).woff2', 'https://e.com/' || page_id || '.png', 'a(b(c))d', 'last']) AS ref FROM pages")
 def e04(spark, d):
-    return dom.extract(pages(spark, d, "html"), "links")
+    """Escaped and balanced brackets, quotes, upper case, and an end that is missing."""
+    css = r""".a{b:url(https://e.com/f/foo\(bar\).woff2)} .c{d:URL( "https://e.com/%.png" )} e{f:url(a(b(c))d);g:url()} h{i:url('last'"""
+    return dom.extract(_planted(spark, d, css), "css")
+
 
+_BODY = '<body><main id="m"><div class="x y"><p>a %</p><p>b</p></div><img src=i alt=""><a href="/p"></a><h1>t</h1><h3>u</h3><input type=text></main></body>'
 
-@query("e16_page_structure")
+
+@query("e16_page_structure", "SELECT page_id, unnest(['body', 'main', 'div', 'p', 'p', 'img', 'a', 'h1', 'h3', 'input']) AS tag, unnest(['body:nth-child(1)', '#m', 'div.x', 'body:nth-child(1) > main:nth-child(1) > div:nth-child(1) > p:nth-child(1)', 'body:nth-child(1) > main:nth-child(1) > div:nth-child(1) > p:nth-child(2)', 'body:nth-child(1) > main:nth-child(1) > img:nth-child(2)', 'body:nth-child(1) > main:nth-child(1) > a:nth-child(3)', 'body:nth-child(1) > main:nth-child(1) > h1:nth-child(4)', 'body:nth-child(1) > main:nth-child(1) > h3:nth-child(5)', 'body:nth-child(1) > main:nth-child(1) > input:nth-child(6)']) AS selector, unnest([1, 6, 2, 0, 0, 0, 0, 0, 0, 0])::INTEGER AS child_count, unnest(range(10))::INTEGER AS pos FROM pages")
 def e16(spark, d):
-    return dom.extract(pages(spark, d, "html"), "structure")
+    return dom.extract(_planted(spark, d, _BODY), "structure").select("page_id", "tag", "selector", "child_count", "pos")
+
+
+@query("e16_elements_of_pages", "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS html FROM pages)) GROUP BY 1, 2")
+def e16_pages(spark, d):
+    return dom.extract(pages(spark, d, "html"), "structure").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query("e18_media")
+@query("e18_media", "SELECT page_id, unnest(['/v' || page_id || '.mp4', '/v.webm', '/a.mp3', '/s']) AS src, unnest(['video', 'video-source', 'audio', 'source']) AS type FROM pages")
 def e18(spark, d):
-    html = F.concat("html", F.lit("<video src=/v.mp4><source src=/v.webm></video><audio src=/a.mp3></audio><source src=/s>"))
-    return dom.extract(pages(spark, d).select("page_id").join(pages(spark, d, "html"), "page_id").select("page_id", html.alias("html")), "media")
+    return dom.extract(_planted(spark, d, "<video src=/v%.mp4><source src=/v.webm></video><audio src=/a.mp3></audio><source src=/s><video src=/v%.mp4></video>"), "media")
 
 
-@query("e22_accessibility")
+@query("e22_accessibility", "SELECT page_id, 10 AS node_count, 3 AS max_depth, 1 AS missing_alt, 1 AS missing_label, 1 AS empty_link, 1 AS heading_skip, 2 AS headings, 1 AS landmarks, 0 AS required FROM pages")
 def e22(spark, d):
-    return dom.extract(pages(spark, d, "html"), "accessibility")
+    return dom.extract(_planted(spark, d, _BODY), "accessibility")
+
+
+@query("e27_interactive_census", "SELECT page_id, unnest(['button', 'input:email', 'input:text', 'link', 'onclick', 'role:tab']) AS kind, unnest([2, 1, 1, 1, 1, 1])::INTEGER AS n FROM pages")
+def e27(spark, d):
+    return dom.extract(_planted(spark, d, '<button onclick="f(%)">a</button><button>b</button><input><input type=email><a href=/p>p</a><a>q</a><b role=tab>t</b>'), "census")
 
 
 @query("d06_rewrite_html")
 def d06(spark, d):
-    """Each page with its own references mapped to local paths (references that no page answers stay)."""
-    from ..functions import html as H
+    """Each page with its own references mapped to local paths; no body is shuffled."""
+    p = pages(spark, d, "html")
+    return RW.rewritten_in_place(p, H.links(F.col("url"), F.col("html"))).select("page_id", F.md5("html").alias("md"), F.octet_length("html").alias("n_bytes"))
+
+
+@query("d06_rewritten_parts", """SELECT page_id, '<html><head><style>a{b:url(i' || page_id || '.png)}</style><script src="../s.js" integrity=""></script><!-- <a href="/x"> --></head><body style="c:url(i' || page_id || '.png)"><a href="../p' || page_id || '/index.html#f">x</a><img srcset="i' || page_id || '.png 1x, /none.png 2x"><a href="https://o.e/">o</a></body></html>' AS html FROM pages""")
+def d06_parts(spark, d):
+    """Attributes, style sheets, sets of sources, fragments, integrity and base; comments and what has no file stay."""
+    html = """<html><head><base href="/"><style>a{b:url(/i%.png)}</style><script src='/s.js' integrity="sha"></script><!-- <a href="/x"> --></head><body style="c:url(/i%.png)"><a href=/p%/#f>x</a><img srcset="/i%.png 1x, /none.png 2x"><a href="https://o.e/">o</a></body></html>"""
+    p = _planted(spark, d, html).withColumn("url", F.lit("https://h.e/d/")).withColumn("path", F.lit("h.e/d/index.html"))
+    n = F.col("page_id").cast("string")
+    one = lambda url, path: F.struct(F.replace(F.lit(url), F.lit("%"), n).alias("ref_url"), F.replace(F.lit(path), F.lit("%"), n).alias("path"))
+    refs = F.array(one("https://h.e/i%.png", "h.e/d/i%.png"), one("https://h.e/s.js", "h.e/s.js"), one("https://h.e/p%/", "h.e/p%/index.html"))
+    return RW.rewritten(p, p.select("page_id", F.inline(refs)))
+
+
+@query("d11_next_data", """SELECT page_id, '<script id="__NEXT_DATA__" type="application/json">{"assetPrefix":"","dynamicImports":["c/' || page_id || '.js","/d.js"],"page":"é"}</script><script id="__NEXT_DATA__">{broken</script>' AS html FROM pages""")
+def d11(spark, d):
+    html = """<script id="__NEXT_DATA__" type="application/json">{"assetPrefix": "https://cdn", "dynamicImports": ["/c%.js", "/d.js"], "page": "é"}</script><script id="__NEXT_DATA__">{broken</script>"""
+    p = _planted(spark, d, html).withColumn("url", F.lit("https://h.e/")).withColumn("path", F.lit("h.e/index.html"))
+    n = F.col("page_id").cast("string")
+    m = p.select("page_id", F.concat(F.lit("/c"), n, F.lit(".js")).alias("ref_url"), F.concat(F.lit("c/"), n, F.lit(".js")).alias("path"))
+    return RW.rewritten(p, m, RW.next_data)
+
+
+@query("d15_single_file", """SELECT page_id, '<style>a{b:' || page_id || '}</style><script>f(' || page_id || ')</script><img src="data:image/png;base64,' || to_base64(('i' || page_id)::BLOB) || '"><img src="/none.png">' AS html FROM pages""")
+def d15(spark, d):
+    html = """<link rel="stylesheet" href="/s.css"><script src="/j.js"></script><img src="/i.png"><img src="/none.png">"""
+    p = _planted(spark, d, html).withColumn("url", F.lit("https://h.e/"))
+    n = F.col("page_id").cast("string")
+    one = lambda name, mime, text: F.struct(F.lit(f"https://h.e/{name}").alias("ref_url"), F.lit(mime).alias("mime"), F.encode(text, "UTF-8").alias("content"))
+    files = F.array(one("s.css", "text/css", F.concat(F.lit("a{b:"), n, F.lit("}"))), one("j.js", "text/javascript", F.concat(F.lit("f("), n, F.lit(")"))), one("i.png", "image/png", F.concat(F.lit("i"), n)))
+    return RW.inlined(p, p.select("page_id", F.inline(files)))
+
+
+@query("a08_har_entries", f"SELECT page_id, '{{\"startedDateTime\":\"2025-01-01T00:00:00Z\",\"request\":{{\"method\":\"GET\",\"url\":' || to_json(url) || ',\"httpVersion\":\"HTTP/1.1\",\"queryString\":' || to_json(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'name': string_split(p, '=')[1], 'value': CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END}})) || '}},\"response\":{{\"status\":200,\"content\":{{\"size\":' || strlen(title) || ',\"mimeType\":\"text/html\",\"text\":' || to_json(title) || '}}}}}}' AS entry FROM (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)")
+def a08(spark, d):
+    from ..sources.warc import har_entry
 
-    p = pages(spark, d, "html").withColumn("path", U.path_for_url(F.col("url")))
-    refs = p.select("page_id", F.explode(F.array_distinct(H.links(F.col("url"), F.col("html")))).alias("ref_url"))
-    mapping = refs.withColumn("path", U.path_for_url(F.col("ref_url")))
-    return RW.rewritten(p, mapping).select("page_id", F.md5("html").alias("md"), F.octet_length("html").alias("n_bytes"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return pages(spark, d, "html").select("page_id", har_entry(F.col("url"), F.lit("GET"), F.lit(200), F.lit("text/html"), title, F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("entry"))
 
 
-@query("a08_har_entries")
-def a08(spark, d):
-    from ..sources.warc import har_entry
+@query("a12_wacz_package", "SELECT url, 'text/html' AS mime, 200 AS status, '20250101000000' AS date FROM pages")
+def a12(spark, d):
+    """The index of a package whose parts are checked against its data package."""
+    from ..sources.warc import read_wacz_index, shared_folder, wacz, write_warc
+
+    p = pages(spark, d, "html").select("url", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("date"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), F.encode("html", "UTF-8").alias("body"))
+    path = shared_folder(spark, "wacz")
+    write_warc(p, path, rotate=1 << 20)
+    wacz(path, f"{path}.wacz", "pages")
+    rows = [(x["url"], x["mime"], x["status"], x["date"]) for x in read_wacz_index(f"{path}.wacz")]
+    return spark.createDataFrame(rows, "url string, mime string, status int, date string")
+
+
+@query("s06_cdx_lines", "SELECT url, '20250101000000' AS date, 'text/html' AS mime, 200 AS status FROM pages")
+def s06(spark, d):
+    """The index of a written archive, as it comes back; every record is where the index says."""
+    from ..sources.warc import cdx, shared_folder, write_warc
+
+    p = pages(spark, d, "html").select("url", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("date"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), F.encode("html", "UTF-8").alias("body"))
+    path = shared_folder(spark, "cdx")
+    write_warc(p, path, rotate=1 << 20)
+    return cdx(spark, path).where("length > 0 and offset >= 0").select("url", "date", "mime", "status")
+
+
+@query("s02_clone_tree", f"SELECT DISTINCT rel_path, 'https://' || rel_path AS url, strlen(path)::BIGINT AS size FROM (SELECT {S.local_path('url')} AS rel_path, {S.local_path('url')} AS path FROM pages)")
+def s02(spark, d):
+    """A tree of files (each holds its own path), written and scanned."""
+    from ..sources.files import clone_tree, write_tree
+    from ..sources.warc import shared_folder
+
+    path = U.path_for_url(F.col("url"))
+    files = pages(spark, d).select(path.alias("rel_path")).distinct().select("rel_path", F.encode("rel_path", "UTF-8").alias("content"))
+    root = shared_folder(spark, "tree")
+    write_tree(files, root).count()
+    return clone_tree(spark, root).select("rel_path", "url", "size")
+
+
+@query("s11_tree_export", f"SELECT DISTINCT {S.local_path('url')} AS rel_path, strlen({S.local_path('url')})::BIGINT AS size FROM pages")
+def s11(spark, d):
+    from ..sources.files import write_tree
+    from ..sources.warc import shared_folder
+
+    path = U.path_for_url(F.col("url"))
+    files = pages(spark, d).select(path.alias("rel_path")).distinct().select("rel_path", F.encode("rel_path", "UTF-8").alias("content"))
+    return spark.createDataFrame(write_tree(files, shared_folder(spark, "export")).toArrow())
+
+
+@query("s03_index_json", f"SELECT {S.normal_url('url')} AS url, min({S.local_path('url')}) AS path FROM pages GROUP BY 1")
+def s03(spark, d):
+    """A file index as JSON lines, as it comes back."""
+    from ..sources.files import write_index
+    from ..sources.warc import shared_folder
 
-    return pages(spark, d, "html").select("page_id", har_entry(F.col("url"), F.lit("GET"), F.lit(200), F.lit("text/html"), F.col("html"), F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("entry"))
+    p = pages(spark, d).select(U.normalize_url(F.col("url")).alias("n"), U.path_for_url(F.col("url")).alias("path")).groupBy(F.col("n").alias("url")).agg(F.min("path").alias("path"))
+    root = shared_folder(spark, "index")
+    write_index(p, root)
+    return spark.read.schema("url string, path string").json(root)

@@ -58,54 +58,45 @@ def f06(spark, d):
 def f07(spark, d):
     u = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/x.png"))).otherwise(F.col("url"))
     p = pages(spark, d).select("page_id", u.alias("url"))
-    return p.select("page_id", F.when(U.is_html_page_url(F.col("url")), "page").when(U.is_excluded(F.col("url"), ["/fr/"]), "blocked").otherwise("asset").alias("lane"))
+    return p.select("page_id", R.lane(F.col("url"), ["/fr/"]).alias("lane"))
 
 
-@query("f08_seeds", f"SELECT DISTINCT {S.normal_url('url')} AS url, 0 AS depth FROM (SELECT url FROM pages WHERE page_id % 9 = 0 UNION ALL SELECT url || '#x' FROM pages WHERE page_id % 6 = 0)")
+@query("f08_seeds", f"SELECT DISTINCT {S.normal_url('url')} AS url, 0 AS depth FROM (SELECT url FROM pages UNION ALL SELECT url || '#x' FROM pages)")
 def f08(spark, d):
     p = pages(spark, d)
-    s = p.where("page_id % 9 = 0").select("url").unionByName(p.where("page_id % 6 = 0").select(F.concat("url", F.lit("#x")).alias("url")))
-    return s.select(U.normalize_url(F.col("url")).alias("url"), F.lit(0).alias("depth")).distinct()
+    return R.seeds([p, p.select(F.concat("url", F.lit("#x")).alias("url"))])
 
 
 @query("f09_seen_membership", f"WITH {_ITEMS} SELECT seq, url IN (SELECT url FROM items WHERE seq % 5 = 0) AS seen FROM items")
 def f09(spark, d):
     it = items(spark, d)
-    s = it.where("seq % 5 = 0").select("url").distinct().withColumn("hit", F.lit(True))
-    return it.join(s, "url", "left").select("seq", F.coalesce("hit", F.lit(False)).alias("seen"))
+    return R.membership(it, it.where("seq % 5 = 0")).select("seq", "seen")
 
 
 @query("f12_missing_resources", f"WITH {_ITEMS} SELECT DISTINCT url FROM items WHERE seq % 2 = 0 EXCEPT SELECT url FROM items WHERE seq % 3 = 0")
 def f12(spark, d):
     it = items(spark, d)
-    return it.where("seq % 2 = 0").select("url").distinct().join(it.where("seq % 3 = 0").select("url"), "url", "left_anti")
+    return R.missing(it.where("seq % 2 = 0"), it.where("seq % 3 = 0"))
 
 
 _MIMES = "CASE event_type WHEN 'view' THEN 'text/css' WHEN 'click' THEN 'application/javascript' WHEN 'purchase' THEN 'image/png' ELSE 'text/html' END"
 
 
-@query("f13_priority_order", f"SELECT event_id, priority FROM (SELECT event_id, CASE WHEN regexp_matches({_MIMES}, 'css|javascript|font|image') THEN 10 ELSE 0 END AS priority FROM events) ORDER BY priority DESC, event_id LIMIT 500")
+@query("f13_priority_order", f"SELECT event_id, priority, row_number() OVER (ORDER BY priority DESC, event_id) - 1 AS place FROM (SELECT event_id, CASE WHEN regexp_matches({_MIMES}, 'css|javascript|font|image') THEN 10 ELSE 0 END AS priority FROM events)")
 def f13(spark, d):
-    mime = F.expr(_MIMES)
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(mime.rlike("css|javascript|font|image"), 10).otherwise(0).alias("priority"))
-    return e.orderBy(F.desc("priority"), "event_id").limit(500)
+    return R.prioritised(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), F.expr(_MIMES), "event_id").select("event_id", "priority", "place")
 
 
 @query("f14_download_stats", "SELECT user_id, count(*) AS total, sum((event_type <> 'error')::INTEGER)::BIGINT AS completed, sum((event_type = 'error')::INTEGER)::BIGINT AS failed, round(sum(CASE WHEN event_type <> 'error' THEN value END) / nullif(sum((event_type <> 'error')::INTEGER), 0), 6) AS mean_value FROM events GROUP BY 1")
 def f14(spark, d):
-    ok = F.col("event_type") != "error"
-    e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id")
-    return e.agg(F.count("*").alias("total"), F.sum(ok.cast("int")).alias("completed"), F.sum((~ok).cast("int")).alias("failed"), F.round(F.sum(F.when(ok, F.col("value"))) / F.nullif(F.sum(ok.cast("int")), F.lit(0)), 6).alias("mean_value"))
+    return R.download_stats(spark.read.parquet(f"{d}/events.parquet"), "user_id", F.col("event_type") != "error", F.col("value"))
 
 
-@query("f15_sitemap", f"SELECT {S.host('url')} AS host, string_agg(DISTINCT '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc></url>', '' ORDER BY '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc></url>') AS body FROM pages GROUP BY 1")
+@query("f15_sitemap", f"SELECT {S.host('url')} AS host, 0 AS part, string_agg(DISTINCT '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc></url>', '' ORDER BY '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc></url>') AS body FROM pages GROUP BY 1")
 def f15(spark, d):
-    esc = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    p = pages(spark, d).select(U.host(F.col("url")).alias("host"), F.concat(F.lit("<url><loc>"), esc, F.lit("</loc></url>")).alias("e"))
-    return p.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("e")), "").alias("body"))
+    return R.sitemaps(pages(spark, d))
 
 
 @query("f16_site_aggregate", f"SELECT {S.host('url')} AS host, arg_min(page_id, (CASE WHEN page_id % 10 = 0 THEN 0 ELSE 1 END, page_id)) AS page_id FROM pages GROUP BY 1")
 def f16(spark, d):
-    key = F.struct(F.when(F.col("page_id") % 10 == 0, 0).otherwise(1), F.col("page_id"))
-    return pages(spark, d).groupBy(U.host(F.col("url")).alias("host")).agg(F.min_by("page_id", key).alias("page_id"))
+    return R.site_pages(pages(spark, d), F.col("page_id") % 10 == 0)

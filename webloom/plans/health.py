@@ -49,15 +49,27 @@ def h05(spark, d):
 
 @query("h06_retry_outcome", "WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT user_id, min(CASE WHEN event_type <> 'error' THEN k END)::INTEGER AS attempts, bool_or(event_type <> 'error') AS ok FROM a WHERE k <= 3 GROUP BY 1")
 def h06(spark, d):
-    from pyspark.sql import Window as W
-
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    a = events(spark, d).select("user_id", "event_type", k.alias("k")).where("k <= 3")
-    ok = F.col("event_type") != "error"
-    return a.groupBy("user_id").agg(F.min(F.when(ok, F.col("k"))).alias("attempts"), F.bool_or(ok).alias("ok"))
-
-
-@query("h07_breaker_states")
+    return H.outcomes(events(spark, d), "user_id", "event_id", F.col("event_type") != "error")
+
+
+_EV = "e AS (SELECT user_id, epoch_us(ts) / 1e6 AS at, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+_STEP = """CASE WHEN s.st = 'open' AND NOT e.at - s.since > 60 THEN {'st': 'open', 'bad': s.bad, 'good': s.good, 'since': s.since}
+  WHEN s.st = 'half_open' AND e.at - s.since > 60 THEN {'st': 'open', 'bad': s.bad, 'good': s.good, 'since': e.at}
+  WHEN s.st = 'open' AND e.ok THEN {'st': 'half_open', 'bad': 0, 'good': 1, 'since': e.at}
+  WHEN s.st = 'open' THEN {'st': 'open', 'bad': 1, 'good': 0, 'since': e.at}
+  WHEN s.st = 'half_open' AND e.ok AND s.good + 1 >= 2 THEN {'st': 'closed', 'bad': 0, 'good': 0, 'since': e.at}
+  WHEN s.st = 'half_open' AND e.ok THEN {'st': 'half_open', 'bad': s.bad, 'good': s.good + 1, 'since': s.since}
+  WHEN s.st = 'half_open' THEN {'st': 'open', 'bad': s.bad + 1, 'good': 0, 'since': e.at}
+  WHEN e.ok THEN {'st': 'closed', 'bad': 0, 'good': 0, 'since': s.since}
+  WHEN s.bad + 1 >= 5 THEN {'st': 'open', 'bad': s.bad + 1, 'good': 0, 'since': e.at}
+  ELSE {'st': 'closed', 'bad': s.bad + 1, 'good': 0, 'since': e.at} END"""
+_BREAKER = f"""WITH RECURSIVE {_EV},
+s AS (SELECT user_id, 0::BIGINT AS k, 'closed' AS st, 0 AS bad, 0 AS good, 0.0::DOUBLE AS since FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, n.st, n.bad, n.good, n.since FROM (SELECT e.user_id, e.k, {_STEP} AS n FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)),
+b AS (SELECT user_id, arg_max(st, k) AS state, arg_max(bad, k)::BIGINT AS failures, max(k) AS events FROM s GROUP BY 1)"""
+
+
+@query("h07_breaker_states", f"{_BREAKER} SELECT * FROM b")
 def h07(spark, d):
     e = events(spark, d).withColumn("ok", F.col("event_type") != "error")
     return H.breaker_states(e)
@@ -80,25 +92,22 @@ def h09(spark, d):
 
 @query("h10_idle_hosts", "SELECT user_id FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def h10(spark, d):
-    e = events(spark, d)
-    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
-    return last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where("last < now - interval 10 minutes").select("user_id")
+    return H.idle(events(spark, d), "user_id", "ts")
 
 
-@query("h11_breaker_gauges")
+@query("h11_breaker_gauges", f"{_BREAKER} SELECT state, count(*) AS n FROM b GROUP BY 1")
 def h11(spark, d):
     return h07(spark, d).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("h12_cron_next", "SELECT event_id, (SELECT min(m) FROM (SELECT unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 24 HOUR, INTERVAL 1 MINUTE)) AS m) WHERE minute(m) % 15 = 0 AND hour(m) BETWEEN 2 AND 4) AS next FROM events WHERE event_id % 50 = 0")
+@query("h12_cron_next", "SELECT event_id, (SELECT min(m) FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 25 HOUR, INTERVAL 15 MINUTE)) AS m) WHERE hour(m) BETWEEN 2 AND 4) AS next FROM events")
 def h12(spark, d):
-    e = events(spark, d).where("event_id % 50 = 0").select("event_id", "ts")
-    return H.cron_next(e, ["*/15", "2-4", "*", "*", "*"]).select("event_id", "next")
+    return H.cron_next(events(spark, d).select("event_id", "ts"), ["*/15", "2-4", "*", "*", "*"]).select("event_id", "next")
 
 
 @query("h13_first_per_host", f"SELECT {S.host('url')} AS host, min(page_id) AS page_id FROM pages GROUP BY 1")
 def h13(spark, d):
-    return pages(spark, d).groupBy(U.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+    return H.first_of_host(pages(spark, d))
 
 
 def versions(spark, d):
@@ -112,34 +121,56 @@ def c01(spark, d):
 
 @query("c02_changed", "WITH h AS (SELECT conv_id, turn, sha256(text) <> lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS changed FROM conversations) SELECT conv_id, turn, coalesce(changed, false) AS changed FROM h")
 def c02(spark, d):
-    from pyspark.sql import Window as W
-
-    h = F.sha2("text", 256)
-    return versions(spark, d).select("conv_id", "turn", h.alias("h")).select("conv_id", "turn", F.coalesce(F.col("h") != F.lag("h").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(False)).alias("changed"))
+    return C.changes(versions(spark, d), "conv_id", "turn", "text")
 
 
-def _elements(spark, d, turn: int):
+def _elements(spark, d):
     words = F.posexplode(F.split("text", " "))
-    e = versions(spark, d).where(F.col("turn") == turn).select("conv_id", words.alias("pos", "w"))
-    return e.select("conv_id", F.substring("w", 1, 3).alias("selector"), F.md5("w").alias("text_hash"), "pos")
+    e = versions(spark, d).select("conv_id", "turn", words.alias("pos", "w"))
+    return e.select("conv_id", "turn", F.substring("w", 1, 3).alias("selector"), F.md5("w").alias("text_hash"), "pos")
 
 
-_EL = "SELECT conv_id, substr(w, 1, 3) AS selector, arg_max(md5(w), pos) AS h FROM (SELECT conv_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations WHERE turn = {}) GROUP BY 1, 2"
+_DIFF = """WITH t AS (SELECT conv_id, turn, lead(turn) OVER w AS nxt, lag(turn) OVER w AS prv FROM (SELECT DISTINCT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT conv_id, turn, substr(w, 1, 3) AS selector, arg_max(md5(w), pos) AS h FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations) GROUP BY 1, 2, 3),
+n AS (SELECT l.* FROM l JOIN t USING (conv_id, turn) WHERE prv IS NOT NULL), o AS (SELECT l.conv_id, nxt AS turn, selector, h FROM l JOIN t USING (conv_id, turn) WHERE nxt IS NOT NULL),
+c AS (SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.turn, n.turn) AS turn, coalesce(o.selector, n.selector) AS selector, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'modified' END AS change
+  FROM o FULL OUTER JOIN n ON o.conv_id = n.conv_id AND o.turn = n.turn AND o.selector = n.selector WHERE o.h IS NULL OR n.h IS NULL OR o.h <> n.h)"""
 
 
-@query("c03_structural_diff", f"WITH o AS ({_EL.format(0)}), n AS ({_EL.format(1)}) SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.selector, n.selector) AS selector, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL OUTER JOIN n ON o.conv_id = n.conv_id AND o.selector = n.selector WHERE o.h IS NULL OR n.h IS NULL OR o.h <> n.h")
+@query("c03_structural_diff", f"{_DIFF} SELECT * FROM c")
 def c03(spark, d):
-    return C.structural_diff(_elements(spark, d, 0), _elements(spark, d, 1), "conv_id")
+    """Every version of every conversation against the one before."""
+    return C.step_diffs(_elements(spark, d), "conv_id", "turn")
 
 
-@query("c04_ignored_selectors", f"WITH o AS ({_EL.format(0)}), n AS ({_EL.format(1)}) SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.selector, n.selector) AS selector, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL OUTER JOIN n ON o.conv_id = n.conv_id AND o.selector = n.selector WHERE (o.h IS NULL OR n.h IS NULL OR o.h <> n.h) AND NOT contains(coalesce(o.selector, n.selector), 'th')")
+@query("c04_ignored_selectors", f"{_DIFF} SELECT * FROM c WHERE NOT contains(selector, 'th')")
 def c04(spark, d):
-    return C.structural_diff(_elements(spark, d, 0), _elements(spark, d, 1), "conv_id", ignore=["th"])
+    return C.step_diffs(_elements(spark, d), "conv_id", "turn", ignore=["th"])
+
+
+@query("c06_snapshot_files", "WITH k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id::VARCHAR AS url, least(count(*), 3)::BIGINT AS n_snapshots, max(turn)::BIGINT AS newest_turn FROM k GROUP BY 1")
+def c06(spark, d):
+    """Snapshots written, cleaned (three are kept) and counted as they come back."""
+    from ..sources import files as S2
+    from ..sources.warc import shared_folder
+
+    v = versions(spark, d).select(F.col("conv_id").cast("string").alias("url"), F.timestamp_seconds(F.col("turn")).alias("ts"), F.sha2("text", 256).alias("html_hash"), F.col("text").alias("text_content"))
+    path = shared_folder(spark, "snapshots")
+    S2.write_snapshots(v, f"{path}/all")
+    kept = S2.clean_snapshots(spark, f"{path}/all", f"{path}/kept", 3)
+    return S2.snapshot_counts(kept).select("url", "n_snapshots", F.unix_timestamp("newest").alias("newest_turn"))
+
+
+@query("c06_change_report", f"{_DIFF} SELECT conv_id::VARCHAR AS url, sum((change = 'added')::INTEGER)::BIGINT AS added, sum((change = 'removed')::INTEGER)::BIGINT AS removed, sum((change = 'modified')::INTEGER)::BIGINT AS modified FROM c GROUP BY 1")
+def c06_report(spark, d):
+    from ..sources import files as S2
+
+    return S2.snapshot_report(c03(spark, d).withColumn("url", F.col("conv_id").cast("string")))
 
 
 @query("c05_changed_pages", "SELECT conv_id, count(DISTINCT sha256(text)) AS n_versions FROM conversations GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1")
 def c05(spark, d):
-    return versions(spark, d).groupBy("conv_id").agg(F.countDistinct(F.sha2("text", 256)).alias("n_versions")).where("n_versions > 1")
+    return C.changed_keys(versions(spark, d), "conv_id", "text")
 
 
 _RULES = (("/", False), ("/en/", True), ("/fr/*.html", False), ("/*/1", True), ("/de/", True), ("/en/4", False))
@@ -154,15 +185,43 @@ def r04(spark, d):
     return R.evaluate(p, every).select("page_id", "allowed")
 
 
-@query("r05_robots_validity", "WITH f AS (SELECT user_id, ts AS fetched, event_type = 'error' AS transient FROM events WHERE event_id % 20 = 0), q AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 20 = 1) SELECT q.event_id, count(f.fetched) AS n_valid FROM q LEFT JOIN f ON f.user_id = q.user_id AND f.fetched <= q.ts AND q.ts < f.fetched + CASE WHEN f.transient THEN INTERVAL 5 MINUTE ELSE INTERVAL 24 HOUR END GROUP BY 1")
+_FILES = "# all\nUser-agent: *\nDisallow: /p%s/\nAllow: /p%s/open\nCrawl-delay: 2.5\nSitemap: /map%s.xml\nUser-agent: Other\nDisallow: /\n"
+
+
+def _files(spark, d):
+    """A file for each page's host: rules, a file with a delay alone, a missing one, a failed one."""
+    n = F.col("page_id").cast("string")
+    a, b, c, e = _FILES.split("%s")
+    full = F.concat(F.lit(a), n, F.lit(b), n, F.lit(c), n, F.lit(e))
+    kind = F.col("page_id") % 4
+    body = F.when(kind == 0, full).when(kind == 1, F.lit("User-agent: webloom\nCrawl-delay: 7\n")).otherwise(F.lit("User-agent: *\nDisallow: /x"))
+    return pages(spark, d).select(n.alias("host"), F.when(kind == 2, 404).when(kind == 3, 503).otherwise(200).alias("status"), body.alias("body"))
+
+
+@query("r01_robots_parse", "SELECT page_id::VARCHAR AS host, unnest(['/p' || page_id || '/', '/p' || page_id || '/open']) AS rule, unnest([false, true]) AS allow FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id::VARCHAR, '/', false FROM pages WHERE page_id % 4 = 3")
+def r01(spark, d):
+    return R.rules(R.parsed(_files(spark, d), "webloom/1.0"))
+
+
+@query("r02_robots_status", "SELECT page_id::VARCHAR AS host, CASE page_id % 4 WHEN 0 THEN 2.5 WHEN 1 THEN 7.0 ELSE 0.0 END::DOUBLE AS delay, (page_id % 4 = 3) AS transient, CASE page_id % 4 WHEN 0 THEN '/map' || page_id || '.xml' ELSE '' END AS maps FROM pages")
+def r02(spark, d):
+    return R.parsed(_files(spark, d), "webloom/1.0").select("host", "delay", "transient", F.array_join("sitemaps", ",").alias("maps"))
+
+
+@query("r05_robots_validity", "WITH f AS (SELECT event_id, ts, last_value(CASE WHEN event_type IN ('view', 'error') THEN ts + CASE WHEN event_type = 'error' THEN INTERVAL 5 MINUTE ELSE INTERVAL 24 HOUR END END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS until FROM events) SELECT event_id, coalesce(ts < until, false) AS valid FROM f")
 def r05(spark, d):
-    e = events(spark, d)
-    f = e.where("event_id % 20 = 0").select("user_id", F.col("ts").alias("fetched"), F.expr("ts + if(event_type = 'error', interval 5 minutes, interval 24 hours)").alias("until"))
-    q = e.where("event_id % 20 = 1").select("event_id", "user_id", "ts")
-    on = (q["user_id"] == f["user_id"]) & (f["fetched"] <= q["ts"]) & (q["ts"] < f["until"])
-    return q.join(f, on, "left").groupBy("event_id").agg(F.count("fetched").alias("n_valid"))
+    """Views and errors fetch the host's file; does it count at each event?"""
+    fetch = F.col("event_type").isin("view", "error")
+    return R.validity(events(spark, d), "user_id", "ts", "event_id", fetch, F.col("event_type") == "error").select("event_id", "valid")
 
 
 @query("r06_effective_delay", "SELECT user_id, coalesce(nullif(max(CASE WHEN event_type = 'error' THEN 2.0 ELSE 0.0 END), 0), 1.0)::DOUBLE AS delay FROM events GROUP BY 1")
 def r06(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.coalesce(F.nullif(F.max(F.when(F.col("event_type") == "error", 2.0).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)).alias("delay"))
+    return R.effective_delay(events(spark, d), "user_id", F.when(F.col("event_type") == "error", 2.0).otherwise(0.0), 1.0)
+
+
+@query("r07_robots_expiry", "SELECT event_id FROM events WHERE ts + INTERVAL 24 HOUR >= (SELECT max(ts) FROM events)")
+def r07(spark, d):
+    e = events(spark, d)
+    now = F.lit(e.agg(F.max("ts")).first()[0]).cast(e.schema["ts"].dataType)
+    return R.unexpired(e, "ts", now).select("event_id")

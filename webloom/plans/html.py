@@ -52,12 +52,10 @@ def e03(spark, d):
 _JS = """import("./a.js"); const b = require('b'); fetch("/api/x"); axios.post('/p', 1); x.open("GET", "/xhr"); importScripts("/w.js"); System.import('s.js'); __webpack_require__("m")"""
 
 
-@query("e09_js_urls", "SELECT page_id, x.type AS type, x.ref AS ref FROM (SELECT page_id, unnest([{'type': 'dynamic-import', 'ref': './a.js'}, {'type': 'require', 'ref': 'b'}, {'type': 'require', 'ref': 'm'}, {'type': 'fetch', 'ref': '/api/x'}, {'type': 'xhr-open', 'ref': '/xhr'}, {'type': 'importScripts', 'ref': '/w.js'}, {'type': 'dynamic-import', 'ref': 's.js'}, {'type': 'system-import', 'ref': 's.js'}, {'type': 'axios', 'ref': '/p'}, {'type': 'webpack-require', 'ref': 'm'}]) AS x FROM pages) WHERE NOT (x.type = 'require' AND x.ref = 'm')")
+@query("e09_js_urls", "SELECT page_id, x.type AS type, x.ref AS ref FROM (SELECT page_id, unnest([{'type': 'dynamic-import', 'ref': './a.js'}, {'type': 'require', 'ref': 'b'}, {'type': 'fetch', 'ref': '/api/x'}, {'type': 'xhr-open', 'ref': '/xhr'}, {'type': 'importScripts', 'ref': '/w.js'}, {'type': 'dynamic-import', 'ref': 's.js'}, {'type': 'system-import', 'ref': 's.js'}, {'type': 'axios', 'ref': '/p'}, {'type': 'webpack-require', 'ref': 'm'}]) AS x FROM pages)")
 def e09(spark, d):
     js = F.lit(_JS)
-    out = pages(spark, d).select("page_id", F.explode(H.js_urls(js)).alias("x")).select("page_id", "x.type", "x.ref").distinct()
-    # __webpack_require__ is reported under its own kind
-    return out.where("not (type = 'require' and ref = 'm')")
+    return pages(spark, d).select("page_id", F.explode(H.js_urls(js)).alias("x")).select("page_id", "x.type", "x.ref").distinct()
 
 
 @query("e13_meta_tags", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html || '<meta property=\"og:title\" content=\"T\">', '(?i)<meta\\b[^>]*>')) AS tag FROM pages) SELECT page_id, regexp_extract(tag, '(?i)\\s(?:property|name)\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS name, regexp_extract(tag, '(?i)\\s(?:content)\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS content FROM t WHERE regexp_extract(tag, '(?i)\\s(?:property|name)\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) <> ''")
@@ -66,9 +64,31 @@ def e13(spark, d):
     return pages(spark, d, "html").select("page_id", F.explode(H.meta_pairs(html)).alias("m")).select("page_id", "m.name", "m.content")
 
 
+_LD = """<script type="application/ld+json">{"@id": %s}</script><script type='application/ld+json'>{broken</script><meta property="og:title" content="T"><meta name="twitter:card" content="c"><meta name="author" content="A"><meta name="author" content="B">"""
+
+
+@query("e13_structured_data", "SELECT page_id, ['{\"@id\":' || page_id || '}'] AS jsonld, 'T' AS og_title, 'c' AS twitter_card, 'B' AS author FROM pages")
+def e13_all(spark, d):
+    a, b = _LD.split("%s")
+    x = pages(spark, d).select("page_id", H.structured_data(F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b))).alias("x"))
+    return x.select("page_id", "x.jsonld", F.col("x.og")["title"].alias("og_title"), F.col("x.twitter")["card"].alias("twitter_card"), F.col("x.meta")["author"].alias("author"))
+
+
+@query("e14_article_ladder", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'class=content' WHEN 2 THEN 'itemprop=articleBody' ELSE 'largest' END AS how, 'words ' || page_id AS content FROM pages")
+def e14_ladder(spark, d):
+    from ..functions import dom
+
+    n = F.concat(F.lit("words "), F.col("page_id").cast("string"))
+    kind = F.col("page_id") % 4
+    a = F.when(kind == 0, F.lit("<article><p>")).when(kind == 1, F.lit('<p class="x content">')).when(kind == 2, F.lit('<b itemprop=articleBody>')).otherwise(F.lit("<section>"))
+    z = F.when(kind == 0, F.lit("</p></article>")).when(kind == 1, F.lit("</p>")).when(kind == 2, F.lit("</b>")).otherwise(F.lit("</section>"))
+    p = pages(spark, d).select("page_id", F.concat(F.lit("<body><div>few</div>"), a, n, z, F.lit("</body>")).alias("html"))
+    return dom.extract(p, "article").select("page_id", "how", "content")
+
+
 @query("e14_article", "SELECT page_id, md5(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)) AS article_md5 FROM pages")
 def e14(spark, d):
-    return pages(spark, d, "html").select("page_id", F.md5(F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)).alias("article_md5"))
+    return pages(spark, d, "html").select("page_id", F.md5(H.article(F.col("html"))).alias("article_md5"))
 
 
 _TEXT = f"regexp_replace({_VIS}, '<[^>]*>', ' ', 'g')"
@@ -97,11 +117,9 @@ def e19(spark, d):
     return pages(spark, d, "html").select("page_id", H.framework(F.concat("html", sign)).alias("framework"))
 
 
-@query("e20_routes", f"{_LINKS}, x AS (SELECT DISTINCT page_id, link FROM l) SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link) AS k FROM x) WHERE k <= 5")
+@query("e20_routes", f"WITH r AS (SELECT page_id, url, unnest({_HREFS}) AS ref, generate_subscripts({_HREFS}, 1) AS pos FROM pages), x AS (SELECT page_id, {S.part('url', 1)} || '://' || {S.part('url', 2)} || replace(ref, '&amp;', '&') AS link, min(pos) AS pos FROM r WHERE starts_with(ref, '/') GROUP BY 1, 2) SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM x) WHERE k <= 50")
 def e20(spark, d):
-    """The first five routes (in order of text) of each page."""
-    links = F.slice(F.array_sort(F.array_distinct(H.links(F.col("url"), F.col("html")))), 1, 5)
-    return pages(spark, d, "html").select("page_id", F.explode(links).alias("link"))
+    return pages(spark, d, "html").select("page_id", F.explode(H.routes(F.col("url"), F.col("html"))).alias("link"))
 
 
 @query("e24_sitemap_locs", "SELECT page_id, url AS loc FROM pages UNION ALL SELECT page_id, 'http://x/' || page_id FROM pages")
@@ -152,19 +170,107 @@ def m05(spark, d):
     return pages(spark, d, "html").select("page_id", F.md5(M.emphasis(F.col("html"))).alias("md"))
 
 
-@query("m06_markdown")
-def m06(spark, d):
-    """The whole conversion (steps M02 to M13)."""
-    return M.convert(pages(spark, d, "html"))
+def _planted(spark, d, html: str):
+    """A page of this markup for each page, with its number for ``%``."""
+    parts = html.split("%")
+    cols = [x for p in parts for x in (F.lit(p), F.col("page_id").cast("string"))][:-1]
+    return pages(spark, d).select("page_id", F.concat(*cols).alias("html"))
+
+
+def _sql(text: str) -> str:
+    """The same, as SQL."""
+    return " || page_id || ".join("'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for p in text.split("%"))
+
+
+#: Step of the conversion, markup (% is the page's number), what it becomes.
+_STEPS = {
+    "m04_paragraphs": ("paragraphs", "<p class=a> one <b>%</b>\ntwo </p><P>x</P>", "one %\ntwo\n\nx\n\n"),
+    "m06_links": ("links", "<a class=x href='/p%'> to <b>%</b> </a><a href=\"\">none</a>", "[to %](/p%)<a href=\"\">none</a>"),
+    "m07_images": ("images", "<img src=\"/i%.png\" alt='a %'><img alt=x>", "![a %](/i%.png)<img alt=x>"),
+    "m08_lists": ("lists", "<ol><li> a </li><li><b>%</b></li></ol><ul><li>c</li></ul>", "1. a\n2. %\n\n- c\n\n"),
+    "m09_code": ("code", "<pre><code class=\"language-go\"> f(%) </code></pre><pre>kept</pre><code>x</code>", "```go\nf(%)\n```\n\n<pre>kept</pre>`x`"),
+    "m10_quotes": ("quotes", "<blockquote> a\n\n <i>%</i> </blockquote>", "> a\n> %\n\n"),
+    "m11_rules": ("rules", "%<hr><HR /><hr class=x>", "%---\n\n---\n\n<hr class=x>"),
+    "m12_tables": ("tables", "<table><tr><th>a|b</th><th>c</th></tr><tr><td>%</td></tr></table>", "| a\\|b | c |\n| --- | --- |\n| % |\n\n"),
+    "m13_cleanup": ("cleanup", "\n a\n\n\n\n% \n", "a\n\n%\n"),
+    "m06_markdown": (None, "<h2> T </h2><!-- no --><div><p>a <b>%</b></p><hr><ul><li>x</li></ul></div><style>s</style>", "## T\n\n<div>a %\n\n---\n\n- x\n\n</div>\n"),
+}
+
+
+def _step(name: str, only: str | None, html: str, becomes: str) -> None:
+    @query(name, f"SELECT page_id, {_sql(becomes)} AS markdown FROM pages")
+    def run(spark, d):
+        return M.convert(_planted(spark, d, html), only=only)
+
+
+for _name, _case in _STEPS.items():
+    _step(_name, *_case)
+
+
+@query("m06_reference_links", f"SELECT page_id, {_sql('[t][h-e-p%]![a][i-%]') } || chr(10) AS markdown FROM pages")
+def m06_reference(spark, d):
+    """Links and images in reference style."""
+    return M.convert(_planted(spark, d, "<a href='https://h.e/p%'>t</a><img src='/i/%/' alt='a'>"), links="reference", images="reference")
 
 
-_A = "'(?is)<a[^>]*href=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>'"
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    return x
 
 
-@query("m14_md_links", f"SELECT page_id, href, text, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS text FROM pages) GROUP BY 1, 2, 3")
+_NL = "chr(10)"
+_HEADED = _replaced(_CLEAN, ("(?i)<h1[^>]*>(.*?)</h1>", f"'# \\1' || {_NL} || {_NL}"))
+#: Each piece up to a paragraph's end: what stands behind the paragraph's begin loses its tags.
+_PIECE = f"CASE WHEN regexp_matches(s, '<p[^>]*>') THEN regexp_extract(s, '(?s)^(.*?)<p[^>]*>', 1) || regexp_replace(regexp_extract(s, '(?s)^.*?<p[^>]*>(.*)$', 1), '<[^>]+>', '', 'g') || {_NL} || {_NL} ELSE s || '</p>' END"
+_PIECES = f"string_split({_HEADED}, '</p>')"
+_MD = _replaced(
+    f"(array_to_string(list_transform(list_slice({_PIECES}, 1, -2), lambda s: {_PIECE}), '') || list_extract({_PIECES}, -1))",
+    ("(?is)<a\\s+[^>]*href\\s*=\\s*[\"'']([^\"'']+)[\"''][^>]*>(.*?)</a>", "'[\\2](\\1)'"),
+    ("(?is)<li[^>]*>(.*?)</li>", f"'- \\1' || {_NL}"),
+    ("<ul[^>]*>", "''"),
+    ("</ul>", _NL),
+    ("\\n{3,}", f"{_NL} || {_NL}"),
+)
+
+
+@query("m21_markdown_of_pages", f"SELECT page_id, md5(trim({_MD}, ' ' || chr(10)) || chr(10)) AS md FROM pages")
+def m21(spark, d):
+    """The whole conversion over the stored pages."""
+    return M.convert(pages(spark, d, "html")).select("page_id", F.md5("markdown").alias("md"))
+
+
+_PARTS = """<a href="/in%"> t <b>%</b></a><a href='https://o.e/x'>o</a><img src="/i%.png" alt="a" title='T'><img src='https://o.e/j.png'><table><tr><th>h</th></tr><tr><td>%</td><td>2</td></tr></table><table><tr></tr></table><pre><code>p%</code></pre><pre><code class="language-js">j%</code></pre><pre><code>p%</code></pre>"""
+
+
+@query("m14_md_links", "SELECT page_id, unnest([0, 1])::INTEGER AS pos, unnest(['t ' || page_id, 'o']) AS text, unnest(['https://h.e/in' || page_id, 'https://o.e/x']) AS url, unnest([true, false]) AS internal FROM pages")
 def m14(spark, d):
-    out = pages(spark, d, "html").select("page_id", F.explode(M.links_of(F.col("html"))).alias("l")).select("page_id", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
-    return out.groupBy("page_id", "href", "text").agg(F.count("*").alias("n"))
+    return M.parts_of(_planted(spark, d, _PARTS), "links", F.lit("https://h.e"))
+
+
+@query("m15_images", "SELECT page_id, unnest([0, 1])::INTEGER AS pos, unnest(['a', '']) AS alt, unnest(['https://h.e/i' || page_id || '.png', 'https://o.e/j.png']) AS url, unnest(['T', '']) AS title FROM pages")
+def m15(spark, d):
+    return M.parts_of(_planted(spark, d, _PARTS), "images", F.lit("https://h.e"))
+
+
+@query("m16_tables", "SELECT page_id, 0 AS pos, 'h' AS headers, page_id || ',2' AS cells FROM pages")
+def m16(spark, d):
+    t = M.parts_of(_planted(spark, d, _PARTS), "tables", F.lit(""))
+    return t.select("page_id", "pos", F.array_join("headers", ",").alias("headers"), F.array_join(F.flatten("rows"), ",").alias("cells"))
+
+
+@query("m17_code_blocks", "SELECT page_id, unnest([0, 1])::INTEGER AS pos, unnest(['js', '']) AS language, unnest(['j' || page_id, 'p' || page_id]) AS code FROM pages")
+def m17(spark, d):
+    return M.parts_of(_planted(spark, d, _PARTS), "code", F.lit(""))
+
+
+_A = "'(?is)<a\\s+[^>]*href\\s*=\\s*[\"'']([^\"'']+)[\"''][^>]*>(.*?)</a>'"
+
+
+@query("m14_links_of_pages", f"SELECT page_id, url, text, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, {_A}, 1)) AS url, trim(regexp_replace(unnest(regexp_extract_all(html, {_A}, 2)), '<[^>]+>', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM pages) GROUP BY 1, 2, 3")
+def m14_pages(spark, d):
+    out = M.parts_of(pages(spark, d, "html"), "links", F.lit(""))
+    return out.groupBy("page_id", "url", "text").agg(F.count("*").alias("n"))
 
 
 @query("m18_reading_stats", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\f\\r]+'))::INTEGER AS n_words, strlen(text)::INTEGER AS n_bytes, (len(regexp_extract_all(text, '[^ \\t\\n\\f\\r]+')) // 200 + 1)::INTEGER AS minutes FROM documents")
@@ -174,11 +280,10 @@ def m18(spark, d):
 
 @query("m19_sanitize_ref", "SELECT page_id, substr(trim(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 50) AS ref FROM pages")
 def m19(spark, d):
-    r = F.trim(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[^A-Za-z0-9]+", "-"), F.lit("-"))
-    return pages(spark, d).select("page_id", F.substring(r, 1, 50).alias("ref"))
+    return pages(spark, d).select("page_id", M.sanitized_ref(F.col("url")).alias("ref"))
 
 
 @query("m20_truncate", "SELECT page_id, CASE WHEN strlen(title) > 20 THEN left(title, 20) || '...' ELSE title END AS short FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[^ -~]', '', 'g') AS title FROM pages)")
 def m20(spark, d):
     t = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), "[^ -~]", "")
-    return pages(spark, d, "html").select("page_id", t.alias("t")).select("page_id", F.when(F.octet_length("t") > 20, F.concat(F.substring("t", 1, 20), F.lit("..."))).otherwise(F.col("t")).alias("short"))
+    return pages(spark, d, "html").select("page_id", M.truncated(t, 20).alias("short"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dom
 from ..functions import html as H
 from ..functions import urls as U
 from ..operators import dedupe as D
@@ -52,23 +51,29 @@ def e10(spark, d):
     return pages(spark, d).select("page_id", F.explode(H.module_urls(html)).alias("x")).select("page_id", "x.type", "x.ref")
 
 
-def _closure(n: int, most: int) -> str:
-    return f"WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * {n} + 1) % 1000 AS dst FROM pages), c AS (SELECT page_id AS node, 0 AS depth FROM pages WHERE page_id < 3 UNION SELECT dst, depth + 1 FROM c JOIN e ON e.src = c.node WHERE depth < {most}) SELECT node, min(depth) AS depth FROM c GROUP BY 1"
+def _closure(n: int, most: int, suffix: str) -> str:
+    return f"WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * {n} + 1) % 1000 AS dst FROM pages), c AS (SELECT page_id AS node, 0 AS depth FROM pages WHERE page_id < 3 UNION SELECT dst, depth + 1 FROM c JOIN e ON e.src = c.node WHERE depth < {most}) SELECT 'https://h.e/' || node || '.{suffix}' AS node, min(depth) AS depth FROM c GROUP BY 1"
 
 
-def _edges(spark, d, n: int):
-    return pages(spark, d).select(F.col("page_id").alias("src"), ((F.col("page_id") * n + 1) % 1000).alias("dst"))
+def _files(spark, d, n: int, suffix: str, text: str):
+    """A stored file for each page: ``url`` and a text that names the next file."""
+    url = lambda i: F.concat(F.lit("https://h.e/"), i.cast("string"), F.lit(f".{suffix}"))
+    a, z = text.split("%")
+    to = ((F.col("page_id") * n + 1) % 1000).cast("string")
+    return pages(spark, d).select("page_id", url(F.col("page_id")).alias("url"), F.concat(F.lit(a), to, F.lit(z)).alias("body"))
 
 
-@query("e11_js_closure", _closure(3, 3))
+@query("e11_js_closure", _closure(3, 3, "js"))
 def e11(spark, d):
-    """Scripts that scripts import, three levels deep (the files' references are the edges)."""
-    return R.expand(pages(spark, d).where("page_id < 3").select(F.col("page_id").alias("node")), _edges(spark, d, 3), 3)
+    """Scripts that scripts import, three levels deep: references are read from the scripts' texts."""
+    files = _files(spark, d, 3, "js", 'const a = 1; import("./%.js"); fetch("/api/x")')
+    return R.closure(files, H.js_imports(F.col("body")), files.where("page_id < 3").select(F.col("url").alias("node")), 3)
 
 
-@query("e12_css_import_closure", _closure(5, 8))
+@query("e12_css_import_closure", _closure(5, 8, "css"))
 def e12(spark, d):
-    return R.expand(pages(spark, d).where("page_id < 3").select(F.col("page_id").alias("node")), _edges(spark, d, 5), 8)
+    files = _files(spark, d, 5, "css", "@import url('%.css'); @charset \"x\"; a{b:url(i.png)}")
+    return R.closure(files, H.css_imports(F.col("body")), files.where("page_id < 3").select(F.col("url").alias("node")), 8)
 
 
 @query("e21_shadow_roots", "SELECT page_id, '<b>' || page_id || '</b>' AS root FROM pages")
@@ -84,18 +89,14 @@ def e23(spark, d):
     return pages(spark, d).select("page_id", H.json_of(html, "data").alias("data"))
 
 
-@query("e27_interactive_census")
-def e27(spark, d):
-    return dom.extract(pages(spark, d, "html"), "census")
-
-
-@query("f10_checkpoint", f"SELECT page_id, {S.normal_url('url')} AS url FROM pages WHERE page_id % 2 = 0")
+@query("f10_checkpoint", f"SELECT page_id, {S.normal_url('url')} AS url FROM pages")
 def f10(spark, d):
     """A frontier's table as it comes back from a saved version."""
     from ..sources.warc import shared_folder
 
-    p = pages(spark, d).where("page_id % 2 = 0").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+    p = pages(spark, d).select("page_id", U.normalize_url(F.col("url")).alias("url"))
     path = shared_folder(spark, "frontier")
+    R.save_state(path, frontier=p.limit(0))
     R.save_state(path, frontier=p)
     return R.load_state(spark, path)["frontier"]
 
@@ -121,16 +122,20 @@ def d09(spark, d):
     return RW.rewritten(p, m, RW.rewrite_css_file, "css")
 
 
-@query("d10_rewrite_js", "SELECT page_id, 'import(\"./m' || page_id || '.js\");x={assetPrefix:\"./\"}' AS js FROM pages")
+_JS = """import("https://e.com/m%.js");import("./kept.js");x={assetPrefix:"/q"};__webpack_require__.p="https://e.com/_next/";y={publicPath:"/_next/"};__webpack_require__.e("c%");z={buildId:"b",loader:"https://e.com/m%.js"};w="//e.com/m%.js";v="https://o.e/n.js\""""
+
+
+@query("d10_rewrite_js", """SELECT page_id, replace('import("./m%.js");import("./kept.js");x={assetPrefix:"./"};__webpack_require__.p="./_next/";y={publicPath:"/_next/"};__webpack_require__.e("c%");z={buildId:"b",loader:"./m%.js"};w="./m%.js";v="https://o.e/n.js"', '%', page_id::VARCHAR) AS js FROM pages""")
 def d10(spark, d):
+    """Every pass over a bundle: what has a file is mapped, relative paths, chunks and build ids stay."""
     n = F.col("page_id").cast("string")
-    p = pages(spark, d).select("page_id", F.lit("https://e.com/a.js").alias("url"), F.lit("e.com/a.js").alias("path"), F.concat(F.lit('import("https://e.com/m'), n, F.lit('.js");x={assetPrefix:"/q"}')).alias("js"))
+    p = pages(spark, d).select("page_id", F.lit("https://e.com/a.js").alias("url"), F.lit("e.com/a.js").alias("path"), F.replace(F.lit(_JS), F.lit("%"), n).alias("js"))
     m = p.select("page_id", F.concat(F.lit("https://e.com/m"), n, F.lit(".js")).alias("ref_url"), F.concat(F.lit("e.com/m"), n, F.lit(".js")).alias("path"))
     return RW.rewritten(p, m, RW.rewrite_js, "js")
 
 
-@query("d15_css_escaped", "SELECT page_id, 'a\\(' || page_id || '\\)\\ b' AS escaped FROM pages")
-def d15(spark, d):
+@query("d13_css_escaped", "SELECT page_id, 'a\\(' || page_id || '\\)\\ b' AS escaped FROM pages")
+def d13_escaped(spark, d):
     return pages(spark, d).select("page_id", D.css_escaped(F.concat(F.lit("a("), F.col("page_id").cast("string"), F.lit(") b"))).alias("escaped"))
 
 
@@ -145,8 +150,8 @@ def a09(spark, d):
     return read_warc(spark, path).select("url", F.octet_length("body").alias("n_bytes"), F.md5("body").alias("body_md5"))
 
 
-@query("a12_json_lines", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view') AND ts::DATE <= (SELECT min(ts)::DATE FROM events)")
-def a12(spark, d):
+@query("a17_json_lines", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view') AND ts::DATE <= (SELECT min(ts)::DATE FROM events)")
+def a17(spark, d):
     """Audit events of the first day, as they come back from daily JSON lines."""
     from ..sources.files import read_audit, write_audit
     from ..sources.warc import shared_folder

@@ -8,6 +8,7 @@ import hashlib
 import io
 import json
 import os
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -23,24 +24,34 @@ STATUS = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently"
 SCHEMA = "url string, date timestamp, mime string, status int, body binary"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in spark.checkpoint.dir or, where none is set, a new folder (tests on one machine)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all machines share.
+
+    Where it is unset, a session on one machine (master ``local``) gets a temporary one; on
+    a cluster that is an error, as other machines would not see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if got.isDefined():
+            root = got.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = "file://" + tempfile.mkdtemp(prefix="webloom-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return root.rstrip("/")
+
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webloom-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, in spark.checkpoint.dir."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir (or, where that is unset, a temporary one)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
-    return f"{root.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir."""
+    return f"{shared_root(spark)}/webloom-{name}-{uuid.uuid4().hex}"
 
 
 def running_offsets(rows: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -203,10 +214,11 @@ def cdx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wacz(path: str, target: str, title: str = "") -> None:
-    """Package a written archive (files stream one after the other) with its index and a data package."""
+    """Package a written archive (files stream one after the other) with its index and a data package; both places may be shared ones."""
     fs, root = _fs(path)
+    to, place = _fs(target)
     resources = []
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_STORED) as z:
+    with to.open_output_stream(place) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
         for folder, suffix in (("archive", ".warc.gz"), ("indexes", ".cdxj")):
             for name in _listed(path, suffix):
                 digest, size = hashlib.sha256(), 0
@@ -219,6 +231,20 @@ def wacz(path: str, target: str, title: str = "") -> None:
         z.writestr("datapackage.json", json.dumps({"profile": "data-package", "title": title, "wacz_version": "1.1.1", "resources": resources}))
 
 
+def read_wacz_index(target: str) -> list[dict]:
+    """The index lines of a package whose resources have the sizes and digests that its data package names."""
+    fs, place = _fs(target)
+    with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+        package, lines = json.loads(z.read("datapackage.json")), []
+        for r in package["resources"]:
+            data = z.read(r["path"])
+            if len(data) != r["bytes"] or f"sha256:{hashlib.sha256(data).hexdigest()}" != r["hash"]:
+                raise ValueError(f"{r['path']} is not as packaged")
+            if r["path"].startswith("indexes/"):
+                lines += [json.loads(x) for x in data.decode().splitlines()]
+        return lines
+
+
 def har_entry(url: Column, method: Column, status: Column, mime: Column, body: Column, at: Column) -> Column:
     """One HAR entry as JSON; the query string is taken apart in order."""
     pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")
