@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; without one nothing can be kept, which is an error."""
+    """The folder in spark.checkpoint.dir, which all machines share.
+
+    Where it is unset, a session on one machine (master ``local``) gets a temporary one; on
+    a cluster that is an error, as other machines would not see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not got.isDefined():
+        if got.isDefined():
+            found = got.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = "file://" + tempfile.mkdtemp(prefix="webloom-")
+            spark.sparkContext.setCheckpointDir(found)
+        else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        found = got.get()
     return found.rstrip("/")
 
 
