@@ -126,3 +126,44 @@ def test_site_maps_in_parts(spark):
     pages = spark.createDataFrame([(f"http://h/{i}",) for i in range(7)], "url string")
     got = sorted((r.part, r.body.count("<loc>")) for r in R.sitemaps(pages, most=3).collect())
     assert got == [(0, 3), (1, 3), (2, 1)]
+
+
+def test_files_rotate(spark, tmp_path):
+    from webloom.sources import files as S
+    from webloom.sources import warc as W
+
+    rows = spark.range(40).select(F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("date"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), F.encode(F.repeat(F.lit("x"), 1000), "UTF-8").alias("body")).coalesce(1)
+    W.write_warc(rows, f"file://{tmp_path}/w", rotate=5_000)
+    names = [n for n in W._listed(f"file://{tmp_path}/w", ".warc.gz")]
+    assert len(names) >= 10 and W.read_warc(spark, f"file://{tmp_path}/w").count() == 40
+    index = W.cdx(spark, f"file://{tmp_path}/w").collect()
+    for r in index[:5]:  # a record is where the index says
+        import gzip
+
+        with open(f"{tmp_path}/w/{r.file}", "rb") as f:
+            f.seek(r.offset)
+            assert W.parse_record(gzip.decompress(f.read(r.length)))[0] == r.url
+    e = spark.range(25).select(F.col("id").cast("string").alias("event_id"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("x").alias("type")).coalesce(1)
+    S.write_audit(e, f"{tmp_path}/a", most=10)
+    assert len(list((tmp_path / "a").rglob("*.json"))) == 3 and S.read_audit(spark, f"{tmp_path}/a").count() == 25
+
+
+def test_rewritten_in_place_is_rewritten(spark, data):
+    from webloom.functions import html as E
+
+    p = spark.read.parquet(f"{data}/pages.parquet")
+    refs = E.links(F.col("url"), F.col("html"))
+    mapping = p.select("page_id", F.explode(F.array_distinct(refs)).alias("ref_url")).withColumn("path", U.path_for_url(F.col("ref_url")))
+    want = RW.rewritten(p.withColumn("path", U.path_for_url(F.col("url"))), mapping)
+    got = RW.rewritten_in_place(p, refs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("html like '%href=\"../%'").count() > 0
+    assert "Exchange" not in got._jdf.queryExecution().toString().split("Physical Plan")[-1]
+
+
+def test_replay_prefers_the_operation(spark):
+    from webloom.operators import archive as A
+
+    c = spark.createDataFrame([("https://h/graphql", "POST", 1, '{"operationName":"a"}'), ("https://h/graphql", "POST", 2, '{"operationName":"b"}'), ("https://h/x?q=1", "GET", 3, None), ("https://h/y", None, 4, None)], "url string, method string, seq long, body string")
+    q = spark.createDataFrame([(1, "https://h/graphql", "POST", '{"operationName":"b"}'), (2, "https://h/x?q=2#f", "GET", None), (3, "https://h/x?q=1", "POST", None), (4, "https://h/y?z", "DELETE", None), (5, "https://h/none", "GET", None)], "id long, url string, method string, body string")
+    assert {r.id: r.hit for r in A.replayed(q, c).collect()} == {1: 2, 2: 3, 3: None, 4: 4, 5: None}

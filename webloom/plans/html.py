@@ -220,9 +220,9 @@ def _replaced(x: str, *pairs: tuple[str, str]) -> str:
 
 
 _NL = "chr(10)"
-_HEADED = _replaced(_CLEAN, ("(?i)<h1[^>]*>(.*?)</h1>", f"'# \\1' || {_NL} || {_NL}"))
+_HEADED = _replaced(_CLEAN, ("(?i)<h1[^>]*>\\s*(.*?)\\s*</h1>", f"'# \\1' || {_NL} || {_NL}"))
 #: Each piece up to a paragraph's end: what stands behind the paragraph's begin loses its tags.
-_PIECE = f"CASE WHEN regexp_matches(s, '<p[^>]*>') THEN regexp_extract(s, '(?s)^(.*?)<p[^>]*>', 1) || regexp_replace(regexp_extract(s, '(?s)^.*?<p[^>]*>(.*)$', 1), '<[^>]+>', '', 'g') || {_NL} || {_NL} ELSE s || '</p>' END"
+_PIECE = f"CASE WHEN regexp_matches(s, '<p[^>]*>') THEN regexp_extract(s, '(?s)^(.*?)<p[^>]*>', 1) || regexp_replace(regexp_extract(s, '(?s)^.*?<p[^>]*>\\s*(.*?)\\s*$', 1), '<[^>]+>', '', 'g') || {_NL} || {_NL} ELSE s || '</p>' END"
 _PIECES = f"string_split({_HEADED}, '</p>')"
 _MD = _replaced(
     f"(array_to_string(list_transform(list_slice({_PIECES}, 1, -2), lambda s: {_PIECE}), '') || list_extract({_PIECES}, -1))",

@@ -30,9 +30,9 @@ def write_index(files: DataFrame, path: str) -> None:
     files.orderBy("url").write.mode("overwrite").json(path)
 
 
-def write_audit(events: DataFrame, path: str) -> None:
-    """Audit events as JSON lines, one folder a day; a day's events may be in many files."""
-    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+def write_audit(events: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """Audit events as JSON lines, one folder a day; a day's events may be in many files, of ``most`` events each at most."""
+    events.withColumn("day", F.to_date("ts")).write.mode("append").option("maxRecordsPerFile", most).partitionBy("day").json(path)
 
 
 def read_audit(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, **one_of: list[str]) -> DataFrame:
