@@ -230,6 +230,15 @@ def test_top_k_odd_vectors(spark):
     assert K.exact_top_k(v.limit(0), v).count() == 0 and K.exact_top_k(v, v.limit(0)).count() == 0
 
 
+def test_samples_are_bounded_in_bytes(spark, monkeypatch):
+    from webloom.llm import _store
+
+    rows = spark.createDataFrame([(i, bytes([i % 251]) * 1000 + str(i).encode()) for i in range(400)], "label int, words binary")
+    assert _store.collected(rows, "sample").num_rows == 400
+    monkeypatch.setattr(_store, "SAMPLE_BYTES", 100_000)
+    assert 60 < _store.collected(rows, "sample").num_rows < 140
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.com/x"), (2, "https://www.example.com/en/1"), (3, "https://m.example.com/en/1?q"), (4, "http://b.net/fr/x"), (5, "http://b.org/en#f"), (6, None), (7, "no scheme"), (8, "http://c.com"), (9, "http://d.com?x=/"), (1, "http://A.com/x")]
     got = sorted(U.judge(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", "host", "path", "rule", "verdict").collect())

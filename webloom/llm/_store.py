@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +66,21 @@ def row_place(docs: DataFrame) -> tuple[DataFrame, list]:
     return docs, [F.xxhash64(at["file_path"]), at["row_index"]]
 
 
+#: Bytes of a training sample that may reach the driver.
+SAMPLE_BYTES = 200 << 20
+
+
 def collected(df: DataFrame, name: str):
-    """The rows of ``df`` (a bounded sample) as an Arrow table; they pass through the shared folder once."""
+    """The rows of ``df`` (a sample with binary columns) as an Arrow table; they pass through the shared folder once.
+
+    The sample is bounded in bytes as well: beyond SAMPLE_BYTES it is thinned by a hash of
+    its rows, so that documents of any length fit the driver.
+    """
     kept = written(df, name)
-    out = kept.toArrow()
+    wide = [c for c, kind in kept.dtypes if kind == "binary"]
+    size = kept.agg(F.sum(reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in wide]))).first()[0] or 0
+    part = int(min(1.0, SAMPLE_BYTES / max(size, 1)) * (1 << 20))
+    out = kept.where(F.pmod(F.xxhash64(*wide), F.lit(1 << 20)) < part).toArrow()
     drop(df.sparkSession, kept)
     return out
 
