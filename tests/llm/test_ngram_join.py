@@ -117,3 +117,21 @@ def test_links_as_brute_force(spark, monkeypatch, leaf, block, columns):
     docs = list(enumerate([t for _, t in corpus()] + near + near[:3] + ["", "two words"]))
     got = N.ngram_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 90)
     assert {x.doc_id: x.n_links for x in got.collect()} == links(docs, 3, 90)
+
+
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_components(spark, monkeypatch, block):
+    """Chains, stars, loops and repeated edges, in one block and across many."""
+    from webloom.llm import graph as G
+
+    monkeypatch.setattr(G, "BLOCK_EDGES", block)
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(20)] + [(r.randrange(900, 930), r.randrange(900, 930)) for _ in range(18)] + [(3, 3), (None, 4), (7, None), (-5, 8), (8, -5)]
+    root = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in root:
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    got = G.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(root.items())
+    assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0

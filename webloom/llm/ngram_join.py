@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import _scan
 from ._store import drop, table, written
-from .graph import components
+from .graph import components, least_reached
 
 #: Coordinates of a count vector, and of the coarser points (sums of neighbours) that nodes of a tree bound.
 DIMS, COARSE = 256, 32
@@ -353,20 +353,6 @@ class RTree:
         return out
 
 
-def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Least place that each of n places reaches by pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _between_regions(percent: int):
     def cell(region, size, side, vec) -> list:
         """Pairs of regions of one dealt cell that the bound cannot keep apart."""
@@ -482,7 +468,7 @@ def _joined(ids: np.ndarray, side: np.ndarray, n: np.ndarray, vec: np.ndarray, h
             links.append((i[ok], j[ok]))
             out += np.bincount(i[ok], minlength=len(ids)) + np.bincount(j[ok], minlength=len(ids))
     i, j = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-    return out, ids[_roots(i, j, len(ids))]
+    return out, ids[least_reached(i, j, len(ids))]
 
 
 def _links(percent: int):
