@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes that go to a Python worker at once, by a setting of the session; a smaller one is kept.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, so that very long texts meet few others on their way to Python."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
 
@@ -37,6 +48,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once as Parquet to the shared folder and read from there (lineage ends here)."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -86,4 +98,5 @@ def collected(df: DataFrame, name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
