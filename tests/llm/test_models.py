@@ -223,6 +223,7 @@ def test_top_k_odd_vectors(spark):
     v = K.integer_vectors(spark.createDataFrame([(*x, "c", 1) for x in rows], "vec_id long, embedding array<float>, v string, over int"))
     plain = [(r.vec_id, r.v) for r in v.collect()]
     assert {i for i, _ in plain} == {0, 1, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 20, *range(30, 60)} and [9, [-1.0]] in [list(x) for x in plain]
+    v = v.selectExpr("*", "1 as g", "2 as b", "'x' as floor", "3L as query_id", "4 as rank", "0.5 as score")  # other columns aren't read
     q = v.where("vec_id % 4 < 3")
     for k in (1, 4, 100):
         got = sorted(tuple(r) for r in K.exact_top_k(q, v, k).collect())

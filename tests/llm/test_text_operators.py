@@ -75,7 +75,7 @@ def test_decontamination_as_brute_force(spark, odd_docs):
             text += " " + " ".join(w if r.random() < 0.9 else word() for w in (r.choice(bench)[1] or "").split()) + " " + " ".join(word() for _ in range(10))
         rows.append((100 + i, text))
     rows.append((99, " ".join(str(i % 13) for i in range(400))))
-    docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, item_id string, n_windows int").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, item_id string, n_windows int").unionByName(odd_docs, allowMissingColumns=True)
     table = spark.createDataFrame([(*x, 5) for x in bench], "item_id long, text string, coverage int")
     all_rows = docs.collect()
     want = sorted((str(x.doc_id), str(i)) for x in all_rows for i in plain_items(bench, x.text))
