@@ -32,7 +32,7 @@ def test_extraction(spark):
 
 def test_exact_links_agree_with_native(spark, data):
     native = registry.queries()["e01_links"](spark, data).agg(F.sum("n")).first()[0]
-    exact = registry.queries()["e04_exact_links"](spark, data).where("not ref rlike '^(#|javascript:|mailto:)'").count()
+    exact = registry.queries()["e01_exact_links"](spark, data).where("not ref rlike '^(#|javascript:|mailto:)'").agg(F.sum("n")).first()[0]
     assert native == exact
 
 
@@ -139,10 +139,72 @@ def test_breaker_stream_equals_batch(spark, tmp_path, data):
 
     spark.conf.set(*stream.STATE_STORE)
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ok", F.col("event_type") != "error")
-    batch = {r.key: r.state for r in health.breaker_states(e).collect()}
+    batch = {str(r.user_id): r.state for r in health.breaker_states(e).collect()}
     rows = e.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), "ok")
     rows.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = stream.breaker_stream(s).writeStream.format("memory").queryName("breakers").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.key: r.state for r in spark.table("breakers").collect()} == batch
+
+
+def varied_pages(n: int = 100) -> list[str]:
+    """Pages with several attributes a tag, quoted in each way or not, sets of sources, raw text and comments."""
+    import random
+
+    r, out = random.Random(3), []
+    names = "href src action poster data-src data-srcset srcset data-url data-lazy-src title alt class data-x".split()
+    for page in range(n):
+        parts = []
+        for _ in range(r.randint(1, 12)):
+            attrs = []
+            for name in r.sample(names, r.randint(0, 5)):
+                value = r.choice(["/a%d", "b/c%d?x=1&amp;y=2", "https://e.com/d%d", "//cdn.e/%d", "#f%d", "javascript:%d", "mailto:a@%d"]) % r.randint(0, 99)
+                value = ", ".join(f"/s{r.randint(0, 9)}.png {k}x" for k in (1, 2)) if "srcset" in name else value
+                quote = r.choice(['"', "'", ""]) if " " not in value else r.choice("\"'")
+                if quote == '"' and name in ("title", "alt"):
+                    value += " > it's href='/no'"
+                blank = r.choice(["", " ", "\n"])
+                attrs.append(f"{r.choice([name, name.upper()])}{blank}={blank}{quote}{value}{quote}")
+            parts.append(f"<{r.choice('a img video link form source div'.split())} {r.choice([' ', chr(9)]).join(attrs)}{r.choice(['', ' disabled', ' /'])}>")
+            parts.append(r.choice(["text 1 < 2", "<!-- <a href='/no'> -->", "<script src='/s.js'>var x = '<a href=/no>'</script>", "<style>a > b{}</style>", "</div>"]))
+        out.append("".join(parts))
+    return out
+
+
+def test_links_equal_a_tokenizer(spark):
+    pages = varied_pages()
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    base = "https://e.com/p/q"
+    got = {r.page_id: list(r.refs) for r in df.select("page_id", H.links(F.lit(base), F.col("html")).alias("refs")).collect()}
+    from urllib.parse import urljoin, urlsplit
+
+    for i, page in enumerate(pages):
+        tree = dom.Tree(page)
+        want = []
+        for node in tree.nodes:
+            for k, v in node["all"] if node["tag"] not in ("script", "style") else []:
+                if k in ("srcset", "data-srcset"):
+                    want += [urljoin(base, x.split()[0]) for x in v.split(",") if x.strip()]
+                elif k in ("href", "src", "action", "poster", "data-src", "data-url", "data-lazy-src") and v and not v.startswith(("#", "javascript:", "mailto:")):
+                    want.append(urljoin(base, v))
+        want = [u for u in want if urlsplit(u).hostname in (None, "e.com")]
+        assert got[i] == want, page
+
+
+def test_raw_text_is_no_markup(spark):
+    page = "<title><a href=/no></title><TEXTAREA x='>'><img src=/no></textarea><script src=/s.js><!-- </script><a href=/yes><style>x{}<a href=/no>"
+    assert spark.range(1).select(H.links(F.lit("https://e.com/"), F.lit(page))).first()[0] == ["https://e.com/yes"]
+    long = "<a href='/1' " + "x=1 " * 50_000 + "data-src=/2>"  # a tag with very many attributes
+    assert spark.range(1).select(H.links(F.lit("https://e.com/"), F.lit(long))).first()[0] == ["https://e.com/1", "https://e.com/2"]
+
+
+def test_asset_urls(spark):
+    page = """<html><head>
+<meta property="og:image" content="https://example.com/og.png"><link rel="stylesheet" href="https://example.com/assets/style.css"></head><body>
+<img src="https://example.com/images/logo.png"><img srcset="https://example.com/a.jpg 1x, https://example.com/b.jpg 2x">
+<script src="https://example.com/app.js"></script><a href="https://example.com/other-page">page</a><a href="https://example.com/file.pdf">pdf</a>
+<video src="https://example.com/v.mp4" poster="https://example.com/p.png"></video><div style="background: url(https://example.com/bg.png)"></div></body></html>"""
+    got = spark.range(1).select(H.asset_urls(F.lit("https://example.com/"), F.lit(page), css_relative=False)).first()[0]
+    assert got == sorted(f"https://example.com/{x}" for x in "og.png assets/style.css images/logo.png a.jpg b.jpg app.js file.pdf v.mp4 p.png bg.png".split())
+    assert spark.range(1).select(H.asset_urls(F.lit("https://e.com/"), F.lit(None).cast("string"))).first()[0] is None

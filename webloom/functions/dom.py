@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import DATA_URL_ATTRS, URL_ATTRS
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -25,7 +27,7 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1] if self.open else -1
         place = self.children[parent] = self.children.get(parent, 0) + 1
-        self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": parent, "place": place, "depth": len(self.open), "text": []})
+        self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "all": [(k, v or "") for k, v in attrs], "parent": parent, "place": place, "depth": len(self.open), "text": []})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -117,9 +119,14 @@ def accessibility(html: str, strict: bool = False) -> dict:
 
 
 def exact_links(html: str) -> list[str]:
-    """Raw url attributes of all start tags but scripts and styles, in order (entities decoded)."""
-    names = {"href", "src", "action", "poster"}
-    return [v for n in Tree(html).nodes if n["tag"] not in ("script", "style") for k, v in n["attrs"].items() if k in names and v]
+    """Raw urls of all url attributes and sets of sources of all start tags but scripts and styles, in order (entities decoded)."""
+    out = []
+    for k, v in (a for n in Tree(html).nodes if n["tag"] not in ("script", "style") for a in n["all"]):
+        if k in ("srcset", "data-srcset"):
+            out += [x.split()[0] for x in v.split(",") if x.strip()]
+        elif v and (k in URL_ATTRS or k in DATA_URL_ATTRS):
+            out.append(v)
+    return out
 
 
 def census(html: str) -> list[dict]:

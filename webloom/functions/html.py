@@ -30,25 +30,56 @@ def visible(html: Column) -> Column:
 
 def text_content(html: Column) -> Column:
     """Text outside tags, white space collapsed, the five basic entities decoded."""
-    t = F.regexp_replace(visible(html), "<[^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = unescaped(F.regexp_replace(visible(html), "<[^>]*>", " "))
     return F.trim(F.regexp_replace(t, WS + "+", " "))
 
 
-def attr_values(html: Column, names: list[str]) -> Column:
-    """Quoted values of these attributes in start tags, in order."""
-    pattern = r"(?i)<[a-z][^>]*?\s(?:" + "|".join(names) + r")\s*=\s*[\"']([^\"']*)[\"']"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+#: A start tag with its attributes; a quote counts only where a value begins, so values may hold any other sign.
+ATTRIBUTE = r"""[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+TAG = rf"<[a-zA-Z][^\s/>]*+(?:[\s/=]++|{ATTRIBUTE})*+>"
+#: Comments, and elements whose content is no markup (their start tag is the first group).
+NO_MARKUP = r"""(?is)<!--.*?(?:-->|\z)|(<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b(?:[^>"']|"[^"]*+"|'[^']*+')*+>).*?(?=</\2\b|\z)"""
+#: Attributes that hold lists of urls.
+SETS = ("srcset", "data-srcset")
+
+
+def tags(html: Column) -> Column:
+    """All start tags of a page, as they are written; not those in comments, scripts and other raw text."""
+    return F.regexp_extract_all(F.regexp_replace(html, NO_MARKUP, "$1"), F.lit(TAG), F.lit(0))
+
+
+def unescaped(value: Column) -> Column:
+    """The five basic entities decoded."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
+def attributes(found: Column, names: list[str], but: str = "") -> Column:
+    """(name, value) of every attribute of these names (expressions) in tags, in order, quoted or not; ``but``: tags to pass over."""
+    wanted = "(?i)^(?:" + "|".join(names) + r")\s*+="
+    if but:
+        found = F.filter(found, lambda t: ~t.rlike(rf"(?i)^<(?:{but})[\s/>]"))
+    one = lambda a: F.struct(
+        F.lower(F.regexp_extract(a, r"^[^\s=]*+", 0)).alias("name"),
+        unescaped(F.regexp_extract(a, r"""(?s)^[^=]*+=\s*+(["']?+)(.*?)\1\z""", 2)).alias("value"),
+    )
+    return F.flatten(F.transform(found, lambda t: F.transform(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(wanted)), one)))
+
+
+def set_urls(value: Column) -> Column:
+    """Urls of a ``srcset``."""
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.substring_index(F.trim(F.regexp_replace(x, WS, " ")), " ", 1)), lambda u: u != "")
 
 
 def links(base: Column, html: Column) -> Column:
-    """Resolved urls of url attributes: no fragments, scripts or mail, the page's own host or none."""
-    refs = F.filter(attr_values(visible(html), [*T.URL_ATTRS, *[a for a in T.DATA_URL_ATTRS if a != "data-srcset"]]), lambda r: ~r.rlike("^(?:#|javascript:|mailto:)") & (r != ""))
-    decoded = F.transform(refs, lambda r: F.replace(r, F.lit("&amp;"), F.lit("&")))
+    """Resolved urls of url attributes (every one of a tag, sets of sources too): no fragments, scripts or mail, the page's own host or none."""
+    found = attributes(tags(html), [*T.URL_ATTRS, *T.DATA_URL_ATTRS, "srcset"], but="script|style")
+    plain = lambda v: F.when((v != "") & ~v.rlike("^(?:#|javascript:|mailto:)"), F.array(v)).otherwise(F.array().cast("array<string>"))
+    refs = F.flatten(F.transform(found, lambda a: F.when(a["name"].isin(*SETS), set_urls(a["value"])).otherwise(plain(a["value"]))))
 
     def own(b: Column) -> Column:
-        full = F.transform(decoded, lambda r: U.resolve_parts(base, b, r))
+        full = F.transform(refs, lambda r: U.resolve_parts(base, b, r))
         host = U._host_of(F.get(b, 1))
         return U.let(host, lambda h: F.filter(full, lambda u: (U.host(u) == h) | (U.part(u, 1) == "")))
 
@@ -155,36 +186,47 @@ def graphql_operation(body: Column) -> Column:
     return F.coalesce(F.get_json_object(body, "$.operationName"), F.lit(""))
 
 
-def asset_urls(page: Column, html: Column, relative: bool = False, css_relative: bool = True) -> Column:
+#: Names of further attributes that lead to files, as an expression.
+DATA_ATTRS = r"data-[^\s/>=]*?(?:src|url|bg|image|lazy)[^\s/>=]*+"
+NO_FILE = "^(?:#|javascript:|mailto:|tel:|data:)"
+
+
+def asset_urls(page: Column, html: Column, relative: bool = False, css_relative: bool = True, styles: bool = True) -> Column:
     """Distinct urls of a page's assets, sorted.
 
     Sources, posters, srcsets, lazy ``data-`` attributes and preview images; ``href`` and
     ``action`` only where they lead to no page; ``url()`` of style attributes and sheets.
     ``relative`` resolves relative references of attributes, ``css_relative`` those of styles;
-    otherwise only absolute ones count.
+    otherwise only absolute ones count.  Without ``styles`` only attributes are looked at.
     """
-    clean = without(html, COMMENT)
-    absolute = r"^https?://"
-    resolved = lambda refs: U.let(U.parts(page), lambda b: F.transform(refs, lambda r: U.resolve_parts(page, b, F.replace(F.trim(r), F.lit("&amp;"), F.lit("&")))))
-    full = lambda refs, resolve: resolved(refs) if resolve else refs
-    plain = full(attr_values(clean, ["src", "poster", "data", "data-[a-z-]*(?:src|url|bg|image|lazy)[a-z-]*"]), relative)
-    sets = F.flatten(F.transform(attr_values(clean, ["srcset", "data-srcset"]), lambda s: F.transform(F.split(s, ","), lambda x: F.substring_index(F.trim(x), " ", 1))))
-    hrefs = F.filter(full(attr_values(clean, ["href", "action"]), relative), lambda u: ~U.is_html_page_url(u))
-    metas = F.transform(F.filter(meta_pairs(clean), lambda m: m["name"].isin("og:image", "twitter:image")), lambda m: m["content"])
-    sheets = F.regexp_extract_all(clean, F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1))
-    css = full(css_urls(F.array_join(F.concat(sheets, _style_attrs(clean)), " ")), css_relative)
-    return F.array_sort(F.array_distinct(F.filter(F.concat(plain, full(sets, relative), hrefs, metas, css), lambda u: u.rlike(absolute))))
-
-
-def _style_attrs(html: Column) -> Column:
-    double = F.regexp_extract_all(html, F.lit(r'(?i)\sstyle\s*=\s*"([^"]*)"'), F.lit(1))
-    return F.concat(double, F.regexp_extract_all(html, F.lit(r"(?i)\sstyle\s*=\s*'([^']*)'"), F.lit(1)))
+    found = attributes(tags(html), ["src", "poster", "data", "srcset", "href", "action", "style", DATA_ATTRS])
+
+    def of(base: Column) -> Column:
+        full = lambda r: U.resolve_parts(page, base, F.trim(r))
+        refs = lambda keep: F.filter(F.filter(found, keep), lambda a: (a["value"] != "") & ~a["value"].rlike(NO_FILE))
+        sets = F.flatten(F.transform(refs(lambda a: a["name"].isin(*SETS)), lambda a: set_urls(a["value"])))
+        plain = F.transform(refs(lambda a: ~a["name"].isin(*SETS, "href", "action", "style")), lambda a: a["value"])
+        hrefs = F.transform(refs(lambda a: a["name"].isin("href", "action")), lambda a: a["value"])
+        hrefs = F.filter(hrefs, lambda r: ~U.is_html_page_url(full(r)))
+        got = F.concat(plain, sets, hrefs)
+        if relative:
+            got = F.transform(got, full)
+        if styles:
+            metas = F.transform(F.filter(meta_pairs(without(html, COMMENT)), lambda m: F.lower(m["name"]).isin("og:image", "twitter:image")), lambda m: unescaped(m["content"]))
+            sheets = F.regexp_extract_all(without(html, COMMENT), F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1))
+            css = css_urls(F.array_join(F.concat(sheets, F.transform(refs(lambda a: a["name"] == "style"), lambda a: a["value"])), " "))
+            got = F.concat(got, metas, F.transform(css, full) if css_relative else css)
+        return F.array_sort(F.array_distinct(F.filter(got, lambda u: u.rlike("^https?://"))))
+
+    return U.let(U.parts(page), of)
 
 
 def url_refs(page: Column, content: Column) -> Column:
-    """Distinct absolute urls of ``url()`` and of reference attributes, resolved against the page, sorted."""
-    refs = F.concat(css_urls(content), attr_values(content, ["href", "src", "action", "poster", "data-src"]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(refs, lambda r: U.resolve(page, r)), lambda u: U.is_valid_url(u))))
+    """Distinct absolute urls of ``url()``, of reference attributes and sets of sources, resolved against the page, sorted."""
+    found = attributes(tags(content), ["href", "src", "action", "poster", "data", "srcset", DATA_ATTRS])
+    refs = F.concat(css_urls(content), F.flatten(F.transform(found, lambda a: F.when(a["name"] == "srcset", set_urls(a["value"])).otherwise(F.array(a["value"])))))
+    refs = F.filter(F.transform(refs, lambda r: F.trim(r)), lambda r: (r != "") & ~r.rlike("^(?:#|data:|javascript:|mailto:|tel:|blob:)"))
+    return U.let(U.parts(page), lambda b: F.array_sort(F.array_distinct(F.filter(F.transform(refs, lambda r: U.resolve_parts(page, b, r)), lambda u: U.is_valid_url(u)))))
 
 
 def shadow_roots(html: Column) -> Column:

@@ -9,12 +9,12 @@ from ..functions import html as H
 from ..functions import urls as U
 from ..operators import rewrite as RW
 from . import sqltext as S
-from .html import _HREFS, _planted
+from .html import _planted, attributes_sql
 from .registry import query
 from .urls import pages
 
 
-@query("e01_exact_links", f"SELECT page_id, ref, count(*) AS n FROM (SELECT page_id, replace(unnest({_HREFS}), '&amp;', '&') AS ref FROM pages) WHERE ref <> '' GROUP BY 1, 2")
+@query("e01_exact_links", f"{attributes_sql()} SELECT page_id, ref, count(*) AS n FROM refs WHERE ref <> '' GROUP BY 1, 2")
 def e01_exact(spark, d):
     return dom.extract(pages(spark, d, "html"), "links").groupBy("page_id", "ref").agg(F.count("*").alias("n"))
 

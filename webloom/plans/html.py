@@ -12,10 +12,23 @@ from .registry import query
 from .urls import pages
 
 _VIS = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g')"
-_ATTRS = "|".join([*T.URL_ATTRS, *[a for a in T.DATA_URL_ATTRS if a != "data-srcset"]])
-_HREFS = f"regexp_extract_all({_VIS}, '(?i)<[a-z][^>]*?\\s(?:{_ATTRS})\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
-_LINKS = f"""WITH r AS (SELECT page_id, url, unnest({_HREFS}) AS ref FROM pages),
-l AS (SELECT page_id, {S.part('url', 1)} || '://' || {S.part('url', 2)} || replace(ref, '&amp;', '&') AS link FROM r WHERE starts_with(ref, '/'))"""
+_ATTRS = "|".join([*T.URL_ATTRS, *T.DATA_URL_ATTRS, "srcset"])
+_ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)?)?"""
+_TAG = rf"<[a-zA-Z][^\s/>]*(?:[\s/=]+|{_ATTRIBUTE})*>"
+_SETS = "name IN ('srcset', 'data-srcset')"
+
+
+def attributes_sql(source: str = "pages", names: str = _ATTRS, but: str = "script|style") -> str:
+    """CTEs that end in ``refs (page_id, url, tag_no, attr_no, ref_no, name, ref)``: tags are cut first, then all attributes of each."""
+    return rf"""WITH tags AS (SELECT page_id, url, unnest(t) AS tag, generate_subscripts(t, 1) AS tag_no FROM (SELECT page_id, url, regexp_extract_all({_VIS}, '{_TAG}') AS t FROM {source})),
+attrs AS (SELECT page_id, url, tag_no, unnest(a) AS a, generate_subscripts(a, 1) AS attr_no FROM (SELECT page_id, url, tag_no, regexp_extract_all(tag, '{_ATTRIBUTE}') AS a FROM tags WHERE NOT regexp_matches(tag, '(?i)^<(?:{but})[\s/>]'))),
+named AS (SELECT page_id, url, tag_no, attr_no, lower(regexp_extract(a, '^[^\s=]*')) AS name, regexp_replace(a, '^[^=]*=\s*', '') AS v FROM attrs WHERE regexp_matches(a, '(?i)^(?:{names})\s*=')),
+plain AS (SELECT page_id, url, tag_no, attr_no, name, replace(CASE WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END, '&amp;', '&') AS v FROM named),
+refs AS (SELECT page_id, url, tag_no, attr_no, name, generate_subscripts(r, 1) AS ref_no, unnest(r) AS ref FROM (SELECT *, CASE WHEN {_SETS} THEN list_transform(string_split(v, ','), lambda x: string_split(trim(x), ' ')[1]) ELSE [v] END AS r FROM plain))"""
+
+
+_KEPT = f"ref <> '' AND ({_SETS} OR NOT regexp_matches(ref, '^(?:#|javascript:|mailto:)'))"
+_LINKS = f"""{attributes_sql()}, l AS (SELECT *, {S.part('url', 1)} || '://' || {S.part('url', 2)} || ref AS link FROM refs WHERE {_KEPT} AND starts_with(ref, '/') AND NOT starts_with(ref, '//'))"""
 
 
 @query("e01_links", f"{_LINKS} SELECT page_id, link, count(*) AS n FROM l GROUP BY 1, 2")
@@ -24,7 +37,17 @@ def e01(spark, d):
     return out.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query("e01_links_per_host", f"WITH r AS (SELECT {S.host('url')} AS host, len({_HREFS}) AS n FROM pages) SELECT host, sum(n)::BIGINT AS n_links FROM r GROUP BY 1")
+#: Markup that stands before each stored page: several url attributes in a tag, unquoted and single-quoted values, sets, raw text.
+_MANY = """<video poster="/p%.png" src='/v%.mp4'></video><img src=/i%.png title="x href='/no' > y" srcset="/a%.png 1x, /b%.png 2x" data-src=/l%.png><textarea><a href="/no"></textarea><FORM ACTION = /f%/s.cgi><source data-srcset="/c%.webp 100w"><a href="/q%?a=1&amp;b=2" data-url="/u%">z</a>"""
+
+
+@query("e01_links_of_many_attributes", f"{attributes_sql('(SELECT page_id, url, replace(' + S.quoted([_MANY.replace('<textarea><a href="/no"></textarea>', '')]) + ', chr(37), page_id::VARCHAR) || html AS html FROM pages)')} SELECT page_id, {S.part('url', 1)} || '://' || {S.part('url', 2)} || ref AS link, count(*) AS n FROM refs WHERE {_KEPT} AND starts_with(ref, '/') GROUP BY 1, 2")
+def e01_many(spark, d):
+    p = pages(spark, d, "html").withColumn("html", F.concat(F.replace(F.lit(_MANY), F.lit("%"), F.col("page_id").cast("string")), "html"))
+    return p.select("page_id", F.explode(H.links(F.col("url"), F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("e01_links_per_host", f"{_LINKS} SELECT {S.host('url')} AS host, count(*) AS n_links FROM l GROUP BY 1")
 def e01_hosts(spark, d):
     from ..functions import urls as U
 
@@ -117,7 +140,7 @@ def e19(spark, d):
     return pages(spark, d, "html").select("page_id", H.framework(F.concat("html", sign)).alias("framework"))
 
 
-@query("e20_routes", f"WITH r AS (SELECT page_id, url, unnest({_HREFS}) AS ref, generate_subscripts({_HREFS}, 1) AS pos FROM pages), x AS (SELECT page_id, {S.part('url', 1)} || '://' || {S.part('url', 2)} || replace(ref, '&amp;', '&') AS link, min(pos) AS pos FROM r WHERE starts_with(ref, '/') GROUP BY 1, 2) SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM x) WHERE k <= 50")
+@query("e20_routes", f"{_LINKS}, x AS (SELECT page_id, link, min(tag_no * 1000000 + attr_no * 1000 + ref_no) AS pos FROM l GROUP BY 1, 2) SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM x) WHERE k <= 50")
 def e20(spark, d):
     return pages(spark, d, "html").select("page_id", F.explode(H.routes(F.col("url"), F.col("html"))).alias("link"))
 

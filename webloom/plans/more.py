@@ -13,13 +13,15 @@ from . import sqltext as S
 from .registry import query
 from .urls import pages
 
-_EXTRA = """<img src="/i%s.png" srcset="https://h.e/s1.png 1x, https://h.e/s2.png 2x"><link href="https://h.e/a.css"><a href="https://h.e/page">x</a><div data-lazy-src="https://h.e/l.jpg" style="background:url(/bg.png)"></div><style>a{b:url('https://h.e/c.png')}</style><meta property="og:image" content="https://h.e/o.png">"""
-_ABS = "'https://h.e/a.css', 'https://h.e/c.png', 'https://h.e/l.jpg', 'https://h.e/o.png', 'https://h.e/s1.png', 'https://h.e/s2.png'"
+_EXTRA = """<img src="/i%.png" srcset="https://h.e/s1.png 1x, https://h.e/s2.png 2x"><link href="https://h.e/a.css"><a href="https://h.e/page">x</a><div data-lazy-src="https://h.e/l.jpg" style="background:url(/bg.png)"></div><style>a{b:url('https://h.e/c.png')}</style><meta property="og:image" content="https://h.e/o.png">"""
+# several url attributes in a tag, none quoted, signs of markup in values and in scripts
+_EXTRA += """<video src="/v%.mp4" title='a > "b"' poster="https://h.e/p.png"></video><a href=https://h.e/u.pdf class=x>u</a><img alt="src=/no.png" data-src="https://h.e/d.png" src='https://h.e/t.gif'><script>x = '<img src="https://h.e/no.png">'</script><!-- <img src="https://h.e/no.png"> --><a href="#top"></a>"""
+_TAGS = "'https://h.e/a.css', 'https://h.e/l.jpg', 'https://h.e/s1.png', 'https://h.e/s2.png', 'https://h.e/p.png', 'https://h.e/u.pdf', 'https://h.e/d.png', 'https://h.e/t.gif'"
+_ABS = f"{_TAGS}, 'https://h.e/c.png', 'https://h.e/o.png'"
 
 
 def with_assets(spark, d):
-    a, b = _EXTRA.split("%s")
-    return pages(spark, d).select("page_id", "url", F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b)).alias("html"))
+    return pages(spark, d).select("page_id", "url", F.replace(F.lit(_EXTRA), F.lit("%"), F.col("page_id").cast("string")).alias("html"))
 
 
 _ROOT = f"{S.part('url', 1)} || '://' || {S.part('url', 2)}"
@@ -35,12 +37,12 @@ def e06(spark, d):
     return with_assets(spark, d).select("page_id", F.explode(H.asset_urls(F.col("url"), F.col("html"), css_relative=False)).alias("asset"))
 
 
-@query("e07_asset_urls_resolved", f"SELECT page_id, unnest([{_ABS}, {_ROOT} || '/bg.png', {_ROOT} || '/i' || page_id || '.png']) AS asset FROM pages")
+@query("e07_asset_urls_resolved", f"SELECT page_id, unnest([{_TAGS}, {_ROOT} || '/i' || page_id || '.png', {_ROOT} || '/v' || page_id || '.mp4']) AS asset FROM pages")
 def e07(spark, d):
-    return with_assets(spark, d).select("page_id", F.explode(H.asset_urls(F.col("url"), F.col("html"), relative=True)).alias("asset"))
+    return with_assets(spark, d).select("page_id", F.explode(H.asset_urls(F.col("url"), F.col("html"), relative=True, styles=False)).alias("asset"))
 
 
-@query("e08_url_refs", f"SELECT page_id, unnest(['https://h.e/a.css', 'https://h.e/c.png', 'https://h.e/page', {_ROOT} || '/bg.png', {_ROOT} || '/i' || page_id || '.png']) AS ref FROM pages")
+@query("e08_url_refs", f"SELECT page_id, unnest([{_TAGS}, 'https://h.e/c.png', 'https://h.e/page', {_ROOT} || '/bg.png', {_ROOT} || '/i' || page_id || '.png', {_ROOT} || '/v' || page_id || '.mp4']) AS ref FROM pages")
 def e08(spark, d):
     return with_assets(spark, d).select("page_id", F.explode(H.url_refs(F.col("url"), F.col("html"))).alias("ref"))
 
