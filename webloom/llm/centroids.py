@@ -36,7 +36,7 @@ def _integers(col: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.ndar
     return x, np.abs(x).max(1, initial=0) > TAME
 
 
-def _whole(x: np.ndarray) -> list[list[int]]:
+def _whole(x) -> list[list[int]]:
     return [[int(v) for v in row] for row in x]
 
 
@@ -102,16 +102,14 @@ def _limbs(total: int) -> Iterator[tuple[int, int]]:
         total, n = total >> LIMB, n + 1
 
 
-def _sums(near: Nearest | None, dims: int, scale: int):
-    """Per task: rows of each cluster (dim -1) and sums of each of their dimensions; without centroids also sums of squares (cluster -1)."""
+def _sums(near: Nearest, dims: int, scale: int):
+    """Per task: rows of each cluster (dim -1) and sums of each of their dimensions, in limbs."""
 
     def run(batches):
         totals: dict[tuple[int, int], list[int]] = {}
-        square = np.zeros(dims)
         for b in batches:
             x, wild = _integers(b.column("v"), dims, scale)
-            which = near.of(x, wild)[0] if near else np.zeros(len(x), np.int64)
-            square += (x * x).sum(0)
+            which = near.of(x, wild)[0]
             for c in np.unique(which).tolist():
                 own = which == c
                 for kind, rows in (("tame", x[own & ~wild].astype(np.int64)), ("wild", np.array(_whole(x[own & wild]), object).reshape(-1, dims))):
@@ -127,10 +125,13 @@ def _sums(near: Nearest | None, dims: int, scale: int):
 
 
 def _variance(dims: int, scale: int):
+    """Per task: rows, sums and sums of squares of each dimension, of vectors within TAME."""
+
     def run(batches):
         n, s, q = 0, np.zeros(dims), np.zeros(dims)
         for b in batches:
-            x, _ = _integers(b.column("v"), dims, scale)
+            x, wild = _integers(b.column("v"), dims, scale)
+            x = x[~wild]  # the order of dimensions is a matter of speed only
             n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims), pa.int32()), pa.array(np.full(dims, float(n))), pa.array(s), pa.array(q)], ["dim", "n", "s", "q"])
 
@@ -158,7 +159,7 @@ def first_centroids(rows: DataFrame, k: int, seed: int, scale: int) -> list[list
     """Integers of the k vectors whose ids hash lowest (ties: the lesser vector; null ids are no candidates); k rows reach the driver."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     found = rows.where("vec_id is not null").orderBy(h, "v").limit(k).collect()
-    return _whole(np.floor(np.array([r["v"] for r in found], np.float64).reshape(len(found), -1) * scale))
+    return _whole([np.floor(np.array(r["v"], np.float64) * scale) for r in found])
 
 
 def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE, seed: int = SEED) -> DataFrame:
@@ -166,7 +167,7 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims
 
     Other vectors (null, shorter, longer, with a null, NaN or infinity) take no part; a null
     id takes part but is no first centroid; repeated rows count as often as they occur.  Fewer
-    vectors than ``k`` make fewer clusters, none give no rows.  Distances and sums are exact at
+    vectors (with an id) than ``k`` make fewer clusters, none give no rows.  Distances and sums are exact at
     any size; one that a long can't hold is reported as the greatest long.  A round reads the
     vectors once and brings k * dims sums to the driver; other columns aren't read.
     """
@@ -180,7 +181,7 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims
     spread = rows.mapInArrow(_variance(dims, scale), "dim int, n double, s double, q double").groupBy("dim").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
     variance = np.zeros(dims)
     for d, n, s, q in spread:
-        variance[d] = np.nan_to_num(q / n - (s / n) ** 2, posinf=np.inf) if n else 0
+        variance[d] = q / n - (s / n) ** 2 if n else 0.0
     order = np.argsort(-variance, kind="stable")
     for _ in range(rounds):
         told = rows.mapInArrow(_sums(Nearest(centroids, order), dims, scale), "cluster int, dim int, limb int, total long")
