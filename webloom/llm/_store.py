@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,17 +82,22 @@ def row_place(docs: DataFrame) -> tuple[DataFrame, list]:
 SAMPLE_BYTES = 200 << 20
 
 
+def spot(*ids: str) -> Column:
+    """A number below 2^20 that a sample may be thinned by: a hash of the row's id, so that rows of equal content are told apart."""
+    return F.pmod(F.xxhash64(*ids, F.lit(17)), F.lit(1 << 20)).cast("int").alias("spot")
+
+
 def collected(df: DataFrame, name: str):
-    """The rows of ``df`` (a sample with binary columns) as an Arrow table; they pass through the shared folder once.
+    """The rows of ``df`` (a sample with binary columns, and ``spot``) as an Arrow table; they pass through the shared folder once.
 
-    The sample is bounded in bytes as well: beyond SAMPLE_BYTES it is thinned by a hash of
-    its rows, so that documents of any length fit the driver.
+    The sample is bounded in bytes as well: beyond SAMPLE_BYTES it is thinned by ``spot``, so
+    that documents of any length fit the driver.
     """
     kept = written(df, name)
     wide = [c for c, kind in kept.dtypes if kind == "binary"]
     size = kept.agg(F.sum(reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in wide]))).first()[0] or 0
     part = int(min(1.0, SAMPLE_BYTES / max(size, 1)) * (1 << 20))
-    out = kept.where(F.pmod(F.xxhash64(*wide), F.lit(1 << 20)) < part).toArrow()
+    out = kept.where(F.col("spot") < part).drop("spot").toArrow()
     drop(df.sparkSession, kept)
     return out
 

@@ -9,7 +9,6 @@ depends on the rows beside it.
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -19,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import collected, table
+from ._store import collected, spot, table
 from .linear import Rows, sigmoid, squared_hinge
 
 DIMS = 1 << 14
 #: Documents expected in the training sample of each language, and of all languages together.
 SAMPLE, SAMPLE_ALL = 1_500, 12_000
-#: Languages that are learnt at most: those with most documents in the sample.
-MOST_LANGS = 200
+#: Documents expected of each language, however many languages there are.
+LEAST = 20
+#: Languages of a family that are told apart by pairs; a larger family is cut into parts of at most PART.
+MOST_MEMBERS, PART = 16, 8
 #: Rows of the table of languages that may be broadcast.
 BROADCAST_ROWS = 10_000
 #: Steps of a weight of 1.
@@ -56,6 +57,21 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], f"only {lang}")
 
 
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    """Members of each family; languages of no known family are one together where they are many, and large families are cut in parts."""
+    groups: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        groups.setdefault(family_of(lang), []).append(lang)
+    alone = [f for f, members in groups.items() if len(members) == 1]
+    if len(alone) > MOST_MEMBERS:
+        groups["others"] = sorted(groups.pop(f)[0] for f in alone)
+    out = {}
+    for f, members in groups.items():
+        parts = [members] if len(members) <= MOST_MEMBERS else [members[i : i + PART] for i in range(0, len(members), PART)]
+        out |= {f"{f} {n}" if len(parts) > 1 else f: p for n, p in enumerate(parts)}
+    return dict(sorted(out.items()))
+
+
 def trigrams(buf: np.ndarray, offs: np.ndarray | None = None) -> np.ndarray:
     """Hashed trigram that begins at each byte; what is no letter counts as a blank, and so does what follows a row."""
     c = np.concatenate((_LOW[buf], np.full(2, 32, np.uint32)))
@@ -85,16 +101,20 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 class Model:
     """``machines``: rows of weights; the first are one per family, then one per pair of languages within a family."""
 
-    def __init__(self, langs: list[str], families: list[str], pairs: list[tuple[str, str]], weight: np.ndarray, bias: np.ndarray):
-        self.langs, self.families, self.pairs = langs, families, pairs
+    def __init__(self, families: dict[str, list[str]], pairs: list[tuple[str, str]], weight: np.ndarray, bias: np.ndarray):
+        self.families, self.pairs = families, pairs
         self.weight, self.bias = np.ascontiguousarray(np.round(weight.T * FIXED), np.int32), bias
-        self.members = [[x for x in langs if family_of(x) == f] for f in families]
+        self.members = list(families.values())
+        of = {lang: f for f, members in enumerate(self.members) for lang in members}
+        self.own: list[list[tuple[int, str, str]]] = [[] for _ in self.members]  # machines of each family's pairs
+        for j, (a, b) in enumerate(pairs, len(families) if len(families) > 1 else 0):
+            self.own[of[a]].append((j, a, b))
 
     def margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n, m = len(offs) - 1, self.weight.shape[1]
         out = np.zeros((n, m), np.int64)
         if m:
-            for lo, t in row_blocks(buf, offs):  # long texts need no more memory
+            for lo, t in row_blocks(buf, offs, max(1 << 12, min(1 << 18, (1 << 22) // m))):  # long texts and many machines need no more memory
                 hi = lo + len(t)
                 a = int(np.searchsorted(offs, lo, "right")) - 1
                 z = int(np.searchsorted(offs, hi, "left"))
@@ -106,7 +126,7 @@ class Model:
     def predict(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score: the chance of the family times that of winning its votes."""
         n = len(margins)
-        if not self.langs:
+        if not self.families:
             return ["und"] * n, np.zeros(n)
         k = len(self.families)
         fam = sigmoid(4 * margins[:, :k]) if k > 1 else np.ones((n, 1))
@@ -116,14 +136,13 @@ class Model:
         for f, members in enumerate(self.members):
             at = np.flatnonzero(best == f)
             votes, sure = np.zeros((len(at), len(members))), np.zeros((len(at), len(members)))
-            for j, (a, b) in enumerate(self.pairs, k if k > 1 else 0):
-                if a in members:
-                    p = sigmoid(4 * margins[at, j])
-                    i, o = members.index(a), members.index(b)
-                    votes[:, i] += p >= 0.5
-                    votes[:, o] += p < 0.5
-                    sure[:, i] += p
-                    sure[:, o] += 1 - p
+            for j, a, b in self.own[f]:
+                p = sigmoid(4 * margins[at, j])
+                i, o = members.index(a), members.index(b)
+                votes[:, i] += p >= 0.5
+                votes[:, o] += p < 0.5
+                sure[:, i] += p
+                sure[:, o] += 1 - p
             won = (votes * 1000 + sure).argmax(1) if len(at) else at
             names[at] = np.array(members, object)[won] if len(members) else "und"
             if len(members) > 1:
@@ -131,21 +150,31 @@ class Model:
         return names.tolist(), score
 
 
+def _machine(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Weights and intercept of one machine, trained on the features that its rows have (others stay 0)."""
+    some, idx = np.unique(x.idx, return_inverse=True)
+    w = squared_hinge(Rows(idx, x.val, x.at), y, len(some))
+    out = np.zeros(DIMS + 1, np.float32)
+    out[some], out[-1] = w[:-1], w[-1]
+    return out
+
+
 def fit(x: Rows, lang: np.ndarray, scale: float = 1.0) -> Model:
     """Machines on rows whose values are ``scale`` times relative frequencies."""
-    langs = sorted(set(lang.tolist()))
-    families = sorted({family_of(v) for v in langs})
-    own = np.array([family_of(v) for v in lang], object)
+    families = families_of(sorted(set(lang.tolist())))
+    of = {v: f for f, members in families.items() for v in members}
+    own = np.array([of[v] for v in lang], object)
+    rows_of = {v: np.flatnonzero(lang == v) for v in of}
     machines, pairs = [], []
     if len(families) > 1:
-        machines += [squared_hinge(x, np.where(own == f, 1.0, -1.0), DIMS) for f in families]
-    for f in families:
-        for a, b in combinations([v for v in langs if family_of(v) == f], 2):
-            rows = np.flatnonzero((lang == a) | (lang == b))
-            machines.append(squared_hinge(x.take(rows), np.where(lang[rows] == a, 1.0, -1.0), DIMS))
+        machines += [_machine(x, np.where(own == f, 1.0, -1.0)) for f in families]
+    for members in families.values():
+        for a, b in combinations(members, 2):
+            rows = np.sort(np.concatenate((rows_of[a], rows_of[b])))
+            machines.append(_machine(x.take(rows), np.where(lang[rows] == a, 1.0, -1.0)))
             pairs.append((a, b))
     w = np.stack(machines) if machines else np.zeros((0, DIMS + 1))
-    return Model(langs, families, pairs, w[:, :-1] * scale, w[:, -1])
+    return Model(families, pairs, w[:, :-1] * scale, w[:, -1])
 
 
 def _features(batches):
@@ -160,22 +189,25 @@ def _features(batches):
                 some = np.flatnonzero(n)
                 idx.append(some.astype("<i2").tobytes())
                 val.append((n[some] / max(n.sum(), 1)).astype("<f4").tobytes())
-            yield pa.record_batch([part.column(part.schema.get_field_index("lang")), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"])
+            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in ("lang", "spot")), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "spot", "idx", "val"])
 
 
 def train(docs: DataFrame) -> Model:
-    """Train on a bounded sample: SAMPLE documents are expected of each language, SAMPLE_ALL of all; text and language alone are read, texts whole."""
+    """Train on a bounded sample: SAMPLE documents are expected of each language, SAMPLE_ALL of all, but LEAST of each; text and language alone are read, texts whole.
+
+    Every language of the sample is learnt.  The model has about PART / 2 machines of DIMS
+    weights (64 KB) for each language, so its size grows with the languages, not with the rows.
+    """
     base = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     base = base.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 != 2)
     n = base.groupBy("lang").agg(F.count("*").alias("n"))
     kinds = n.count()
-    share = float(min(SAMPLE, SAMPLE_ALL / max(kinds, 1)))
+    share = float(min(SAMPLE, max(LEAST, SAMPLE_ALL / max(kinds, 1))))
     part = n.select("lang", F.least(F.lit(1.0), F.lit(share) / F.col("n")).alias("part"))
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = base.join(F.broadcast(part) if kinds <= BROADCAST_ROWS else part, "lang").where(spot < F.col("part"))
-    got = collected(drawn.mapInArrow(_features, "lang string, idx binary, val binary"), "languages").to_pylist()
-    most = sorted((-c, v) for v, c in Counter(r["lang"] for r in got).items())[:MOST_LANGS]
-    got = sorted((r["lang"], r["idx"], r["val"]) for r in got if r["lang"] in {v for _, v in most})  # an order that doesn't depend on partitions
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = base.join(F.broadcast(part) if kinds <= BROADCAST_ROWS else part, "lang").where(place < F.col("part")).select("lang", spot("doc_id"), "text")
+    got = collected(drawn.mapInArrow(_features, "lang string, spot int, idx binary, val binary"), "languages").to_pylist()
+    got = sorted((r["lang"], r["idx"], r["val"]) for r in got)  # an order that doesn't depend on partitions
     at = np.concatenate(([0], np.cumsum([len(i) // 2 for _, i, _ in got]))).astype(np.int64)
     x = Rows(np.frombuffer(b"".join([i for _, i, _ in got]), "<i2"), np.frombuffer(b"".join([v for _, _, v in got]), "<f4") * np.float32(30), at)
     return fit(x, np.array([v for v, _, _ in got], object), 30)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import collected, table
+from ._store import collected, spot, table
 from .linear import Rows, dense_logistic, logistic, sigmoid
 
 #: Hashed features of the text view: the first half are word shapes, the rest words.
@@ -94,7 +94,7 @@ def _features(batches):
         for part in _scan.slices(batch, "text"):
             x = TextView.rows(_column(part, "text"))
             pack = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(x.at, x.at[1:])], pa.binary())
-            yield pa.record_batch([*(_column(part, c) for c in ("label", "lang", "source", "n_chars")), pack(x.idx, "<i4"), pack(x.val, "<f4")], ["label", "lang", "source", "n_chars", "idx", "val"])
+            yield pa.record_batch([*(_column(part, c) for c in ("label", "spot", "lang", "source", "n_chars")), pack(x.idx, "<i4"), pack(x.val, "<f4")], ["label", "spot", "lang", "source", "n_chars", "idx", "val"])
 
 
 def sure(p: np.ndarray) -> np.ndarray:
@@ -167,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mod
     lab = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     some = _sampled(lab, LABELLED, lab.count(), 1)  # about LABELLED rows of 12 bytes, so it may be broadcast
     base = _documents(docs)
-    got = collected(base.join(F.broadcast(some), "doc_id").mapInArrow(_features, "label int, lang string, source string, n_chars long, idx binary, val binary"), "co-training").to_pylist()
+    got = collected(base.join(F.broadcast(some), "doc_id").select("*", spot("doc_id")).mapInArrow(_features, "label int, spot int, lang string, source string, n_chars long, idx binary, val binary"), "co-training").to_pylist()
     got.sort(key=lambda r: tuple(str(r[c]) if c in ("lang", "source", "n_chars") else r[c] for c in ("label", "lang", "source", "n_chars", "idx", "val")))  # an order that doesn't depend on partitions
-    spot = np.argsort([zlib.crc32(r["idx"] + r["val"]) for r in got], kind="stable")
-    got = [got[i] for i in spot.tolist()]
+    mixed = np.argsort([zlib.crc32(r["idx"] + r["val"]) for r in got], kind="stable")
+    got = [got[i] for i in mixed.tolist()]
     at = np.concatenate(([0], np.cumsum([len(r["idx"]) // 4 for r in got]))).astype(np.int64)
     x = Rows(np.frombuffer(b"".join([r["idx"] for r in got]), "<i4"), np.frombuffer(b"".join([r["val"] for r in got]), "<f4"), at)
     m = MetaView.rows(*([r[c] for r in got] for c in ("lang", "source", "n_chars")))

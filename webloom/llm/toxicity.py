@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _scan
-from ._store import collected, drop, table, written
+from ._store import collected, drop, spot, table, written
 from .linear import Adam, Rows, sigmoid
 
 #: Documents expected in the training sample (drawn by a hash of the id).
@@ -94,15 +94,15 @@ class Model:
         self.words, self.weight, self.bias, self.only = words, weight, float(bias), only
 
     def score(self, x: Sentences, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document scores, sentence probabilities; 0 without evidence)."""
+        """(document scores, sentence scores): a document is toxic unless none of its sentences is; a sentence without evidence scores 0."""
         p = np.zeros(len(x.row))
         if self.only is not None:
             return np.full(n_rows, self.only), p
         sent, k = x.pairs(self.words)
         some, at = np.unique(sent, return_inverse=True)
-        z = self.bias + np.bincount(at, self.weight[k], len(some))
-        p[some] = sigmoid(z)
-        return 1 - np.exp(-np.bincount(x.row[some], _evidence(z), n_rows)), p
+        said = _evidence(self.bias + np.bincount(at, self.weight[k], len(some)))
+        p[some] = 1 - np.exp(-said)
+        return 1 - np.exp(-np.bincount(x.row[some], said, n_rows)), p
 
 
 def fit(x: Rows, times: np.ndarray, doc: np.ndarray, y: np.ndarray, start: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -154,11 +154,12 @@ def _evidence_of(words: np.ndarray):
                 yield pa.record_batch(
                     [
                         part.column(part.schema.get_field_index("label")),
+                        part.column(part.schema.get_field_index("spot")),
                         pa.array([b"".join(d) for d in out], pa.binary()),
                         pa.array([pack([len(s) // 4 for s in d], "<i4") for d in out], pa.binary()),
                         pa.array([pack(list(d.values()), "<i4") for d in out], pa.binary()),
                     ],
-                    ["label", "words", "sizes", "times"],
+                    ["label", "spot", "words", "sizes", "times"],
                 )
 
     return run
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     lab = learnable(lab).groupBy("doc_id").agg(F.max("label").alias("label"))
     part = min(1.0, SAMPLE / max(lab.count(), 1))
     some = lab.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")  # about SAMPLE rows of 12 bytes
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", spot("doc_id"), "text")  # about SAMPLE rows of 12 bytes
     counts = known.mapInArrow(_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     counts = written(counts, "toxic-words")
     all_t, all_c = (int(x or 0) for x in counts.where("feature = 0").agg(F.sum("t"), F.sum("c")).first())
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     words = best["feature"].to_numpy().view(np.uint64)
     order = np.argsort(words)
     words, start = words[order], np.clip(best["lift"].to_numpy()[order], 0, 4)
-    got = collected(known.mapInArrow(_evidence_of(words), "label int, words binary, sizes binary, times binary"), "toxic-sentences").to_pylist()
+    got = collected(known.mapInArrow(_evidence_of(words), "label int, spot int, words binary, sizes binary, times binary"), "toxic-sentences").to_pylist()
     got.sort(key=lambda r: (r["label"], r["words"], r["sizes"], r["times"]))  # an order that doesn't depend on partitions
     ints = lambda c: np.frombuffer(b"".join([r[c] for r in got]), "<i4").astype(np.int64)
     sizes = ints("sizes")

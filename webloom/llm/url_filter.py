@@ -21,6 +21,8 @@ from ._store import drop, table, written
 
 #: (verdict, host, start of the path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Steps of a log odds of 1: sums of whole numbers don't depend on their order.
+FIXED = 1_000_000
 #: Characters of the longest word that segmentation looks for: those of the longest label of a host.
 LONGEST = 63
 #: Bytes of a table of words, hosts or weights that may be sent to every executor; larger ones are joined by shuffles.
@@ -89,14 +91,21 @@ def viterbi(label: str, counts: dict[str, int], total: float) -> list[str]:
     return out[::-1]
 
 
+def _pieces(batches):
+    """``name, word``: what a window of each length up to LONGEST shows as it slides along a label, some thousand pieces at a time."""
+    for batch in batches:
+        for label, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lo in range(0, len(label), 200):
+                words = list({label[i:j] for i in range(lo, min(lo + 200, len(label))) for j in range(i + 1, min(i + LONGEST, len(label)) + 1)})
+                yield pa.record_batch([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string())], ["name", "word"])
+
+
 def segments(labels: DataFrame, words: DataFrame, total: float) -> DataFrame:
     """``label, parts`` of distinct host labels (column ``label``)."""
-    n = F.length("label")
-    starts = F.sequence(F.lit(1), n)
-    subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - i + 1)), lambda k: F.substring(F.col("label"), i, k))))
-    pieces = labels.where(n > 0).select("label", F.explode(F.array_distinct(subs)).alias("word"))
-    known = pieces.join(_bounded(words, "word"), "word").groupBy("label").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
-    every = labels.where(n > 0).join(known, "label", "left")
+    named = labels.where(F.length("label") > 0).select("label", F.sha2("label", 256).alias("name"))
+    pieces = named.mapInArrow(_pieces, "name string, word string")
+    known = pieces.join(_bounded(words, "word"), "word").distinct().groupBy("name").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+    every = named.join(known, "name", "left")
 
     def split(batches):
         for b in batches:
@@ -144,37 +153,38 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     size, na, nb = (float(x) for x in counts.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first())
     da, db = (float(x) for x in hosts.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first())
     odds = F.log((F.col("block") + SMOOTH) / (nb + SMOOTH * (size + 1))) - F.log((F.col("allow") + SMOOTH) / (na + SMOOTH * (size + 1)))
+    odds = F.rint(odds * FIXED).cast("long")
     model = counts.select("token", odds.alias("odds"))
-    prior = math.log(db / da) if da and db else (1e6 if db else -1e6)
+    prior = round(math.log(db / da) * FIXED) if da and db else (1 if db else -1) * 10**6 * FIXED
 
     by_host = host_tokens.join(_bounded(model, "token"), "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
     by_host = written(by_host, "host-odds")
     of_paths = model.where("startswith(token, 'p:')")
     if _small(of_paths, "token"):
         weight = {r["token"]: r["odds"] for r in of_paths.toArrow().to_pylist()}  # within SENT_BYTES
-        u = u.withColumn("tokens", _path_tokens(F.col("path"))).mapInArrow(_path_odds(weight), u.schema.add("path_odds", "double"))
+        u = u.withColumn("tokens", _path_tokens(F.col("path"))).mapInArrow(_path_odds(weight), u.schema.add("path_odds", "long"))
     else:
         paths = u.select("path").distinct().select("path", F.explode(_path_tokens(F.col("path"))).alias("token"))
         by_path = paths.join(of_paths, "token").groupBy("path").agg(F.sum("odds").alias("path_odds"))
         u = u.join(by_path, "path", "left")
     out = u.join(_bounded(by_host, "host"), "host", "left")
-    score = F.round(F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)), 6)
+    score = (F.lit(prior).cast("long") + F.coalesce("host_odds", F.lit(0)) + F.coalesce("path_odds", F.lit(0))) / FIXED
     out = out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
     out = written(out, "judged")
     drop(spark, words, hosts, parts, host_tokens, counts, by_host)
     return out
 
 
-def _path_odds(weight: dict[str, float]):
+def _path_odds(weight: dict[str, int]):
     """Adds ``path_odds``, the sum of the weights of a row's ``tokens``, which go."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
-                odds = [sum(weight.get(t, 0.0) for t in tokens) for tokens in part.column(part.schema.get_field_index("tokens")).to_pylist()]
+                odds = [sum(weight.get(t, 0) for t in tokens) for tokens in part.column(part.schema.get_field_index("tokens")).to_pylist()]
                 names = [n for n in part.schema.names if n != "tokens"]
-                yield pa.record_batch([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(odds, pa.float64())], [*names, "path_odds"])
+                yield pa.record_batch([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(odds, pa.int64())], [*names, "path_odds"])
         _scan.trim()
 
     return run
