@@ -82,7 +82,11 @@ def test_toxicity(spark, odd_docs):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [r for r in X.toxicity(docs, labels).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     recall, false = recall_and_false(held, truth)
-    assert recall > 0.85 and false < 0.02
+    assert recall > 0.9 and false < 0.02
+    of = {r.doc_id: r.lang for r in docs.collect()}
+    for lang in ("de", "en", "es", "fr"):
+        assert recall_and_false([r for r in held if of[r.doc_id] == lang], truth)[0] > 0.8
+    assert all(r.predicted for r in held if r.sentences)  # what offends stands in a document that is called toxic
     docs, labels = tables(spark, "documents", "labels")
     odd = X.toxicity(odd_docs, labels).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
@@ -103,6 +107,16 @@ def toads(spark):
     return X.train(learn, labels)
 
 
+def test_words_that_come_again():
+    import pyarrow as pa
+
+    x = X.Sentences(pa.array(["a toad! a toad, no a.", "toad b"]))
+    first = {f for f, s in zip(x.feature.tolist(), x.sent.tolist()) if s == 0}
+    new = [f for f, s in zip(x.feature.tolist(), x.sent.tolist()) if s == 1 and f not in first]
+    assert len(x.feature) == 6 + 2 + 3 and len(new) == 4  # "no", and that "a" (twice) and "toad" were there before
+    assert len([1 for s in x.sent.tolist() if s == 2]) == 2  # another row begins anew
+
+
 def test_noisy_or_locates_sentences(toads):
     import pyarrow as pa
 

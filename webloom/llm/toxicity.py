@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from document labels.
 
-A sentence's probability is logistic in its words and their beginnings; a document is toxic
+A sentence's probability is logistic in its words, their beginnings, and which of these its
+document had before; a document is toxic
 unless none of its sentences is: 1 - prod(1 - p).  Only document labels are known; gradients
 reach the sentences through the noisy-or.  Only words that stand out in toxic documents are
 evidence, and a sentence below the probability ``FLOOR`` is none, so that a clean document
@@ -29,6 +30,7 @@ HEADS = (4, 6)
 FLOOR = 0.2
 #: Score from which a document is called toxic, and a sentence is reported.
 TOXIC = 0.7
+_AGAIN = np.uint64(0x5851F42D4C957F2D)
 _STOP = _scan.mask_of(b".!?\n")
 _Z0 = float(np.log(FLOOR / (1 - FLOOR)))
 
@@ -54,6 +56,10 @@ class Sentences:
             at = np.flatnonzero(e - s > n)
             features.append(_scan.mix(_heads(self.buf, s[at], n) ^ np.uint64(n)))
             of.append(sent[at])
+        for f, where in list(zip(features, of)):  # one word may be chance; that it comes again is a feature of its own
+            at = _again(f, row[first][where])
+            features.append(_scan.mix(f[at] ^ _AGAIN))
+            of.append(where[at])
         self.feature, self.sent = np.concatenate(features), np.concatenate(of)
         self.row, self.start, self.end = row[first], s[first], e[np.append(first[1:], len(s)) - 1]
 
@@ -78,6 +84,13 @@ def _heads(buf: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _again(feature: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Positions of features that their row had before."""
+    key = feature ^ _scan.mix(row.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    return np.sort(order[1:][key[order[1:]] == key[order[:-1]]])
+
+
 def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
@@ -123,7 +136,7 @@ def fit(x: Rows, times: np.ndarray, doc: np.ndarray, y: np.ndarray, start: np.nd
 
 
 def _counts(batches):
-    """``feature, toxic, clean``: documents of either label that hold it; feature 0 has the sentences of either label."""
+    """``feature, toxic, clean``: documents of either label that hold it; feature 0 has all documents of either label."""
     for batch in batches:
         for part in _scan.slices(batch, "text"):
             x = Sentences(part.column(part.schema.get_field_index("text")))
@@ -132,7 +145,7 @@ def _counts(batches):
             pair = np.unique(inverse * np.int64(len(y)) + x.row[x.sent]) if len(f) else np.zeros(0, np.int64)
             of, label = (pair // max(len(y), 1)), y[pair % max(len(y), 1)] if len(pair) else pair
             n = [np.bincount(of, label == v, len(f)).astype(np.int64) for v in (1, 0)]
-            sums = [int((y[x.row] == v).sum()) for v in (1, 0)]
+            sums = [int((y == v).sum()) for v in (1, 0)]
             yield pa.record_batch([pa.array(np.append(f, np.uint64(0)).view(np.int64)), *[pa.array(np.append(c, s)) for c, s in zip(n, sums)]], ["feature", "toxic", "clean"])
 
 
@@ -189,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     if not all_t or not all_c:
         drop(spark, counts)
         return Model(none, np.zeros(0), 0.0, 1.0 if all_t else 0.0)
-    # toxic documents that hold the word against those expected from the share of all sentences
+    # toxic documents that hold the word against those expected from the share of toxic ones
     share = all_t / (all_t + all_c)
     t, n = F.col("t"), F.col("t") + F.col("c")
     g = 2 * (t * F.log(t / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
