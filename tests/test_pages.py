@@ -208,3 +208,54 @@ def test_asset_urls(spark):
     got = spark.range(1).select(H.asset_urls(F.lit("https://example.com/"), F.lit(page), css_relative=False)).first()[0]
     assert got == sorted(f"https://example.com/{x}" for x in "og.png assets/style.css images/logo.png a.jpg b.jpg app.js file.pdf v.mp4 p.png bg.png".split())
     assert spark.range(1).select(H.asset_urls(F.lit("https://e.com/"), F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_localised_pages():
+    page = """<head><meta HTTP-EQUIV='Content-Security-Policy' content="default-src 'self'"><meta property="og:image" content="/i.png"><meta name=description content="/i.png">
+<link rel=preload imagesrcset="/i.png 1x, /no.png 2x" imagesrc="/i.png"></head><body><div data-bg="/i.png" data-other-src="/i.png"></div><SCRIPT async src="a/ws-replay.js">
+</SCRIPT></body></html>"""
+    got = rewrite.rewrite_html(page, "https://e.com/p/", "e.com/p/index.html", MAP, replay="ws-replay.js")
+    for part in ("content=\"default-src * &#x27;unsafe-inline&#x27;", 'property="og:image" content="../img/i.png"', 'name=description content="/i.png"', 'imagesrcset="../img/i.png 1x, /no.png 2x" imagesrc="../img/i.png"', 'data-bg="../img/i.png" data-other-src="/i.png"', '<script src="../../ws-replay.js"></script></body>'):
+        assert part in got, part
+    assert "a/ws-replay" not in got and "ws-replay" not in rewrite.rewrite_html(page, "https://e.com/p/", "e.com/p/index.html", MAP)
+
+
+def test_crawled_pages():
+    mapping = {"https://example.com/assets/style.css": "/output/example.com/assets/style.css", "https://example.com/assets/script.js": "/output/example.com/page/../assets/script.js"}
+    page = '<html><head><base href="/x" target=_top><link href="https://example.com/assets/style.css"></head><body><script src="https://example.com/assets/script.js"></script></body></html>'
+    got = rewrite.rewrite_crawled(page, "https://example.com/page/", "/output/example.com/page/index.html", mapping)
+    assert '<base href="." target=_top>' in got and 'href="../assets/style.css"' in got and 'src="../assets/script.js"' in got and "https://example.com" not in got
+    assert got.endswith('<script src="ws-replay.js"></script></body></html>') and rewrite.rewrite_crawled(got, "https://example.com/page/", "/output/example.com/page/index.html", mapping) == got
+    assert rewrite.rewrite_crawled("<html><p>Hello</p></html>", "https://e.com/", "e.com/index.html", {}) == '<html><p>Hello</p><script src="ws-replay.js"></script></html>'
+    assert rewrite.rewrite_crawled("<svg><text>Hello</text></svg>", "https://e.com/", "e.com/index.html", {}) == "<svg><text>Hello</text></svg>"
+    text = "it's `https://e.com/a` and \"https://e.com/a/b\" 'https://e.com/a\" https://e.com/a"
+    assert rewrite.rewrite_crawled(text, "https://e.com/", "e.com/index.html", {"https://e.com/a": "e.com/a.html", "https://e.com/a/b": "e.com/b.html"}) == "it's `a.html` and \"b.html\" 'https://e.com/a\" https://e.com/a"
+
+
+def test_longest_replacement_equals_one_by_one():
+    import random
+
+    r = random.Random(5)
+    for _ in range(200):
+        keys = {"https://e.com/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 30))}
+        pairs = {k: f"<{n}>" for n, k in enumerate(sorted(keys))}
+        text = "".join(r.choice([*keys, "https://e.com/", "x", "a", '"']) for _ in range(30))
+        want = text
+        for k in sorted(keys, key=len, reverse=True):
+            want = want.replace(k, pairs[k])
+        assert rewrite.Longest(pairs).sub(text) == want
+
+
+def test_repair(spark):
+    from webloom.operators import dedupe
+
+    html = r'<link href="https://example.com/assets/style.css"><img src="https://example.com/assets/img.png"><p style="b:url(https://example.com/a\(b\)\,c.png)">https://example.com/assets/img.png</p>'
+    pages = spark.createDataFrame([(1, "https://example.com/home/", "site/home/index.html", html), (2, "https://example.com/", "site/index.html", None), (3, "https://o.e/", "o.e/index.html", "<img src=https://o.e/x.png>")], "page_id long, url string, path string, html string")
+    files = [("https://example.com/assets/style.css", "site/assets/style.css"), ("https://example.com/assets/img.png", "site/assets/img.png"), ("https://example.com/a(b),c.png", "site/a(b),c.png")]
+    got = {r.page_id: r.html for r in dedupe.repair(pages, spark.createDataFrame(files, "url string, path string")).collect()}
+    assert got == {1: r'<link href="../assets/style.css"><img src="../assets/img.png"><p style="b:url(../a\(b\)\,c.png)">../assets/img.png</p>', 2: None, 3: "<img src=https://o.e/x.png>"}
+    assert spark.range(1).select(dedupe.css_escaped(F.lit("https://example.com/a(b),c'"))).first()[0] == rewrite.css_escaped("https://example.com/a(b),c'") == r"https://example.com/a\(b\)\,c\'"
+
+
+def test_next_data_always_has_a_prefix():
+    assert rewrite.rewrite_next_data('<script id="__NEXT_DATA__">{"page":"/"}</script>', {}) == '<script id="__NEXT_DATA__">{"page":"/","assetPrefix":""}</script>'

@@ -122,8 +122,8 @@ def challenge(html: Column) -> Column:
 
 
 def css_urls(css: Column) -> Column:
-    """Distinct ``url()`` references but for data urls, quotes taken off."""
-    found = F.regexp_extract_all(css, F.lit(r"(?i)url\(\s*[\"']?([^\"')]+)[\"']?\s*\)"), F.lit(1))
+    """Distinct ``url()`` references but for data urls, quotes taken off; a sign behind a backslash belongs to the url."""
+    found = F.regexp_extract_all(css, F.lit(r"""(?i)url\(\s*+["']?+((?:\\.|[^"')])++)["']?+\s*+\)"""), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda u: F.trim(u)), lambda u: ~u.startswith("data:") & (u != "")))
 
 
@@ -215,6 +215,7 @@ def asset_urls(page: Column, html: Column, relative: bool = False, css_relative:
             metas = F.transform(F.filter(meta_pairs(without(html, COMMENT)), lambda m: F.lower(m["name"]).isin("og:image", "twitter:image")), lambda m: unescaped(m["content"]))
             sheets = F.regexp_extract_all(without(html, COMMENT), F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1))
             css = css_urls(F.array_join(F.concat(sheets, F.transform(refs(lambda a: a["name"] == "style"), lambda a: a["value"])), " "))
+            css = F.transform(css, lambda u: F.regexp_replace(u, r"\\(.)", "$1"))
             got = F.concat(got, metas, F.transform(css, full) if css_relative else css)
         return F.array_sort(F.array_distinct(F.filter(got, lambda u: u.rlike("^https?://"))))
 

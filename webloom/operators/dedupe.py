@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import urls as U
+from . import rewrite as RW
 
 
 def content_aliases(rows: DataFrame, body: Column, path: Column, seq: Column, key: str = "sha") -> DataFrame:
@@ -53,16 +55,19 @@ def missing_assets(refs: DataFrame, present: DataFrame, ref: str = "ref", url: s
 
 
 def css_escaped(url: Column) -> Column:
-    """A url as it stands in style sheets: quotes, brackets and blanks behind a backslash."""
-    return F.regexp_replace(url, r"""([()'" \\])""", r"\\$1")
+    """A url as it stands in style sheets: quotes, brackets, commas and backslashes behind a backslash."""
+    return F.regexp_replace(url, r"""([(),'"\\])""", r"\\$1")
 
 
-def repair(pages: DataFrame, html: str, mapping: dict[str, str]) -> DataFrame:
-    """Replaces urls by their local paths, longest first, plain and as style sheets write them."""
-    out = F.col(html)
-    for url in sorted(mapping, key=lambda u: (-len(u), u)):
-        out = F.replace(F.replace(out, css_escaped(F.lit(url)), F.lit(mapping[url])), F.lit(url), F.lit(mapping[url]))
-    return pages.withColumn(html, out)
+def repair(pages: DataFrame, mapping: DataFrame, html: str = "html") -> DataFrame:
+    """``page_id`` and the pages (``page_id, url, path``, html) with repaired urls as relative paths, plain and as style sheets write them.
+
+    ``mapping`` (``url, path``) has all files that were fetched anew; a page meets those of
+    its own asset urls, longest first where one url begins another.
+    """
+    refs = pages.select("page_id", F.explode(H.asset_urls(F.col("url"), F.col(html), css_relative=False)).alias("ref_url"))
+    found = mapping.groupBy(F.col("url").alias("ref_url")).agg(F.min("path").alias("path"))
+    return RW.rewritten(pages, refs.join(found, "ref_url"), RW.repaired_html, html)
 
 
 def resolved_mapping(sources: list[DataFrame]) -> DataFrame:

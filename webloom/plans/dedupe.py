@@ -98,9 +98,18 @@ def d12(spark, d):
     return D.missing_assets(refs, refs.where("page_id % 3 = 0").select(F.col("ref").alias("url")))
 
 
-@query("d13_repair", "SELECT page_id, md5(replace(replace(replace(html, '</title>', '[t]'), '<title>', '[T]'), 'track', 'x')) AS md FROM pages")
+_BROKEN = r"""<img src="https://h.e/i%.png"><img srcset="https://h.e/i%.png/x.png 1x"><style>a{b:url(https://h.e/i\(%\).png)}</style>"""
+_UP = f"repeat('../', len(string_split({S.local_path('url')}, '/')) - 1)"
+
+
+@query("d13_repair", f"SELECT page_id, md5(replace(replace(replace(replace({S.quoted([_BROKEN])}, '%', page_id::VARCHAR) || html, 'https://h.e/i' || page_id || '.png/x.png', {_UP} || 'h.e/x' || page_id || '.png'), 'https://h.e/i' || page_id || '.png', {_UP} || 'h.e/i' || page_id || '.png'), 'https://h.e/i\\(' || page_id || '\\).png', {_UP} || 'h.e/b\\(' || page_id || '\\).png')) AS md FROM pages")
 def d13(spark, d):
-    return D.repair(pages(spark, d, "html"), "html", {"track": "x", "<title>": "[T]", "</title>": "[t]"}).select("page_id", F.md5("html").alias("md"))
+    """Every page with three urls whose files were fetched anew: one begins another, one is escaped."""
+    n = F.col("page_id").cast("string")
+    p = pages(spark, d, "html").select("page_id", "url", U.path_for_url(F.col("url")).alias("path"), F.concat(F.replace(F.lit(_BROKEN), F.lit("%"), n), "html").alias("html"))
+    pair = lambda a, b: F.struct(F.replace(F.lit(a), F.lit("%"), n).alias("url"), F.replace(F.lit(b), F.lit("%"), n).alias("path"))
+    files = p.select(F.inline(F.array(pair("https://h.e/i%.png", "h.e/i%.png"), pair("https://h.e/i%.png/x.png", "h.e/x%.png"), pair("https://h.e/i(%).png", "h.e/b(%).png"))))
+    return D.repair(p, files).select("page_id", F.md5("html").alias("md"))
 
 
 @query("d14_page_discovery", f"SELECT page_id, {S.local_path('url')} AS path FROM pages WHERE ends_with({S.local_path('url')}, 'index.html') AND len(string_split({S.local_path('url')}, '/')) >= 2")

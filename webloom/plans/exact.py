@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import dom
@@ -61,20 +63,20 @@ def d06(spark, d):
     return RW.rewritten_in_place(p, H.links(F.col("url"), F.col("html"))).select("page_id", F.md5("html").alias("md"), F.octet_length("html").alias("n_bytes"))
 
 
-@query("d06_rewritten_parts", """SELECT page_id, '<html><head><style>a{b:url(i' || page_id || '.png)}</style><script src="../s.js" integrity=""></script><!-- <a href="/x"> --></head><body style="c:url(i' || page_id || '.png)"><a href="../p' || page_id || '/index.html#f">x</a><img srcset="i' || page_id || '.png 1x, /none.png 2x"><a href="https://o.e/">o</a></body></html>' AS html FROM pages""")
+@query("d06_rewritten_parts", """SELECT page_id, '<html><head><style>a{b:url(i' || page_id || '.png)}</style><script src="../s.js" integrity=""></script><!-- <a href="/x"> --></head><body style="c:url(i' || page_id || '.png)"><a href="../p' || page_id || '/index.html#f">x</a><img srcset="i' || page_id || '.png 1x, /none.png 2x"><link imagesrcset="i' || page_id || '.png 2x"><meta content="i' || page_id || '.png" property=og:image><meta http-equiv="Content-Security-Policy" content="default-src * &#x27;unsafe-inline&#x27; &#x27;unsafe-eval&#x27; data: blob:;"><a href="https://o.e/">o</a><script src="../../ws-replay.js"></script></body></html>' AS html FROM pages""")
 def d06_parts(spark, d):
     """Attributes, style sheets, sets of sources, fragments, integrity and base; comments and what has no file stay."""
-    html = """<html><head><base href="/"><style>a{b:url(/i%.png)}</style><script src='/s.js' integrity="sha"></script><!-- <a href="/x"> --></head><body style="c:url(/i%.png)"><a href=/p%/#f>x</a><img srcset="/i%.png 1x, /none.png 2x"><a href="https://o.e/">o</a></body></html>"""
+    html = """<html><head><base href="/"><style>a{b:url(/i%.png)}</style><script src='/s.js' integrity="sha"></script><!-- <a href="/x"> --></head><body style="c:url(/i%.png)"><a href=/p%/#f>x</a><img srcset="/i%.png 1x, /none.png 2x"><link imagesrcset="/i%.png 2x"><meta content="/i%.png" property=og:image><meta http-equiv="Content-Security-Policy" content="default-src 'self'"><a href="https://o.e/">o</a><script defer src="old/ws-replay.js"> </script></body></html>"""
     p = _planted(spark, d, html).withColumn("url", F.lit("https://h.e/d/")).withColumn("path", F.lit("h.e/d/index.html"))
     n = F.col("page_id").cast("string")
     one = lambda url, path: F.struct(F.replace(F.lit(url), F.lit("%"), n).alias("ref_url"), F.replace(F.lit(path), F.lit("%"), n).alias("path"))
     refs = F.array(one("https://h.e/i%.png", "h.e/d/i%.png"), one("https://h.e/s.js", "h.e/s.js"), one("https://h.e/p%/", "h.e/p%/index.html"))
-    return RW.rewritten(p, p.select("page_id", F.inline(refs)))
+    return RW.rewritten(p, p.select("page_id", F.inline(refs)), partial(RW.rewrite_html, replay="ws-replay.js"))
 
 
-@query("d11_next_data", """SELECT page_id, '<script id="__NEXT_DATA__" type="application/json">{"assetPrefix":"","dynamicImports":["c/' || page_id || '.js","/d.js"],"page":"é"}</script><script id="__NEXT_DATA__">{broken</script>' AS html FROM pages""")
+@query("d11_next_data", """SELECT page_id, '<script id="__NEXT_DATA__" type="application/json">{"assetPrefix":"","dynamicImports":["c/' || page_id || '.js","/d.js"],"page":"é"}</script><script id="__NEXT_DATA__">{broken</script><script id="__NEXT_DATA__">{"page":"/","assetPrefix":""}</script>' AS html FROM pages""")
 def d11(spark, d):
-    html = """<script id="__NEXT_DATA__" type="application/json">{"assetPrefix": "https://cdn", "dynamicImports": ["/c%.js", "/d.js"], "page": "é"}</script><script id="__NEXT_DATA__">{broken</script>"""
+    html = """<script id="__NEXT_DATA__" type="application/json">{"assetPrefix": "https://cdn", "dynamicImports": ["/c%.js", "/d.js"], "page": "é"}</script><script id="__NEXT_DATA__">{broken</script><script id="__NEXT_DATA__">{"page": "/"}</script>"""
     p = _planted(spark, d, html).withColumn("url", F.lit("https://h.e/")).withColumn("path", F.lit("h.e/index.html"))
     n = F.col("page_id").cast("string")
     m = p.select("page_id", F.concat(F.lit("/c"), n, F.lit(".js")).alias("ref_url"), F.concat(F.lit("c/"), n, F.lit(".js")).alias("path"))

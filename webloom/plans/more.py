@@ -109,11 +109,18 @@ def f11(spark, d):
     return R.resume(p.where("page_id % 3 = 0"), p)[1]
 
 
-@query("d07_rewrite_quoted", "SELECT page_id, '<a href=\"i' || page_id || '.png\">x</a>' AS html FROM pages")
+_CRAWLED = """<base href='/'><meta http-equiv=content-security-policy content="default-src 'self'"><a href='/i%.png'>x</a><script>a="https://e.com/i%.png",b='https://e.com/i%.png/2',c=`https://e.com/i%.png`,d="https://e.com/i%.png?q",e='it"s'</script><body></body></html>"""
+_CRAWLED_TO = """<base href="."><meta http-equiv="Content-Security-Policy" content="default-src * &#x27;unsafe-inline&#x27; &#x27;unsafe-eval&#x27; data: blob:;"><a href="i%.png">x</a><script>a="i%.png",b='i%/2.png',c=`i%.png`,d="https://e.com/i%.png?q",e='it"s'</script><body><script src="ws-replay.js"></script></body></html>"""
+
+
+@query("d07_rewrite_quoted", f"SELECT page_id, replace({S.quoted([_CRAWLED_TO])}, '%', page_id::VARCHAR) || html AS html FROM pages")
 def d07(spark, d):
-    p = pages(spark, d).select("page_id", F.lit("https://e.com/p/").alias("url"), F.lit("e.com/p/index.html").alias("path"), F.concat(F.lit("<base href='/'><a href='/i"), F.col("page_id").cast("string"), F.lit(".png'>x</a>")).alias("html"))
-    m = p.select("page_id", F.concat(F.lit("https://e.com/i"), F.col("page_id").cast("string"), F.lit(".png")).alias("ref_url"), F.concat(F.lit("e.com/p/i"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
-    return RW.rewritten(p, m)
+    """A crawl's page: base, policy, quoted urls in scripts (longest first), replay script; the stored page behind it stays as it is."""
+    n = F.col("page_id").cast("string")
+    html = F.replace(F.lit(_CRAWLED), F.lit("%"), n)
+    p = pages(spark, d, "html").select("page_id", F.lit("https://e.com/p/").alias("url"), F.lit("e.com/p/index.html").alias("path"), F.concat(html, F.regexp_replace("html", "</(?=body>|html>)", "</ ")).alias("html"))
+    files = F.array(*[F.struct(F.concat(F.lit("https://e.com/i"), n, F.lit(a)).alias("ref_url"), F.concat(F.lit("e.com/p/i"), n, F.lit(b)).alias("path")) for a, b in ((".png", ".png"), (".png/2", "/2.png"))])
+    return RW.rewritten(p, p.select("page_id", F.inline(files)), RW.rewrite_crawled).withColumn("html", F.regexp_replace("html", "</ ", "</"))
 
 
 @query("d09_rewrite_css", "SELECT page_id, 'a{b:url(../i' || page_id || '.png)} @import \"/no.css\";' AS css FROM pages")
@@ -136,9 +143,9 @@ def d10(spark, d):
     return RW.rewritten(p, m, RW.rewrite_js, "js")
 
 
-@query("d13_css_escaped", "SELECT page_id, 'a\\(' || page_id || '\\)\\ b' AS escaped FROM pages")
+@query("d13_css_escaped", r"SELECT page_id, 'a\(' || page_id || '\)\, b\''c' AS escaped FROM pages")
 def d13_escaped(spark, d):
-    return pages(spark, d).select("page_id", D.css_escaped(F.concat(F.lit("a("), F.col("page_id").cast("string"), F.lit(") b"))).alias("escaped"))
+    return pages(spark, d).select("page_id", D.css_escaped(F.concat(F.lit("a("), F.col("page_id").cast("string"), F.lit("), b'c"))).alias("escaped"))
 
 
 @query("a09_warc_round_trip", "SELECT url, strlen(html)::INTEGER AS n_bytes, md5(html) AS body_md5 FROM pages")
