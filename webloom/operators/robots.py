@@ -22,11 +22,17 @@ def matches(rule: Column, path: Column) -> Column:
 def evaluate(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``allowed`` to ``paths`` (``host, path``): the longest matching rule of the host decides, ties and none allow.
 
-    ``rules``: ``host, rule, allow``.  The join is on the host; rules are joined once per
+    ``rules``: ``host, rule, allow``.  A rule is found by its head, what stands before its
+    first ``*``: a path is cut at the lengths that its host's heads have, and host and head are
+    joined as equals, so a host's other rules are never looked at.  Rules are joined once per
     distinct path, so that repeated paths cost nothing.
     """
-    one = paths.select("host", "path").distinct()
-    hit = one.join(rules, "host").where(matches(F.col("rule"), F.col("path")) & (F.col("rule") != ""))
+    one = paths.select("host", "path").where("host is not null and path is not null").distinct()
+    heads = rules.where(F.coalesce("rule", F.lit("")) != "").select("host", "rule", "allow", F.substring_index("rule", "*", 1).alias("head"))
+    lengths = heads.groupBy("host").agg(F.collect_set(F.length("head")).alias("lengths"))  # a number for each length
+    cuts = one.join(lengths, "host").select("host", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    cuts = cuts.select("host", "path", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("head"))
+    hit = cuts.join(heads, ["host", "head"]).where(matches(F.col("rule"), F.col("path")))
     best = hit.groupBy("host", "path").agg(
         F.coalesce(F.max(F.when(F.col("allow"), F.octet_length("rule"))), F.lit(-1)).alias("a"),
         F.coalesce(F.max(F.when(~F.col("allow"), F.octet_length("rule"))), F.lit(-1)).alias("b"),
@@ -105,6 +111,21 @@ def validity(rows: DataFrame, key: str, at: str, order: str, is_fetch: Column, t
     return rows.withColumn("valid", F.coalesce(F.col(at) < last, F.lit(False)))
 
 
+def valid_at(requests: DataFrame, fetches: DataFrame, key: str = "host", at: str = "at") -> DataFrame:
+    """Adds ``valid`` to requests (``key, at``): whether the last of the key's fetches (``key, at, transient``) up to then still counts.
+
+    An as-of join of two tables: both go through one sort, a fetch before the requests of its
+    moment; repeated requests are each answered.
+    """
+    cols = [F.col(c) for c in requests.columns]
+    asked = requests.select(F.struct(*cols).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(False).alias("_transient"))
+    got = fetches.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.coalesce("transient", F.lit(False)).alias("_transient"))
+    # of fetches at one moment the one that counts longer is last
+    every = got.unionByName(asked).withColumn("_order", F.col("_kind") * 2 + F.when(F.col("_transient"), 0).otherwise(1))
+    out = validity(every, "_key", "_at", "_order", F.col("_kind") == 0, F.col("_transient"))
+    return out.where("_kind = 1").select("_row.*", "valid")
+
+
 def unexpired(entries: DataFrame, fetched: str, now: Column) -> DataFrame:
     """Cached files that were fetched no longer than the validity ago; the others are dropped."""
     return entries.where(F.col(fetched) + F.expr(VALID) >= now)

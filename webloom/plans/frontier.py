@@ -73,6 +73,43 @@ def f09(spark, d):
     return R.membership(it, it.where("seq % 5 = 0")).select("seq", "seen")
 
 
+@query("f01_frontier_batches", f"""WITH {_ITEMS}, a AS (SELECT url, m[1] AS depth, m[2] AS seq FROM (SELECT url, min((depth, seq)) AS m FROM items WHERE seq % 2 = 0 GROUP BY 1) ORDER BY m[2] LIMIT 100),
+p AS (SELECT url FROM a ORDER BY depth, seq LIMIT 20),
+b AS (SELECT url, m[1] AS depth, m[2] AS seq FROM (SELECT url, min((depth, seq)) AS m FROM items WHERE url NOT IN (SELECT url FROM a) GROUP BY 1) ORDER BY m[2] LIMIT (SELECT 100 - count(*) + 20 FROM a))
+SELECT * FROM a WHERE url NOT IN (SELECT url FROM p) UNION ALL SELECT * FROM b""")
+def f01_batches(spark, d):
+    """A stored frontier of 100 items: batches pushed (one of them twice), popped, folded and pushed again by another instance."""
+    from ..sources.warc import shared_folder
+    from ..streaming.frontier import Frontier
+
+    it, path = items(spark, d), shared_folder(spark, "frontier")
+    first = Frontier(spark, path, 100)
+    for batch in ("even", "even"):
+        first.push(it.where("seq % 2 = 0"), batch)
+    first.pop(20, "first")
+    first.compact()
+    again = Frontier(spark, path, 100)
+    again.push(it.where("seq % 2 = 0"), "even")
+    again.push(it, "all")
+    return again.pending()
+
+
+@query("f09_saved_filter", f"WITH {_ITEMS} SELECT seq, url IN (SELECT url FROM items WHERE seq % 5 = 0) AS seen, FALSE AS missed FROM items")
+def f09_saved(spark, d):
+    """Urls by a stored and merged filter of bits, then exactly; a seen url that the filter denies would be missed."""
+    from ..operators import membership as B
+    from ..sources.warc import shared_folder
+
+    it, path = items(spark, d), shared_folder(spark, "filter")
+    own = B.SeenFilter.sized(100_000, 0.001)
+    parts = [it.where(f"seq % 10 = {r}") for r in (0, 5)]
+    own.save(own.merge(*map(own.build, parts)), B.merged_sketch(*map(B.distinct_sketch, parts)), path)
+    stored, table, _ = B.load(spark, path)
+    new = stored.unseen(it, table, it.where("seq % 5 = 0")).select("seq", F.lit(False).alias("s"))
+    marked = stored.maybe(it, table).join(new, "seq", "left").withColumn("seen", F.coalesce("s", F.lit(True)))
+    return marked.select("seq", "seen", (F.col("seen") & ~F.col("maybe")).alias("missed"))
+
+
 @query("f12_missing_resources", f"WITH {_ITEMS} SELECT DISTINCT url FROM items WHERE seq % 2 = 0 EXCEPT SELECT url FROM items WHERE seq % 3 = 0")
 def f12(spark, d):
     it = items(spark, d)
