@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -129,19 +130,67 @@ def exact_links(html: str) -> list[str]:
     return out
 
 
+# What a visitor can act on, as selectors in the order in which they are tried.
+SELECTORS = (
+    'button:not([disabled]):not([type="submit"]):not([type="reset"])',
+    'a[href]:not([href^="mailto:"]):not([href^="tel:"]):not([href^="javascript:"]):not([target="_blank"])',
+    'input[type="button"]:not([disabled])',
+    'input[type="submit"]:not([disabled])',
+    '[role="button"]:not([aria-disabled="true"])',
+    "[onclick]",
+    ".btn:not([disabled])",
+    "button.btn:not([disabled])",
+    "[data-action]",
+    "[data-click]",
+    "[data-toggle]",
+    "[data-dismiss]",
+    "summary",
+    "details:not([open]) > summary",
+    ".accordion-header",
+    ".accordion-trigger",
+    '[aria-expanded="false"]',
+    ".collapsible:not(.active)",
+    '[data-bs-toggle="collapse"]',
+    '[data-bs-toggle="modal"]',
+    '[data-toggle="tab"]',
+    '[data-toggle="pill"]',
+)
+_PART = re.compile(r"""^(\w+)|\.([\w-]+)|\[([\w-]+)(?:(\^?=)"([^"]*)")?\]|:not\(([^)]*)\)""")
+
+
+def selected(selector: str):
+    """Whether an element (and the one above it) fits a selector of tags, classes, attributes, ``:not`` and ``>``."""
+    *above, own = selector.split(" > ")
+    tests = []
+    for tag, cls, name, how, value, negated in _PART.findall(own):
+        if tag:
+            tests.append(lambda n, up, x=tag: n["tag"] == x)
+        elif cls:
+            tests.append(lambda n, up, x=cls: x in n["attrs"].get("class", "").split())
+        elif name and how == "^=":
+            tests.append(lambda n, up, k=name, v=value: n["attrs"].get(k, "").startswith(v))
+        elif name and how:
+            tests.append(lambda n, up, k=name, v=value: n["attrs"].get(k) is not None and (n["attrs"][k].lower() if k == "type" else n["attrs"][k]) == v)
+        elif name:
+            tests.append(lambda n, up, k=name: k in n["attrs"])
+        else:
+            tests.append(lambda n, up, f=selected(negated): not f(n, up))
+    if above:
+        tests.append(lambda n, up, f=selected(above[-1]): up is not None and f(up, None))
+    return lambda n, up: all(t(n, up) for t in tests)
+
+
+_SELECTED = [(s, selected(s)) for s in SELECTORS]
+
+
 def census(html: str) -> list[dict]:
-    """How many elements of each kind a visitor can act on."""
-    out: dict[str, int] = {}
-    for n in Tree(html).nodes:
-        a, tag = n["attrs"], n["tag"]
-        kinds = [tag] if tag in ("button", "select", "textarea", "summary", "details", "dialog") else []
-        kinds += ["link"] if tag == "a" and "href" in a else []
-        kinds += [f"input:{a.get('type') or 'text'}"] if tag == "input" else []
-        kinds += [f"role:{a['role']}"] if a.get("role") in ("button", "tab", "menuitem", "link", "checkbox", "switch") else []
-        kinds += [k for k in ("onclick", "tabindex", "contenteditable", "aria-expanded", "data-toggle") if k in a]
-        for k in kinds:
-            out[k] = out.get(k, 0) + 1
-    return [{"kind": k, "n": n} for k, n in sorted(out.items())]
+    """How many elements of a stored page each selector finds (``kind``), those that it finds anywhere."""
+    nodes, out = Tree(html).nodes, dict.fromkeys(SELECTORS, 0)
+    for n in nodes:
+        up = nodes[n["parent"]] if n["parent"] >= 0 else None
+        for s, fits in _SELECTED:
+            out[s] += fits(n, up)
+    return [{"kind": s, "n": n} for s, n in out.items() if n]
 
 
 def css_scanned(css: str) -> list[str]:

@@ -91,6 +91,28 @@ def routes(base: Column, html: Column, most: int = 50) -> Column:
     return F.slice(F.array_distinct(links(base, html)), 1, most)
 
 
+def skeleton(html: Column) -> Column:
+    """Whether a page shows signs of loading: classes that name loaders, spinners, skeletons, placeholders or shimmer."""
+    classes = F.transform(attributes(tags(html), ["class"]), lambda a: a["value"])
+    return F.exists(classes, lambda c: c.rlike("loading|spinner|skeleton|placeholder|shimmer") | F.array_contains(F.split(c, WS + "+"), "loader"))
+
+
+def pushed_routes(html: Column) -> Column:
+    """Addresses that a page's scripts push into (or replace in) the history, as they are written."""
+    return F.regexp_extract_all(html, F.lit(r"""history\.(?:pushState|replaceState)\(\s*+(?:[^,()]*+|\{[^{}]*+\}),\s*+(?:"[^"]*+"|'[^']*+'|[^,()]*+),\s*+["']([^"']*+)["']\s*+\)"""), F.lit(1))
+
+
+def routes_to_crawl(base: Column, html: Column, pushed: Column, most: int = 50) -> Column:
+    """The first ``most`` distinct pushed addresses of a page, resolved, that none of its links names."""
+    known = links(base, html)
+
+    def new(k: Column) -> Column:
+        full = U.let(U.parts(base), lambda b: F.transform(F.filter(pushed, lambda r: r != ""), lambda r: U.resolve_parts(base, b, r)))
+        return F.slice(F.array_except(F.array_distinct(full), k), 1, most)
+
+    return U.let(known, new)
+
+
 def title(html: Column) -> Column:
     """``<title>``, else the first ``<h1>``, else ``Untitled``."""
     t = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))

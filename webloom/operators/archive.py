@@ -84,7 +84,7 @@ def client_ip(forwarded: Column, real: Column, remote: Column) -> Column:
     return F.coalesce(first, F.nullif(real, F.lit("")), remote)
 
 
-def cookie_jar(cookies: DataFrame, domain: str, name: str, seq: str, keep: int = 100) -> DataFrame:
+def cookie_jar(cookies: DataFrame, domain: str, name: str, seq: str, keep: int = 50) -> DataFrame:
     """The last cookie of each domain and name, the newest ``keep`` of a domain."""
     last = cookies.groupBy(domain, name).agg(F.max(seq).alias(seq))
     return newest(last, domain, [seq], keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,16 +36,43 @@ def content_report(rows: DataFrame, body: Column, group: Column, seq: Column) ->
     return first.groupBy("host").agg(F.sum("n").alias("n_pages"), F.count("*").alias("n_distinct"), F.sum(F.col("n") - kept).alias("n_aliased"))
 
 
+def _keyed(pages: DataFrame, url: str, path: str, keep_query: list[str], keep_segments: list[str]) -> DataFrame:
+    """``key, w, path, noise`` of each page; the url is taken apart once, its parts go on as a column."""
+    rows = pages.select(F.col(url).alias("u"), U.parts(F.col(url)).alias("p"), F.col(path).alias("path"))
+    return rows.select(U.key_of_parts(F.col("u"), F.col("p"), keep_query, keep_segments).alias("key"), U.weight_of_parts(F.col("p")).alias("w"), "path", U.noise_of_parts(F.col("p")).alias("noise"))
+
+
 def dedupe_pages(pages: DataFrame, url: str = "url", path: str = "path", keep_query: list[str] = (), keep_segments: list[str] = ()) -> DataFrame:
     """One row per canonical page: ``key, kept, n_pages``; noise routes are dropped.
 
     The cleanest url (least weight, then path) of each group is kept.
     """
-    u = F.col(url)
-    # the url is taken apart once; its parts go on as a column
-    rows = pages.select(u.alias("u"), U.parts(u).alias("p"), F.col(path).alias("path")).where(~U.noise_of_parts(F.col("p")))
-    rows = rows.select(U.key_of_parts(F.col("u"), F.col("p"), keep_query, keep_segments).alias("key"), U.weight_of_parts(F.col("p")).alias("w"), "path")
-    return rows.groupBy("key").agg(F.min(F.struct("w", "path"))["path"].alias("kept"), F.count("*").alias("n_pages"))
+    return _kept(_keyed(pages, url, path, keep_query, keep_segments))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return rows.where("not noise").groupBy("key").agg(F.min(F.struct("w", "path"))["path"].alias("kept"), F.count("*").alias("n_pages"))
+
+
+def export_pages(pages: DataFrame, folder: str, url: str = "url", path: str = "path", keep_query: list[str] = (), keep_segments: list[str] = ()) -> dict[str, int]:
+    """Write what ``dedupe_pages`` keeps to ``folder/kept``, and its manifest to ``folder/manifest``; the counters of the run.
+
+    The manifest has a row ``kept, collapsed`` for each page that another one stands for.
+    ``pages_total``, ``noise_dropped`` and ``pages_collapsed`` (noise among them) are observed
+    while the pages are read, and bytes are those of the paths' table; nothing is read again for them.
+    """
+    spark = pages.sparkSession
+    seen, done = Observation(), Observation()
+    rows = _keyed(pages, url, path, keep_query, keep_segments).observe(seen, F.count("*").alias("pages_total"), F.sum(F.col("noise").cast("long")).alias("noise_dropped"))
+    rows.write.parquet(f"{folder}/keys")
+    keys = spark.read.schema(rows.schema).parquet(f"{folder}/keys")
+    _kept(keys).observe(done, F.count("*").alias("pages_kept")).write.parquet(f"{folder}/kept")
+    kept = spark.read.parquet(f"{folder}/kept")
+    many = kept.where("n_pages > 1").select("key", "kept")
+    manifest = keys.where("not noise").select("key", F.col("path").alias("collapsed")).join(many, "key").where("collapsed <> kept").select("kept", "collapsed")
+    manifest.write.parquet(f"{folder}/manifest")
+    total, noise, n = (x or 0 for x in (seen.get["pages_total"], seen.get["noise_dropped"], done.get["pages_kept"]))
+    return {"pages_total": total, "noise_dropped": noise, "pages_kept": n, "pages_collapsed": total - n}
 
 
 def missing_assets(refs: DataFrame, present: DataFrame, ref: str = "ref", url: str = "url") -> DataFrame:

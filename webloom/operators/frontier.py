@@ -23,10 +23,22 @@ def pop(items: DataFrame, k: int) -> DataFrame:
     return items.orderBy("depth", "seq").limit(k)
 
 
-def admitted(items: DataFrame, seen: DataFrame, domains: list[str] = (), excluded: list[str] = ()) -> DataFrame:
-    """Valid, allowed, not excluded, not seen; cheap tests come before the join."""
+def admitted(items: DataFrame, seen: DataFrame, domains: list[str] = (), excluded: list[str] = (), total: int = 0, most_total: int | None = None, size: int = 0, most_size: int | None = None) -> DataFrame:
+    """Valid, allowed, not excluded, not seen; cheap tests come before the join.
+
+    ``most_total`` urls are taken in all (``total`` of them before), and ``most_size`` are
+    queued at once (``size`` are now): the first new ones by (depth, seq) get the room there
+    is, each url once.
+    """
     u = F.col("url")
-    return items.where(U.is_valid_url(u) & U.is_allowed_domain(u, list(domains)) & ~U.is_excluded(u, list(excluded))).join(seen.select("url").distinct(), "url", "left_anti")
+    fit = items.where(U.is_valid_url(u) & U.is_allowed_domain(u, list(domains)) & ~U.is_excluded(u, list(excluded))).join(seen.select("url").distinct(), "url", "left_anti")
+    rooms = [most - now for most, now in ((most_total, total), (most_size, size)) if most is not None]
+    if not rooms:
+        return fit
+    from ..sources.warc import running_offsets
+
+    first = fit.groupBy("url").agg(F.min(F.struct("depth", "seq")).alias("f")).select("url", "f.depth", "f.seq", F.lit(1).cast("long").alias("_one"))
+    return running_offsets(first, ["depth", "seq", "url"], "_one").where(F.col("offset") < max(0, min(rooms))).select("url", "depth", "seq")
 
 
 def host_capped(items: DataFrame, most: int) -> DataFrame:

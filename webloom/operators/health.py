@@ -137,7 +137,8 @@ def breaker_states(events: DataFrame, key: str = "user_id", at: str = "ts", orde
 
 
 def limiter_delays(events: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", latency: str = "value") -> DataFrame:
-    """Delay and mean latency of each key after its last latency."""
+    """Delay and mean latency of each key after its last latency; events without one say nothing."""
+    events = events.where(F.col(latency).isNotNull())
     step = lambda state, _, ms: limiter_step(state, float(ms))
     return folded(events, key, at, order, F.col(latency).cast("double"), step, lambda s, n: (round(s[0], 6), round(s[1], 6)), "delay double, mean double")
 

@@ -67,6 +67,30 @@ def a13(spark, d):
     return A.cache_upserts(events(spark, d), "user_id", ["ts", "event_id"], etag)
 
 
+_RESPONSES = "r AS (SELECT user_id, ts AS t, event_id AS seq, CASE event_type WHEN 'click' THEN 304 WHEN 'error' THEN 500 ELSE 200 END AS status, CASE WHEN event_type = 'view' THEN 'e' || event_id % 50 END AS etag, CASE WHEN event_type = 'purchase' THEN 'm' || event_id ELSE '' END AS lm FROM events)"
+
+
+@query("a13_cache_merged", f"WITH {_RESPONSES}, v AS (SELECT * FROM r WHERE etag IS NOT NULL OR lm <> '' OR status = 304) SELECT 'https://h.e/' || user_id AS url, arg_max(etag, (t, seq)) FILTER (etag IS NOT NULL) AS etag, arg_max(lm, (t, seq)) FILTER (lm <> '') AS last_modified, arg_max(status, (t, seq)) AS status FROM v GROUP BY 1")
+def a13_merged(spark, d):
+    """Responses merged into a stored cache in four batches, by time."""
+    from ..sources.cache import CacheStore
+    from ..sources.warc import shared_folder
+
+    kind = F.col("event_type")
+    r = events(spark, d).select(
+        F.concat(F.lit("https://h.e/"), F.col("user_id")).alias("url"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        F.when(kind == "click", 304).when(kind == "error", 500).otherwise(200).alias("status"),
+        F.when(kind == "view", F.concat(F.lit("e"), F.col("event_id") % 50)).alias("etag"), F.when(kind == "purchase", F.concat(F.lit("m"), "event_id")).otherwise("").alias("last_modified"),
+    )
+    store = CacheStore(spark, shared_folder(spark, "cache"), 8)
+    cuts = r.agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = r if lo is None else r.where(at >= lo)
+        store.merge(part if hi is None else part.where(at < hi))
+    return store.read().select("url", "etag", "last_modified", "status")
+
+
 @query("a14_conditional_headers", "WITH c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'view') AS etag FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT event_id, coalesce(etag, '') AS if_none_match, CASE WHEN c.user_id IS NULL THEN '' ELSE 'm' || c.user_id END AS if_modified_since FROM events e LEFT JOIN c USING (user_id)")
 def a14(spark, d):
     e = events(spark, d)

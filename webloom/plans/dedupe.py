@@ -47,6 +47,33 @@ def d02(spark, d):
     return D.dedupe_pages(v.withColumn("path", U.path_for_url(F.col("url"))))
 
 
+_KEYED = f"v AS ({_VAR}), k AS (SELECT {S.canonical('url')} AS key, {S.weight('url')} AS w, {S.local_path('url')} AS path, {S.starts(f'lower({S.part(chr(117) + chr(114) + chr(108), 3)})', ['/wp-json', '/cart', '/feed'])} AS noise FROM v)"
+
+
+def _variants(spark, d):
+    u = pages(spark, d).select("url")
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/$", "")
+    v = u.unionByName(u.select(F.concat(bare, F.lit("/page/2")).alias("url"))).unionByName(u.select(F.concat(bare, F.lit("?utm_source=x&a=1")).alias("url")))
+    return v.withColumn("path", U.path_for_url(F.col("url")))
+
+
+@query("d02_dedupe_manifest", f"WITH {_KEYED}, f AS (SELECT key, arg_min(path, (w, path)) AS kept FROM k WHERE NOT noise GROUP BY 1) SELECT kept, path AS collapsed FROM k JOIN f USING (key) WHERE NOT noise AND path <> kept")
+def d02_manifest(spark, d):
+    from ..sources.warc import shared_folder
+
+    folder = shared_folder(spark, "dedupe")
+    D.export_pages(_variants(spark, d), folder)
+    return spark.read.parquet(f"{folder}/manifest")
+
+
+@query("d02_dedupe_report", f"WITH {_KEYED}, n AS (SELECT count(*) AS pages_total, sum(noise::INTEGER)::BIGINT AS noise_dropped, count(DISTINCT key) FILTER (NOT noise) AS pages_kept FROM k) SELECT *, pages_total - pages_kept AS pages_collapsed FROM n")
+def d02_report(spark, d):
+    from ..sources.warc import shared_folder
+
+    got = D.export_pages(_variants(spark, d), shared_folder(spark, "dedupe"))
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+
+
 @query("d03_asset_copies", "WITH f AS (SELECT 'e/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.png' ELSE '/index.html' END AS path, sha256((page_id % 7)::VARCHAR) AS sha FROM pages) SELECT ends_with(path, 'html') AS is_page, count(*) AS n_files, count(DISTINCT sha) AS n_contents FROM f GROUP BY 1")
 def d03(spark, d):
     n = F.col("page_id").cast("string")

@@ -51,9 +51,16 @@ def e22(spark, d):
     return dom.extract(_planted(spark, d, _BODY), "accessibility")
 
 
-@query("e27_interactive_census", "SELECT page_id, unnest(['button', 'input:email', 'input:text', 'link', 'onclick', 'role:tab']) AS kind, unnest([2, 1, 1, 1, 1, 1])::INTEGER AS n FROM pages")
+_ACTIVE = """<button onclick="f(%)">a</button><button type=SUBMIT class="x btn">b</button><button disabled class=btn>c</button><input type="submit"><input type=button disabled><a href="mailto:x">m</a><a href="/p" target="_blank">p</a><a>q</a><div role=button aria-disabled=true></div><b role=button data-toggle=tab class="collapsible">t</b><details><summary aria-expanded=false>s</summary></details><details open><summary>s</summary></details><i class="collapsible active" data-bs-toggle=modal></i>"""
+_COUNTS = {dom.SELECTORS[i]: n for i, n in {0: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 10: 1, 12: 2, 13: 1, 16: 1, 17: 1, 19: 1, 20: 1}.items()}
+
+
+@query("e27_interactive_census", f"""{attributes_sql(names='href', but='script|style|link')}, l AS (SELECT page_id, {S.quoted([dom.SELECTORS[1]])} AS kind, count(*)::INTEGER AS n FROM refs WHERE NOT regexp_matches(ref, '^(mailto|tel|javascript):') GROUP BY 1)
+SELECT * FROM l UNION ALL SELECT page_id, unnest([{S.quoted(_COUNTS)}]), unnest({list(_COUNTS.values())})::INTEGER FROM pages""")
 def e27(spark, d):
-    return dom.extract(_planted(spark, d, '<button onclick="f(%)">a</button><button>b</button><input><input type=email><a href=/p>p</a><a>q</a><b role=tab>t</b>'), "census")
+    """Every stored page with one of each kind before it; of what is stored only links can be acted on."""
+    p = pages(spark, d, "html").withColumn("html", F.concat(F.replace(F.lit(_ACTIVE), F.lit("%"), F.col("page_id").cast("string")), "html"))
+    return dom.extract(p, "census")
 
 
 @query("d06_rewrite_html")
@@ -145,7 +152,34 @@ def s11(spark, d):
 
     path = U.path_for_url(F.col("url"))
     files = pages(spark, d).select(path.alias("rel_path")).distinct().select("rel_path", F.encode("rel_path", "UTF-8").alias("content"))
-    return spark.createDataFrame(write_tree(files, shared_folder(spark, "export")).toArrow())
+    return write_tree(files, shared_folder(spark, "export"))
+
+
+@query("s03_one_object", f"SELECT {S.normal_url('url')} || '\"\\é' AS url, min({S.local_path('url')}) AS path FROM pages GROUP BY 1")
+def s03_object(spark, d):
+    """A mapping as one JSON object, written by many tasks and read by ranges of bytes."""
+    from ..sources.documents import json_map, write_json_map
+    from ..sources.warc import shared_folder
+
+    p = pages(spark, d).select(F.concat(U.normalize_url(F.col("url")), F.lit('"\\é')).alias("url"), U.path_for_url(F.col("url")).alias("path")).groupBy("url").agg(F.min("path").alias("path"))
+    root = shared_folder(spark, "mapping")
+    write_json_map(p, root)
+    return json_map(spark, root)
+
+
+@query("a08_har_document", f"SELECT page_id, url, 200 AS status, 'OK' AS status_text, 'text/html' AS mime, strlen(html)::INTEGER AS size, (44 + strlen(page_id::VARCHAR))::INTEGER AS headers_size, len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> ''))::INTEGER AS n_query FROM pages")
+def a08_document(spark, d):
+    """Every page in one HAR document, as its entries come back."""
+    from ..sources.documents import read_har, write_har
+    from ..sources.warc import shared_folder
+
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=x"), F.lit("X-Id"), F.col("page_id").cast("string"))
+    r = pages(spark, d, "html").select("url", F.lit("GET").alias("method"), F.lit(200).alias("status"), headers.alias("headers"), F.col("html").alias("body"), F.lit("").alias("request_body"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("at"), F.col("page_id").alias("seq"))
+    root = shared_folder(spark, "har")
+    write_har(r, root, "2025-01-01T00:00:00Z")
+    e = read_har(spark, root)
+    page = F.get(F.filter("request.headers", lambda h: h["name"] == "X-Id"), 0)["value"].cast("long")
+    return e.select(page.alias("page_id"), "request.url", "response.status", F.col("response.statusText").alias("status_text"), F.col("response.content.mimeType").alias("mime"), "response.content.size", F.col("response.headersSize").alias("headers_size"), F.size("request.queryString").alias("n_query"))
 
 
 @query("s03_index_json", f"SELECT {S.normal_url('url')} AS url, min({S.local_path('url')}) AS path FROM pages GROUP BY 1")

@@ -36,6 +36,12 @@ def f03(spark, d):
     return R.admitted(it, it.where("seq % 5 = 0"), ["example.com"], ["/fr/"]).select("url", "depth", "seq")
 
 
+@query("f03_admission_caps", f"WITH {_ITEMS} SELECT url, m[1] AS depth, m[2] AS seq FROM (SELECT url, min((depth, seq)) AS m FROM items WHERE ends_with({S.host('url')}, '.example.com') AND NOT contains(url, '/fr/') AND url NOT IN (SELECT url FROM items WHERE seq % 5 = 0) GROUP BY 1) ORDER BY m, url LIMIT 10")
+def f03_caps(spark, d):
+    it = items(spark, d)
+    return R.admitted(it, it.where("seq % 5 = 0"), ["example.com"], ["/fr/"], 90, 100, 3, 100_000)
+
+
 @query("f04_bfs_depth", "WITH RECURSIVE e AS (SELECT p.page_id AS src, unnest([2 * p.page_id + 1, 2 * p.page_id + 2]) AS dst FROM pages p), b AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM b JOIN e ON e.src = b.node WHERE depth < 6 AND dst IN (SELECT page_id FROM pages)) SELECT node, min(depth) AS depth FROM b GROUP BY 1")
 def f04(spark, d):
     ids = pages(spark, d).select("page_id")

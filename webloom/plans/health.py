@@ -29,22 +29,28 @@ def h01(spark, d):
     return e.select("event_id", "kind", H.is_retryable_kind(F.col("kind")).alias("retryable"))
 
 
-@query("h03_retry_status", "SELECT s::INTEGER AS status, (s IN (408, 429) OR s >= 500) AS retryable, s IN (429, 503) AS limited FROM range(100, 600) t(s)")
+@query("h03_retry_status", "SELECT event_id, s::INTEGER AS status, (s IN (408, 429) OR s >= 500) AS retryable, s IN (429, 503) AS limited FROM (SELECT event_id, 100 + (event_id * 7) % 500 AS s FROM events)")
 def h03(spark, d):
-    s = spark.range(100, 600).select(F.col("id").cast("int").alias("status"))
-    return s.select("status", H.is_retryable_status(F.col("status")).alias("retryable"), F.col("status").isin(429, 503).alias("limited"))
+    s = events(spark, d).select("event_id", (100 + F.col("event_id") * 7 % 500).cast("int").alias("status"))
+    return s.select("event_id", "status", H.is_retryable_status(F.col("status")).alias("retryable"), F.col("status").isin(429, 503).alias("limited"))
 
 
-@query("h04_backoff", "SELECT a::INTEGER AS attempt, least(30000.0::DOUBLE, 1000 * pow(2::DOUBLE, a)) AS wait_ms FROM range(0, 12) t(a)")
+@query("h04_backoff", "WITH a AS (SELECT event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS attempt FROM events) SELECT event_id, attempt, least(30000.0::DOUBLE, 1000 * pow(2::DOUBLE, least(attempt, 40))) AS wait_ms FROM a WHERE event_type = 'error'")
 def h04(spark, d):
-    a = spark.range(12).select(F.col("id").cast("int").alias("attempt"))
-    return a.select("attempt", H.backoff_ms(F.col("attempt")).alias("wait_ms"))
+    """The wait before each failed attempt of a user is repeated."""
+    from pyspark.sql import Window as W
 
+    a = events(spark, d).withColumn("attempt", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")).where("event_type = 'error'")
+    return a.select("event_id", "attempt", H.backoff_ms(F.least("attempt", F.lit(40))).alias("wait_ms"))
 
-@query("h05_retry_after", "SELECT * FROM (VALUES ('120', 120.0::DOUBLE), ('1.5', 1.5::DOUBLE), ('', 0.0::DOUBLE), ('soon', 0.0::DOUBLE), ('Wed, 01 Jan 2025 00:01:00 GMT', 60.0::DOUBLE)) t(header, seconds)")
+
+@query("h05_retry_after", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 300)::DOUBLE WHEN 1 THEN event_id % 300 + 0.5::DOUBLE WHEN 2 THEN greatest(0, floor(epoch(ts::TIMESTAMP)) - epoch(TIMESTAMP '2024-01-01') - 0)::DOUBLE ELSE 0::DOUBLE END AS seconds FROM events")
 def h05(spark, d):
-    h = spark.createDataFrame([("120",), ("1.5",), ("",), ("soon",), ("Wed, 01 Jan 2025 00:01:00 GMT",)], "header string")
-    return h.select("header", H.retry_after_seconds(F.col("header"), F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("seconds"))
+    """Headers of each event: whole and broken seconds, the event's time as an HTTP date, words, nothing."""
+    date = F.concat(F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    n = F.col("event_id") % 300
+    header = F.when(F.col("event_id") % 5 == 0, n.cast("string")).when(F.col("event_id") % 5 == 1, F.concat(n, F.lit(".5"))).when(F.col("event_id") % 5 == 2, date).when(F.col("event_id") % 5 == 3, "soon").otherwise("")
+    return events(spark, d).select("event_id", H.retry_after_seconds(header, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("seconds"))
 
 
 @query("h06_retry_outcome", "WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT user_id, min(CASE WHEN event_type <> 'error' THEN k END)::INTEGER AS attempts, bool_or(event_type <> 'error') AS ok FROM a WHERE k <= 3 GROUP BY 1")
@@ -75,13 +81,13 @@ def h07(spark, d):
     return H.breaker_states(e)
 
 
-@query("h08_limiter", """WITH RECURSIVE e AS (SELECT user_id, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+@query("h08_limiter", """WITH RECURSIVE e AS (SELECT user_id, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
 s AS (SELECT user_id, k, 1000.0::DOUBLE AS delay, ms::DOUBLE AS mean FROM e WHERE k = 1
   UNION ALL SELECT e.user_id, e.k, CASE WHEN s.mean * 0.7 + e.ms * 0.3 > 3 * s.delay THEN least(2 * s.delay, 30000.0) WHEN s.mean * 0.7 + e.ms * 0.3 < s.delay / 3 THEN greatest(s.delay / 2, 100.0) ELSE s.delay END, s.mean * 0.7 + e.ms * 0.3
   FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
 SELECT user_id, round(arg_max(delay, k), 6) AS delay, round(arg_max(mean, k), 6) AS mean FROM s GROUP BY 1""")
 def h08(spark, d):
-    return H.limiter_delays(events(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0))))
+    return H.limiter_delays(events(spark, d))
 
 
 @query("h09_token_bucket", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS k FROM e) SELECT event_id, round(max(sec - k * 2.5) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) + k * 2.5, 3) AS start FROM n")

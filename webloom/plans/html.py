@@ -145,6 +145,22 @@ def e20(spark, d):
     return pages(spark, d, "html").select("page_id", F.explode(H.routes(F.col("url"), F.col("html"))).alias("link"))
 
 
+_PUSHED = """<div class="app is-loading"><script>history.pushState({a: 1}, '', '/r%/1'); window.history.replaceState(null, "t", "r%?x=1"); history.pushState(s, '', '/r%/1'); history.pushState({}, '', link)</script></div>"""
+
+
+@query("e20_pushed_routes", f"SELECT page_id, unnest([{S.part('url', 1)} || '://' || {S.part('url', 2)} || '/r' || page_id || '/1', {S.part('url', 1)} || '://' || {S.part('url', 2)} || coalesce(nullif(regexp_replace({S.part('url', 3)}, '[^/]*$', ''), ''), '/') || 'r' || page_id || '?x=1']) AS link FROM pages")
+def e20_pushed(spark, d):
+    html = F.concat(F.replace(F.lit(_PUSHED), F.lit("%"), F.col("page_id").cast("string")), "html")
+    p = pages(spark, d, "html").withColumn("html", html)
+    return p.select("page_id", F.explode(H.routes_to_crawl(F.col("url"), F.col("html"), H.pushed_routes(F.col("html")))).alias("link"))
+
+
+@query("e19_skeleton", "SELECT page_id, page_id % 3 <> 2 AS skeleton FROM pages")
+def e19_skeleton(spark, d):
+    sign = F.get(F.array(F.lit("<i class='a shimmer-2'>"), F.lit('<i title="x" class="loader b">'), F.lit('<i title="class=\'loading\'" class="preloader loadin"> spinner')), (F.col("page_id") % 3).cast("int"))
+    return pages(spark, d, "html").select("page_id", H.skeleton(F.concat("html", sign)).alias("skeleton"))
+
+
 @query("e24_sitemap_locs", "SELECT page_id, url AS loc FROM pages UNION ALL SELECT page_id, 'http://x/' || page_id FROM pages")
 def e24(spark, d):
     esc = F.replace("url", F.lit("&"), F.lit("&amp;"))

@@ -19,12 +19,6 @@ def clone_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select(rel.alias("rel_path"), U.url_from_local_path(rel).alias("url"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def json_map(spark: SparkSession, path: str) -> DataFrame:
-    """``url, path`` of a file with one JSON object."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("url", "path"))
-
-
 def write_index(files: DataFrame, path: str) -> None:
     """One JSON line for each url of a file index, by url."""
     files.orderBy("url").write.mode("overwrite").json(path)
