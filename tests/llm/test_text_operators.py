@@ -307,3 +307,31 @@ def test_found_tokens_are_instances(spark):
     for t in (f"second hop: {three[0]}", f"third hop: {long}"):
         start = t.index(": ") + 2
         assert spans[at[t]] == f"id:{start}:{len(t)}"
+
+
+def test_items_of_one_template():
+    """Items that differ in numbers and names only are one class; each is found with the number of values that differ."""
+    import time
+
+    import pyarrow as pa
+
+    text = lambda a, b, n: f"If {a} apples cost {b} dollars, how many dollars do {a} pears of {n} cost?"
+    names = ["Anna", "Bob", "Carla"]
+    items = [text(i % 50, 100 + i // 50, names[i % 3]) for i in range(100_000)]
+    items += ["If 3 apples cost 3 dollars, how many dollars do 3 pears of Anna cost?", "If 1 apples cost 2 dollars, how many dollars do 5 pears of Anna cost?"]
+    bench = D.Bench(list(range(len(items))), items)
+    assert len(bench.members) == 3  # by which values are equal
+    began = time.time()
+    doc = "Some words before. " + text(7, 123, "Bob") + " And after."
+    got = D._found(bench, pa.array([doc, "no such thing", "", None]))
+    took = time.time() - began
+    assert took < 20 and {x[0] for x in got} == {0} and [x[1] for x in got] == list(range(100_000))
+    for _, i, windows, cover, slots, changed, *_ in got[:: 997]:
+        # 7 stands twice, dollars after a number is a unit
+        want = 2 * (i % 50 != 7) + (100 + i // 50 != 123) + (names[i % 3] != "Bob")
+        assert (cover, changed) == (1.0, want), items[i]
+    one = D._found(bench, pa.array([doc]), first=True)
+    assert len({x[0] for x in one}) == 1
+    few = D.Bench(list(range(300)), items[:300])
+    alone = [[(r, i, *x) for r, _, *x in D._found(D.Bench([0], [t]), pa.array([doc]))] for i, t in enumerate(items[:300])]
+    assert D._found(few, pa.array([doc])) == sorted(sum(alone, []))

@@ -109,17 +109,35 @@ class Template:
 
 
 class Bench:
-    """Windows of benchmark items, by the length of their window: that of ``WINDOW`` tokens, or of a short item's own."""
+    """Windows of benchmark items, by the length of their window: that of ``WINDOW`` tokens, or of a short item's own.
+
+    Items that differ in nothing but the values under their placeholders are one class: they
+    have one template, one entry in the tables and one alignment.  Only how many values differ
+    is counted for each member.
+    """
 
     def __init__(self, items: list, texts: list):
-        t = Template(pa.array(texts, pa.string()))
-        self.items, n = items, np.diff(t.at)
+        every = Template(pa.array(texts, pa.string()))
+        classes: dict[tuple, list[int]] = {}
+        for i, (a, z) in enumerate(zip(every.at.tolist(), every.at[1:].tolist())):
+            slot, value = every.slot[a:z], every.value[a:z]
+            own = value[slot]
+            exact = z - a < WINDOW and int((~slot).sum()) < PLAIN_WORDS
+            _, at, which = np.unique(own, return_index=True, return_inverse=True)
+            same = own if exact else at[which]  # which placeholders have one value
+            classes.setdefault((every.token[a:z].tobytes(), bool(every.capital[a:z][:1].any()), exact, same.tobytes()), []).append(i)
+        self.items, self.members = items, list(classes.values())
+        cut = lambda x: [x[a:z] for a, z in zip(every.at, every.at[1:])]
+        slots, values = cut(every.slot), cut(every.value)
+        self.values = [np.stack([values[i][slots[i]] for i in m]) for m in self.members]  # under the placeholders, by member
+        t = Template(pa.array([texts[m[0]] for m in self.members], pa.string()))
+        n = np.diff(t.at)
         self.length = np.minimum(n, WINDOW)
         self.total = np.maximum(n - WINDOW + 1, 1)
         cut = lambda x: [x[a:z] for a, z in zip(t.at, t.at[1:])]
         self.value, self.slot = cut(t.value), cut(t.slot)
-        self.exact = (n < WINDOW) & (np.array([int((~v).sum()) for v in self.slot], np.int64) < PLAIN_WORDS)
-        item = np.repeat(np.arange(len(items)), n)
+        self.exact = [k[2] for k in classes]
+        item = np.repeat(np.arange(len(self.members)), n)
         pos = np.arange(len(item)) - t.at[:-1][item] if len(item) else item
         self.tables = {}
         for length in np.unique(self.length[n > 0]).tolist():
@@ -157,8 +175,8 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _match(bench: Bench, length: int, t: Template, lo: int, hi: int, hit: np.ndarray, w: np.ndarray) -> list[tuple]:
-    """Items found in the row of tokens lo..hi by its windows at ``hit``: (item, windows, cover, slots, changed, first token, end token)."""
+def _match(bench: Bench, length: int, t: Template, lo: int, hi: int, hit: np.ndarray, w: np.ndarray, first: bool) -> list[tuple]:
+    """Items found in the row of tokens lo..hi by its windows at ``hit``: (item, windows, cover, slots, changed, first token, end token); the ``first`` one may be enough."""
     h, item, pos = bench.tables[length]
     kinds, kind = np.unique(w[hit], return_inverse=True)  # a window that a row repeats is looked up once
     a = np.searchsorted(h, kinds, "left")
@@ -168,20 +186,28 @@ def _match(bench: Bench, length: int, t: Template, lo: int, hi: int, hit: np.nda
     items, windows = np.unique(near, return_counts=True)
     by_kind = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[by_kind], np.arange(len(kinds) + 1))
+    by_item = np.argsort(item[post], kind="stable")
+    post, which = post[by_item], which[by_item]
     out = []
     for i in items[windows >= COVER * bench.total[items] - 1e-9].tolist():
-        mine = item[post] == i
-        q, k = pos[post][mine], which[mine]
+        mine = slice(*np.searchsorted(item[post], [i, i + 1]))
+        q, k = pos[post[mine]], which[mine]
         times = ends[k + 1] - ends[k]
         p, q = hit[by_kind[_ranges(ends[k], times)]], np.repeat(q, times)
         found = _aligned(bench, i, length, t, p, q)
         if found is not None:
-            out.append((i, *found[:-1], min(found[-1] + length, hi)))
+            n, cover, slots, met, start, last = found
+            changed = np.zeros(bench.values[i].shape, bool)
+            for under, y in met:
+                changed |= under & (bench.values[i] != y)
+            out += [(m, n, cover, slots, c, start, min(last + length, hi)) for m, c in zip(bench.members[i], changed.sum(1).tolist())]
+            if first:
+                break
     return out
 
 
 def _aligned(bench: Bench, i: int, length: int, t: Template, p: np.ndarray, q: np.ndarray) -> tuple | None:
-    """(windows, cover, slots, changed, first token, last window) of item i, from windows p of the document that are its windows q.
+    """(windows, cover, slots, values met, first token, last window) of class i, from windows p of the document that are its windows q.
 
     Along one alignment (p - q) the values under the placeholders of the windows met must map one to one.
     """
@@ -189,7 +215,7 @@ def _aligned(bench: Bench, i: int, length: int, t: Template, p: np.ndarray, q: n
     at = np.flatnonzero(slot)
     same = value[at][:, None] == value[at][None]
     lines, line = np.unique(p - q, return_inverse=True)
-    covered, seen, changed, first, last = np.zeros(total, bool), np.zeros(len(slot), bool), np.zeros(len(slot), bool), None, None
+    covered, seen, values, first, last = np.zeros(total, bool), np.zeros(len(slot), bool), {}, None, None
     order = np.argsort(line, kind="stable")
     ends = np.searchsorted(line[order], np.arange(len(lines) + 1))
     step = max(1, (1 << 20) // max(len(at) ** 2, total, len(slot), 1))
@@ -205,9 +231,8 @@ def _aligned(bench: Bench, i: int, length: int, t: Template, p: np.ndarray, q: n
         clash = (y[:, :, None] == y[:, None, :]) != same[None]
         bad = np.zeros_like(under)
         bad[:, at] = has & (clash & has[:, None, :]).any(2)
-        new = y != value[at][None]
         if bench.exact[i]:
-            bad[:, at] |= has & new
+            bad[:, at] |= has & (y != value[at][None])
         wrong = np.zeros_like(met)
         for j in range(min(length, len(slot))):
             wrong |= bad[:, j : j + total]
@@ -219,17 +244,18 @@ def _aligned(bench: Bench, i: int, length: int, t: Template, p: np.ndarray, q: n
         for j in range(min(length, len(slot))):
             inside[:, j : j + total] |= good
         seen |= inside.any(0) & slot
-        changed[at] |= (inside[:, at] & new).any(0)
+        for k in np.flatnonzero(good.any(1)).tolist():  # an alignment whose values were met before says nothing new
+            values.setdefault((inside[k, at].tobytes(), y[k].tobytes()), (inside[k, at], y[k]))
         row, col = np.nonzero(good)
         where = lines[x + row] + col
         first = int(where.min()) if first is None else min(first, int(where.min()))
         last = int(where.max()) if last is None else max(last, int(where.max()))
     n = int(covered.sum())
-    return (n, n / total, int(seen.sum()), int(changed.sum()), first, last) if n and n >= COVER * total - 1e-9 else None
+    return (n, n / total, int(seen.sum()), list(values.values()), first, last) if n and n >= COVER * total - 1e-9 else None
 
 
-def _found(bench: Bench, arr: pa.Array) -> list[tuple]:
-    """(row, item, ...) of every item that a text holds."""
+def _found(bench: Bench, arr: pa.Array, first: bool = False) -> list[tuple]:
+    """(row, item, ...) of every item that a text holds; with ``first`` some of them, where there is any."""
     t, out = Template(arr), []
     row_of = np.repeat(np.arange(len(t.at) - 1), np.diff(t.at))
     for length in bench.tables:
@@ -240,7 +266,7 @@ def _found(bench: Bench, arr: pa.Array) -> list[tuple]:
             hit = hit[np.diff(t.at)[row_of[hit]] == 1]
         rows, cut = np.unique(row_of[hit], return_index=True)
         for r, a, z in zip(rows.tolist(), cut, [*cut[1:], len(hit)]):
-            out += [(r, i, *x) for i, *x in _match(bench, length, t, int(t.at[r]), int(t.at[r + 1]), hit[a:z], w)]
+            out += [(r, i, *x) for i, *x in _match(bench, length, t, int(t.at[r]), int(t.at[r + 1]), hit[a:z], w, first)]
     return sorted(out)
 
 
@@ -269,7 +295,7 @@ def _without(bench: Bench):
         for batch in batches:
             for part in _scan.slices(batch, "text"):
                 keep = np.ones(part.num_rows, bool)
-                keep[[x[0] for x in _found(bench, part.column(part.schema.get_field_index("text")))]] = False
+                keep[[x[0] for x in _found(bench, part.column(part.schema.get_field_index("text")), True)]] = False
                 yield part.filter(pa.array(keep))
 
     return run
