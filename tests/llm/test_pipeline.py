@@ -2,11 +2,12 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 from .test_ngram_join import shingle_set
 from .test_text_operators import cut, plain_items
 
 import corpus_pipeline as CP
-from webloom.llm import pii as P
 from webloom.llm import quality as Q
 from webloom.llm import sentencepiece_codec as C
 
@@ -77,8 +78,7 @@ def keys(rows):
     return sorted((str(r.doc_id), str(r.text)) for r in rows)
 
 
-def test_odd_rows_through_every_stage(spark, odd_folder, monkeypatch):
-    monkeypatch.setattr(P, "SEEDS", 1 << 30)
+def test_odd_rows_through_every_stage(spark, odd_folder):
     docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
     columns = docs.schema.names
     for name, stage in CP.STAGES[:4]:
@@ -117,8 +117,25 @@ def test_quality_stage_keeps_what_the_classifier_calls_good(spark, data):
     assert {r.doc_id for r in CP.quality(spark, docs, data).collect()} == good
 
 
+def test_odd_rows_meet_a_trained_model(spark, odd_folder, data):
+    """Labels teach a model from real documents among which the odd rows stand; each row is kept or rejected as its score says."""
+    real, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.read.parquet(f"{odd_folder}/documents.parquet").select(*real.columns, F.lit("odd").alias("x"))
+    shift = 1_000_000
+    docs = odd.withColumn("doc_id", F.col("doc_id") + shift).unionByName(real.withColumn("x", F.lit("real")))
+    docs.write.parquet(f"{odd_folder}/both")
+    labels.write.mode("overwrite").parquet(f"{odd_folder}/labels.parquet")
+    docs = spark.read.parquet(f"{odd_folder}/both")
+    kept = CP.quality(spark, docs, odd_folder)
+    assert kept.columns == docs.columns
+    scored = Q.quality_scores(docs, labels).collect()
+    assert len(scored) == docs.count() and {r.predicted for r in scored} == {0, 1}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in scored if r.predicted == 1)
+    assert all(0 <= r.score <= 1 for r in scored)
+
+
 def test_entry_has_all_queries():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14))
