@@ -71,8 +71,9 @@ def row_place(docs: DataFrame) -> tuple[DataFrame, list]:
 
     Rows of a plain Parquet scan have a place; anything else is written first.
     """
-    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    if plan != "LogicalRelation" or "parquet" not in docs._jdf.queryExecution().analyzed().toString():
+    plan = docs._jdf.queryExecution().analyzed()
+    files = plan.relation() if plan.getClass().getSimpleName() == "LogicalRelation" else None
+    if files is None or files.getClass().getSimpleName() != "HadoopFsRelation" or files.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
         docs = written(docs, "rows")
     at = docs.metadataColumn("_metadata")
     return docs, [F.xxhash64(at["file_path"]), at["row_index"]]

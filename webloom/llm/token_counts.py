@@ -167,17 +167,20 @@ def separator_counts(spark: SparkSession, folder: str, files: DataFrame | None =
     ends = held.groupBy("file").agg(F.sum("n_seps").alias("nth"))
     last = held.join(ends, "file").withColumn("rest", F.when(F.col("first") == F.col("nth"), F.col("whole")).otherwise(0) + F.when((F.col("n_seps") > 0) & (F.col("first") + F.col("n_seps") == F.col("nth")), F.col("tail")).otherwise(0))
     open_ = last.groupBy("file", "nth").agg(F.sum("rest").alias("n_tokens")).where("n_tokens > 0")
-    return docs.unionByName(open_)
+    out = docs.unionByName(open_)
+    out._webloom_path = scanned._webloom_path  # may be dropped once the counts are written
+    return out
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens`` of every row: texts go to flat token files, which are then counted by their separators."""
     spark = docs.sparkSession
     folder, index = write_tokens(docs, id_col=id_col, text_col=text_col)
-    counted = written(index.join(separator_counts(spark, folder, index), ["file", "nth"]).select("doc_id", "n_tokens"), "token-counts")
+    counts = separator_counts(spark, folder, index)
+    counted = written(index.join(counts, ["file", "nth"]).select("doc_id", "n_tokens"), "token-counts")
     fs, root = _open(folder)
     fs.delete_dir(root)
-    drop(spark, index)
+    drop(spark, index, counts)
     return counted
 
 
