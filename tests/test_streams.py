@@ -171,3 +171,38 @@ def test_new_urls_and_error_rates(spark, tmp_path):
     assert sorted(x.url for x in sum(out, [])) == [f"u{i}" for i in range(5)]
     rates = in_triggers(spark, tmp_path, frames, H.error_rates, "rates")
     assert {(x.n, x.errors) for x in rates[1]} == {(60, 20)}
+
+
+def test_buffers_of_a_stream(spark, tmp_path, small_batches):
+    from webloom.operators import archive
+    from webloom.streaming import buffers
+
+    r = random.Random(11)
+    rows = [(f"k{r.randint(0, 2)}", float(i // 3), i, f"n{r.randint(0, 9)}", f"v{i}") for i in range(240)]
+    parts = [rows[:100], rows[100:101], rows[101:]]
+    for p in parts:
+        r.shuffle(p)
+    frames = [spark.createDataFrame(p, "key string, at double, seq long, name string, value string") for p in parts]
+    out = in_triggers(spark, tmp_path, frames, lambda s: buffers.last_rows(s.withColumnRenamed("value", "item"), 5), "rows")
+    jar = in_triggers(spark, tmp_path, frames, lambda s: buffers.last_values(s, 4), "jar")
+    every = spark.createDataFrame(rows, "key string, at double, seq long, name string, value string")
+    batch = archive.newest(every, "key", ["at", "seq"], 5).collect()
+    assert sorted((x.key, x.seq, x["item"]) for x in out[2]) == sorted((x.key, x.seq, x.value) for x in batch)
+    assert [x.place for x in sorted(out[2], key=lambda x: (x.key, x.seq))] == [0, 1, 2, 3, 4] * 3
+    cookies = archive.cookie_jar(every, "key", "name", "seq", 4).collect()
+    assert sorted((x.key, x.name, x.seq) for x in jar[2]) == sorted((x.key, x.name, x.seq) for x in cookies)
+
+
+def test_table_functions_in_sql(spark):
+    from webloom.functions import dom
+    from webloom.functions.table_functions import FUNCTIONS, register
+
+    register(spark)
+    pages = [(1, "<body id=b><video src=v></video><a href='/x'>x</a><button>y</button></body>"), (2, None), (3, "")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    kinds = {"page_elements": "structure", "page_media": "media", "page_accessibility": "accessibility", "page_links": "links", "page_census": "census"}
+    for name, what in kinds.items():
+        got = spark.sql(f"SELECT p.page_id, e.* FROM {{df}} p, LATERAL {name}(p.html) e", df=df)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, dom.extract(df, what).collect())), name
+    rules = spark.sql("SELECT * FROM robots_rules('User-agent: *\nDisallow: /a\nAllow: /a/b', 'x')").collect()
+    assert [tuple(r) for r in rules] == [("/a/b", True), ("/a", False)] and set(FUNCTIONS) == {*kinds, "robots_rules"}

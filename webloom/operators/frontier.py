@@ -56,14 +56,14 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame
     from ..sources.warc import checkpointed
 
     front = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = front
+    seen = front  # a union of the levels' checkpoints: none is written again
     for depth in range(1, max_depth + 1):
         found = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         front = checkpointed(front)
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen
 
 

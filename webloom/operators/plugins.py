@@ -42,6 +42,11 @@ class Registry:
         """Adds one column for each extractor."""
         return df.withColumns({n: s(F.col(column)) for n, s in self._steps["extractor"].items()})
 
+    def extracted_variant(self, df: DataFrame, column: str, target: str = "data") -> DataFrame:
+        """Adds one VARIANT column with a field for each extractor, whatever their types."""
+        steps = self._steps["extractor"].items()
+        return df.withColumn(target, F.to_variant_object(F.struct(*[s(F.col(column)).alias(n) for n, s in steps])))
+
     def transformed(self, df: DataFrame, column: str) -> DataFrame:
         """Applies the transformers after each other; an empty or null result keeps its input."""
         for step in self._steps["transformer"].values():

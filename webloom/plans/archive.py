@@ -139,6 +139,20 @@ def p01(spark, d):
     return pages(spark, d, "html").select("page_id", H.word_count(F.col("html")).alias("n_words"), F.octet_length("html").alias("n_bytes"))
 
 
+@query("p01_variant", "SELECT page_id, len(list_filter(regexp_split_to_array(html, '[ \\n\\t]+'), lambda w: w <> ''))::INTEGER AS n_words, strlen(html)::INTEGER AS n_bytes, regexp_extract(html, '<h1[^>]*>([^<]*)', 1) AS h1 FROM pages")
+def p01_variant(spark, d):
+    """Extractors of several types in one VARIANT, taken apart by path."""
+    from ..operators.plugins import Registry
+
+    r = Registry()
+    r.extractor("words", H.word_count)
+    r.extractor("size", lambda html: F.struct(F.octet_length(html).alias("bytes")))
+    r.extractor("heads", lambda html: F.regexp_extract_all(html, F.lit("<h1[^>]*>([^<]*)"), F.lit(1)))
+    v = r.extracted_variant(pages(spark, d, "html"), "html")
+    get = lambda path, kind: F.try_variant_get("data", path, kind)
+    return v.select("page_id", get("$.words", "int").alias("n_words"), get("$.size.bytes", "int").alias("n_bytes"), F.coalesce(get("$.heads[0]", "string"), F.lit("")).alias("h1"))
+
+
 @query("p03_url_filter_plugin", "SELECT page_id FROM pages WHERE NOT contains(url, 'en/1') AND NOT contains(url, 'login')")
 def p03(spark, d):
     from ..operators.plugins import Registry

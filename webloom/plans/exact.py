@@ -41,6 +41,15 @@ def e16_pages(spark, d):
     return dom.extract(pages(spark, d, "html"), "structure").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+@query("e16_elements_in_sql", "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS html FROM pages)) GROUP BY 1, 2")
+def e16_sql(spark, d):
+    """The same elements by a table function in SQL text."""
+    from ..functions.table_functions import register
+
+    register(spark)
+    return spark.sql("SELECT p.page_id, e.tag, count(*) AS n FROM {pages} p, LATERAL page_elements(p.html) e GROUP BY p.page_id, e.tag", pages=pages(spark, d, "html"))
+
+
 @query("e18_media", "SELECT page_id, unnest(['/v' || page_id || '.mp4', '/v.webm', '/a.mp3', '/s']) AS src, unnest(['video', 'video-source', 'audio', 'source']) AS type FROM pages")
 def e18(spark, d):
     return dom.extract(_planted(spark, d, "<video src=/v%.mp4><source src=/v.webm></video><audio src=/a.mp3></audio><source src=/s><video src=/v%.mp4></video>"), "media")
