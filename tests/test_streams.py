@@ -206,3 +206,44 @@ def test_table_functions_in_sql(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, dom.extract(df, what).collect())), name
     rules = spark.sql("SELECT * FROM robots_rules('User-agent: *\nDisallow: /a\nAllow: /a/b', 'x')").collect()
     assert [tuple(r) for r in rules] == [("/a/b", True), ("/a", False)] and set(FUNCTIONS) == {*kinds, "robots_rules"}
+
+
+def test_breaker_of_ranges_equals_the_fold(spark):
+    import numpy as np
+
+    from webloom.operators import ranges
+
+    r = random.Random(12)
+    for _ in range(300):
+        at, rows = 0.0, []
+        for _ in range(r.randint(1, 60)):
+            at += r.choice([0.0, 0.0, 0.5, 5.0, 30.0, 60.0, 61.0])
+            rows.append((at, r.random() < r.choice([0.1, 0.5, 0.9])))
+        cuts = sorted({0, len(rows), *[r.randint(0, len(rows)) for _ in range(4)]})
+        state = (ranges.CLOSED, 0, 0.0)
+        for a, b in zip(cuts, cuts[1:]):
+            state = ranges.applied(state, ranges.Range(np.array([t for t, _ in rows[a:b]]), np.array([o for _, o in rows[a:b]])).summary())
+        want = None
+        for t, ok in rows:
+            want = health.breaker_step(want, t, ok)
+        assert state[:2] == want[:2] and (state[0] == ranges.CLOSED or state[2] == want[3]), (rows, cuts)
+
+
+def test_breaker_of_a_hot_key(spark):
+    from webloom.operators import ranges
+
+    t0 = datetime.datetime(2025, 1, 1)
+    r = random.Random(13)
+    at, rows = 0.0, []
+    for i in range(20_000):
+        at += r.choice([0.0, 0.01, 1.0, 20.0])
+        rows.append(("hot" if r.random() < 0.9 else f"k{r.randint(0, 9)}", t0 + datetime.timedelta(seconds=at), i, r.random() < 0.4))
+    rows.append((None, t0, -1, True))
+    df = spark.createDataFrame(rows, "user_id string, ts timestamp, event_id long, ok boolean").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, ranges.breaker_states(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(tuple, health.breaker_states(df).collect())) and len(got) == 11
+    assert ranges.breaker_states(df.limit(0)).count() == 0

@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..operators import health as H
 from ..operators import robots as R
 from ..operators import snapshots as C
+from ..operators.ranges import breaker_states
 from . import sqltext as S
 from .registry import query
 from .urls import pages
@@ -78,7 +79,7 @@ b AS (SELECT user_id, arg_max(st, k) AS state, arg_max(bad, k)::BIGINT AS failur
 @query("h07_breaker_states", f"{_BREAKER} SELECT * FROM b")
 def h07(spark, d):
     e = events(spark, d).withColumn("ok", F.col("event_type") != "error")
-    return H.breaker_states(e)
+    return breaker_states(e)
 
 
 @query("h08_limiter", """WITH RECURSIVE e AS (SELECT user_id, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
