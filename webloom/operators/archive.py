@@ -28,7 +28,9 @@ def exact_seen(rows: DataFrame, *keys: str) -> DataFrame:
 
 def ordered_messages(rows: DataFrame, key: str, at: list[str]) -> DataFrame:
     """Adds ``place`` (from 0): messages of a key in their order, one row each, so that no key is gathered in memory."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*at)) - 1)
+    from ..sources.warc import placed
+
+    return placed(rows, key, at)
 
 
 def replayed(requests: DataFrame, captured: DataFrame) -> DataFrame:

@@ -121,11 +121,15 @@ SITEMAP = 50_000
 
 
 def sitemaps(pages: DataFrame, url: str = "url", most: int = SITEMAP) -> DataFrame:
-    """``host, part, body``: site maps of each host's distinct urls in order, ``most`` entries a part, so that no body grows with its host."""
+    """``host, part, body``: site maps of each host's distinct urls in order, ``most`` entries a part, so that no body grows with its host.
+
+    Places of entries come from ranges of all of them, so a host with very many urls is no task of its own.
+    """
+    from ..sources.warc import placed
+
     esc = F.replace(F.replace(F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    e = pages.select(U.host(F.col(url)).alias("host"), F.concat(F.lit("<url><loc>"), esc, F.lit("</loc></url>")).alias("e")).distinct()
-    k = F.row_number().over(W.partitionBy("host").orderBy("e"))
-    e = e.withColumn("part", F.floor((k - 1) / most).cast("int"))
+    e = pages.select(U.host(F.col(url)).alias("host"), F.concat(F.lit("<url><loc>"), esc, F.lit("</loc></url>")).alias("e")).where("host is not null").distinct()
+    e = placed(e, "host", ["e"]).withColumn("part", F.floor(F.col("place") / most).cast("int"))
     return e.groupBy("host", "part").agg(F.array_join(F.array_sort(F.collect_list("e")), "").alias("body"))
 
 

@@ -29,13 +29,22 @@ def changed_keys(rows: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def step_diffs(elements: DataFrame, key: str, version: str, selector: str = "selector", digest: str = "text_hash", ignore: list[str] = ()) -> DataFrame:
-    """``structural_diff`` of every version of every key against the version before it."""
-    turns = elements.select(key, version).distinct()
-    turns = turns.withColumn("_next", F.lead(version).over(W.partitionBy(key).orderBy(version))).withColumn("_first", F.lag(version).over(W.partitionBy(key).orderBy(version)).isNull())
-    both = elements.join(turns, [key, version])
-    new = both.where("not _first").select(key, version, selector, digest, "pos")
-    old = both.where("_next is not null").select(key, F.col("_next").alias(version), selector, digest, "pos")
-    return structural_diff(old, new, [key, version], selector, digest, ignore)
+    """``structural_diff`` of every version of every key against the version before it.
+
+    An element takes part twice, as new in its own version and as old in the next one; both
+    are told apart in one aggregation that combines before its shuffle, without a join of
+    elements with elements.
+    """
+    w = W.partitionBy(key).orderBy(version)
+    turns = elements.select(key, version).distinct().select(key, version, F.lead(version).over(w).alias("_next"), F.lag(version).over(w).isNull().alias("_first"))
+    sides = F.array(F.struct(F.col(version).alias("v"), (~F.col("_first")).alias("on"), F.lit(True).alias("new")), F.struct(F.col("_next").alias("v"), F.col("_next").isNotNull().alias("on"), F.lit(False).alias("new")))
+    both = elements.join(turns, [key, version]).select(key, selector, digest, "pos", F.explode(F.filter(sides, lambda s: s["on"])).alias("s"))
+    for part in ignore:
+        both = both.where(~F.col(selector).contains(part))
+    last = lambda new: F.max_by(digest, F.when(F.col("s.new") == new, F.col("pos")))
+    found = both.groupBy(key, F.col("s.v").alias(version), selector).agg(last(False).alias("was"), last(True).alias("now"), F.bool_or(~F.col("s.new")).alias("_o"), F.bool_or("s.new").alias("_n"))
+    change = F.when(~F.col("_o"), "added").when(~F.col("_n"), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "modified")
+    return found.select(key, version, selector, change.alias("change")).where("change is not null")
 
 
 def structural_diff(old: DataFrame, new: DataFrame, key: str | list[str], selector: str = "selector", digest: str = "text_hash", ignore: list[str] = ()) -> DataFrame:

@@ -68,6 +68,13 @@ def running_offsets(rows: DataFrame, order: list[str], size: str) -> DataFrame:
     return ranged.withColumn("_in", inside).join(F.broadcast(starts), "_range").withColumn("offset", F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")
 
 
+def placed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``place`` (from 0) of each row among those of its (non-null) key, by ranges of all rows: a frequent key is in many tasks."""
+    every = running_offsets(rows.withColumn("_one", F.lit(1).cast("long")), [key, *order], "_one").drop("_one")
+    first = every.groupBy(key).agg(F.min("offset").alias("_first"))
+    return every.join(first, key).withColumn("place", F.col("offset") - F.col("_first")).drop("offset", "_first")
+
+
 def record(url: str, date: datetime, mime: str, status: int, body: bytes) -> bytes:
     """One response record: headers, HTTP block, two line ends."""
     http = f"HTTP/1.1 {status} {STATUS.get(status, 'Unknown')}\r\nContent-Type: {mime}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
