@@ -123,7 +123,28 @@ def test_warc_round_trip(spark, tmp_path):
     with open(f"{path}/{one.file}", "rb") as f:
         f.seek(one.offset)
         assert warc.parse_record(gzip.decompress(f.read(one.length)))[0] == one.url
-    warc.wacz(path, str(tmp_path / "a.wacz"))
+    import hashlib
+    import json
+    import os
+    import zipfile
+
+    out = str(tmp_path / "packages")
+    made = warc.packages(spark, path, out, "t").collect()
+    assert len(made) > 1 and sum(r.n_records for r in made) == 20 and {r.file for r in made} == {x for x in os.listdir(path) if x.endswith(".warc.gz")}
+    text = "".join(open(f"{out}/datapackage/{n}").read() for n in sorted(os.listdir(f"{out}/datapackage")) if n.startswith("part-"))
+    told = {x["path"]: x["hash"] for x in json.loads(text)["resources"]}
+    for r in made:
+        with open(f"{out}/{r.package}", "rb") as f:
+            assert told[r.package] == r.hash == "sha256:" + hashlib.sha256(f.read()).hexdigest()
+        with zipfile.ZipFile(f"{out}/{r.package}") as z, open(f"{path}/{r.file}", "rb") as f:
+            assert z.read(f"archive/{r.file}") == f.read() and len(z.read("pages/pages.jsonl").splitlines()) == r.n_records + 1
+    back = warc.read_packages(spark, out).collect()
+    assert sorted((r.url, r.file, r.offset) for r in back) == sorted((r.url, r.file, r.offset) for r in index)
+    with open(f"{out}/{made[0].package}", "r+b") as f:
+        f.seek(150)
+        f.write(b"xx")
+    with pytest.raises(Exception, match="not as packaged|Bad CRC"):
+        warc.read_packages(spark, out).collect()
 
 
 def test_config(tmp_path):

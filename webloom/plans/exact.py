@@ -119,15 +119,14 @@ def a08(spark, d):
 
 @query("a12_wacz_package", "SELECT url, 'text/html' AS mime, 200 AS status, '20250101000000' AS date FROM pages")
 def a12(spark, d):
-    """The index of a package whose parts are checked against its data package."""
-    from ..sources.warc import read_wacz_index, shared_folder, wacz, write_warc
+    """The index lines of packages, one for each archive file, whose parts are checked against their data packages."""
+    from ..sources.warc import packages, read_packages, shared_folder, write_warc
 
     p = pages(spark, d, "html").select("url", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("date"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), F.encode("html", "UTF-8").alias("body"))
     path = shared_folder(spark, "wacz")
     write_warc(p, path, rotate=1 << 20)
-    wacz(path, f"{path}.wacz", "pages")
-    rows = [(x["url"], x["mime"], x["status"], x["date"]) for x in read_wacz_index(f"{path}.wacz")]
-    return spark.createDataFrame(rows, "url string, mime string, status int, date string")
+    packages(spark, path, f"{path}-packages", "pages")
+    return read_packages(spark, f"{path}-packages").select("url", "mime", "status", "date")
 
 
 @query("s06_cdx_lines", "SELECT url, '20250101000000' AS date, 'text/html' AS mime, 200 AS status FROM pages")

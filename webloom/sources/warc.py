@@ -6,8 +6,10 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -220,36 +222,88 @@ def cdx(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.schema(schema).json(files) if files else spark.createDataFrame([], schema)).orderBy("url", "date")
 
 
-def wacz(path: str, target: str, title: str = "") -> None:
-    """Package a written archive (files stream one after the other) with its index and a data package; both places may be shared ones."""
-    fs, root = _fs(path)
+_PACKED = "package string, file string, hash string, bytes long, n_records long"
+
+
+def packages(spark: SparkSession, path: str, target: str, title: str = "") -> DataFrame:
+    """``package, file, hash, bytes, n_records``: a WACZ package in ``target`` for each archive file of ``path``, made by its own task.
+
+    Archive files are rotated by size, so a package and its index are bounded.  A package is
+    written under another name, block by block, and renamed, so a task that runs again does no
+    harm.  ``target/datapackage`` is a document that names all packages.
+    """
     to, place = _fs(target)
-    resources = []
-    with to.open_output_stream(place) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
-        for folder, suffix in (("archive", ".warc.gz"), ("indexes", ".cdxj")):
-            for name in _listed(path, suffix):
-                digest, size = hashlib.sha256(), 0
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as f, z.open(f"{folder}/{name}", "w", force_zip64=True) as out:
-                    while block := f.read(1 << 20):
-                        out.write(block)
-                        digest.update(block)
-                        size += len(block)
-                resources.append({"name": name, "path": f"{folder}/{name}", "hash": f"sha256:{digest.hexdigest()}", "bytes": size})
-        z.writestr("datapackage.json", json.dumps({"profile": "data-package", "title": title, "wacz_version": "1.1.1", "resources": resources}))
-
-
-def read_wacz_index(target: str) -> list[dict]:
-    """The index lines of a package whose resources have the sizes and digests that its data package names."""
-    fs, place = _fs(target)
-    with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
-        package, lines = json.loads(z.read("datapackage.json")), []
-        for r in package["resources"]:
-            data = z.read(r["path"])
-            if len(data) != r["bytes"] or f"sha256:{hashlib.sha256(data).hexdigest()}" != r["hash"]:
-                raise ValueError(f"{r['path']} is not as packaged")
-            if r["path"].startswith("indexes/"):
-                lines += [json.loads(x) for x in data.decode().splitlines()]
-        return lines
+    to.create_dir(place, recursive=True)
+    fields = ["url", "date", "mime", "status", "digest", "length", "offset", "file"]
+
+    def pack(lines):
+        import pyarrow as pa
+
+        fs, root = _fs(path)
+        out_fs, out_root = _fs(target)
+        rows = lines.select(fields).sort_by([("url", "ascending"), ("date", "ascending"), ("offset", "ascending")]).to_pylist()
+        name = rows[0]["file"]
+        package, part, resources = f"{name.removesuffix('.warc.gz')}.wacz", f"{out_root}/.{uuid.uuid4().hex}", []
+
+        def add(z, inside: str, blocks) -> None:
+            digest, size = hashlib.sha256(), 0
+            with z.open(inside, "w", force_zip64=True) as out:
+                for block in blocks:
+                    out.write(block)
+                    digest.update(block)
+                    size += len(block)
+            resources.append({"name": inside.split("/")[-1], "path": inside, "hash": f"sha256:{digest.hexdigest()}", "bytes": size})
+
+        with out_fs.open_output_stream(part, compression=None) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                add(z, f"archive/{name}", iter(lambda: f.read(1 << 20), b""))
+            add(z, "indexes/index.cdxj", ((json.dumps(r) + "\n").encode() for r in rows))
+            pages = ({"url": r["url"], "ts": r["date"]} for r in rows if "html" in (r["mime"] or ""))
+            add(z, "pages/pages.jsonl", ((json.dumps(x) + "\n").encode() for x in itertools.chain([{"format": "json-pages-1.0", "id": "pages", "title": title}], pages)))
+            z.writestr("datapackage.json", json.dumps({"profile": "data-package", "title": title, "wacz_version": "1.1.1", "resources": resources}))
+        digest, size = hashlib.sha256(), 0
+        with out_fs.open_input_stream(part, compression=None) as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+                size += len(block)
+        out_fs.move(part, f"{out_root}/{package}")
+        return pa.table({"package": [package], "file": [name], "hash": [f"sha256:{digest.hexdigest()}"], "bytes": pa.array([size], pa.int64()), "n_records": pa.array([len(rows)], pa.int64())})
+
+    made = checkpointed(cdx(spark, path).groupBy("file").applyInArrow(pack, _PACKED))
+    from .documents import write_document
+
+    one = F.to_json(F.struct(F.col("package").alias("name"), F.col("package").alias("path"), "hash", "bytes"))
+    write_document(made, one, ["package"], f"{target}/datapackage", '{"profile":"multi-wacz-package","resources":[', "]}")
+    return made
+
+
+def read_packages(spark: SparkSession, target: str) -> DataFrame:
+    """Index lines of all packages of a folder, each by its own task; a resource that isn't as packaged is an error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(target).select("path")  # contents aren't read here
+    schema = "package string, url string, date string, mime string, status int, digest string, length long, offset long, file string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path in b["path"]:
+                fs, place = _fs(re.sub("^file:/+", "file:///", path))
+                with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+                    for r in json.loads(z.read("datapackage.json"))["resources"]:
+                        digest, size = hashlib.sha256(), 0
+                        with z.open(r["path"]) as f:
+                            while block := f.read(1 << 20):
+                                digest.update(block)
+                                size += len(block)
+                        if size != r["bytes"] or f"sha256:{digest.hexdigest()}" != r["hash"]:
+                            raise ValueError(f"{path}: {r['path']} is not as packaged")
+                    with z.open("indexes/index.cdxj") as f:
+                        while lines := list(itertools.islice(f, 10_000)):
+                            rows = [json.loads(x) for x in lines]
+                            yield pd.DataFrame([{"package": path.rsplit("/", 1)[-1], **x} for x in rows], columns=names)
+
+    return found.mapInPandas(run, schema)
 
 
 def har_entry(url: Column, method: Column, status: Column, mime: Column, body: Column, at: Column) -> Column:
