@@ -72,7 +72,16 @@ def e27(spark, d):
     return dom.extract(p, "census")
 
 
-@query("d06_rewrite_html")
+_SEGMENTS = "list_filter(string_split(p, '/')[:-2], lambda s: s <> '')"
+_SAME = f"len(list_filter(range(1, least(len({_SEGMENTS}), len(string_split(t, '/'))) + 1), lambda i: ({_SEGMENTS})[1:i] = string_split(t, '/')[1:i]))"
+
+
+@query("d06_rewrite_html", f"""{attributes_sql()},
+m AS (SELECT DISTINCT page_id, ref, {S.local_path('url')} AS p, {S.local_path(f"({S.part('url', 1)} || '://' || {S.part('url', 2)} || ref)")} AS t FROM refs WHERE starts_with(ref, '/') AND NOT starts_with(ref, '//')),
+r AS (SELECT page_id, replace(ref, '&', '&amp;') AS ref, replace(repeat('../', len({_SEGMENTS}) - {_SAME}) || array_to_string(string_split(t, '/')[{_SAME} + 1:], '/'), '&', '&amp;') AS rel FROM m),
+g AS (SELECT page_id, list(ref || chr(1) || rel) AS pairs FROM r GROUP BY 1),
+h AS (SELECT page_id, list_reduce(list_prepend(html, coalesce(pairs, [])), lambda a, b: replace(a, '<a href="' || split_part(b, chr(1), 1) || '"', '<a href="' || split_part(b, chr(1), 2) || '"')) AS html FROM pages LEFT JOIN g USING (page_id))
+SELECT page_id, md5(html) AS md, strlen(html)::INTEGER AS n_bytes FROM h""")
 def d06(spark, d):
     """Each page with its own references mapped to local paths; no body is shuffled."""
     p = pages(spark, d, "html")
