@@ -39,26 +39,24 @@ def replayed(requests: DataFrame, captured: DataFrame) -> DataFrame:
     ``captured`` is ``url, method, seq, body``.  A GraphQL request looks for its operation
     first; then the whole url counts, then the url without query and fragment, then a
     captured url that is alike without its query; each time of the same method (or of none).
+    All these ways are keys of one join, of which the first that hits counts; requests that are
+    alike are looked up once.
     """
     bare = F.regexp_replace("url", "[?#].*$", "")
     base = F.substring_index("url", "?", 1)
     graph = F.col("url").contains("/graphql") | F.col("url").contains("/gql")
     gql = F.when(graph & (graphql_operation(F.col("body")) != ""), F.concat("url", F.lit("|gql:"), graphql_operation(F.col("body"))))
-    key = F.coalesce(gql, F.col("url"))
-    c = captured.select(key.alias("key"), base.alias("base"), gql.isNotNull().alias("is_gql"), F.coalesce("method", F.lit("")).alias("m"), "seq")
-    by_key = c.groupBy("key", "m").agg(F.min("seq").alias("s"))
-    by_base = c.where("not is_gql").groupBy(F.col("base").alias("key"), "m").agg(F.min("seq").alias("s"))
-    q = requests.withColumn("_g", gql).withColumn("_b", bare).withColumn("_m", F.col("method"))
-    found = []
-    for n, (table, on) in enumerate(((by_key, "_g"), (by_key, "url"), (by_key, "_b"), (by_base, "_b"))):
-        for any_method in (False, True):  # a capture without a method answers all
-            name = f"_h{n}{int(any_method)}"
-            side = table.where(F.col("m") == "" if any_method else F.col("m") != "").select(F.col("key").alias(f"k{name}"), F.col("m").alias(f"m{name}"), F.col("s").alias(name))
-            test = F.col(on) == F.col(f"k{name}")
-            q = q.join(side, test if any_method else test & (F.col("_m") == F.col(f"m{name}")), "left").drop(f"k{name}", f"m{name}")
-            found.append(name)
-    pick = [F.least(F.coalesce(a, b), F.coalesce(b, a)) for a, b in zip(found[::2], found[1::2])]
-    return q.withColumn("hit", F.coalesce(*pick)).drop("_g", "_b", "_m", *found)
+    method = F.coalesce("method", F.lit(""))
+    keys = F.array(F.struct(F.lit("key").alias("kind"), F.coalesce(gql, F.col("url")).alias("key")), F.struct(F.when(gql.isNull(), "base").alias("kind"), base.alias("key")))
+    known = captured.select(F.inline(keys), method.alias("m"), "seq").where("kind is not null and key is not null").groupBy("kind", "key", "m").agg(F.min("seq").alias("s"))
+    one = requests.select(F.col("url").alias("_u"), method.alias("_m"), gql.alias("_g")).distinct()
+    way = lambda n, kind, key: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), key.alias("key"))
+    bare = F.regexp_replace("_u", "[?#].*$", "")
+    ways = one.select("_u", "_m", "_g", F.inline(F.array(way(0, "key", F.col("_g")), way(1, "key", F.col("_u")), way(2, "key", bare), way(3, "base", bare))))
+    ways = ways.where("key is not null").withColumn("m", F.explode(F.array_distinct(F.array("_m", F.lit("")))))  # a capture without a method answers all
+    found = ways.join(known, ["kind", "key", "m"]).groupBy("_u", "_m", "_g").agg(F.min(F.struct("n", "s"))["s"].alias("hit"))
+    q = requests.withColumn("__g", gql).withColumn("__m", method)
+    return q.join(found, F.col("url").eqNullSafe(F.col("_u")) & (F.col("__m") == F.col("_m")) & F.col("__g").eqNullSafe(F.col("_g")), "left").drop("_u", "_m", "_g", "__g", "__m")
 
 
 def cache_upserts(responses: DataFrame, key: str, at: list[str], etag: Column) -> DataFrame:
