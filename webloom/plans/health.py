@@ -222,6 +222,16 @@ def r05(spark, d):
     return R.validity(events(spark, d), "user_id", "ts", "event_id", fetch, F.col("event_type") == "error").select("event_id", "valid")
 
 
+@query("r05_valid_requests", """WITH f AS (SELECT user_id, ts, bool_and(coalesce(value < 30, FALSE)) AS transient FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT r.event_id, coalesce(r.ts < f.ts + CASE WHEN f.transient THEN INTERVAL 5 MINUTE ELSE INTERVAL 24 HOUR END, FALSE) AS valid FROM (SELECT * FROM events WHERE event_type <> 'view') r ASOF LEFT JOIN f ON r.user_id = f.user_id AND r.ts >= f.ts""")
+def r05_requests(spark, d):
+    """An as-of join of two tables: what a user's last fetch says of each of its requests."""
+    e = events(spark, d)
+    fetches = e.where("event_type = 'view'").select(F.col("user_id").alias("host"), F.col("ts").alias("at"), (F.col("value") < 30).alias("transient"))
+    asked = e.where("event_type <> 'view'").select(F.col("user_id").alias("host"), F.col("ts").alias("at"), "event_id")
+    return R.valid_at(asked, fetches).select("event_id", "valid")
+
+
 @query("r06_effective_delay", "SELECT user_id, coalesce(nullif(max(CASE WHEN event_type = 'error' THEN 2.0 ELSE 0.0 END), 0), 1.0)::DOUBLE AS delay FROM events GROUP BY 1")
 def r06(spark, d):
     return R.effective_delay(events(spark, d), "user_id", F.when(F.col("event_type") == "error", 2.0).otherwise(0.0), 1.0)
