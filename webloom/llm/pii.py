@@ -178,7 +178,7 @@ def patterns(found: DataFrame) -> DataFrame:
         drop(spark, scored)
         scored = now
         # scores only grow, so equal marks mean that nothing new was accepted and no score moved
-        last, mark = mark, tuple(scored.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("score") * 1000)), F.lit(0))).first())
+        last, mark = mark, tuple(scored.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("score") * 1_000_000)), F.lit(0))).first())
         if mark[0] == 0 or (last is not None and mark <= last):
             break
         reached = edges.select("pattern", "token").join(scored, "pattern").groupBy("token").agg(F.max("score").alias("r"))
