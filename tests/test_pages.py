@@ -91,6 +91,41 @@ def test_cron(spark):
     assert nxt(["5", "4", "10", "*", "1"]) == datetime.datetime(2025, 2, 3, 4, 5)  # a Monday comes before the 10th
 
 
+def test_cron_tables(spark):
+    """A row looks its next minute up, whatever the calendar; the search ends by the minute; hours that clocks skip or repeat."""
+    T = datetime.datetime
+    times = [T(2023, 3, 1, 5), T(2024, 2, 28, 23, 59, 59, 9), T(1999, 12, 31, 23, 59), T(2100, 2, 27, 3, 7), T(2024, 1, 30, 4, 45), T(1960, 1, 1), None]
+    rows = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    fits = {
+        "0 10 29 2 *": lambda t: (t.minute, t.hour, t.day, t.month) == (0, 10, 29, 2),
+        "30 6 13 2,3 0": lambda t: (t.minute, t.hour) == (30, 6) and t.month in (2, 3) and (t.day == 13 or t.isoweekday() == 7),
+        "*/15 2-4 * * *": lambda t: t.minute % 15 == 0 and 2 <= t.hour <= 4,
+        "*/25 23 */10 * 1-5": lambda t: t.minute % 25 == 0 and t.hour == 23 and (t.day % 10 == 1 or t.isoweekday() < 6),
+        "0 0 30 2 *": lambda t: False,
+        "0 24 * * *": lambda t: False,
+    }
+    one = datetime.timedelta(minutes=1)
+    for fields, fit in fits.items():
+        df = health.cron_next(rows, fields.split(), minutes=60_000)
+        assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no list of days or minutes a row
+        for t, got in df.collect():
+            tries = (t.replace(second=0, microsecond=0) + i * one for i in range(1, 60_001)) if t else ()
+            assert got == (next(filter(fit, tries), t + 1440 * one) if t else None), (fields, t)
+    year = {r.ts: r.next for r in health.cron_next(rows, ["0", "10", "29", "2", "*"]).where("next > ts").collect()}
+    assert year[times[0]] == T(2023, 3, 2, 5)  # the 29th of February comes 300 minutes too late
+    assert year[times[1]] == T(2024, 2, 29, 10) and year[times[5]] == T(1960, 2, 29, 10)
+    far = {r.ts: r.next for r in health.cron_next(rows, ["0", "10", "29", "2", "*"], minutes=9 * 525_600).collect()}
+    assert far[times[0]] == T(2024, 2, 29, 10) and far[times[3]] == T(2104, 2, 29, 10)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        at = spark.createDataFrame([("2024-11-03 06:20:07",), ("2025-03-09 07:20:07",)], "s string").selectExpr("to_timestamp(s || 'Z') AS ts")
+        wait = health.cron_next(at, ["30", "1-2", "*", "*", "*"]).orderBy("ts").selectExpr("unix_seconds(next) - unix_seconds(ts)")
+        assert [r[0] for r in wait.collect()] == [593, 79_793]  # the second 1:30 of the day; 22:09:53 from 3:20:07 to 1:30
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_plugins(spark):
     r = plugins.Registry()
     r.transformer("upper", F.upper)

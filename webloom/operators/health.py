@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
+from bisect import bisect
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..functions.urls import any_of
+from ..functions.urls import any_of, let
 
 
 def error_kind(message: Column) -> Column:
@@ -167,40 +172,92 @@ def first_of_host(pages: DataFrame, url: str = "url", seq: str = "page_id") -> D
 # -- cron -------------------------------------------------------------------------------
 
 
-def _field(pattern: str, value: Column, least: int) -> Column:
+def _field(pattern: str, value, least: int):
+    """Whether a column, or a plain number, fits the field."""
     if pattern == "*":
-        return F.lit(True)
+        return True
     tests = []
     for p in (x.strip() for x in pattern.split(",")):
         if p.isdigit():
             tests.append(value == int(p))
         elif "-" in p:
             lo, hi = (int(x) for x in p.split("-")[:2])
-            tests.append(value.between(lo, hi))
+            tests.append((value >= lo) & (value <= hi))
         elif p.startswith("*/") and int(p[2:]) > 0:
             tests.append((value - least) % int(p[2:]) == 0)
-    return any_of(tests)
+    return reduce(or_, tests) if tests else False
+
+
+def _day_fits(fields: list[str], day, month, weekday):
+    """Of two restricted day fields one is enough."""
+    d, w = _field(fields[2], day, 1), _field(fields[4], weekday, 0)
+    return _field(fields[3], month, 1) & (d & w if "*" in (fields[2], fields[4]) else d | w)
 
 
 def cron_matches(fields: list[str], at: Column) -> Column:
     """Minute, hour, day, month, weekday (Sunday 0); of two restricted day fields one is enough."""
-    day, weekday = _field(fields[2], F.dayofmonth(at), 1), _field(fields[4], F.dayofweek(at) - 1, 0)
-    either = day & weekday if "*" in (fields[2], fields[4]) else day | weekday
-    return _field(fields[0], F.minute(at), 0) & _field(fields[1], F.hour(at), 0) & _field(fields[3], F.month(at), 1) & either
+    clock = _field(fields[0], F.minute(at), 0) & _field(fields[1], F.hour(at), 0)
+    return F.lit(True) & clock & _day_fits(fields, F.dayofmonth(at), F.month(at), F.dayofweek(at) - 1)
+
+
+def _cron_clock(fields: list[str]) -> list[int]:
+    """For each minute of a day the next one that fits, 1440 and more in the day after; empty if none does."""
+    fit = [m for m in range(1440) if _field(fields[0], m % 60, 0) & _field(fields[1], m // 60, 0)]
+    return [(*fit, 1440 + fit[0])[bisect(fit, m)] for m in range(1440)] if fit else []
+
+
+def _cron_days(fields: list[str]) -> tuple[list[int | None], list[int]]:
+    """Days until one fits. By kind of year (twice the weekday of its first day, and 1 in a leap year) and day of it: within that year,
+    or null. By year modulo 400, after which the calendar comes again: from its first day on; empty if no day ever fits."""
+    within = []
+    for kind in range(14):
+        lengths = [31, 28 + kind % 2, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+        days = [(d, m, (kind // 2 + i) % 7) for i, (m, d) in enumerate((m, d) for m, n in enumerate(lengths, 1) for d in range(1, n + 1))]
+        left, table = None, [None] * 366
+        for i in reversed(range(len(days))):
+            table[i] = left = 0 if _day_fits(fields, *days[i]) else left if left is None else left + 1
+        within += table
+    kinds = [2 * (datetime.date(y, 1, 1).isoweekday() % 7) + calendar.isleap(y) for y in range(2000, 2400)]
+    if all(within[366 * k] is None for k in kinds):
+        return within, []
+    left, years = 0, [0] * 800
+    for y in reversed(range(800)):  # twice the cycle: what the last years lack is found in the first ones
+        k = kinds[y % 400]
+        years[y] = left = left + 365 + k % 2 if within[366 * k] is None else within[366 * k]
+    return within, years[:400]
+
+
+def _table(numbers: list[int | None], at: Column) -> Column:
+    """The number at a place of a list, which is one literal of the plan."""
+    return F.get(F.split(F.lit(",".join("" if x is None else str(x) for x in numbers)), ",").try_cast("array<int>"), at)
 
 
 def cron_next(rows: DataFrame, fields: list[str], at: str = "ts", minutes: int = 525_600) -> DataFrame:
     """Adds ``next``: the first matching minute after ``at``, a day later if there is none within ``minutes``.
 
-    Days that can match are found first, so that few minutes are looked at.
+    Clock and calendar are tables made of the fields alone, so a row takes three lookups, however far its next minute is.
     """
-    start = F.date_trunc("minute", F.col(at)) + F.expr("interval 1 minute")
-    days = F.sequence(F.to_date(start), F.date_add(F.to_date(start), minutes // 1440))
-    good_day = F.filter(days, lambda x: cron_matches(["*", "*", *fields[2:]], x.cast("timestamp_ntz")))
-    clock = F.sequence(F.lit(0), F.lit(1439))
-    in_day = F.filter(clock, lambda m: _field(fields[0], m % 60, 0) & _field(fields[1], F.floor(m / 60), 0))
-    base = F.when((F.size(in_day) == 0) | (F.size(good_day) == 0), F.lit(None))
-    stamp = lambda x, m: F.timestamp_add("MINUTE", m, x.cast("timestamp_ntz"))
-    today = F.filter(F.transform(in_day, lambda m: stamp(F.get(good_day, 0), m)), lambda t: t >= start)
-    later = stamp(F.get(good_day, 1), F.get(in_day, 0))
-    return rows.withColumn("next", F.coalesce(base, F.when(F.size(today) > 0, F.get(today, 0)), later, F.col(at) + F.expr("interval 24 hours")))
+    t, none = F.col(at), F.col(at) + F.expr("interval 24 hours")
+    clock, (within, years) = _cron_clock(fields), _cron_days(fields)
+    if not clock or not years:
+        return rows.withColumn("next", none)
+    now = F.hour(t) * 60 + F.minute(t)
+
+    def over(soon):
+        return F.when(soon < 1440, 0).otherwise(1)
+
+    def until(day):
+        year, nth = F.year(day), F.dayofyear(day)
+        leap = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) - 365
+        kind = F.pmod(F.dayofweek(day) - nth, F.lit(7)) * 2 + leap
+        return F.coalesce(_table(within, kind * 366 + nth - 1), 366 + leap - nth + _table(years, F.pmod(year + 1, F.lit(400))))
+
+    def found(soon, day, ahead):
+        minute = F.when(ahead == 0, soon % 1440).otherwise(clock[-1] - 1440)
+        at = F.timestamp_add("MINUTE", minute, F.date_add(day, ahead).cast("timestamp_ntz"))
+        return F.when((over(soon) + ahead) * 1440 + minute - now <= minutes, at)
+
+    x = let(_table(clock, now), lambda soon: let(F.date_add(F.to_date(t), over(soon)), lambda day: let(until(day), lambda ahead: found(soon, day, ahead))))
+    # only in an hour that clocks repeat is the first such time past; then it is the second one
+    x = let(x, lambda at: F.when(at <= t, t + (at - t.cast("timestamp_ntz"))).otherwise(at))
+    return rows.withColumn("next", F.coalesce(x, none))
